@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import sentencepiece_codec
-from isohyet.llm.common import table
+from isohyet.llm import exact_dedup, language_id, line_dedup, media, near_dedup, packing, sentencepiece_codec, sharding, token_store
+from isohyet.llm.common import new_folder, table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +21,91 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sentencepiece": op1_sentencepiece}
-ORACLE_SQL: dict[str, str] = {}
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(F.coalesce(~held_out(), F.lit(True))))
+    return language_id.predict(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host_of(F.col("url")).alias("host"), line_dedup.lines_of_html(F.col("html")).alias("text"))
+    return line_dedup.drop_boilerplate(pages)
+
+
+OP3_SQL = rf"""
+with pages_ as (
+  select page_id, lower(regexp_extract(url, '{line_dedup.HOST_PATTERN}', 1)) as host,
+    string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+      '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', chr(10), 'g'),
+      '(?i)</?(?:{line_dedup.BLOCKS})(?:[ 	
+/][^>]*)?>', chr(10), 'g'),
+      '<[^>]*>', '', 'g'),
+      '[ 	]*
+[ 	
+]*', chr(10), 'g'), ' ' || chr(9) || chr(13) || chr(10)), chr(10)) as lines
+  from pages),
+line_ as (select page_id, host, unnest(lines) as line from pages_),
+often as (select host, line, count(distinct page_id) as n from line_ where line <> '' group by host, line having count(distinct page_id) >= {line_dedup.LEAST_PAGES}),
+totals as (select host, count(*) as pages from pages_ group by host),
+common as (select host, list(line) as common from often join totals using (host) where n > {line_dedup.RATIO} * pages group by host),
+kept as (select page_id, host, len(lines) as n_lines, case when common is null then lines else list_filter(lines, x -> not list_contains(common, x)) end as kept
+  from pages_ left join common using (host))
+select page_id, host, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(len(kept), 0) as bigint) as n_kept, case when len(kept) = 0 then '' else array_to_string(kept, chr(10)) end as text
+from kept
+"""
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+OP5_SQL = """
+with rows_ as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents),
+groups_ as (select norm, max(doc_id) as keep_id, count(*) as group_size from rows_ group by norm)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from rows_ join groups_ using (norm)
+"""
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.load(media.store(table(spark, sf_dir, "documents")))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.lower(F.hex("feature")).alias("feature"),
+    )
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_store.write(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"))
+    stored = token_store.read_all(spark, manifest)
+    return stored.select("doc_id", "start", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_sentencepiece, op2_language, op3_line_dedup, op4_packing, op5_exact_dedup, op6_media, op7_near_dedup, op8_sharding, op9_token_store)
+}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL}

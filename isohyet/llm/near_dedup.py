@@ -4,9 +4,12 @@ One hash function orders all shingles; a document's sketch is its k smallest val
 share most of the k smallest values of their union, so at least SHARED of them are in both sketches: among any
 k - SHARED + 1 retained values of a document at least one is shared. The inverted lists are therefore made from each
 document's rarest retained values only, which keeps passages that many documents share out of the lists unless a
-document consists mostly of them. Candidates come from the lists in two steps, so that no list is expanded into all its
-pairs: first every member meets the list's leaders of about its size, then only members of different components meet.
-Union-sketch estimates filter the candidates and exact Jaccard similarity on full shingle sets decides.
+document consists mostly of them. Candidates come from the lists in steps, so that no long list is expanded into all
+its pairs: first every member meets the list's leaders of about its size, the documents with the most common values;
+then members of different components meet in short lists. For the members of long lists exact lists are made, from the
+rarest (1 - similarity) of each document's whole set: a document with more shingles of its own than that meets nobody,
+and copies of a common origin have been joined by their leaders, so these lists hold what is left. Union-sketch
+estimates filter the candidates and exact Jaccard similarity on full shingle sets decides.
 
 With k = 64, 36 shared values and a similarity of 0.85 or more, a pair shares too few values with a probability under
 1e-8, and its estimate is too low with one under 1e-6; sets of up to k shingles are handled exactly.
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.llm.common import SubstringHash, batch_size, narrow, slices, written
@@ -32,6 +35,7 @@ from isohyet.llm.components import connected
 
 WORDS, PERCENT = 5, 85
 K, SHARED, ESTIMATE = 64, 36, 0.58
+SHORT_LIST = 32  # documents of a list that meet each other directly
 MOST_BROADCAST = 1_000_000  # ids that are sent to all tasks at most; beyond that, a shuffle does it
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -96,19 +100,46 @@ def postings(reps: DataFrame) -> DataFrame:
     return reps.select("doc_id", "n", "sketch").mapInArrow(run, "value long, doc_id long, n long")
 
 
-def inverted_lists(reps: DataFrame, k: int = K, shared: int = SHARED, percent: int = PERCENT) -> DataFrame:
-    """(value, doc_id, n): the lists of at least two documents, from each document's rarest retained values."""
-    posted = postings(reps)
+def rarest(posted: DataFrame, held: Column, must: Column) -> DataFrame:
+    """(value, df, doc_id, n, common): the lists of at least two documents, from the rarest values of each document.
+
+    posted has (value, doc_id, n). Of `held` values at least `must` are shared by a pair, so held - must + 1 are looked
+    up. `common` is the mean logarithm of the document frequencies: high for what others are copies of."""
     often = posted.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    common = posted.join(often, "value")
-    # How many of a document's values must be looked up: whole sets up to the size that no larger partner can have.
-    held = F.least("n", F.lit(k))
-    whole = F.col("n") * 100 < F.lit(k * percent)
-    must = F.when(whole, F.ceil(F.col("n") * percent / 100.0)).otherwise(F.lit(shared))
-    per_doc = common.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("seen"))  # k values at most
+    per_doc = posted.join(often, "value").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("seen"), F.sum(F.log("df")).alias("common"))
     take = held - must + 1 - (held - F.size("seen"))
-    chosen = per_doc.filter(take > 0).select("doc_id", "n", F.explode(F.slice("seen", F.lit(1), take.cast("int"))).alias("x"))
-    return chosen.select(F.col("x.value").alias("value"), "doc_id", "n")
+    chosen = per_doc.filter(take > 0).select("doc_id", "n", (F.col("common") / held).alias("common"), F.explode(F.slice("seen", F.lit(1), take.cast("int"))).alias("x"))
+    return chosen.select(F.col("x.value").alias("value"), F.col("x.df").alias("df"), "doc_id", "n", "common")
+
+
+def inverted_lists(reps: DataFrame, k: int = K, shared: int = SHARED, percent: int = PERCENT) -> DataFrame:
+    """Lists of retained values. Up to the size that no larger partner can have, a sketch holds the whole set."""
+    whole = F.col("n") * 100 < F.lit(k * percent)
+    return rarest(postings(reps), F.least("n", F.lit(k)), F.when(whole, _overlap(percent)).otherwise(F.lit(shared)))
+
+
+def _overlap(percent: int) -> Column:
+    """The shingles of a set that any partner has at least."""
+    return F.floor((F.col("n") * percent + 99) / 100)
+
+
+def exact_lists(docs: DataFrame, ids: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Lists of all shingles of some documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1 << 20):
+            sets = shingle_sets([t or "" for t in b["text"].to_pylist()], words)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(b["doc_id"].to_numpy(zero_copy_only=False), sizes)), pa.array(np.repeat(sizes, sizes))], ["value", "doc_id", "n"])
+
+    batch_size(docs.sparkSession)
+    posted = _of(docs, ids).mapInArrow(run, "value long, doc_id long, n long").distinct()
+    return rarest(posted, F.col("n"), _overlap(percent))
+
+
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with the given ids; few ids are sent to all tasks, many are shuffled."""
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")
 
 
 def _alike(a: str, b: str, percent: int):
@@ -117,22 +148,26 @@ def _alike(a: str, b: str, percent: int):
 
 
 def leader_pairs(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) between members and the leaders - the smallest ids - of their list's size classes near theirs."""
+    """(a, b) between members and the leaders - those most in common - of their list's size classes near theirs."""
     ratio = float(np.log(100.0 / percent))
     classed = lists.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int"))
-    heads = classed.groupBy("value", "size_class").agg(F.min(F.struct("doc_id", "n")).alias("head"))
-    heads = heads.select("value", F.explode(F.array(*(F.col("size_class") + d for d in (-1, 0, 1)))).alias("size_class"), F.col("head.doc_id").alias("lead"), F.col("head.n").alias("lead_n"))
+    heads = classed.groupBy("value", "size_class").agg(F.max(F.struct("common", (-F.col("doc_id")).alias("minus"), "n")).alias("head"))
+    heads = heads.select("value", F.explode(F.array(*(F.col("size_class") + d for d in (-1, 0, 1)))).alias("size_class"), (-F.col("head.minus")).alias("lead"), F.col("head.n").alias("lead_n"))
     met = classed.join(heads, ["value", "size_class"]).filter((F.col("doc_id") != F.col("lead")) & _alike("n", "lead_n", percent))
     return met.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
 
 
-def cross_pairs(lists: DataFrame, components: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) between members of one list that are not in one component yet."""
+def open_lists(lists: DataFrame, components: DataFrame) -> DataFrame:
+    """Lists with their members' components, as far as members of several components meet there."""
     named = lists.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = named.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value")
-    named = written(named.join(mixed, "value", "left_semi"), "lists")
-    other = named.withColumnsRenamed({"doc_id": "b", "n": "m", "component": "other"})
-    met = named.join(other, (named["value"] == other["value"]) & (F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("other")) & _alike("n", "m", percent))
+    several = named.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value")
+    return written(named.join(several, "value", "left_semi"), "open")
+
+
+def cross_pairs(opened: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) between members of one list that are not in one component yet."""
+    other = opened.select("value", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    met = opened.join(other, "value").filter((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("other")) & _alike("n", "m", percent))
     return met.select(F.col("doc_id").alias("a"), "b").distinct()
 
 
@@ -162,8 +197,6 @@ def likely(pairs: DataFrame, reps: DataFrame, k: int = K, estimate: float = ESTI
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; pairs must be a written table, docs (doc_id, text)."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    if ids.count() <= MOST_BROADCAST:
-        ids = F.broadcast(ids)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1 << 20):
@@ -179,13 +212,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: in
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     batch_size(docs.sparkSession)
-    full = docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary")
+    full = _of(docs, ids).mapInArrow(sets, "doc_id long, shingles binary")
     full = written(full, "sets").dropDuplicates(["doc_id"])
     both = pairs.join(full.withColumnsRenamed({"doc_id": "a", "shingles": "x"}), "a").join(full.withColumnsRenamed({"doc_id": "b", "shingles": "y"}), "b")
     return both.mapInArrow(test, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K, shared: int = SHARED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K, shared: int = SHARED, short_list: int = SHORT_LIST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of df."""
     docs = narrow(df, id_col, text_col)
     known = written(features(docs, words, k), "features")
@@ -196,11 +229,20 @@ def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k
     reps = reps.withColumn("_i", F.row_number().over(one)).filter("_i = 1").drop("_i") if known.count() != known.select("doc_id").distinct().count() else reps
     lists = written(inverted_lists(reps, k, shared, percent), "lists")
 
-    first = written(confirmed(written(likely(leader_pairs(lists, percent), reps, k), "pairs"), docs, words, percent), "links")
+    def links(pairs: DataFrame) -> DataFrame:
+        return written(confirmed(written(likely(pairs, reps, k), "pairs"), docs, words, percent), "links")
+
+    first = links(leader_pairs(lists, percent))
     grouped = connected(first)
-    second = confirmed(written(likely(cross_pairs(lists, grouped, percent), reps, k), "pairs"), docs, words, percent)
-    linked = connected(first.unionByName(second))
+    opened = open_lists(lists, grouped)
+    short = links(cross_pairs(opened.filter(F.col("df") <= short_list), percent))
+    crowded = opened.filter(F.col("df") > short_list).select("doc_id").distinct()
+    exact = written(exact_lists(docs, crowded, words, percent), "lists")
+    led = links(leader_pairs(exact, percent))
+    found = first.unionByName(short).unionByName(led)
+    rest = links(cross_pairs(open_lists(exact, connected(found)), percent))
+    linked = connected(found.unionByName(rest))
 
     member = known.join(classes, "set_key", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    found = F.coalesce("component", "rep", "doc_id")
-    return member.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
+    own = F.coalesce("component", "rep", "doc_id")
+    return member.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))

@@ -1,11 +1,68 @@
-"""A corpus-cleaning pipeline: each stage calls one operator and hands the kept documents on."""
+"""A corpus-cleaning pipeline: each stage calls one operator and hands the documents that it keeps on.
 
-STAGES = []
+All stages but the last return the columns of `documents`. Rows with a null id or text, repeated rows and empty tables
+are handled as the operators say; columns beyond those of `documents` are handed on as they are.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from isohyet.llm import exact_dedup, language_id, near_dedup, packing, suffix_dedup
+from isohyet.llm.common import written
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned; those without a letter are rejected."""
+    model = language_id.fit(docs)
+    seen = language_id.with_language(docs, model, lang_out="_lang_pred", score_out="_score")
+    return seen.filter(F.col("_lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: that with the largest id."""
+    return exact_dedup.kept_rows(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest id."""
+    stays = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_stays")).distinct()
+    return docs.join(stays, docs["doc_id"].eqNullSafe(F.col("_stays")), "left_semi")
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated passages; a document of which nothing is left goes. A character that a cut leaves
+    in part is dropped with the replacement characters of that text, and n_chars is counted anew where a text has changed."""
+    found = suffix_dedup.remove_repeats(docs, carry=docs.columns)
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("rest.text"))
+    columns = {"text": text, "n_chars": F.when(changed, F.char_length(text).cast("long")).otherwise(F.col("rest.n_chars"))}
+    left = found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+    return left.select(*(columns.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed documents."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", by_language),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("suffix_dedup", without_repeats),
+    ("packing", packed),
+]
+#: Hashed sketches, suffix arrays and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, name)
     return docs

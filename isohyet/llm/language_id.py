@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isohyet.llm.common import batch_size, narrow, slices
 
@@ -133,14 +134,15 @@ def infer(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     return best, np.clip(score, 0.0, 1.0)
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text."""
+def with_language(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """df with all its columns, and the language and score of every whole text of a string column."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # CELLS x languages floats, whatever the input
+    place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in slices(batches, 1 << 20):
-            texts = [t or "" for t in b["text"].to_pylist()]
+            texts = [t or "" for t in b.column(place).to_pylist()]
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if own.languages and _LETTER.search(t)]
             if known:
@@ -148,7 +150,12 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 scores[known] = score
                 for i, x in zip(known, best, strict=True):
                     names[i] = own.languages[x]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, lang_out, score_out])
 
     batch_size(df.sparkSession)
-    return narrow(df, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]))
+
+
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) of every whole text."""
+    return with_language(narrow(df, id_col, text_col), model).select("doc_id", "lang_pred", "score")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import exact_dedup, language_id, line_dedup, media, near_dedup, packing, sentencepiece_codec, sharding, token_store
+from isohyet.llm import exact_dedup, language_id, line_dedup, media, near_dedup, packing, sentencepiece_codec, sharding, suffix_dedup, token_store
 from isohyet.llm.common import new_folder, table
 
 
@@ -41,11 +41,12 @@ with pages_ as (
   select page_id, lower(regexp_extract(url, '{line_dedup.HOST_PATTERN}', 1)) as host,
     string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
       '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', chr(10), 'g'),
-      '(?i)</?(?:{line_dedup.BLOCKS})(?:[ 	
+      '(?i)</?(?:{line_dedup.BLOCKS})(?:[ 	
 /][^>]*)?>', chr(10), 'g'),
       '<[^>]*>', '', 'g'),
-      '[ 	]*
-[ 	
+      '[ 	
+]*
+[ 	
 ]*', chr(10), 'g'), ' ' || chr(9) || chr(13) || chr(10)), chr(10)) as lines
   from pages),
 line_ as (select page_id, host, unnest(lines) as line from pages_),
@@ -105,7 +106,12 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "start", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_language, op3_line_dedup, op4_packing, op5_exact_dedup, op6_media, op7_near_dedup, op8_sharding, op9_token_store)
+    f.__name__: f for f in (op1_sentencepiece, op2_language, op3_line_dedup, op4_packing, op5_exact_dedup, op6_media, op7_near_dedup, op8_sharding, op9_token_store, op10_suffix_dedup)
 }
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL}

@@ -17,7 +17,7 @@ def edges_of_rings(zones: DataFrame, zone: str = "zone_id", rings: str = "rings"
     ring = zones.select(F.col(zone).alias("zone_id"), F.explode(rings).alias("r"))
     closed = F.concat("r", F.slice("r", F.lit(1), F.lit(1)))
     pairs = F.explode(F.arrays_zip(closed.alias("p"), F.slice(closed, F.lit(2), F.size("r")).alias("q"))).alias("e")
-    e = ring.select("zone_id", pairs).select("zone_id", F.col("e.0").alias("p"), F.col("e.1").alias("q")).filter("q is not null")
+    e = ring.select("zone_id", pairs).select("zone_id", F.col("e.p").alias("p"), F.col("e.q").alias("q")).filter("q is not null")
     return e.select("zone_id", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
 
 

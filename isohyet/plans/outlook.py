@@ -365,7 +365,8 @@ def cca_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         wide = f.pivot(index="time", columns="s", values="value")
-        wide = wide.dropna(axis=1, thresh=int(0.9 * len(wide))).dropna()
+        wide = wide.dropna(axis=1, thresh=len(wide) // 2)
+        wide = wide.fillna(wide.mean())
         x, y = (wide[[c for c in wide.columns if c.startswith(p)]].to_numpy(float) for p in ("x:", "y:"))
         r = models.canonical(x, y) if len(wide) > 6 and x.shape[1] and y.shape[1] else np.zeros(0)
         return pd.DataFrame({"k": np.arange(1, len(r) + 1, dtype=np.int32), "correlation": r})

@@ -120,7 +120,7 @@ def path_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("date_spine", "select cast(time as varchar) as time from months_")
 def date_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = Tables(spark, sf_dir).obs().agg(F.min("time").alias("a"), F.max("time").alias("b"))
-    return rounded(o.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).cast("date").alias("time")))
+    return rounded(o.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("time")).select(F.col("time").cast("date").alias("time")))
 
 
 @query("month_end", "select o_orderkey, cast(last_day(cast(o_orderdate as date)) as varchar) as month_end from orders")

@@ -101,15 +101,17 @@ def postings(reps: DataFrame) -> DataFrame:
 
 
 def rarest(posted: DataFrame, held: Column, must: Column) -> DataFrame:
-    """(value, df, doc_id, n, common): the lists of at least two documents, from the rarest values of each document.
+    """(value, df, doc_id, n, common, pos): the lists of at least two documents, from each document's rarest values.
 
     posted has (value, doc_id, n). Of `held` values at least `must` are shared by a pair, so held - must + 1 are looked
-    up. `common` is the mean logarithm of the document frequencies: high for what others are copies of."""
+    up. `common` is the mean logarithm of the document frequencies: high for what others are copies of. `pos` is the
+    value's place among the document's values, rarest first."""
     often = posted.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     per_doc = posted.join(often, "value").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("seen"), F.sum(F.log("df")).alias("common"))
     take = held - must + 1 - (held - F.size("seen"))
-    chosen = per_doc.filter(take > 0).select("doc_id", "n", (F.col("common") / held).alias("common"), F.explode(F.slice("seen", F.lit(1), take.cast("int"))).alias("x"))
-    return chosen.select(F.col("x.value").alias("value"), F.col("x.df").alias("df"), "doc_id", "n", "common")
+    alone = held - F.size("seen")  # values of no other document come first
+    chosen = per_doc.filter(take > 0).select("doc_id", "n", (F.col("common") / held).alias("common"), alone.alias("alone"), F.posexplode(F.slice("seen", F.lit(1), take.cast("int"))).alias("i", "x"))
+    return chosen.select(F.col("x.value").alias("value"), F.col("x.df").alias("df"), "doc_id", "n", "common", (F.col("alone") + F.col("i")).alias("pos"))
 
 
 def inverted_lists(reps: DataFrame, k: int = K, shared: int = SHARED, percent: int = PERCENT) -> DataFrame:
@@ -164,11 +166,21 @@ def open_lists(lists: DataFrame, components: DataFrame) -> DataFrame:
     return written(named.join(several, "value", "left_semi"), "open")
 
 
-def cross_pairs(opened: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) between members of one list that are not in one component yet."""
-    other = opened.select("value", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    met = opened.join(other, "value").filter((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("other")) & _alike("n", "m", percent))
-    return met.select(F.col("doc_id").alias("a"), "b").distinct()
+def cross_pairs(opened: DataFrame, percent: int = PERCENT, whole: bool = False) -> DataFrame:
+    """(a, b) between members of one list that are not in one component yet.
+
+    In lists of whole sets the smaller set of a pair needs only the values that it can lack and still reach the overlap
+    of two equal sizes, and the places of a shared value bound the overlap."""
+    other = opened.select("value", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("pos").alias("at"))
+    wanted = (F.col("component") != F.col("other")) & _alike("n", "m", percent)
+    if whole:
+        opened = opened.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100.0 + percent)))
+        bound = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))  # of the overlap, at the rarest shared value
+        wanted &= ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("doc_id") < F.col("b")))) & (bound * (100 + percent) >= percent * (F.col("n") + F.col("m")))
+    else:
+        wanted &= F.col("doc_id") < F.col("b")
+    met = opened.join(other, "value").filter(wanted)
+    return met.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
 
 
 def union_estimate(x: bytes, y: bytes, k: int = K) -> float:
@@ -240,7 +252,7 @@ def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k
     exact = written(exact_lists(docs, crowded, words, percent), "lists")
     led = links(leader_pairs(exact, percent))
     found = first.unionByName(short).unionByName(led)
-    rest = links(cross_pairs(open_lists(exact, connected(found)), percent))
+    rest = links(cross_pairs(open_lists(exact, connected(found)), percent, whole=True))
     linked = connected(found.unionByName(rest))
 
     member = known.join(classes, "set_key", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")

@@ -53,7 +53,7 @@ line_ as (select page_id, host, unnest(lines) as line from pages_),
 often as (select host, line, count(distinct page_id) as n from line_ where line <> '' group by host, line having count(distinct page_id) >= {line_dedup.LEAST_PAGES}),
 totals as (select host, count(*) as pages from pages_ group by host),
 common as (select host, list(line) as common from often join totals using (host) where n > {line_dedup.RATIO} * pages group by host),
-kept as (select page_id, host, len(lines) as n_lines, case when common is null then lines else list_filter(lines, x -> not list_contains(common, x)) end as kept
+kept as (select page_id, host, len(lines) as n_lines, case when common is null then lines else list_filter(lines, lambda x: not list_contains(common, x)) end as kept
   from pages_ left join common using (host))
 select page_id, host, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(len(kept), 0) as bigint) as n_kept, case when len(kept) = 0 then '' else array_to_string(kept, chr(10)) end as text
 from kept

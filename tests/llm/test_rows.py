@@ -321,3 +321,19 @@ def test_perfect_hash_is_minimal():
     keys = np.random.default_rng(3).integers(0, 1 << 62, 5000).astype(np.uint64)
     index = token_store.PerfectHash.from_bytes(token_store.PerfectHash.build(keys).to_bytes())
     assert sorted(index.slots(keys).tolist()) == list(range(5000))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_equals_oracle_sql(spark, sf_dir, name):
+    from pathlib import Path
+
+    import duckdb
+
+    con = duckdb.connect()
+    for p in Path(sf_dir).glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from '{p}'")
+    ran = con.execute(queries.ORACLE_SQL[name])
+    columns = [d[0] for d in ran.description]
+    got = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(map(str, map(tuple, got.select(columns).collect()))) == sorted(map(str, ran.fetchall()))

@@ -26,26 +26,37 @@ def leave_one_out(pairs: DataFrame, key: str = "loc_id") -> DataFrame:
     return pairs.withColumn("fold", F.row_number().over(Window.partitionBy(key).orderBy("time")))
 
 
-def _moments(prefix: str = "") -> list[Column]:
-    x, y = F.col("_x"), F.col("_y")
-    return [F.count(F.lit(1)).alias(f"{prefix}n"), F.sum(x).alias(f"{prefix}sx"), F.sum(y).alias(f"{prefix}sy"), F.sum(x * x).alias(f"{prefix}sxx"), F.sum(x * y).alias(f"{prefix}sxy")]
-
-
-def out_of_fold_ols(folded: DataFrame, key: str = "loc_id") -> DataFrame:
+def shrunk(weight: Column, n: Column, penalty: str = "ols", alpha: float | None = None) -> Column:
+    """The weight on a scaled predictor under a penalty, from the least-squares weight."""
+    if penalty == "ridge":
+        return weight * n / (n + (1.0 if alpha is None else alpha))
+    if penalty == "lasso":
+        return F.signum(weight) * F.greatest(F.abs(weight) - (0.01 if alpha is None else alpha), F.lit(0.0))
+    if penalty != "ols":
+        raise ValueError(f"unknown penalty {penalty}")
+    return weight
+
+
+def out_of_fold_linear(folded: DataFrame, penalty: str = "ols", alpha: float | None = None, key: str = "loc_id") -> DataFrame:
     """(loc_id, time, y, h): each row predicted by the line through all rows of other folds.
 
     A fold's training sums are the location's sums less the fold's own, so no row is copied per fold. Values are
-    centred first, which keeps the differences exact enough."""
+    centred first, which keeps the differences exact enough. Predictors are scaled within the training rows."""
     whole = Window.partitionBy(key)
     part = Window.partitionBy(key, "fold")
     df = folded.withColumns({"_mx": F.avg("x").over(whole), "_my": F.avg("y").over(whole)}).withColumns({"_x": F.col("x") - F.col("_mx"), "_y": F.col("y") - F.col("_my")})
     x, y = F.col("_x"), F.col("_y")
-    sums = {"n": F.lit(1), "sx": x, "sy": y, "sxx": x * x, "sxy": x * y}
+    sums = {"_n": F.lit(1), "_sx": x, "_sy": y, "_sxx": x * x, "_sxy": x * y}
     df = df.withColumns({k: F.sum(v).over(whole) - F.sum(v).over(part) for k, v in sums.items()})
-    n, sx, sy, sxx, sxy = (F.col(k) for k in sums)
-    slope = (n * sxy - sx * sy) / F.nullif(n * sxx - sx * sx, F.lit(0.0))
-    h = F.col("_my") + (sy - slope * sx) / F.nullif(n, F.lit(0)) + slope * x
-    return df.select(key, "time", "y", h.alias("h"))
+    n = F.nullif(F.col("_n"), F.lit(0))
+    mean_x, mean_y = F.col("_sx") / n, F.col("_sy") / n
+    sd = F.nullif(F.sqrt(F.greatest(F.col("_sxx") / n - mean_x * mean_x, F.lit(0.0))), F.lit(0.0))
+    weight = shrunk((F.col("_sxy") / n - mean_x * mean_y) / sd, n, penalty, alpha)
+    return df.select(key, "time", "y", (F.col("_my") + mean_y + weight * (x - mean_x) / sd).alias("h"))
+
+
+def out_of_fold_ols(folded: DataFrame, key: str = "loc_id") -> DataFrame:
+    return out_of_fold_linear(folded, "ols", key=key)
 
 
 def standard_fit(pairs: DataFrame, ridge: float = 1.0, lasso: float = 0.01, key: str = "loc_id") -> DataFrame:
@@ -54,8 +65,7 @@ def standard_fit(pairs: DataFrame, ridge: float = 1.0, lasso: float = 0.01, key:
     mx, sd, my = F.avg("x"), F.stddev_pop("x"), F.avg("y")
     m = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), mx.alias("mean_x"), sd.alias("sd_x"), my.alias("intercept"), F.covar_pop("x", "y").alias("_cov"))
     z = F.col("_cov") / F.nullif(F.col("sd_x"), F.lit(0.0))  # mean of scaled x times centred y
-    shrunk = F.signum(z) * F.greatest(F.abs(z) - lasso, F.lit(0.0))
-    return m.select(key, "n", "mean_x", "sd_x", "intercept", z.alias("w_ols"), (z * F.col("n") / (F.col("n") + ridge)).alias("w_ridge"), shrunk.alias("w_lasso"))
+    return m.select(key, "n", "mean_x", "sd_x", "intercept", z.alias("w_ols"), shrunk(z, F.col("n"), "ridge", ridge).alias("w_ridge"), shrunk(z, F.col("n"), "lasso", lasso).alias("w_lasso"))
 
 
 def fitted(pairs: DataFrame, fit: DataFrame, weight: str = "w_ols", key: str = "loc_id") -> DataFrame:

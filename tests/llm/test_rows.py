@@ -337,3 +337,9 @@ def test_equals_oracle_sql(spark, sf_dir, name):
     got = queries.QUERIES[name](spark, sf_dir)
     assert sorted(columns) == sorted(got.columns)
     assert sorted(map(str, map(tuple, got.select(columns).collect()))) == sorted(map(str, ran.fetchall()))
+
+
+def test_byte_bpe_special_tokens_and_white_space(byte_model):
+    own = byte_bpe.encoder(byte_bpe.vocabulary_path())
+    for text in ("a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> x  y", "a \n b", "a  b", "x \t y  ", "\n\n x", "don't  'll", "a  b", " ", "   "):
+        assert own.encode(text) == le32(byte_model.encode(text, add_special_tokens=False).ids), text

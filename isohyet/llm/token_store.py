@@ -32,7 +32,7 @@ MAGIC = b"TOKSHRD1"
 SHARD_TOKENS = 1 << 22
 PARTITION_BYTES = 24 << 20
 CELLS_PER_KEY, MOST_LEVELS = 2, 64
-_HEAD = struct.Struct("<8sQQQ")
+_HEAD = struct.Struct("<8sQQQQ")
 MANIFEST = "path string, part int, file int, documents long, tokens long, first_id long, last_id long"
 
 
@@ -98,7 +98,8 @@ class PerfectHash:
 
 
 def pack_shard(doc_ids: list[int | None], numbers: list[int], bodies: list[bytes]) -> bytes:
-    """A whole shard file: head, ids of the documents, index, payload of little-endian 32-bit ids."""
+    """A whole shard file: head, ids of the documents, index, and the token ids, raw and little-endian, in 16 bits each
+    where all fit and else in 32. bodies hold 32-bit ids."""
     ids = np.array([0 if d is None else d for d in doc_ids], np.int64)
     nulls = np.array([d is None for d in doc_ids])
     keys = key_of(ids, np.array(numbers, np.int64) + (nulls.astype(np.int64) << 40))
@@ -112,14 +113,16 @@ def pack_shard(doc_ids: list[int | None], numbers: list[int], bodies: list[bytes
     named = np.zeros(len(keys), np.dtype([("id", "<i8"), ("number", "<u8")]))
     named["id"], named["number"] = ids, np.array(numbers, np.uint64) | (nulls.astype(np.uint64) << np.uint64(40))
     hashed = index.to_bytes()
-    return b"".join([_HEAD.pack(MAGIC, len(keys), len(hashed), int(lengths.sum())), named.tobytes(), hashed, slots.tobytes(), *bodies])
+    payload = np.frombuffer(b"".join(bodies), "<u4")
+    width = 4 if len(payload) and payload.max() > 0xFFFF else 2
+    return b"".join([_HEAD.pack(MAGIC, len(keys), len(hashed), len(payload), width), named.tobytes(), hashed, slots.tobytes(), payload.astype(f"<u{width}").tobytes()])
 
 
 class Shard:
     """A shard file that has been read: keyed access in constant time."""
 
     def __init__(self, raw: bytes):
-        magic, n, hashed, tokens = _HEAD.unpack_from(raw)
+        magic, n, hashed, tokens, width = _HEAD.unpack_from(raw)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         at = _HEAD.size
@@ -128,7 +131,7 @@ class Shard:
         self.index = PerfectHash.from_bytes(raw[at : at + hashed])
         at += hashed
         self.slots = np.frombuffer(raw, np.dtype([("mark", "<u4"), ("at", "<u8"), ("n", "<u8")]), n, at)
-        self.payload = np.frombuffer(raw, "<u4", tokens, at + self.slots.nbytes)
+        self.payload = np.frombuffer(raw, f"<u{width}", tokens, at + self.slots.nbytes)
 
     def find(self, doc_id: np.ndarray, number: np.ndarray) -> np.ndarray:
         """The slot of each key, or -1 where its fingerprint is not the stored one."""
@@ -140,7 +143,7 @@ class Shard:
 
     def tokens(self, slot: int) -> np.ndarray:
         at, n = int(self.slots["at"][slot]), int(self.slots["n"][slot])
-        return self.payload[at : at + n]
+        return self.payload[at : at + n].astype("<u4")
 
 
 def write(df: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = 2, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -343,3 +343,11 @@ def test_byte_bpe_special_tokens_and_white_space(byte_model):
     own = byte_bpe.encoder(byte_bpe.vocabulary_path())
     for text in ("a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> x  y", "a \n b", "a  b", "x \t y  ", "\n\n x", "don't  'll", "a  b", " ", "   "):
         assert own.encode(text) == le32(byte_model.encode(text, add_special_tokens=False).ids), text
+
+
+def test_shards_of_either_width():
+    for top in (60_000, 70_000):
+        bodies = [le32([1, top, 2]), le32([2]), le32([])]
+        shard = token_store.Shard(token_store.pack_shard([5, None, 9], [0, 0, 0], bodies))
+        assert [shard.tokens(shard.find(np.array([d]), np.array([n]))[0]).tobytes() for d, n in ((5, 0), (0, 1 << 40), (9, 0))] == bodies
+        assert shard.payload.itemsize == (2 if top < 65536 else 4) and shard.find(np.array([6]), np.array([0]))[0] == -1

@@ -6,10 +6,16 @@ tile by an equi-join, and the crossing number of a ray to the east decides.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TILE = 10.0
+MOST_BROADCAST = 100_000  # rows that are sent to all tasks at most
+
+
+def checked(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A table to be broadcast if it is small; else Spark chooses."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def edges_of_rings(zones: DataFrame, zone: str = "zone_id", rings: str = "rings") -> DataFrame:
@@ -50,9 +56,8 @@ def clip(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def rasterize(cells: DataFrame, edges: DataFrame, times: DataFrame) -> DataFrame:
-    """(loc_id, time, zone_id): the polygon of each cell's centre - null outside - for every target time; `times` is a
-    handful of rows."""
-    return cells.select("loc_id").join(within(cells, edges), "loc_id", "left").join(F.broadcast(times.limit(1000)), how="cross")
+    """(loc_id, time, zone_id): the polygon of each cell's centre - null outside - for every target time."""
+    return cells.select("loc_id").join(within(cells, edges), "loc_id", "left").join(checked(times), how="cross")
 
 
 def zonal_stats(values: DataFrame, membership: DataFrame, zones: DataFrame) -> DataFrame:
@@ -74,24 +79,40 @@ def mesh(spark, min_x: float, max_x: float, min_y: float, max_y: float, step: fl
     return ys.crossJoin(F.broadcast(xs)).select("row_idx", "col_idx", "lat", "lon")  # an axis of a grid, not data
 
 
-def idw(grid: DataFrame, stations: DataFrame, keys: list[str]) -> DataFrame:
-    """Inverse-distance weighting; a grid point at a station takes its value. Stations travel as one array, whose
-    length the number of stations bounds."""
-    held = stations.filter("value is not null").agg(F.collect_list(F.struct("lon", "lat", "value")).alias("_s"))
+def idw(grid: DataFrame, stations: DataFrame, keys: list[str], most: int = MOST_BROADCAST) -> DataFrame:
+    """Inverse-distance weighting; a grid point at a station takes its value, of several the largest.
+
+    Up to `most` stations travel as one array; more of them are summed by grid point in a shuffle."""
+    stations = stations.filter("value is not null").select(F.col("lon").alias("_x"), F.col("lat").alias("_y"), F.col("value").alias("_v"))
+    if stations.count() > most:
+        d = F.hypot(F.col("_x") - F.col("lon"), F.col("_y") - F.col("lat"))
+        part = grid.join(stations, how="cross").withColumn("_d", d)
+        w = 1 / F.nullif(F.col("_d"), F.lit(0.0))
+        sums = part.groupBy(*keys).agg(F.max(F.when(F.col("_d") == 0, F.col("_v"))).alias("_on"), F.sum(w * F.col("_v")).alias("_t"), F.sum(w).alias("_w"))
+        return sums.select(*keys, F.coalesce("_on", F.col("_t") / F.nullif(F.col("_w"), F.lit(0.0))).alias("value"))
+    held = stations.agg(F.collect_list(F.struct("_x", "_y", "_v")).alias("_s"))
     near = grid.crossJoin(F.broadcast(held))
-    dist = lambda s: F.hypot(s["lon"] - F.col("lon"), s["lat"] - F.col("lat"))
-    on = F.filter("_s", lambda s: dist(s) == 0)
+    dist = lambda s: F.hypot(s["_x"] - F.col("lon"), s["_y"] - F.col("lat"))
+    on = F.array_max(F.transform(F.filter("_s", lambda s: dist(s) == 0), lambda s: s["_v"]))
     inverse = lambda s: 1 / F.nullif(dist(s), F.lit(0.0))
-    total = F.aggregate("_s", F.lit(0.0), lambda a, s: a + inverse(s) * s["value"])
-    weight = F.aggregate("_s", F.lit(0.0), lambda a, s: a + inverse(s))
-    return near.select(*keys, F.when(F.size(on) > 0, F.get(on, F.lit(0))["value"]).otherwise(total / F.nullif(weight, F.lit(0.0))).alias("value"))
+    # Stations at the point have no weight of their own there, and leave the sums as they are.
+    total = F.aggregate("_s", F.lit(0.0), lambda a, s: a + F.coalesce(inverse(s) * s["_v"], F.lit(0.0)))
+    weight = F.aggregate("_s", F.lit(0.0), lambda a, s: a + F.coalesce(inverse(s), F.lit(0.0)))
+    return near.select(*keys, F.coalesce(on, total / F.nullif(weight, F.lit(0.0))).alias("value"))
 
 
 def distances(a: DataFrame, b: DataFrame) -> DataFrame:
     """Planar distances in degrees between all pairs of two station lists, the second of checked size."""
     other = b.select(F.col("loc_id").alias("to_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    other = F.broadcast(other) if other.count() <= 100_000 else other
-    return a.join(other, how="cross").select("loc_id", "to_id", F.hypot(F.col("lon") - F.col("_lon"), F.col("lat") - F.col("_lat")).alias("distance"))
+    return a.join(checked(other), how="cross").select("loc_id", "to_id", F.hypot(F.col("lon") - F.col("_lon"), F.col("lat") - F.col("_lat")).alias("distance"))
+
+
+def positions(grid: DataFrame) -> DataFrame:
+    """Adds `pos`, from 1 by latitude from the north, then longitude: rows before a latitude come from a count per
+    latitude, an axis of the grid, so only one latitude's points meet in a task."""
+    rows = grid.groupBy("lat").agg(F.count(F.lit(1)).alias("_n"))
+    before = rows.select("lat", F.coalesce(F.sum("_n").over(Window.orderBy(F.col("lat").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return grid.join(before, "lat").withColumn("pos", F.col("_before") + F.row_number().over(Window.partitionBy("lat").orderBy("lon"))).drop("_before")
 
 
 def small_polygons(polygons: DataFrame) -> DataFrame:

@@ -323,9 +323,9 @@ def _stations(t: Tables) -> DataFrame:
     return t.geo().join(c, "loc_id")
 
 
-@query("idw_interpolate", MESH_SQL + ", " + STATION_MEANS + ", d as (select r, c, v, sqrt((lon - slon) * (lon - slon) + (lat - slat) * (lat - slat)) as d from mesh, st) select r as row_idx, c as col_idx, round(coalesce(max(case when d = 0 then v end), sum(v / nullif(d, 0)) / sum(1 / nullif(d, 0))), 3) as value from d group by 1, 2")
+@query("idw_interpolate", MESH_SQL + ", " + STATION_MEANS + ", d as (select r, c, v, sqrt((lon - slon) * (lon - slon) + (lat - slat) * (lat - slat)) as d from mesh, st) select r as row_idx, c as col_idx, round(coalesce(max(case when d = 0 then v end), sum(v / nullif(d, 0)) / sum(1 / nullif(d, 0))), 5) as value from d group by 1, 2")
 def idw_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spatial.idw(_mesh(spark), _stations(Tables(spark, sf_dir)), ["row_idx", "col_idx"]), 3)
+    return rounded(spatial.idw(_mesh(spark), _stations(Tables(spark, sf_dir)), ["row_idx", "col_idx"]), 5)
 
 
 @query("rbf_interpolate")

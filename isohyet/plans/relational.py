@@ -384,5 +384,4 @@ def elbow_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sorted_grid", "select cast(row_number() over (order by lat desc, lon) as bigint) as pos, loc_id from geo")
 def sorted_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.orderBy(F.col("lat").desc(), "lon")
-    return Tables(spark, sf_dir).geo().select(F.row_number().over(w).cast("long").alias("pos"), "loc_id")
+    return rounded(spatial.positions(Tables(spark, sf_dir).geo()).select("pos", "loc_id"))

@@ -72,7 +72,7 @@ def forecast(spec: ForecastSpec, predictand: DataFrame, predictor: DataFrame) ->
     fit = align.standard_fit(pairs, **({spec.regressor: spec.alpha} if spec.alpha is not None and spec.regressor != "ols" else {}))
     new = pred.select(*([key] if key else []), F.add_months("time", spec.lead()).alias("time"), F.col("value").alias("x")).filter(F.year("time") == spec.forecast_year).withColumn("y", F.lit(None).cast("double"))
     if key is None:
-        new = fit.select("loc_id").join(F.broadcast(new.limit(1)), how="cross")
+        new = fit.select("loc_id").join(spatial.checked(new), how="cross")
     fcst = align.fitted(new, fit, f"w_{spec.regressor}").select("loc_id", "time", F.col("h").alias("value"))
     limits = clim.select("loc_id", "q33", "q66")
     p_hcst = probability.probabilities(hcst, limits)

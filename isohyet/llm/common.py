@@ -39,8 +39,22 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application, once no result needs them; returns how many there were."""
+    for path in _made:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    n = len(_made)
+    _made.clear()
+    return n
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

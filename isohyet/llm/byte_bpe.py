@@ -15,7 +15,7 @@ from array import array
 from isohyet.llm.common import tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
-MEMO_STRETCHES = 400_000  # stretches that a worker remembers at once; a bound on memory only
+MEMO_STRETCHES = 150_000  # stretches that a worker remembers at once; a bound on memory only
 #: The pre-token pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _AMBIGUOUS = re.compile(r"\s \s")

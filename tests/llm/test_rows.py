@@ -1,5 +1,6 @@
 """Operators of the training-data list against brute force, on the smallest tables and on awkward rows."""
 
+import functools
 import hashlib
 import zlib
 from collections import Counter, defaultdict
@@ -77,6 +78,11 @@ def test_op1_awkward_rows(awkward, empty, piece_model):
     assert sentencepiece_codec.encode(empty).collect() == []
 
 
+@functools.cache
+def loaded_byte_model():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("  \n\tabcdethion.,▁//::xX")), max_size=60))
 def test_piece_codec_any_text(text):
@@ -92,7 +98,7 @@ def test_piece_codec_any_text(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.characters(codec="utf-8", max_codepoint=0x2FFF, exclude_categories=["Cn"]), st.sampled_from("  \n\t'sabcdethion.,1 ")), max_size=60))
 def test_byte_bpe_any_text(text):
-    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    model = loaded_byte_model()
     assert byte_bpe.encoder(byte_bpe.vocabulary_path()).encode(text) == le32(model.encode(text, add_special_tokens=False).ids)
 
 

@@ -115,8 +115,32 @@ def deterministic(hcst: DataFrame, key: str = "loc_id") -> DataFrame:
 
 def skill_table(hcst: DataFrame, probs: DataFrame, as_reference: bool = False, key: str = "loc_id") -> DataFrame:
     """(loc_id, score, value) of all twelve scores."""
-    det = deterministic(hcst, key)
-    j = det.join(roc(probs, key), key).join(rpss(probs, as_reference, key), key).join(ignorance(probs, key), key).join(heidke(probs, key), key)
-    j = j.join(two_afc(probs, key), key).join(brier(probs, key), key).join(information_gain(probs, key), key)
+    obs, rows = F.col("obs_class"), F.count(F.lit(1))
+    third = F.lit(1.0) / 3
+    base = tuple(reversed(_p())) if as_reference else (third, third, third)
+    by = Window.partitionBy(key)
+    # Ranks and class shares first, all on the location, then every score in one aggregate.
+    df = probs.withColumn("_share", rows.over(Window.partitionBy(key, "obs_class")) / rows.over(by))
+    for c in CLASSES:
+        ties = rows.over(Window.partitionBy(key, f"p_{c}"))
+        df = df.withColumn(f"_r_{c}", F.rank().over(by.orderBy(f"p_{c}")) + (ties - 1) / 2)
+    p_obs, best = skill.observed_probability(*_p(), obs), likeliest_class(*_p())
+    expected = sum((F.count_if(best == k) * F.count_if(obs == k) for k in range(3)), F.lit(0)) / rows
+    areas = []
+    for k, c in enumerate(CLASSES):
+        event = skill.is_class(obs, k)
+        n = F.sum(event)
+        areas.append(((F.sum(F.col(f"_r_{c}") * event) - n * (n + 1) / 2) / F.nullif(n * (rows - n), F.lit(0.0))).alias(f"roc_{c}"))
+    scores = df.groupBy(key).agg(
+        *areas,
+        (1 - F.avg(skill.rps(_p(), obs)) / F.nullif(F.avg(skill.rps(base, obs)), F.lit(0.0))).alias("rpss"),
+        F.avg(skill.ignorance(p_obs)).alias("ignorance"),
+        ((F.count_if(best == obs) - expected) / F.nullif(rows - expected, F.lit(0.0))).alias("hss"),
+        F.avg(skill.brier(*_p(), obs)).alias("brier"),
+        F.avg(skill.ignorance(F.col("_share")) - skill.ignorance(p_obs)).alias("info_gain"),
+    )
+    held = F.filter(F.array("roc_below", "roc_normal", "roc_above"), lambda x: x.isNotNull())
+    mean = F.aggregate(held, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(held), F.lit(0))
+    j = deterministic(hcst, key).join(scores.withColumn("two_afc", mean), key)
     names = {"correlation": "correlation", "MAPE": "mape", "RMSE": "rmse", "ROC_above": "roc_above", "ROC_normal": "roc_normal", "ROC_below": "roc_below", "rpss": "rpss", "ignorance": "ignorance", "hss": "hss", "2afc": "two_afc", "brier": "brier", "effintrate": "info_gain"}
     return j.select(key, *(F.col(c).alias(n) for n, c in names.items())).unpivot(key, list(names), "score", "value")

@@ -1,9 +1,11 @@
 """Sharding by balanced label propagation.
 
-Linked documents - here those of equal text - are joined to one hub of their group, so links grow with the rows. Rows
-start on shards by a hash of their id. In each round a join brings every linked row its neighbours' shards; a row whose
-neighbours mostly lie elsewhere asks to move there, and moves are granted up to the shard's quota. At last rows beyond
-a shard's exact size go to shards that lack some, unlinked rows first, so that counts are at most one apart.
+Linked documents - here those of equal text - are joined to one hub of their group, so links grow with the rows. Linked
+rows are dealt evenly by a hash. In each round a join brings every linked row its neighbours' shards; a row whose
+neighbours mostly lie elsewhere asks to move there. Asks are granted against the places that other asks leave - swaps,
+longer rings of shards - and into what unlinked rows hold, as these go wherever there is room at last. Of two linked
+rows only one moves in a round, so every move leaves fewer links cut; rounds end when none can be granted. At last
+unlinked rows are spread so that counts are at most one apart. `cut_links` counts what stays cut.
 
 Ranks within a shard come from counts of hash slices and a rank within a slice, so no shard's rows meet in one task.
 
@@ -14,13 +16,13 @@ Fewer rows than shards leave shards empty; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.llm.common import narrow, written
 
-SHARDS, ROUNDS, SLICES = 24, 4, 64
-SLACK = 1.02  # of a shard's even size, while rows still move
+SHARDS, SLICES = 24, 64
 
 
 def _hash(*columns: Column | str, salt: int = 0) -> Column:
@@ -47,21 +49,86 @@ def ranked(df: DataFrame, group: str, first: list[Column], key: str, slices: int
     return placed.withColumn("rank", (F.coalesce("_before", F.lit(0)) + F.col("_within")).cast("long")).drop(*order, "_before", "_within")
 
 
-def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """(row, shard) after the rounds, for all rows; links are (src, dst) in both directions."""
-    total = rows.count()
-    quota = int(total / shards * SLACK) + 1
-    labels = written(rows.select("row", F.pmod(_hash("row"), F.lit(shards)).cast("int").alias("shard")), "shards")
-    for i in range(rounds):
-        near = links.join(labels.select(F.col("row").alias("dst"), F.col("shard").alias("near")), "dst").groupBy("src", "near").agg(F.count(F.lit(1)).alias("n"))
+def _ring(asks: np.ndarray) -> list[int]:
+    """Shards of which each has asks to the next and the last to the first; none if there is no such ring."""
+    alive = np.ones(len(asks), bool)
+    while (shut := alive & ~(asks[:, alive] > 0).any(axis=1)).any():
+        alive &= ~shut
+    path = [int(np.argmax(alive))] if alive.any() else []
+    while path:
+        after = int(np.argmax(np.where(alive, asks[path[-1]], -1)))
+        if after in path:
+            return path[path.index(after) :]
+        path.append(after)
+    return path
+
+
+def grants(asks: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """How many of the asks [from, to] are granted, where no shard may gain more rows than it has room: swaps, then
+    rings, then chains that end in a free place. No further ask could be granted beside them."""
+    left = asks - np.minimum(asks, asks.T)
+    while ring := _ring(left):
+        steps = ring, [*ring[1:], ring[0]]
+        left[steps] -= left[steps].min()
+    # Without rings, shards come after all those that their rows ask for, so their room is known by then.
+    room, ahead = np.maximum(room, 0), np.ones(len(asks), bool)
+    while (ready := ahead & ~(left[:, ahead] > 0).any(axis=1)).any():
+        for to in np.flatnonzero(ready):
+            for source in np.argsort(-left[:, to], kind="stable"):
+                n = min(left[source, to], room[to])
+                left[source, to] -= n
+                room[to] -= n
+                room[source] += n
+        ahead &= ~ready
+    return asks - left
+
+
+def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
+    """(row, shard) for all rows, after the given rounds or when no ask can be granted; links are (src, dst) in both
+    directions. No shard has more linked rows than its even size."""
+    quota = rows.count() // shards
+    degrees = links.groupBy(F.col("src").alias("row")).agg(F.count(F.lit(1)).alias("degree"))
+    dealt = ranked(degrees.withColumn("_all", F.lit(0)), "_all", [], "row", shards * SLICES)
+    labels = written(dealt.select("row", F.pmod("rank", F.lit(shards)).cast("int").alias("shard"), "degree"), "shards")
+    pair = F.col("shard") * shards + F.col("target")
+    done = idle = 0
+    # Rows with many links go first, then those with few, then any; asks that three such rounds leave cannot be granted.
+    while idle < 3 and (rounds is None or done < rounds):
+        turn = lambda row: F.struct((F.lit((1, -1, 0)[done % 3]) * F.col("degree")).alias("first"), _hash(row, salt=done).alias("then"), F.col(row).alias("name"))  # noqa: B023, E731
+        near = links.join(labels.select(F.col("row").alias("dst"), F.col("shard").alias("near"), turn("row").alias("turn")), "dst").groupBy("src", "near").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("turn"))
         own = near.join(labels.withColumnRenamed("row", "src"), "src")
-        want = own.groupBy("src", "shard").agg(F.max(F.struct("n", (-F.col("near")).alias("minus"))).alias("best"), F.max(F.when(F.col("near") == F.col("shard"), F.col("n")).otherwise(0)).alias("here"))
-        # Half of the rows move in a round, so that two neighbours do not only change places.
-        asks = want.filter((F.col("best.n") > F.col("here")) & (F.pmod(_hash("src", salt=i), F.lit(2)) == 0)).select(F.col("src").alias("row"), (-F.col("best.minus")).alias("target"), (F.col("best.n") - F.col("here")).alias("gain"))
-        room = labels.groupBy("shard").agg((F.lit(quota) - F.count(F.lit(1))).alias("room")).withColumnRenamed("shard", "target")
-        granted = ranked(asks, "target", [-F.least("gain", F.lit(8))], "row").join(F.broadcast(room), "target").filter("rank < room").select("row", "target")
-        labels = written(labels.join(granted, "row", "left").select("row", F.coalesce("target", "shard").cast("int").alias("shard")), "shards")
-    return labels
+        want = own.groupBy("src", "shard", "degree").agg(
+            F.max(F.struct("n", (-F.col("near")).alias("minus"))).alias("best"), F.max(F.when(F.col("near") == F.col("shard"), F.col("n")).otherwise(0)).alias("here"), F.max("turn").alias("others")
+        )
+        gain = want.filter(F.col("best.n") > F.col("here")).select(F.col("src").alias("row"), "shard", (-F.col("best.minus")).alias("target"), (F.col("best.n") - F.col("here")).alias("gain"), (turn("src") > F.col("others")).alias("turn"))
+        asks = written(gain.withColumn("pair", pair), "asks")
+        asked, held = np.zeros((shards, shards), np.int64), np.zeros(shards, np.int64)
+        counts = asks.groupBy("shard", "target").agg(F.count_if("turn").alias("n")).collect()  # at most one a pair of shards
+        if not counts:
+            break
+        for r in counts:
+            asked[r["shard"], r["target"]] = r["n"]
+        for r in labels.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect():
+            held[r["shard"]] = r["n"]
+        granted = grants(asked, quota - held)
+        done, idle = done + 1, 0 if granted.any() else idle + 1
+        if not granted.any():
+            continue
+        limits = rows.sparkSession.createDataFrame([(int(i), int(n), bool(n == m)) for i, (n, m) in enumerate(zip(granted.ravel(), asked.ravel(), strict=True)) if n], "pair int, limit long, whole boolean")
+        some = asks.filter("turn").join(F.broadcast(limits), "pair")
+        part = ranked(some.filter("not whole"), "pair", [-F.least("gain", F.lit(8))], "row", 8).filter("rank < limit")
+        moves = some.filter("whole").select("row", "target").unionByName(part.select("row", "target"))
+        labels = written(labels.join(moves, "row", "left").select("row", F.coalesce("target", "shard").cast("int").alias("shard"), "degree"), "shards")
+    free = rows.select("row").join(labels, "row", "left_anti").select("row", F.pmod(_hash("row"), F.lit(shards)).cast("int").alias("shard"))
+    return written(labels.select("row", "shard").unionByName(free), "shards")
+
+
+def cut_links(links: DataFrame, placed: DataFrame) -> tuple[int, int]:
+    """How many links, each counted once, join rows of different shards, and how many links there are."""
+    at = placed.select("row", "shard")
+    both = links.filter("src < dst").join(at.withColumnsRenamed({"row": "src", "shard": "_src"}), "src").join(at.withColumnsRenamed({"row": "dst", "shard": "_dst"}), "dst")
+    found = both.agg(F.count_if(F.col("_src") != F.col("_dst")).alias("cut"), F.count(F.lit(1)).alias("n")).first()
+    return found["cut"], found["n"]
 
 
 def even(labels: DataFrame, linked: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -96,14 +163,19 @@ def even(labels: DataFrame, linked: DataFrame, shards: int = SHARDS) -> DataFram
     return placed.select("row", F.when(stays, F.col("shard")).otherwise(shard).cast("int").alias("shard"), F.when(stays, F.col("rank")).otherwise(slot).cast("long").alias("slot"))
 
 
-def shard(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) for every row of df."""
+def named(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, size, text_crc32, text_key, row): repeated ids are told apart by their number among equals, so every row
+    has a name of its own."""
     rows = narrow(df, id_col, text_col).select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.sha2("text", 256).alias("text_key")
     )
-    # Repeated ids are told apart by their number among equals, so every row has a name of its own.
     same = Window.partitionBy("doc_id").orderBy("text_key")
-    rows = written(rows.withColumn("row", F.concat_ws("#", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.row_number().over(same).cast("string"))), "documents")
+    return written(rows.withColumn("row", F.concat_ws("#", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.row_number().over(same).cast("string"))), "documents")
+
+
+def shard(df: DataFrame, shards: int = SHARDS, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) for every row of df."""
+    rows = named(df, id_col, text_col)
     links = written(links_of_equal_texts(rows), "links")
     placed = even(propagate(rows, links, shards, rounds), links.select(F.col("src").alias("row")), shards)
     return rows.join(placed, "row").select("doc_id", "size", "text_crc32", "shard", "slot")

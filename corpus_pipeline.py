@@ -26,8 +26,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id."""
-    stays = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_stays")).distinct()
+    """One document of each group of near duplicates, linked at a similarity of 0.8 or more: that with the smallest id."""
+    stays = near_dedup.near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_stays")).distinct()
     return docs.join(stays, docs["doc_id"].eqNullSafe(F.col("_stays")), "left_semi")
 
 

@@ -1,8 +1,8 @@
 """MinHash near-deduplication with bottom-k sketches.
 
 One hash function orders all shingles; a document's sketch is its k smallest values. Two documents that are alike
-share most of the k smallest values of their union, so at least SHARED of them are in both sketches: among any
-k - SHARED + 1 retained values of a document at least one is shared. The inverted lists are therefore made from each
+share most of the k smallest values of their union, so at least `shared` of them are in both sketches: among any
+k - shared + 1 retained values of a document at least one is shared. The inverted lists are therefore made from each
 document's rarest retained values only, which keeps passages that many documents share out of the lists unless a
 document consists mostly of them. Candidates come from the lists in steps, so that no long list is expanded into all
 its pairs: first every member meets the list's leaders of about its size, the documents with the most common values;
@@ -11,8 +11,9 @@ rarest (1 - similarity) of each document's whole set: a document with more shing
 and copies of a common origin have been joined by their leaders, so these lists hold what is left. Union-sketch
 estimates filter the candidates and exact Jaccard similarity on full shingle sets decides.
 
-With k = 64, 36 shared values and a similarity of 0.85 or more, a pair shares too few values with a probability under
-1e-8, and its estimate is too low with one under 1e-6; sets of up to k shingles are handled exactly.
+The least number of shared values and the least estimate follow from the similarity and k (`bounds`): a pair that is
+similar enough shares too few values with a probability under 1e-8, and its estimate is too low with one under 2e-7;
+sets of up to k shingles are handled exactly.
 
 Rows: words are runs of characters other than ASCII white space, A-Z lower-cased. A document with fewer than five
 words has its word sequence as its one shingle; a null or empty text has none and is linked with nothing. Equal sets
@@ -23,6 +24,7 @@ has no name to be linked by and stands alone. An empty table gives an empty tabl
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from isohyet.llm.common import SubstringHash, batch_size, narrow, slices, written
 from isohyet.llm.components import connected
 
-WORDS, PERCENT = 5, 85
-K, SHARED, ESTIMATE = 64, 36, 0.58
+WORDS, PERCENT, K = 5, 80, 64
+FEW_SHARED, LOW_ESTIMATE = 1e-8, 2e-7  # probabilities that a pair of just the similarity is missed
 SHORT_LIST = 32  # documents of a list that meet each other directly
 MOST_BROADCAST = 1_000_000  # ids that are sent to all tasks at most; beyond that, a shuffle does it
 _SPACE = np.zeros(256, bool)
@@ -42,6 +44,15 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
+def bounds(percent: int, k: int = K) -> tuple[int, int]:
+    """The least number of the k smallest values of a union that a pair shares, for the lists and for the estimate."""
+    p, below, found = percent / 100, 0.0, [0, 0]
+    for n in range(k):
+        below += math.comb(k, n) * p**n * (1 - p) ** (k - n)
+        found = [n + 1 if below <= most else least for most, least in zip((FEW_SHARED, LOW_ESTIMATE), found, strict=True)]
+    return max(1, found[0]), max(1, found[1])
+
+
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """Of each text the sorted distinct 64-bit hashes of its shingles."""
     raw = _LOWER[np.frombuffer("".join(f"{t}\n" for t in texts).encode(), np.uint8)]
@@ -114,10 +125,10 @@ def rarest(posted: DataFrame, held: Column, must: Column) -> DataFrame:
     return chosen.select(F.col("x.value").alias("value"), F.col("x.df").alias("df"), "doc_id", "n", "common", (F.col("alone") + F.col("i")).alias("pos"))
 
 
-def inverted_lists(reps: DataFrame, k: int = K, shared: int = SHARED, percent: int = PERCENT) -> DataFrame:
+def inverted_lists(reps: DataFrame, k: int = K, shared: int | None = None, percent: int = PERCENT) -> DataFrame:
     """Lists of retained values. Up to the size that no larger partner can have, a sketch holds the whole set."""
     whole = F.col("n") * 100 < F.lit(k * percent)
-    return rarest(postings(reps), F.least("n", F.lit(k)), F.when(whole, _overlap(percent)).otherwise(F.lit(shared)))
+    return rarest(postings(reps), F.least("n", F.lit(k)), F.when(whole, _overlap(percent)).otherwise(F.lit(shared or bounds(percent, k)[0])))
 
 
 def _overlap(percent: int) -> Column:
@@ -193,14 +204,15 @@ def union_estimate(x: bytes, y: bytes, k: int = K) -> float:
     return float((same & (rank[1:] <= within)).sum()) / within
 
 
-def likely(pairs: DataFrame, reps: DataFrame, k: int = K, estimate: float = ESTIMATE) -> DataFrame:
+def likely(pairs: DataFrame, reps: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """The pairs whose union-sketch estimate is high enough."""
     sketches = reps.select("doc_id", "sketch")
+    least = bounds(percent, k)[1] / k
     both = pairs.join(sketches.withColumnsRenamed({"doc_id": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"doc_id": "b", "sketch": "y"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [union_estimate(x, y, k) >= estimate for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True)]
+            ok = [union_estimate(x, y, k) >= least for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -230,7 +242,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: in
     return both.mapInArrow(test, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K, shared: int = SHARED, short_list: int = SHORT_LIST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K, shared: int | None = None, short_list: int = SHORT_LIST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of df."""
     docs = narrow(df, id_col, text_col)
     known = written(features(docs, words, k), "features")
@@ -242,7 +254,7 @@ def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k
     lists = written(inverted_lists(reps, k, shared, percent), "lists")
 
     def links(pairs: DataFrame) -> DataFrame:
-        return written(confirmed(written(likely(pairs, reps, k), "pairs"), docs, words, percent), "links")
+        return written(confirmed(written(likely(pairs, reps, k, percent), "pairs"), docs, words, percent), "links")
 
     first = links(leader_pairs(lists, percent))
     grouped = connected(first)

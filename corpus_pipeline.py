@@ -32,9 +32,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated passages; a document of which nothing is left goes. A character that a cut leaves
+    """Texts without their repeated passages, of more than 50 words or of 400 bytes; a document of which nothing is left goes. A character that a cut leaves
     in part is dropped with the replacement characters of that text, and n_chars is counted anew where a text has changed."""
-    found = suffix_dedup.remove_repeats(docs, carry=docs.columns)
+    found = suffix_dedup.remove_repeats(docs, carry=docs.columns, words=51)
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("rest.text"))
     columns = {"text": text, "n_chars": F.when(changed, F.char_length(text).cast("long")).otherwise(F.col("rest.n_chars"))}

@@ -117,13 +117,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class SubstringHash:
-    """64-bit hashes of substrings of one byte array: equal strings, equal hashes, wherever they start."""
+    """64-bit hashes of substrings of one array of bytes, or of 64-bit values: equal strings, equal hashes, wherever they
+    start."""
 
     def __init__(self, raw: np.ndarray):
+        values = _BYTES[raw] if raw.dtype == np.uint8 else raw
         with np.errstate(over="ignore"):
             self.up, self.down = _power_table(len(raw) + 1)
             self.sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(_BYTES[raw] * self.up[: len(raw)], out=self.sums[1:])
+            np.cumsum(values * self.up[: len(raw)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

@@ -16,6 +16,10 @@ are compared, across the boundaries of buckets too. Position and id end the key,
 spread over buckets, and comparing with neighbours needs no group in one task. A token in common on the second place
 settles an entry with all its windows; one of each such kind still meets the unsettled ones at the next grain.
 
+Where asked for, the same is done with words instead of bytes: what a window of so many words covers, with the white
+space after each, is removed if these words also stand in a row anywhere else, whatever the white space between them.
+Words are runs of characters other than ASCII white space, in the case that they have.
+
 Two different stretches have the same token with a probability of about 2**-64.
 
 Rows: a null or empty text has no bytes, and one shorter than the width loses nothing. Rows are told apart by id and
@@ -37,10 +41,31 @@ from pyspark.sql import types as T
 from isohyet.llm.common import SubstringHash, batch_size, byte_view, slices, written
 
 WIDTH, CONTEXT, BAND = 400, 100, 16
+WORD_CONTEXT, WORD_BAND = 13, 8  # at most, for windows of words
 BUCKET_ROWS = 200_000
 MOST_BROADCAST = 1_000_000  # row names that are sent to all tasks at most; beyond that, a shuffle does it
 ENTRY = "d long, m long, lo int, hi int, p int, t1 long, t2 long"
 NAMES = [c.split()[0] for c in ENTRY.split(", ")]
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
+def word_ends(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the texts in a byte array begin and end."""
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    word = ~_SPACE[raw]
+    return np.flatnonzero(word & (edge[:-1] | np.append(True, ~word[:-1]))), np.flatnonzero(word & (edge[1:] | np.append(~word[1:], True))) + 1
+
+
+def _units(column: pa.Array, by_word: bool) -> tuple[SubstringHash, np.ndarray]:
+    """Hashes over the bytes or the words of a string column, and the n + 1 offsets of its rows."""
+    raw, offsets = byte_view(column)
+    hashed = SubstringHash(raw)
+    if not by_word:
+        return hashed, offsets
+    begin, end = word_ends(raw, offsets)
+    return SubstringHash(hashed.of(begin, end)), np.searchsorted(begin, offsets)
 
 
 def _named(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
@@ -71,21 +96,21 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def entries(df: DataFrame, width: int = WIDTH, context: int = CONTEXT) -> DataFrame:
+def entries(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, by_word: bool = False) -> DataFrame:
     """Suffix entries of all windows: starts lo to hi, chosen position p, tokens t1 and t2. df has (d, m, text)."""
     reach = width - context + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1 << 20):
-            raw, offsets = byte_view(b["text"])
-            if len(raw) < width:
+            hashed, offsets = _units(b["text"], by_word)
+            length = int(offsets[-1])
+            if length < width:
                 continue
-            hashed = SubstringHash(raw)
-            order = (hashed.sliding(context) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(raw) - context + 1, dtype=np.uint64)
+            order = (hashed.sliding(context) & np.uint64(0xFFFFFFFF00000000)) | np.arange(length - context + 1, dtype=np.uint64)
             chosen = (smallest_in_windows(order, reach) & np.uint64(0xFFFFFFFF)).astype(np.int64)
             del order
             sizes = np.diff(offsets)
-            inside = np.zeros(len(raw) + 1, np.int8)  # of a document, as the start of a window
+            inside = np.zeros(length + 1, np.int8)  # of a document, as the start of a window
             held = sizes >= width
             np.add.at(inside, offsets[:-1][held], 1)
             np.add.at(inside, offsets[1:][held] - width + 1, -1)
@@ -185,12 +210,12 @@ def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.select("d", "m", "text").join(few, ["d", "m"], "left_semi").join(lists, ["d", "m"])
 
 
-def _cut(df: DataFrame, cut) -> DataFrame:
+def _cut(df: DataFrame, cut, by_word: bool = False) -> DataFrame:
     """Entries made from the parts of each document: cut(hashes, lo, hi, p, base) gives part number and columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1 << 20):
-            raw, offsets = byte_view(b["text"])
+            hashed, offsets = _units(b["text"], by_word)
             parts = b["parts"]
             sizes = np.diff(parts.offsets.to_numpy())
             flat = parts.flatten()
@@ -198,7 +223,7 @@ def _cut(df: DataFrame, cut) -> DataFrame:
             base = offsets[doc]
             lo, hi, p = (flat.field(n).to_numpy().astype(np.int64) + base for n in ("lo", "hi", "p"))
             d, m = (b[x].to_numpy(zero_copy_only=False)[doc] for x in ("d", "m"))
-            i, low, high, at, t1, t2 = cut(SubstringHash(raw), lo, hi, p)
+            i, low, high, at, t1, t2 = cut(hashed, lo, hi, p)
             yield _batch(NAMES, d[i], m[i], *((x - base[i]).astype(np.int32) for x in (low, high, at)), _signed(t1), _signed(t2))
 
     batch_size(df.sparkSession)
@@ -211,7 +236,7 @@ def _counted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def spans(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, band: int = BAND, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def spans(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, band: int = BAND, bucket_rows: int = BUCKET_ROWS, by_word: bool = False) -> DataFrame:
     """(d, m, lo, hi): window starts, first to last, whose windows occur elsewhere. df has (d, m, text)."""
 
     def bands(hashed: SubstringHash, lo: np.ndarray, hi: np.ndarray, p: np.ndarray):
@@ -231,22 +256,26 @@ def spans(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, band: int =
         token = hashed.of(start, start + width)
         return i, start, start, p[i], token, token
 
-    found = written(repeated(written(entries(df, width, context), "entries"), bucket_rows), "grain1")
+    found = written(repeated(written(entries(df, width, context, by_word), "entries"), bucket_rows), "grain1")
     done = [found.filter("whole")]
     for n, cut in ((2, bands), (3, windows)):
-        open_ = written(_cut(_with_text(df, written(found.filter("not whole or shown"), "open")), cut), "entries")
+        open_ = written(_cut(_with_text(df, written(found.filter("not whole or shown"), "open")), cut, by_word), "entries")
         found = written(repeated(open_, bucket_rows), f"grain{n}")
         done.append(found.filter("whole"))
     return done[0].unionByName(done[1]).unionByName(done[2]).select("d", "m", "lo", "hi")
 
 
-def remove_repeats(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, band: int = BAND, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, band: int = BAND, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: int = 0) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept BINARY, rest STRUCT) for every row of df.
 
-    `kept` holds the remaining bytes; a cut may fall inside a character. `rest` holds the columns named in carry."""
+    With `words`, repeated windows of so many words are removed beside those of `width` bytes. `kept` holds the remaining bytes; a cut may fall inside a character. `rest` holds the columns named in carry."""
     docs = _named(df, id_col, text_col, carry or [])
-    found = written(spans(docs, width, context, band, bucket_rows), "spans")
-    lists = found.groupBy("d", "m").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
+    found = spans(docs, width, context, band, bucket_rows).withColumn("by_word", F.lit(False))
+    if words:
+        in_words = spans(docs, words, min(WORD_CONTEXT, -(-words // 4)), min(WORD_BAND, -(-words // 4)), bucket_rows, by_word=True)
+        found = found.unionByName(in_words.withColumn("by_word", F.lit(True)))
+    found = written(found, "spans")
+    lists = found.groupBy("d", "m").agg(F.collect_list(F.struct("lo", "hi", "by_word")).alias("parts"))
     names = found.select("d", "m").distinct()
     few = F.broadcast(names) if names.count() <= MOST_BROADCAST else names
 
@@ -259,13 +288,19 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, ba
             ends = parts.offsets.to_numpy() - parts.offsets[0].as_py()
             flat = parts.flatten()
             lo, hi = (flat.field(n).to_numpy().astype(np.int64) for n in ("lo", "hi"))
+            by_word = flat.field("by_word").to_numpy(zero_copy_only=False).astype(bool)
             removed, runs, kept = [], [], []
             for i in range(b.num_rows):
                 text = raw[offsets[i] : offsets[i + 1]]
                 cover = np.zeros(len(text) + 1, np.int64)
                 own = slice(ends[i], ends[i + 1])
-                np.add.at(cover, lo[own], 1)
-                np.add.at(cover, hi[own] + width, -1)
+                low, end, w = lo[own].copy(), hi[own] + width, by_word[own]
+                if w.any():
+                    begin = np.append(word_ends(text, np.array([0, len(text)]))[0], len(text))
+                    begin[0] = 0  # white space before the first word goes with it
+                    low[w], end[w] = begin[lo[own][w]], begin[hi[own][w] + words]
+                np.add.at(cover, low, 1)
+                np.add.at(cover, end, -1)
                 gone = np.cumsum(cover[:-1]) > 0
                 removed.append(int(gone.sum()))
                 runs.append(int((gone & ~np.append(False, gone[:-1])).sum()))

@@ -121,11 +121,10 @@ class SubstringHash:
     start."""
 
     def __init__(self, raw: np.ndarray):
-        values = _BYTES[raw] if raw.dtype == np.uint8 else raw
         with np.errstate(over="ignore"):
             self.up, self.down = _power_table(len(raw) + 1)
             self.sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(values * self.up[: len(raw)], out=self.sums[1:])
+            np.cumsum((_BYTES[raw] if raw.dtype == np.uint8 else raw) * self.up[: len(raw)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

@@ -2,7 +2,8 @@
 
 A single space between two other characters always starts a new pre-token, so texts are cut there and the ids of
 each stretch are remembered. Texts with white space on both sides of a space are encoded whole. Stretches are
-encoded by tiktoken, whose ranks are read from the tokenizers file; special tokens in a text keep their own ids.
+encoded by tiktoken, whose ranks are read from the tokenizers file; special tokens in a text keep their own ids. A file
+that asks for anything else - a normaliser, another cut into pre-tokens, another order of merges - is refused.
 """
 
 from __future__ import annotations
@@ -28,6 +29,18 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def check_spec(spec: dict) -> None:
+    """Refuse a tokenizers file whose ids would not be those that are made here."""
+    cut, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback") if model.get(k)]
+    if spec["normalizer"] or not plain or model["type"] != "BPE" or odd:
+        raise ValueError("only byte-level BPE without a normaliser and with the usual pre-tokens is encoded here")
+    made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if any(a >= b for a, b in zip(made, made[1:], strict=False)):
+        raise ValueError("the merges are not in the order of their ids")
+
+
 class ByteBpe(dict):
     """A memo of stretch -> little-endian 32-bit ids, with the encoder behind it."""
 
@@ -37,6 +50,7 @@ class ByteBpe(dict):
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_spec(spec)
         byte_of = _byte_of()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in self.special}

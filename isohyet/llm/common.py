@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,13 @@ def narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set."""
+    """The folder that all executors share. Where none is set, a local session gets one of its own; on a cluster that is
+    an error, as every executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = LOCAL_CHECKPOINTS
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -47,16 +52,39 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return _made[-1]
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete the intermediate tables of this application, once no result needs them; returns how many there were."""
-    for path in _made:
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application, once no result needs them; returns how many there were."""
+    _delete(spark, _made)
     n = len(_made)
     _made.clear()
     return n
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that are written inside are deleted at the end, but those written by the function that this gives."""
+    first, kept = len(_made), set()
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        out = written(df, what)
+        kept.add(_made[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        own = _made[first:]
+        del _made[first:]
+        _made.extend(p for p in own if p in kept)
+        _delete(spark, [p for p in own if p not in kept])
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it again."""
     path = new_folder(df.sparkSession, what)
@@ -64,6 +92,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """A column name that none of those taken has, whatever their case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Cut record batches into pieces of about most_bytes; a longer row stands alone."""
     for batch in batches:

@@ -2,11 +2,12 @@
 
 Texts are equal when identical after lower-casing A-Z. Rows are combined in three steps, each on (digest, full
 normalised text): within a task by partial aggregation, then per digest and salt, then over the salts. The winners are
-handed back to the rows by digest; where a digest has more than one text, by digest and text.
+handed back to the rows by digest and salt; where a digest has more than one text, by digest and text.
 
 Rows: a null text counts as empty, and all empty texts are one group. The row with the largest doc_id stays; a null
-doc_id is smaller than any other. Repeated rows - equal text and id - each give a row; all of them that carry the
-winning id are marked as kept. An empty table has no rows. Extra columns are left out.
+doc_id is smaller than any other. Repeated rows - equal text and id - each give a row; `deduplicate` marks all of them
+that carry the winning id as kept, and `kept_rows` hands on one of them: that whose columns come first as JSON text. An
+empty table has no rows. `deduplicate` leaves extra columns out, `kept_rows` hands them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import narrow, written
+from isohyet.llm.common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 16
@@ -29,44 +30,56 @@ def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _salt(salts: int) -> Column:
+    """Rows of one id are spread too, by the task that reads them."""
+    return F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(salts))
+
+
+def _rows(df: DataFrame, digest_of, salts: int, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, norm, rest, digest, salt); rest holds the columns to carry, so that no name of theirs can clash."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rest = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest")] if carry else []
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text).alias("norm"), *rest)
+    return rows.withColumn("digest", digest_of(F.col("norm"))).withColumn("salt", _salt(salts))
+
+
 def groups(df: DataFrame, salts: int = SALTS, digest_of=digest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(digest, norm, keep_id, group_size) of every group of equal texts."""
-    rows = _rows(df, digest_of, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    salted = rows.groupBy("digest", "salt", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    salted = _rows(df, digest_of, salts, id_col, text_col).groupBy("digest", "salt", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return salted.groupBy("digest", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
-def _rows(df: DataFrame, digest_of, id_col: str, text_col: str) -> DataFrame:
-    rows = narrow(df, id_col, text_col).select("doc_id", normalised(F.coalesce("text", F.lit(""))).alias("norm"))
-    return rows.withColumn("digest", digest_of(F.col("norm")))
-
-
-def deduplicate(df: DataFrame, salts: int = SALTS, digest_of=digest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, digest."""
+def _answered(df: DataFrame, salts: int, digest_of, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, keep_id, group_size, digest) of every row, with rest where columns are carried."""
     found = groups(df, salts, digest_of, id_col, text_col)
     by_digest = found.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
     # Only groups of more than one row, and digests of more than one text, are needed to answer for the rows.
-    # Only groups of more than one row, and digests of more than one text, are needed to answer for the rows.
     by_digest = written(by_digest.filter("texts > 1 or group_size > 1"), "copies")
-    rows = _rows(df, digest_of, id_col, text_col)
-    answered = rows.select("doc_id", "digest").join(by_digest, "digest", "left").filter("texts is null or texts = 1")
+    rows = _rows(df, digest_of, salts, id_col, text_col, carry)
+    own = ["rest"] if carry else []
+    salted = lambda d: d.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    plain = rows.select("doc_id", *own, "digest", "salt").join(salted(by_digest), ["digest", "salt"], "left").filter("texts is null or texts = 1")
     single = F.col("texts").isNull()
-    answered = answered.select(
-        "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(single, F.lit(1).cast("long")).otherwise(F.col("group_size")).alias("group_size"), "digest"
+    answered = plain.select(
+        "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(single, F.lit(1).cast("long")).otherwise(F.col("group_size")).alias("group_size"), "digest", *own
     )
-    if not by_digest.filter("texts > 1").isEmpty():
-        answered = answered.unionByName(_clashing(rows, found, by_digest))
-    return answered.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    clashes = by_digest.filter("texts > 1").select("digest")
+    if not clashes.isEmpty():
+        few = salted(found.join(clashes, "digest", "left_semi"))
+        answered = answered.unionByName(rows.join(few, ["digest", "salt", "norm"]).select("doc_id", "keep_id", "group_size", "digest", *own))
+    return answered
 
 
-def _clashing(rows: DataFrame, found: DataFrame, by_digest: DataFrame) -> DataFrame:
-    """Answers for the rows whose digest stands for several texts, by full text."""
-    clashes = by_digest.filter("texts > 1").select("digest")
-    few = found.join(clashes, "digest", "left_semi")
-    return rows.join(clashes, "digest", "left_semi").join(few, ["digest", "norm"]).select("doc_id", "keep_id", "group_size", "digest")
+def deduplicate(df: DataFrame, salts: int = SALTS, digest_of=digest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, digest."""
+    return _answered(df, salts, digest_of, id_col, text_col).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
-def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, with all their columns, that stay."""
-    stays = deduplicate(df, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return df.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+def kept_rows(df: DataFrame, salts: int = SALTS, digest_of=digest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, that stay: one of each group."""
+    stays = _answered(df, salts, digest_of, id_col, text_col, df.columns).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    # Only a group of several rows can hold its winning id twice.
+    norm = normalised(F.coalesce(F.col(f"rest.`{text_col}`").cast("string"), F.lit("")))
+    several = stays.filter("group_size > 1").groupBy("digest", norm.alias("norm")).agg(F.min_by("rest", F.to_json("rest")).alias("rest"))
+    one = stays.filter("group_size = 1").select("rest").unionByName(several.select("rest"))
+    return one.select(*(F.col(f"rest.`{c}`").alias(c) for c in df.columns))

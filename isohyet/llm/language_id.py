@@ -5,8 +5,10 @@ comes from one language, and expectation-maximisation estimates the proportions
 Languages are taken into a document's set in the order of their proportions as long as the likelihood, penalised for
 each further language, grows. The language of the largest proportion in that set is the answer.
 
-The model is fitted on a bounded sample: per language at most `per_language` of the given labelled rows, chosen by a
-hash of their id. Its size depends on the number of hash cells and languages only.
+The score is the proportion of that language: over all languages if it alone is taken, else over the set.
+
+The model is fitted on a bounded sample: of each language `per_language` of the given labelled rows are expected, chosen
+by a hash of their id; of fewer rows all are taken. Its size depends on the number of hash cells and languages only.
 
 Rows: a null or empty text, or one without a letter, is `und` with score 0. Equal likelihoods go to the language that
 sorts first. Rows stand alone, so repeated rows get equal answers; without labelled rows every answer is `und`; an
@@ -15,7 +17,6 @@ empty table has no answers. Extra columns are left out. Texts of any length are
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,11 +33,19 @@ PER_LANGUAGE = 4000
 ROUNDS = 8
 PENALTY = 2.0  # of a language, times the logarithm of the number of words
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes below 128 that aren't letters part words; others stand as they are.
 _FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
+def share_of(per_language: int, rows: int) -> int:
+    """Of 2**62 hash values, those that are taken from a language with so many rows."""
+    return min(1 << 62, (per_language << 62) // max(1, rows))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -67,10 +76,10 @@ def fit(df: DataFrame, label_col: str = "lang", per_language: int = PER_LANGUAGE
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((CELLS, 0), np.float32))
-    share: Column = F.lit(0)
+    share: Column = F.lit(0).cast("long")
     for name, n in sizes.items():
-        share = F.when(F.col("label") == name, F.lit(min(1 << 20, (per_language << 20) // n))).otherwise(share)
-    sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share).select("label", "text")
+        share = F.when(F.col("label") == name, F.lit(share_of(per_language, n))).otherwise(share)
+    sample = rows.filter(F.shiftrightunsigned(F.xxhash64("key"), 2) < share).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -112,10 +121,11 @@ def infer(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(words, prepend=0)
     doc, starts = np.repeat(np.arange(len(texts)), sizes), words - sizes
     single = np.add.reduceat(spread - top, starts, axis=0)
-    best, score = single.argmax(1), np.ones(len(texts))
+    best = single.argmax(1)
     value = single.max(1)
     price = PENALTY * np.log(sizes + 1.0)
     share, bound = _proportions(likely, doc, starts, np.ones((len(texts), len(model.languages)), np.float32))
+    score = share[np.arange(len(texts)), best]
     order = np.argsort(-share, axis=1, kind="stable")
     open_ = np.flatnonzero(bound - price > value)  # no set can do better than all languages do
     for k in range(2, len(model.languages) + 1):
@@ -144,7 +154,7 @@ def with_language(df: DataFrame, model: Model, text_col: str = "text", lang_out:
         for b in slices(batches, 1 << 20):
             texts = [t or "" for t in b.column(place).to_pylist()]
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if own.languages and _LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if own.languages and has_letter(t)]
             if known:
                 best, score = infer([texts[i] for i in known], own)
                 scores[known] = score

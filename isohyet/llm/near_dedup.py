@@ -17,8 +17,11 @@ sets of up to k shingles are handled exactly.
 
 Rows: words are runs of characters other than ASCII white space, A-Z lower-cased. A document with fewer than five
 words has its word sequence as its one shingle; a null or empty text has none and is linked with nothing. Equal sets
-are one class with one representative. Repeated rows are alike and fall into one component; a row with a null doc_id
-has no name to be linked by and stands alone. An empty table gives an empty table. Extra columns are left out.
+are one class with one representative. Where doc_ids repeat or are null, every row gets a number of its own, so rows
+are told apart by themselves: each has its own links, component_id is the smallest doc_id of the component (null if it
+has none), and one row of a component is kept - that with the smallest doc_id, then the smallest hash of its text, then
+number. An empty table gives an empty table. `near_duplicates` leaves extra columns out, `kept_rows` hands them on,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,16 +32,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import SubstringHash, batch_size, narrow, slices, written
+from isohyet.llm.common import SubstringHash, batch_size, narrow, scratch, slices, written
 from isohyet.llm.components import connected
 
 WORDS, PERCENT, K = 5, 80, 64
 FEW_SHARED, LOW_ESTIMATE = 1e-8, 2e-7  # probabilities that a pair of just the similarity is missed
 SHORT_LIST = 32  # documents of a list that meet each other directly
-MOST_BROADCAST = 1_000_000  # ids that are sent to all tasks at most; beyond that, a shuffle does it
+MOST_BROADCAST = 250_000  # ids that are sent to all tasks at most; beyond that, a shuffle does it
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -117,7 +120,8 @@ def rarest(posted: DataFrame, held: Column, must: Column) -> DataFrame:
     posted has (value, doc_id, n). Of `held` values at least `must` are shared by a pair, so held - must + 1 are looked
     up. `common` is the mean logarithm of the document frequencies: high for what others are copies of. `pos` is the
     value's place among the document's values, rarest first."""
-    often = posted.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # Tables that a hot value meets are written first: Spark can split a join of what it only reads.
+    often = written(posted.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "often")
     per_doc = posted.join(often, "value").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("seen"), F.sum(F.log("df")).alias("common"))
     take = held - must + 1 - (held - F.size("seen"))
     alone = held - F.size("seen")  # values of no other document come first
@@ -165,7 +169,7 @@ def leader_pairs(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
     ratio = float(np.log(100.0 / percent))
     classed = lists.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int"))
     heads = classed.groupBy("value", "size_class").agg(F.max(F.struct("common", (-F.col("doc_id")).alias("minus"), "n")).alias("head"))
-    heads = heads.select("value", F.explode(F.array(*(F.col("size_class") + d for d in (-1, 0, 1)))).alias("size_class"), (-F.col("head.minus")).alias("lead"), F.col("head.n").alias("lead_n"))
+    heads = written(heads.select("value", F.explode(F.array(*(F.col("size_class") + d for d in (-1, 0, 1)))).alias("size_class"), (-F.col("head.minus")).alias("lead"), F.col("head.n").alias("lead_n")), "heads")
     met = classed.join(heads, ["value", "size_class"]).filter((F.col("doc_id") != F.col("lead")) & _alike("n", "lead_n", percent))
     return met.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
 
@@ -173,7 +177,7 @@ def leader_pairs(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
 def open_lists(lists: DataFrame, components: DataFrame) -> DataFrame:
     """Lists with their members' components, as far as members of several components meet there."""
     named = lists.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = named.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value")
+    several = written(named.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value"), "several")
     return written(named.join(several, "value", "left_semi"), "open")
 
 
@@ -219,7 +223,8 @@ def likely(pairs: DataFrame, reps: DataFrame, k: int = K, percent: int = PERCENT
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; pairs must be a written table, docs (doc_id, text)."""
+    """The pairs (a, b) whose full shingle sets are similar enough; pairs must be a written table, docs (doc_id, text) with
+    unique ids."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,36 +242,65 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: in
 
     batch_size(docs.sparkSession)
     full = _of(docs, ids).mapInArrow(sets, "doc_id long, shingles binary")
-    full = written(full, "sets").dropDuplicates(["doc_id"])
+    full = written(full, "sets")
     both = pairs.join(full.withColumnsRenamed({"doc_id": "a", "shingles": "x"}), "a").join(full.withColumnsRenamed({"doc_id": "b", "shingles": "y"}), "b")
     return both.mapInArrow(test, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K, shared: int | None = None, short_list: int = SHORT_LIST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of df."""
+def _linked(docs: DataFrame, known: DataFrame, words: int, percent: int, k: int, shared: int | None, short_list: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of documents with unique ids and their written features."""
+    with scratch(docs.sparkSession) as keep:
+        named = known.filter("n > 0")
+        classes = keep(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
+        reps = written(named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "reps")
+        lists = written(inverted_lists(reps, k, shared, percent), "lists")
+
+        def links(pairs: DataFrame) -> DataFrame:
+            with scratch(docs.sparkSession) as keep_links:
+                return keep_links(confirmed(written(likely(pairs, reps, k, percent), "pairs"), docs, words, percent), "links")
+
+        first = links(leader_pairs(lists, percent))
+        grouped = connected(first)
+        opened = open_lists(lists, grouped)
+        short = links(cross_pairs(opened.filter(F.col("df") <= short_list), percent))
+        crowded = opened.filter(F.col("df") > short_list).select("doc_id").distinct()
+        exact = written(exact_lists(docs, crowded, words, percent), "lists")
+        led = links(leader_pairs(exact, percent))
+        found = first.unionByName(short).unionByName(led)
+        rest = links(cross_pairs(open_lists(exact, connected(found)), percent, whole=True))
+        linked = keep(connected(found.unionByName(rest)), "linked")
+    member = known.join(classes, "set_key", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
+    return member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def _answered(df: DataFrame, words: int, percent: int, k: int, shared: int | None, short_list: int, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame | None, DataFrame]:
+    """(doc_id, n_shingles, component_id, kept, row) for every row; and, where ids don't name rows, the numbered rows."""
     docs = narrow(df, id_col, text_col)
     known = written(features(docs, words, k), "features")
-    named = known.filter("doc_id is not null and n > 0")
-    classes = written(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("set_key")
-    reps = reps.withColumn("_i", F.row_number().over(one)).filter("_i = 1").drop("_i") if known.count() != known.select("doc_id").distinct().count() else reps
-    lists = written(inverted_lists(reps, k, shared, percent), "lists")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        return written(confirmed(written(likely(pairs, reps, k, percent), "pairs"), docs, words, percent), "links")
-
-    first = links(leader_pairs(lists, percent))
-    grouped = connected(first)
-    opened = open_lists(lists, grouped)
-    short = links(cross_pairs(opened.filter(F.col("df") <= short_list), percent))
-    crowded = opened.filter(F.col("df") > short_list).select("doc_id").distinct()
-    exact = written(exact_lists(docs, crowded, words, percent), "lists")
-    led = links(leader_pairs(exact, percent))
-    found = first.unionByName(short).unionByName(led)
-    rest = links(cross_pairs(open_lists(exact, connected(found)), percent, whole=True))
-    linked = connected(found.unionByName(rest))
+    n = known.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if n["rows"] == n["ids"]:
+        found = _linked(docs, known, words, percent, k, shared, short_list)
+        return None, found.withColumns({"kept": F.col("doc_id") == F.col("component_id"), "row": F.col("doc_id")})
+    rest = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest")] if carry else []
+    text = F.col(text_col).cast("string")
+    rows = written(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"), *rest), "rows")
+    numbered = rows.select(F.col("row").alias("doc_id"), "text")
+    found = _linked(numbered, written(features(numbered, words, k), "features"), words, percent, k, shared, short_list)
+    named = rows.select("row", "doc_id", "mark").join(found.withColumnRenamed("doc_id", "row"), "row")
+    first = written(named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "row")).alias("first")), "first")
+    answers = named.join(first, "component_id").select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"), "row")
+    return rows, answers
 
-    member = known.join(classes, "set_key", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    own = F.coalesce("component", "rep", "doc_id")
-    return member.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K, shared: int | None = None, short_list: int = SHORT_LIST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of df."""
+    return _answered(df, words, percent, k, shared, short_list, id_col, text_col, [])[1].drop("row")
+
+
+def kept_rows(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K, shared: int | None = None, short_list: int = SHORT_LIST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, of which one a component stays."""
+    rows, answers = _answered(df, words, percent, k, shared, short_list, id_col, text_col, df.columns)
+    stays = answers.filter("kept").select("row")
+    if rows is None:
+        return df.join(stays, df[id_col].cast("long") == stays["row"], "left_semi")
+    return rows.join(stays, "row", "left_semi").select(*(F.col(f"rest.`{c}`").alias(c) for c in df.columns))

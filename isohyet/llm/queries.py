@@ -38,7 +38,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = rf"""
 with pages_ as (
-  select page_id, lower(regexp_extract(url, '{line_dedup.HOST_PATTERN}', 1)) as host,
+  select page_id, coalesce(cast(page_id as varchar), 'row ' || row_number() over ()) as page, lower(regexp_extract(url, '{line_dedup.HOST_PATTERN}', 1)) as host,
     string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
       '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', chr(10), 'g'),
       '(?i)</?(?:{line_dedup.BLOCKS})(?:[ 	
@@ -49,9 +49,9 @@ with pages_ as (
 [ 	
 ]*', chr(10), 'g'), ' ' || chr(9) || chr(13) || chr(10)), chr(10)) as lines
   from pages),
-line_ as (select page_id, host, unnest(lines) as line from pages_),
-often as (select host, line, count(distinct page_id) as n from line_ where line <> '' group by host, line having count(distinct page_id) >= {line_dedup.LEAST_PAGES}),
-totals as (select host, count(*) as pages from pages_ group by host),
+line_ as (select page, host, unnest(lines) as line from pages_),
+often as (select host, line, count(distinct page) as n from line_ where line <> '' group by host, line having count(distinct page) >= {line_dedup.LEAST_PAGES}),
+totals as (select host, count(distinct page) as pages from pages_ group by host),
 common as (select host, list(line) as common from often join totals using (host) where n > {line_dedup.RATIO} * pages group by host),
 kept as (select page_id, host, len(lines) as n_lines, case when common is null then lines else list_filter(lines, lambda x: not list_contains(common, x)) end as kept
   from pages_ left join common using (host))
@@ -122,7 +122,7 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

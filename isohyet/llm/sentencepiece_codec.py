@@ -2,7 +2,8 @@
 
 For every prefix of a word the table stores the one token that ends the prefix's encoding. An automaton over
 all pieces lists the tokens that end at a position; the last of them is the one whose neighbour - the token
-stored for the shorter prefix - would not have merged across the seam. The ids are then read off backwards.
+stored for the shorter prefix - would not have merged across the seam. The ids are then read off backwards. A model with
+a normaliser or with pieces that a user has defined is refused.
 
 Rows: a null text counts as empty and has no ids. Each row stands alone, so ties, repeated rows and repeated ids
 change nothing; an empty table gives an empty table. Extra columns are left out.
@@ -25,6 +26,7 @@ SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 MEMO_WORDS = 500_000  # words that a worker remembers at once; a bound on memory only
 NEVER = float("inf")
+_PROBE = "\ufb01 \uff21  x "  # what normalisers change: a ligature, a wide letter, spaces in a row and at the end
 
 
 class PrefixTableCodec:
@@ -35,8 +37,12 @@ class PrefixTableCodec:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
+        if model.normalize(_PROBE) != SPACE + _PROBE.replace(" ", SPACE):
+            raise ValueError("only models that leave texts as they are, but for a space before them, are encoded here")
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         ordinary = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+        if sum(model.get_score(i) == 0 for i in ordinary) > 1:
+            raise ValueError("models with pieces that a user has defined are not encoded here")
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.ids = {self.pieces[i]: i for i in ordinary}
         self.rank = {self.pieces[i]: -model.get_score(i) for i in ordinary}

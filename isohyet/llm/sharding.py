@@ -7,10 +7,11 @@ longer rings of shards - and into what unlinked rows hold, as these go wherever
 rows only one moves in a round, so every move leaves fewer links cut; rounds end when none can be granted. At last
 unlinked rows are spread so that counts are at most one apart. `cut_links` counts what stays cut.
 
-Ranks within a shard come from counts of hash slices and a rank within a slice, so no shard's rows meet in one task.
+Ranks within a shard come from counts of hash slices and a rank within a slice, so no shard's rows meet in one task. A
+hub with many links has its label copied over salts, and its links are dealt over them.
 
 Rows: a null text has no bytes and is linked with nothing; empty texts are equal to each other. Repeated rows are
-sharded one by one. Ties between shards go to the smaller number, ties between rows to a hash, then the smaller id.
+sharded one by one; rows are named by doc_id where it names them, else by a number. Ties between shards go to the smaller number, ties between rows to a hash, then the smaller id.
 Fewer rows than shards leave shards empty; an empty table gives an empty table. Extra columns are left out.
 """
 
@@ -23,16 +24,27 @@ from pyspark.sql import functions as F
 from isohyet.llm.common import narrow, written
 
 SHARDS, SLICES = 24, 64
+HEAVY, SALTS = 10_000, 64  # links of a row from which on its label is copied, and how often
 
 
 def _hash(*columns: Column | str, salt: int = 0) -> Column:
     return F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in columns], F.lit(salt))
 
 
-def links_of_equal_texts(rows: DataFrame) -> DataFrame:
+def _salts(heavy: Column, salts: int = SALTS) -> Column:
+    """One row, or one for each salt."""
+    return F.explode(F.sequence(F.lit(0), F.when(heavy, F.lit(salts - 1)).otherwise(F.lit(0)))).alias("salt")
+
+
+def _salt(key: str, heavy: Column, salts: int = SALTS) -> Column:
+    return F.when(heavy, F.pmod(_hash(key, salt=3), F.lit(salts))).otherwise(F.lit(0)).cast("int").alias("salt")
+
+
+def links_of_equal_texts(rows: DataFrame, salts: int = SALTS) -> DataFrame:
     """(src, dst) in both directions between each row and the hub of its group, for rows (row, text_key)."""
     hubs = rows.filter("text_key is not null").groupBy("text_key").agg(F.min("row").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = rows.join(hubs, "text_key").filter("row <> hub").select("row", "hub")
+    hubs = hubs.select("text_key", "hub", _salts(F.lit(True), salts))
+    pairs = rows.withColumn("salt", _salt("row", F.lit(True), salts)).join(hubs, ["text_key", "salt"]).filter("row <> hub").select("row", "hub")
     return pairs.select(F.col("row").alias("src"), F.col("hub").alias("dst")).unionByName(pairs.select(F.col("hub").alias("src"), F.col("row").alias("dst")))
 
 
@@ -83,7 +95,7 @@ def grants(asks: np.ndarray, room: np.ndarray) -> np.ndarray:
     return asks - left
 
 
-def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
+def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int | None = None, heavy: int = HEAVY) -> DataFrame:
     """(row, shard) for all rows, after the given rounds or when no ask can be granted; links are (src, dst) in both
     directions. No shard has more linked rows than its even size."""
     quota = rows.count() // shards
@@ -91,11 +103,14 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: i
     dealt = ranked(degrees.withColumn("_all", F.lit(0)), "_all", [], "row", shards * SLICES)
     labels = written(dealt.select("row", F.pmod("rank", F.lit(shards)).cast("int").alias("shard"), "degree"), "shards")
     pair = F.col("shard") * shards + F.col("target")
+    hubs = degrees.filter(F.col("degree") >= heavy).select(F.col("row").alias("dst"), F.lit(True).alias("hub"))  # at most rows / heavy
+    salted = links.join(hubs, "dst", "left").select("src", "dst", _salt("src", F.coalesce("hub", F.lit(False))))
+    links = written(salted, "links") if not hubs.isEmpty() else links.withColumn("salt", F.lit(0))
     done = idle = 0
     # Rows with many links go first, then those with few, then any; asks that three such rounds leave cannot be granted.
     while idle < 3 and (rounds is None or done < rounds):
         turn = lambda row: F.struct((F.lit((1, -1, 0)[done % 3]) * F.col("degree")).alias("first"), _hash(row, salt=done).alias("then"), F.col(row).alias("name"))  # noqa: B023, E731
-        near = links.join(labels.select(F.col("row").alias("dst"), F.col("shard").alias("near"), turn("row").alias("turn")), "dst").groupBy("src", "near").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("turn"))
+        near = links.join(labels.select(F.col("row").alias("dst"), F.col("shard").alias("near"), turn("row").alias("turn"), _salts(F.col("degree") >= heavy)), ["dst", "salt"]).groupBy("src", "near").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("turn"))
         own = near.join(labels.withColumnRenamed("row", "src"), "src")
         want = own.groupBy("src", "shard", "degree").agg(
             F.max(F.struct("n", (-F.col("near")).alias("minus"))).alias("best"), F.max(F.when(F.col("near") == F.col("shard"), F.col("n")).otherwise(0)).alias("here"), F.max("turn").alias("others")
@@ -164,13 +179,13 @@ def even(labels: DataFrame, linked: DataFrame, shards: int = SHARDS) -> DataFram
 
 
 def named(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, text_key, row): repeated ids are told apart by their number among equals, so every row
-    has a name of its own."""
+    """(row, doc_id, size, text_crc32, text_key): `row` is the doc_id if that names every row, else a number of its own."""
     rows = narrow(df, id_col, text_col).select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.sha2("text", 256).alias("text_key")
     )
-    same = Window.partitionBy("doc_id").orderBy("text_key")
-    return written(rows.withColumn("row", F.concat_ws("#", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.row_number().over(same).cast("string"))), "documents")
+    rows = written(rows.withColumn("number", F.monotonically_increasing_id()), "documents")
+    n = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    return rows.withColumnRenamed("number", "row") if n["ids"] < n["rows"] else rows.drop("number").withColumn("row", F.col("doc_id"))
 
 
 def shard(df: DataFrame, shards: int = SHARDS, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,8 +13,9 @@ compared by leading tokens, 64-bit hashes of stretches of text, at three grains:
 At each grain the entries are sorted as a suffix array: Spark samples splitters and range-partitions the entries by
 their tokens, each bucket is sorted by multikey quicksort - ties on one token alone go on to the next - and neighbours
 are compared, across the boundaries of buckets too. Position and id end the key, so that a passage with many copies is
-spread over buckets, and comparing with neighbours needs no group in one task. A token in common on the second place
-settles an entry with all its windows; one of each such kind still meets the unsettled ones at the next grain.
+spread over buckets, and comparing with neighbours needs no group in one task: only the first and the last entry of each
+bucket are counted by token over all buckets. A token in common on the second place settles an entry with all its
+windows; one of each such kind still meets the unsettled ones at the next grain.
 
 Where asked for, the same is done with words instead of bytes: what a window of so many words covers, with the white
 space after each, is removed if these words also stand in a row anywhere else, whatever the white space between them.
@@ -33,17 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isohyet.llm.common import SubstringHash, batch_size, byte_view, slices, written
+from isohyet.llm.common import SubstringHash, batch_size, byte_view, scratch, slices, written
 
 WIDTH, CONTEXT, BAND = 400, 100, 16
 WORD_CONTEXT, WORD_BAND = 13, 8  # at most, for windows of words
 BUCKET_ROWS = 200_000
-MOST_BROADCAST = 1_000_000  # row names that are sent to all tasks at most; beyond that, a shuffle does it
+MOST_TASKS = 20_000  # buckets that have a task each; of more of them, several share a task, in which Spark sorts first
+MOST_BROADCAST = 250_000  # row names that are sent to all tasks at most; beyond that, a shuffle does it
 ENTRY = "d long, m long, lo int, hi int, p int, t1 long, t2 long"
 NAMES = [c.split()[0] for c in ENTRY.split(", ")]
 _SPACE = np.zeros(256, bool)
@@ -149,16 +150,28 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def repeated(df: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def repeated(df: DataFrame, bucket_rows: int = BUCKET_ROWS, most_tasks: int = MOST_TASKS) -> DataFrame:
     """The entries of a written table whose first token occurs elsewhere, with `whole`: whether the second does, and
     `shown`: whether a settled entry stands for its kind at the next grain."""
     spark = df.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // bucket_rows))
 
+    tasks = min(buckets, most_tasks)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
+        rows: list[pa.RecordBatch] = []
+        held = 0
+        for b in batches:
+            if b.num_rows:
+                rows.append(b)
+                held += b.num_rows
+            if tasks < buckets and held >= bucket_rows:
+                yield bucket(rows)
+                rows, held = [], 0
+        if rows:
+            yield bucket(rows)
+
+    def bucket(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         columns = [np.concatenate([b[n].to_numpy() for b in rows]) for n in NAMES]
         order = multikey_order([columns[i] for i in (5, 6, 0, 1, 2)])
         t1, t2 = columns[5][order], columns[6][order]
@@ -171,35 +184,21 @@ def repeated(df: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
         unsettled = np.logical_or.reduceat(~whole, start)
         unsettled[[0, -1]] = True  # more of these may be in the buckets beside
         shown = whole & np.append(True, ~both) & np.repeat(unsettled, np.diff(np.append(start, len(order))))
-        edge = np.zeros(len(order), np.int32)
-        edge[0] += 1
-        edge[-1] += 2
-        keep = seen | (edge > 0)
-        part = np.full(int(keep.sum()), TaskContext.get().partitionId(), np.int32)
-        yield _batch([*NAMES, "seen", "whole", "shown", "bucket", "edge"], *(c[order[keep]] for c in columns), seen[keep], whole[keep], shown[keep], part, edge[keep])
-
-    ranged = df.repartitionByRange(buckets, "t1", "t2", "d", "m", "lo")
-    found = written(ranged.mapInArrow(run, f"{ENTRY}, seen boolean, whole boolean, shown boolean, bucket int, edge int"), "sorted")
-    # The first and last entry of each bucket meet those of the buckets beside it: two rows a bucket.
-    beside = Window.orderBy("bucket", "edge")
-    edges = found.filter("edge > 0").select("bucket", "edge", "t1", "t2")
-    for name, move in (("before", F.lag), ("after", F.lead)):
-        edges = edges.withColumn(name, move(F.struct("t1", "t2")).over(beside))
-    up, down = F.col("edge").bitwiseAND(1) > 0, F.col("edge").bitwiseAND(2) > 0
-
-    def meets(*tokens: str):
-        same = [F.lit(False)] * 2
-        for i, (side, name) in enumerate(((up, "before"), (down, "after"))):
-            equal = F.lit(True)
-            for t in tokens:
-                equal &= F.col(t) == F.col(f"{name}.{t}")
-            same[i] = F.coalesce(side & equal, F.lit(False))
-        return same[0] | same[1]
-
-    edges = edges.select("bucket", "edge", meets("t1").alias("seen_over"), meets("t1", "t2").alias("whole_over"))
-    joined = found.join(F.broadcast(edges), ["bucket", "edge"], "left")
-    flag = lambda own, over: F.col(own) | F.coalesce(over, F.lit(False))
-    return joined.select(*NAMES, flag("seen", "seen_over").alias("seen"), flag("whole", "whole_over").alias("whole"), (F.col("shown") | (F.col("edge") > 0)).alias("shown")).filter("seen").drop("seen")
+        edge = np.zeros(len(order), bool)
+        edge[[0, -1]] = True
+        keep = seen | edge
+        return _batch([*NAMES, "seen", "whole", "shown", "edge"], *(c[order[keep]] for c in columns), seen[keep], whole[keep], shown[keep], edge[keep])
+
+    key = ["t1", "t2", "d", "m", "lo"]
+    ranged = df.repartitionByRange(tasks, *key)
+    ranged = ranged.sortWithinPartitions(*key) if tasks < buckets else ranged
+    found = written(ranged.mapInArrow(run, f"{ENTRY}, seen boolean, whole boolean, shown boolean, edge boolean"), "sorted")
+    # Equal tokens lie side by side, so those of a bucket's first or last entry that lie beyond it begin or end a bucket too.
+    edges = found.filter("edge")
+    over = edges.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("_both")).join(edges.groupBy("t1").agg(F.count(F.lit(1)).alias("_first")), "t1")
+    met = edges.join(over, ["t1", "t2"]).withColumns({"seen": F.col("seen") | (F.col("_first") > 1), "whole": F.col("whole") | (F.col("_both") > 1), "shown": F.lit(True)})
+    columns = [*NAMES, "seen", "whole", "shown"]
+    return found.filter("not edge").select(*columns).unionByName(met.select(*columns)).filter("seen").drop("seen")
 
 
 def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -256,30 +255,36 @@ def spans(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, band: int =
         token = hashed.of(start, start + width)
         return i, start, start, p[i], token, token
 
-    found = written(repeated(written(entries(df, width, context, by_word), "entries"), bucket_rows), "grain1")
-    done = [found.filter("whole")]
-    for n, cut in ((2, bands), (3, windows)):
-        open_ = written(_cut(_with_text(df, written(found.filter("not whole or shown"), "open")), cut, by_word), "entries")
-        found = written(repeated(open_, bucket_rows), f"grain{n}")
-        done.append(found.filter("whole"))
-    return done[0].unionByName(done[1]).unionByName(done[2]).select("d", "m", "lo", "hi")
+    done: list[DataFrame] = []
+    found, open_ = None, None
+    for n, cut in ((1, None), (2, bands), (3, windows)):
+        with scratch(df.sparkSession) as keep:
+            cells = entries(df, width, context, by_word) if cut is None else _cut(_with_text(df, open_), cut, by_word)
+            found = keep(repeated(written(cells, "entries"), bucket_rows), f"grain{n}")
+        done.append(found.filter("whole").select("d", "m", "lo", "hi"))
+        if n < 3:
+            open_ = written(found.filter("not whole or shown").select("d", "m", "lo", "hi", "p"), "open")
+    return done[0].unionByName(done[1]).unionByName(done[2])
 
 
 def remove_repeats(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, band: int = BAND, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: int = 0) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept BINARY, rest STRUCT) for every row of df.
+    """(doc_id, n_bytes, n_removed, n_spans, kept BINARY, text, rest STRUCT) for every row of df.
 
-    With `words`, repeated windows of so many words are removed beside those of `width` bytes. `kept` holds the remaining bytes; a cut may fall inside a character. `rest` holds the columns named in carry."""
+    With `words`, repeated windows of so many words are removed beside those of `width` bytes. `kept` holds the remaining
+    bytes; a cut may fall inside a character. `text` holds them without what cuts have left of characters. `rest` holds
+    the columns named in carry."""
     docs = _named(df, id_col, text_col, carry or [])
-    found = spans(docs, width, context, band, bucket_rows).withColumn("by_word", F.lit(False))
-    if words:
-        in_words = spans(docs, words, min(WORD_CONTEXT, -(-words // 4)), min(WORD_BAND, -(-words // 4)), bucket_rows, by_word=True)
-        found = found.unionByName(in_words.withColumn("by_word", F.lit(True)))
-    found = written(found, "spans")
+    with scratch(df.sparkSession) as keep:
+        found = spans(docs, width, context, band, bucket_rows).withColumn("by_word", F.lit(False))
+        if words:
+            in_words = spans(docs, words, min(WORD_CONTEXT, -(-words // 4)), min(WORD_BAND, -(-words // 4)), bucket_rows, by_word=True)
+            found = found.unionByName(in_words.withColumn("by_word", F.lit(True)))
+        found = keep(found, "spans")
     lists = found.groupBy("d", "m").agg(F.collect_list(F.struct("lo", "hi", "by_word")).alias("parts"))
     names = found.select("d", "m").distinct()
     few = F.broadcast(names) if names.count() <= MOST_BROADCAST else names
 
-    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").add("rest", docs.schema["rest"].dataType)
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string").add("rest", docs.schema["rest"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -289,7 +294,7 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, ba
             flat = parts.flatten()
             lo, hi = (flat.field(n).to_numpy().astype(np.int64) for n in ("lo", "hi"))
             by_word = flat.field("by_word").to_numpy(zero_copy_only=False).astype(bool)
-            removed, runs, kept = [], [], []
+            removed, runs, kept, left = [], [], [], []
             for i in range(b.num_rows):
                 text = raw[offsets[i] : offsets[i + 1]]
                 cover = np.zeros(len(text) + 1, np.int64)
@@ -305,11 +310,12 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, ba
                 removed.append(int(gone.sum()))
                 runs.append(int((gone & ~np.append(False, gone[:-1])).sum()))
                 kept.append(text[~gone].tobytes())
+                left.append(kept[-1].decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), b["rest"]], [*schema.names]
+                [b["doc_id"], pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(left, pa.string()), b["rest"]], [*schema.names]
             )
 
     cut = docs.join(few, ["d", "m"], "left_semi").join(lists, ["d", "m"]).select("doc_id", "text", "rest", "parts").mapInArrow(run, schema)
     zero = F.lit(0).cast("long")
-    intact = docs.join(few, ["d", "m"], "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"), "rest")
+    intact = docs.join(few, ["d", "m"], "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"), "text", "rest")
     return cut.unionByName(intact)

@@ -9,8 +9,8 @@ Files are written under a task's own name and then renamed, so a lost or repeate
 listed by a manifest of what the successful tasks wrote.
 
 Rows: a null or empty text has only the end id. Null doc_ids sort first and are stored under a key of their own.
-Repeated doc_ids are stored in the order of their texts and told apart by their number. An empty table writes no
-shards. Extra columns are left out.
+Repeated doc_ids are stored in the order of a hash of their texts, over several shards if need be, and told apart by
+their number within a shard. An empty table writes no shards. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -184,7 +184,8 @@ def write(df: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int
             yield close()
 
     batch_size(df.sparkSession)
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    key = F.col("doc_id").asc_nulls_first(), F.col("mark").asc()  # so that rows of one id, or of none, can have several ranges
+    ordered = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange(parts, *key).sortWithinPartitions(*key, F.col("text").asc_nulls_first()).drop("mark")
     manifest = f"{folder}/manifest"
     ordered.mapInArrow(run, MANIFEST).write.parquet(manifest)
     return df.sparkSession.read.schema(MANIFEST).parquet(manifest)
@@ -239,15 +240,16 @@ def lookup(manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id") -> Data
     Keys are matched to shards by id range, then each shard answers for its keys in constant time a key."""
     wanted = keys.select(F.col(id_col).cast("long").alias("doc_id"))
     spans = manifest.select("path", "first_id", "last_id").filter("first_id is not null")
-    span_rows = sorted((r["first_id"], r["path"]) for r in spans.collect())  # one row per shard file
-    starts, paths = np.array([s for s, _ in span_rows], np.int64), [p for _, p in span_rows]
+    # One row per shard file. The first document of an id lies in the first shard that ends with that id or a later one.
+    span_rows = sorted((r["last_id"], r["first_id"], r["path"]) for r in spans.collect())
+    ends, paths = np.array([s for s, _, _ in span_rows], np.int64), [p for _, _, p in span_rows]
 
     def to_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = np.array([0 if x is None else x for x in b["doc_id"].to_pylist()], np.int64)
-            at = np.searchsorted(starts, ids, "right") - 1
+            at = np.searchsorted(ends, ids, "left")
             known = b["doc_id"].is_valid().to_pylist()
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([paths[i] if k and i >= 0 else None for i, k in zip(at, known, strict=True)], pa.string())], ["doc_id", "path"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([paths[i] if k and i < len(paths) else None for i, k in zip(at, known, strict=True)], pa.string())], ["doc_id", "path"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

@@ -1,8 +1,9 @@
 """Shared helpers."""
 
 import numpy as np
+import pytest
 
-from isohyet.llm.common import SubstringHash, clear, written
+from isohyet.llm.common import SubstringHash, clear, free_name, scratch, shared_folder, written
 
 
 def test_written_tables_are_cleared(spark):
@@ -18,3 +19,35 @@ def test_equal_substrings_have_equal_hashes():
     assert three[0] == three[3] == three[7] == h.of(np.array([7]), np.array([10]))[0]
     assert len(set(three.tolist())) == len({bytes(raw[i : i + 3]) for i in range(8)})
     assert len(h.sliding(11)) == 0
+
+
+def test_scratch_keeps_what_is_asked_for(spark):
+    with scratch(spark) as keep:
+        one = written(spark.range(3).toDF("x"), "test")
+        two = keep(one.filter("x > 0"), "test")
+        with scratch(spark) as inner:
+            three = inner(two, "test")
+        assert three.count() == 2
+    assert two.count() == 2
+    for gone in (one, three):
+        with pytest.raises(Exception, match="NOT_EXIST|does not exist|FAILED_READ"):
+            gone.count()
+
+
+def test_free_names():
+    assert free_name("Score", ["score", "_score"]) == "__Score" and free_name("x", []) == "x"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Cluster:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = {}
+        sparkContext = Cluster()
+
+    with pytest.raises(ValueError):
+        shared_folder(Session())

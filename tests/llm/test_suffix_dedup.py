@@ -9,6 +9,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from isohyet.llm import queries, suffix_dedup
+from isohyet.llm.common import written
 
 
 def brute(texts, width):
@@ -52,6 +53,14 @@ def test_equals_brute_force(spark):
         assert [got[i] for i in range(len(texts))] == brute(texts, width)
 
 
+def test_buckets_that_share_a_task(spark):
+    texts = made_texts(4, 40)
+    docs = suffix_dedup._named(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", [])
+    cells = written(suffix_dedup.entries(docs, 40, 12), "test")
+    one, two = (sorted(map(tuple, suffix_dedup.repeated(cells, bucket_rows=97, most_tasks=n).drop("shown").collect())) for n in (10_000, 3))
+    assert one == two and len(one) > 500
+
+
 def test_op10_equals_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     want = dict(zip([r["doc_id"] for r in docs], brute([r["text"] for r in docs], 400), strict=True))
@@ -59,6 +68,7 @@ def test_op10_equals_brute_force(spark, sf_dir):
     assert len(got) == len(docs)
     for r in got:
         n, removed, runs, kept = want[r["doc_id"]]
+        assert r["text"] == kept.decode("utf-8", "ignore")
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (n, removed, runs, hashlib.sha256(kept).hexdigest())
 
 

@@ -1,7 +1,7 @@
 """A corpus-cleaning pipeline: each stage calls one operator and hands the documents that it keeps on.
 
 All stages but the last return the columns of `documents`. Rows with a null id or text, repeated rows and empty tables
-are handled as the operators say; columns beyond those of `documents` are handed on as they are.
+are handled as the operators say; columns beyond those of `documents` are handed on as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,14 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.llm import exact_dedup, language_id, near_dedup, packing, suffix_dedup
-from isohyet.llm.common import written
+from isohyet.llm.common import free_name, scratch
+
+LEAST_SHARE = 1 / 3  # of a document that its language must make up
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; those without a letter are rejected."""
+    """Documents with a language: rejected are those without a letter, and those of which no learned language makes up
+    a third. Where no row has a label nothing can be learned, and all documents with a letter stay."""
     model = language_id.fit(docs)
-    seen = language_id.with_language(docs, model, lang_out="_lang_pred", score_out="_score")
-    return seen.filter(F.col("_lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    lang, score = (free_name(c, docs.columns) for c in ("lang_pred", "score"))
+    seen = language_id.with_language(docs, model, lang_out=lang, score_out=score)
+    return seen.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= LEAST_SHARE)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +33,15 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, linked at a similarity of 0.8 or more: that with the smallest id."""
-    stays = near_dedup.near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(F.col("_stays")), "left_semi")
+    return near_dedup.kept_rows(docs, percent=80)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated passages, of more than 50 words or of 400 bytes; a document of which nothing is left goes. A character that a cut leaves
-    in part is dropped with the replacement characters of that text, and n_chars is counted anew where a text has changed."""
+    """Texts without their repeated passages, of more than 50 words or of 400 bytes; a document of which nothing is left
+    goes. What a cut leaves of a character is dropped, and n_chars is counted anew where a text has changed."""
     found = suffix_dedup.remove_repeats(docs, carry=docs.columns, words=51)
     changed = F.col("n_removed") > 0
-    text = F.when(changed, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("rest.text"))
+    text = F.when(changed, F.col("text")).otherwise(F.col("rest.text"))
     columns = {"text": text, "n_chars": F.when(changed, F.char_length(text).cast("long")).otherwise(F.col("rest.n_chars"))}
     left = found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
     return left.select(*(columns.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
@@ -59,10 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written and read again."""
+    """All stages over `documents`, each written and read again; a stage's own tables go once it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -37,8 +37,8 @@ def shrunk(weight: Column, n: Column, penalty: str = "ols", alpha: float | None
     return weight
 
 
-def out_of_fold_linear(folded: DataFrame, penalty: str = "ols", alpha: float | None = None, key: str = "loc_id") -> DataFrame:
-    """(loc_id, time, y, h): each row predicted by the line through all rows of other folds.
+def out_of_fold_linear(folded: DataFrame, penalty: str = "ols", alpha: float | None = None, key: str = "loc_id", keep: list[str] | None = None) -> DataFrame:
+    """(loc_id, time, y, h) and columns to keep: each row predicted by the line through all rows of other folds.
 
     A fold's training sums are the location's sums less the fold's own, so no row is copied per fold. Values are
     centred first, which keeps the differences exact enough. Predictors are scaled within the training rows."""
@@ -52,7 +52,18 @@ def out_of_fold_linear(folded: DataFrame, penalty: str = "ols", alpha: float | N
     mean_x, mean_y = F.col("_sx") / n, F.col("_sy") / n
     sd = F.nullif(F.sqrt(F.greatest(F.col("_sxx") / n - mean_x * mean_x, F.lit(0.0))), F.lit(0.0))
     weight = shrunk((F.col("_sxy") / n - mean_x * mean_y) / sd, n, penalty, alpha)
-    return df.select(key, "time", "y", (F.col("_my") + mean_y + weight * (x - mean_x) / sd).alias("h"))
+    return df.select(key, "time", "y", *(keep or []), (F.col("_my") + mean_y + weight * (x - mean_x) / sd).alias("h"))
+
+
+def hindcast_fit(folded: DataFrame, penalty: str = "ols", alpha: float | None = None, key: str = "loc_id") -> DataFrame:
+    """(loc_id, _n, _e, correlation, and the full-sample fit) in one aggregate: errors of the cross-validated hindcast,
+    its correlation with the observations, and what `standard_fit` gives."""
+    hcst = out_of_fold_linear(folded, penalty, alpha, key, keep=["x"])
+    cov = F.covar_pop("x", "y") / F.nullif(F.stddev_pop("x"), F.lit(0.0))
+    return hcst.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.collect_list(F.col("h") - F.col("y")).alias("_e"), F.corr("h", "y").alias("correlation"),
+        F.avg("x").alias("mean_x"), F.stddev_pop("x").alias("sd_x"), F.avg("y").alias("intercept"), cov.alias("w_ols"),
+    )
 
 
 def out_of_fold_ols(folded: DataFrame, key: str = "loc_id") -> DataFrame:

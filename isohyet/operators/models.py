@@ -1,7 +1,7 @@
-"""Models of several predictors, as numpy inside grouped tasks: one group is a station or a fold of it.
+"""Regressors of several predictors as numpy inside tasks, principal components of wide rows, radial bases and clusters.
 
-A group holds years by predictors - tens of rows - so it is small whatever the input; Spark spreads the groups.
-Trees and forests, networks, principal components, canonical correlations, factors and radial bases have no SQL form.
+A regressor sees one station's years by predictors - tens of rows - whatever the input; Spark spreads the stations.
+Models that join the cells of a field are in `fields`.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 MAX_FRACTION, PCA_VARIANCE = 0.15, 0.95
 SEED = 42
+MOST_STATIONS = 5_000  # of a radial basis: their matrix of distances is 200 MB
 
 
 def component_limit(n: int, cumulative: list[float]) -> int:
@@ -37,24 +38,34 @@ def principal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v * np.where(signs == 0, 1, signs)[:, None], s**2 / total if total else s
 
 
-def gram_pca(df: DataFrame, features: str = "features") -> DataFrame:
-    """(k, variance_ratio, cumulative) of array columns: the covariance is summed in the tasks and merged once."""
-    width = df.select(F.max(F.size(features))).first()[0] or 0
+def covariance(df: DataFrame, features: str = "features") -> DataFrame:
+    """(i, j, cov) with i <= j of array columns of one length: products are summed in the tasks, then by cell in Spark."""
 
     def sums(frames):
-        n, s, ss = 0, np.zeros(width), np.zeros((width, width))
+        n, s, ss = 0, None, None
         for f in frames:
             if len(f):
                 x = np.stack(f[features].to_numpy()).astype(float)
-                n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
-        yield pd.DataFrame({"n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
-
-    parts = df.select(features).mapInPandas(sums, "n long, s array<double>, ss array<double>")
-    rows = parts.collect()  # one row a task, of a fixed width
-    n, s, ss = sum(r["n"] for r in rows), sum(np.array(r["s"]) for r in rows), sum(np.array(r["ss"]) for r in rows)
-    cov = ss.reshape(width, width) / n - np.outer(s / n, s / n)
-    values = np.sort(np.linalg.eigvalsh(cov))[::-1].clip(0)
-    ratio = values / values.sum()
+                n, s, ss = n + len(x), x.sum(0) + (0 if s is None else s), x.T @ x + (0 if ss is None else ss)
+        if n:
+            i, j = np.triu_indices(len(s))
+            yield pd.DataFrame({"i": i, "j": j, "n": n, "si": s[i], "sj": s[j], "ss": ss[i, j]})
+
+    parts = df.filter(F.col(features).isNotNull()).select(features).mapInPandas(sums, "i int, j int, n long, si double, sj double, ss double")
+    total = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "si", "sj", "ss")))
+    return total.select("i", "j", (F.col("ss") / F.col("n") - F.col("si") / F.col("n") * F.col("sj") / F.col("n")).alias("cov"))
+
+
+def gram_pca(df: DataFrame, features: str = "features") -> DataFrame:
+    """(k, variance_ratio, cumulative) of array columns of one length; their covariance, a cell a pair of places in the
+    array, is all that the driver sees."""
+    cells = covariance(df, features).collect()
+    width = max((r["j"] + 1 for r in cells), default=0)
+    cov = np.zeros((width, width))
+    for r in cells:
+        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["cov"]
+    values = np.sort(np.linalg.eigvalsh(cov))[::-1].clip(0) if width else np.zeros(0)
+    ratio = values / (values.sum() or 1.0)
     return df.sparkSession.createDataFrame([(i + 1, float(r), float(c)) for i, (r, c) in enumerate(zip(ratio, ratio.cumsum(), strict=True))], "k int, variance_ratio double, cumulative double")
 
 
@@ -139,11 +150,34 @@ def ols_predict(x, y, new) -> np.ndarray:
     return np.column_stack([np.ones(len(new)), new]) @ w
 
 
+def ridge_predict(x, y, new, alpha: float = 1.0) -> np.ndarray:
+    mx, my = x.mean(0), y.mean()
+    w = np.linalg.solve((x - mx).T @ (x - mx) + alpha * np.eye(x.shape[1]), (x - mx).T @ (y - my))
+    return my + (new - mx) @ w
+
+
+def lasso_predict(x, y, new, alpha: float = 0.01, rounds: int = 500) -> np.ndarray:
+    """Coordinate descent on half the mean squared error plus alpha times the sum of weights."""
+    mx, my = x.mean(0), y.mean()
+    z, left = x - mx, y - my
+    w, size = np.zeros(x.shape[1]), np.maximum((z**2).mean(0), 1e-300)
+    for _ in range(rounds):
+        old = w.copy()
+        for j in range(len(w)):
+            c = z[:, j] @ left / len(y) + size[j] * w[j]
+            new_w = np.sign(c) * max(abs(c) - alpha, 0) / size[j]
+            left = left - z[:, j] * (new_w - w[j])
+            w[j] = new_w
+        if np.abs(w - old).max(initial=0) <= 1e-12 * max(1.0, np.abs(w).max(initial=0)):
+            break
+    return my + (new - mx) @ w
+
+
 #: The regressors by name.
-REGRESSORS = {"ols": ols_predict, "tree": tree_predict, "forest": forest_predict, "mlp": mlp_predict, "pcr": pcr_predict}
+REGRESSORS = {"ols": ols_predict, "ridge": ridge_predict, "lasso": lasso_predict, "tree": tree_predict, "forest": forest_predict, "mlp": mlp_predict, "pcr": pcr_predict}
 
 
-def out_of_fold(folded: DataFrame, regressor: str, features: str = "features", key: str = "loc_id") -> DataFrame:
+def out_of_fold(folded: DataFrame, regressor: str, features: str = "features", key: str = "loc_id", **options) -> DataFrame:
     """(loc_id, time, y, h) of rows (loc_id, time, features ARRAY, y, fold), fitted per location on the other folds."""
     predict = REGRESSORS[regressor]
 
@@ -154,54 +188,25 @@ def out_of_fold(folded: DataFrame, regressor: str, features: str = "features", k
         for k in np.unique(fold):
             out = fold == k
             if (~out).sum() >= 2:
-                h[out] = predict(x[~out], y[~out], x[out])
+                h[out] = predict(x[~out], y[~out], x[out], **options)
         return pd.DataFrame({key: f[key], "time": f["time"], "y": y, "h": h})
 
     return folded.groupBy(key).applyInPandas(run, f"{key} string, time date, y double, h double")
 
 
-def canonical(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Canonical correlations between the leading principal components of two sets of series."""
-    parts = []
-    for m in (scaled(x), scaled(y)):
-        v, ratio = principal(m)
-        k = max(1, next((i + 1 for i, c in enumerate(ratio.cumsum()) if c >= PCA_VARIANCE), len(ratio)))
-        q, _ = np.linalg.qr((m @ v[:k].T) - (m @ v[:k].T).mean(0))
-        parts.append(q)
-    k = max(1, min(parts[0].shape[1], parts[1].shape[1], int(MAX_FRACTION * len(x))))
-    return np.linalg.svd(parts[0].T @ parts[1], compute_uv=False)[:k].clip(0, 1)
-
-
-def factors(x: np.ndarray, k: int, rotation: str = "none", rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Loadings (variables x k) and noise variances of a factor model, by expectation-maximisation, then a rotation."""
-    z = x - x.mean(0)
-    cov = z.T @ z / len(z)
-    values, vectors = np.linalg.eigh(cov)
-    load = vectors[:, ::-1][:, :k] * np.sqrt(values[::-1][:k].clip(1e-12))
-    noise = np.maximum(np.diag(cov) - (load**2).sum(1), 1e-6)
-    for _ in range(rounds):
-        inv = np.linalg.inv(np.eye(k) + (load.T / noise) @ load)
-        beta = inv @ (load.T / noise)
-        ezz = np.eye(k) - beta @ load + beta @ cov @ beta.T
-        load = cov @ beta.T @ np.linalg.inv(ezz)
-        noise = np.maximum(np.diag(cov - load @ beta @ cov), 1e-6)
-    return rotated(load, rotation), noise
-
-
-def rotated(load: np.ndarray, rotation: str, rounds: int = 100) -> np.ndarray:
-    """Varimax or quartimax rotation of loadings."""
-    if rotation == "none":
-        return load
-    gamma = {"varimax": 1.0, "quartimax": 0.0}[rotation]
-    r, last = np.eye(load.shape[1]), 0.0
-    for _ in range(rounds):
-        m = load @ r
-        u, s, v = np.linalg.svd(load.T @ (m**3 - gamma * m * (m**2).mean(0)))
-        r = u @ v
-        if s.sum() <= last * (1 + 1e-8):
-            break
-        last = s.sum()
-    return load @ r
+def fitted(pairs: DataFrame, new: DataFrame, regressor: str, features: str = "features", key: str = "loc_id", **options) -> DataFrame:
+    """(loc_id, time, h) of new rows (loc_id, time, features), from each location's own rows (loc_id, time, features, y)."""
+    predict = REGRESSORS[regressor]
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("time")
+        known = f["y"].notna().to_numpy()
+        x, y = np.stack(f[features].to_numpy()).astype(float), f["y"].to_numpy(float)
+        h = predict(x[known], y[known], x[~known], **options) if known.sum() >= 2 and (~known).any() else np.full(int((~known).sum()), np.nan)
+        return pd.DataFrame({key: f[key][~known], "time": f["time"][~known], "h": h})
+
+    both = pairs.select(key, "time", features, "y").unionByName(new.select(key, "time", features, F.lit(None).cast("double").alias("y")))
+    return both.groupBy(key).applyInPandas(run, f"{key} string, time date, h double")
 
 
 def rbf_weights(lon: np.ndarray, lat: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -209,22 +214,35 @@ def rbf_weights(lon: np.ndarray, lat: np.ndarray, value: np.ndarray) -> np.ndarr
     return np.linalg.lstsq(np.hypot(lon[:, None] - lon, lat[:, None] - lat), value, rcond=None)[0]
 
 
-def rbf(grid: DataFrame, stations: DataFrame, keys: list[str]) -> DataFrame:
-    """Linear radial basis interpolation; the weights are solved in one task over the stations."""
+def rbf(grid: DataFrame, stations: DataFrame, keys: list[str], most: int = MOST_STATIONS) -> DataFrame:
+    """Linear radial basis interpolation. Every weight depends on all stations, so one task solves for them; more than
+    `most` stations, whose matrix would not fit there, are refused."""
+    known = stations.filter("value is not null")
+    if known.limit(most + 1).count() > most:
+        raise ValueError(f"radial bases over more than {most} stations; interpolate by inverse distance, or by parts of the area")
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
         return f.assign(w=rbf_weights(f["lon"].to_numpy(float), f["lat"].to_numpy(float), f["value"].to_numpy(float)))[["lon", "lat", "w"]]
 
-    weights = stations.filter("value is not null").groupBy(F.lit(1).alias("_g")).applyInPandas(solve, "lon double, lat double, w double")
+    weights = known.select("lon", "lat", "value").groupBy(F.lit(1).alias("_g")).applyInPandas(solve, "lon double, lat double, w double")
     held = weights.agg(F.collect_list(F.struct("lon", "lat", "w")).alias("_s"))
     dist = lambda s: F.hypot(s["lon"] - F.col("lon"), s["lat"] - F.col("lat"))
     return grid.crossJoin(F.broadcast(held)).select(*keys, F.aggregate("_s", F.lit(0.0), lambda a, s: a + dist(s) * s["w"]).alias("value"))
 
 
+def total_inertia(df: DataFrame, features: str = "features") -> float:
+    """The cost of a single cluster: squared distances to the mean, from one aggregate by place in the arrays."""
+    cells = df.select(F.posexplode(F.col(features).cast("array<double>")).alias("i", "v"))
+    spread = cells.groupBy("i").agg((F.var_pop("v") * F.count("v")).alias("s"))
+    return float(spread.agg(F.sum("s")).first()[0] or 0.0)
+
+
 def kmeans_costs(df: DataFrame, most: int = 16, features: str = "features") -> list[tuple[int, float]]:
-    """(k, inertia) for 1 to `most` clusters."""
-    v = df.select(array_to_vector(F.col(features).cast("array<double>")).alias("v")).cache()
-    out = [(k, float(KMeans(k=k, seed=SEED, featuresCol="v").fit(v).summary.trainingCost)) for k in range(1, most + 1)]
+    """(k, inertia) for 1 to `most` clusters, or to the number of different rows if that is less."""
+    v = df.select(array_to_vector(F.col(features).cast("array<double>")).alias("v"), F.col(features)).cache()
+    most = min(most, v.select(features).distinct().limit(most).count())
+    out = [(1, total_inertia(v, features))] if most else []
+    out += [(k, float(KMeans(k=k, seed=SEED, featuresCol="v").fit(v).summary.trainingCost)) for k in range(2, most + 1)]
     v.unpersist()
     return out
 
@@ -232,6 +250,8 @@ def kmeans_costs(df: DataFrame, most: int = 16, features: str = "features") -> l
 def elbow(costs: list[tuple[int, float]]) -> int:
     """The k farthest from the line between the first and the last cost; of ties the largest."""
     (k0, c0), (k1, c1) = costs[0], costs[-1]
+    if k0 == k1:
+        return k0
     a = (c1 - c0) / (k1 - k0)
     return max(costs, key=lambda kc: (abs(a * kc[0] - kc[1] + c0 - k0 * a) / np.hypot(a, 1), kc[0]))[0]
 
@@ -239,6 +259,8 @@ def elbow(costs: list[tuple[int, float]]) -> int:
 def kmeans_zones(df: DataFrame, k: int | None = None, features: str = "features") -> DataFrame:
     """df with `zone`, 1 to k; without a k the elbow of the costs chooses it."""
     k = k or elbow(kmeans_costs(df, features=features))
+    if k == 1:
+        return df.withColumn("zone", F.lit(1))
     v = df.withColumn("_v", array_to_vector(F.col(features).cast("array<double>")))
     model = KMeans(k=k, seed=SEED, featuresCol="_v", predictionCol="_z").fit(v)
     return model.transform(v).withColumn("zone", (F.col("_z") + 1).cast("int")).drop("_v", "_z")

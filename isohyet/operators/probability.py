@@ -28,8 +28,9 @@ def _shares(centre: Column, n: Column) -> tuple[Column, Column]:
 
 def probabilities(hcst: DataFrame, thresholds: DataFrame, key: str = "loc_id") -> DataFrame:
     """Hindcast probabilities of every year, from all of the location's errors around that year's forecast."""
-    below, above = _shares(F.col("h"), F.col("_n"))
-    j = hcst.join(_errors(hcst, key), key).join(thresholds, key)
+    below, above = _shares(F.col("h"), F.size("_e"))
+    # A window keeps one lineage: every row of a location sees its errors, which are as many as its years.
+    j = hcst.withColumn("_e", F.collect_list(F.col("h") - F.col("y")).over(Window.partitionBy(key))).join(thresholds, key)
     p = j.select(key, "time", "y", "q33", "q66", below.alias("p_below"), above.alias("p_above"))
     named = tercile_inclusive(F.col("y"), F.col("q33"), F.col("q66"))
     obs = F.when(named == "below", 0).when(named == "normal", 1).when(named == "above", 2)
@@ -38,26 +39,35 @@ def probabilities(hcst: DataFrame, thresholds: DataFrame, key: str = "loc_id") -
 
 def forecast_probabilities(fcst: DataFrame, hcst: DataFrame, thresholds: DataFrame, key: str = "loc_id") -> DataFrame:
     """Probabilities of a forecast (loc_id, f): shares of forecast plus error beyond the thresholds."""
+    return shares_of_errors(fcst.join(_errors(hcst, key), key).join(thresholds, key)).select(key, "p_below", "p_normal", "p_above")
+
+
+def shares_of_errors(df: DataFrame) -> DataFrame:
+    """Adds the probabilities to rows with a forecast f, its errors _e, their number _n and thresholds."""
     below, above = _shares(F.col("f"), F.col("_n"))
     normal = F.size(F.filter("_e", lambda e: (e + F.col("f") >= F.col("q33")) & (e + F.col("f") <= F.col("q66")))) / F.col("_n")
-    j = fcst.join(_errors(hcst, key), key).join(thresholds, key)
-    return j.select(key, below.alias("p_below"), normal.alias("p_normal"), above.alias("p_above"))
+    return df.withColumns({"p_below": below, "p_normal": normal, "p_above": above})
+
+
+def _ranked(df: DataFrame, key: str) -> DataFrame:
+    """Mid-ranks of every class's probabilities within a location, all on one shuffle."""
+    rows = F.count(F.lit(1))
+    for c in CLASSES:
+        ties = rows.over(Window.partitionBy(key, f"p_{c}"))
+        df = df.withColumn(f"_r_{c}", F.rank().over(Window.partitionBy(key).orderBy(f"p_{c}")) + (ties - 1) / 2)
+    return df
 
 
-def auc(df: DataFrame, p: str, k: int, key: str = "loc_id") -> DataFrame:
-    """(key, auc): area under the ROC curve of a class, from mid-ranks; null where the class always or never comes."""
-    ranks = Window.partitionBy(key).orderBy(p)
-    ties = Window.partitionBy(key, p)
-    r = F.rank().over(ranks) + (F.count(F.lit(1)).over(ties) - 1) / 2
-    event = skill.is_class(F.col("obs_class"), k)
-    g = df.select(key, r.alias("_r"), event.alias("_o")).groupBy(key).agg(F.sum(F.col("_r") * F.col("_o")).alias("_s"), F.sum("_o").alias("_p"), F.count(F.lit(1)).alias("_n"))
-    area = (F.col("_s") - F.col("_p") * (F.col("_p") + 1) / 2) / F.nullif(F.col("_p") * (F.col("_n") - F.col("_p")), F.lit(0.0))
-    return g.select(key, area.alias("auc"))
+def _area(k: int, c: str) -> Column:
+    """Area under the ROC curve of a class, from mid-ranks; null where the class always or never comes."""
+    event, rows = skill.is_class(F.col("obs_class"), k), F.count(F.lit(1))
+    n = F.sum(event)
+    return ((F.sum(F.col(f"_r_{c}") * event) - n * (n + 1) / 2) / F.nullif(n * (rows - n), F.lit(0.0))).alias(f"roc_{c}")
 
 
 def roc(df: DataFrame, key: str = "loc_id") -> DataFrame:
-    parts = [auc(df, f"p_{c}", k, key).withColumnRenamed("auc", f"roc_{c}") for k, c in enumerate(CLASSES)]
-    return parts[0].join(parts[1], key).join(parts[2], key)
+    """(key, roc_below, roc_normal, roc_above) in one aggregate."""
+    return _ranked(df, key).groupBy(key).agg(*(_area(k, c) for k, c in enumerate(CLASSES)))
 
 
 def two_afc(df: DataFrame, key: str = "loc_id") -> DataFrame:
@@ -121,16 +131,10 @@ def skill_table(hcst: DataFrame, probs: DataFrame, as_reference: bool = False, k
     by = Window.partitionBy(key)
     # Ranks and class shares first, all on the location, then every score in one aggregate.
     df = probs.withColumn("_share", rows.over(Window.partitionBy(key, "obs_class")) / rows.over(by))
-    for c in CLASSES:
-        ties = rows.over(Window.partitionBy(key, f"p_{c}"))
-        df = df.withColumn(f"_r_{c}", F.rank().over(by.orderBy(f"p_{c}")) + (ties - 1) / 2)
+    df = _ranked(df, key)
     p_obs, best = skill.observed_probability(*_p(), obs), likeliest_class(*_p())
     expected = sum((F.count_if(best == k) * F.count_if(obs == k) for k in range(3)), F.lit(0)) / rows
-    areas = []
-    for k, c in enumerate(CLASSES):
-        event = skill.is_class(obs, k)
-        n = F.sum(event)
-        areas.append(((F.sum(F.col(f"_r_{c}") * event) - n * (n + 1) / 2) / F.nullif(n * (rows - n), F.lit(0.0))).alias(f"roc_{c}"))
+    areas = [_area(k, c) for k, c in enumerate(CLASSES)]
     scores = df.groupBy(key).agg(
         *areas,
         (1 - F.avg(skill.rps(_p(), obs)) / F.nullif(F.avg(skill.rps(base, obs)), F.lit(0.0))).alias("rpss"),

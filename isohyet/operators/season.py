@@ -9,13 +9,15 @@ from isohyet.functions.calendar import month_index, month_of_index
 from isohyet.functions.categories import TERCILE_LEVELS
 
 
-def rolling(df: DataFrame, months: int, how: str = "sum", key: str = "loc_id") -> DataFrame:
-    """Right-aligned windows of months; null unless each month has a value. Times without any value are dropped."""
+def rolling(df: DataFrame, months: int, how: str = "sum", key: str = "loc_id", drop_empty: bool = True) -> DataFrame:
+    """Right-aligned windows of months; null unless each month has a value. Times without any value are dropped, unless
+    the caller drops nulls anyway."""
     w = Window.partitionBy(key).orderBy("_mi").rangeBetween(-(months - 1), 0)
     agg = {"sum": F.sum, "mean": F.avg}[how]("value")
     out = df.withColumn("_mi", month_index("time")).withColumn("_v", F.when(F.count("value").over(w) == months, agg.over(w)))
-    some = F.count("_v").over(Window.partitionBy("time"))
-    return out.withColumn("_n", some).filter("_n > 0").select(key, "time", F.col("_v").alias("value"))
+    out = out.select(key, "time", F.col("_v").alias("value"))
+    # Times with a value: partial counts in the tasks, then a semi-join on the time axis, so no month meets in one task.
+    return out.join(out.filter("value is not null").groupBy("time").agg(F.count(F.lit(1)).alias("_n")).select("time"), "time", "left_semi").select(key, "time", "value") if drop_empty else out
 
 
 def resample(df: DataFrame, start_month: int, how: str = "sum", complete_only: bool = False, key: str = "loc_id") -> DataFrame:

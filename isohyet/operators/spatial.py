@@ -34,12 +34,15 @@ def boxes(edges: DataFrame) -> DataFrame:
 
 
 def within(points: DataFrame, edges: DataFrame, tile: float = TILE) -> DataFrame:
-    """(loc_id, zone_id) of points inside polygons; a point in several polygons gives several rows. A polygon's edges
-    stay together as one array, so a point meets a polygon once."""
-    shape = F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges")
-    polys = edges.groupBy("zone_id").agg(shape).join(boxes(edges), "zone_id")
-    cells = [F.sequence(F.floor(F.col(f"min_{a}") / tile), F.floor(F.col(f"max_{a}") / tile)) for a in "xy"]
-    tiled = polys.withColumn("_tx", F.explode(cells[0])).withColumn("_ty", F.explode(cells[1]))
+    """(loc_id, zone_id) of points inside polygons; a point in several polygons gives several rows. A band's edges stay
+    together as one array, so a point meets a polygon once."""
+    box = boxes(edges)
+    across = F.sequence(F.floor(F.col("min_x") / tile), F.floor(F.col("max_x") / tile))
+    # A ray to the east meets only edges that reach into its band of y, so each band has its own edges, once for all of
+    # the polygon's tiles in it.
+    low, high = F.floor(F.least("y1", "y2") / tile), F.floor(F.greatest("y1", "y2") / tile)
+    bands = edges.withColumn("_ty", F.explode(F.sequence(low, high))).groupBy("zone_id", "_ty").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
+    tiled = bands.join(box, "zone_id").withColumn("_tx", F.explode(across))
     at = points.select("loc_id", F.col("lon").alias("_x"), F.col("lat").alias("_y"), F.floor(F.col("lon") / tile).alias("_tx"), F.floor(F.col("lat") / tile).alias("_ty"))
     near = at.join(tiled, ["_tx", "_ty"]).filter(F.col("_x").between(F.col("min_x"), F.col("max_x")) & F.col("_y").between(F.col("min_y"), F.col("max_y")))
 
@@ -82,23 +85,22 @@ def mesh(spark, min_x: float, max_x: float, min_y: float, max_y: float, step: fl
 def idw(grid: DataFrame, stations: DataFrame, keys: list[str], most: int = MOST_BROADCAST) -> DataFrame:
     """Inverse-distance weighting; a grid point at a station takes its value, of several the largest.
 
-    Up to `most` stations travel as one array; more of them are summed by grid point in a shuffle."""
+    Stations travel as arrays of up to `most`: one array, or one a block, whose sums are added up by grid point. No pair
+    of a point and a station ever becomes a row."""
     stations = stations.filter("value is not null").select(F.col("lon").alias("_x"), F.col("lat").alias("_y"), F.col("value").alias("_v"))
-    if stations.count() > most:
-        d = F.hypot(F.col("_x") - F.col("lon"), F.col("_y") - F.col("lat"))
-        part = grid.join(stations, how="cross").withColumn("_d", d)
-        w = 1 / F.nullif(F.col("_d"), F.lit(0.0))
-        sums = part.groupBy(*keys).agg(F.max(F.when(F.col("_d") == 0, F.col("_v"))).alias("_on"), F.sum(w * F.col("_v")).alias("_t"), F.sum(w).alias("_w"))
-        return sums.select(*keys, F.coalesce("_on", F.col("_t") / F.nullif(F.col("_w"), F.lit(0.0))).alias("value"))
-    held = stations.agg(F.collect_list(F.struct("_x", "_y", "_v")).alias("_s"))
-    near = grid.crossJoin(F.broadcast(held))
+    blocks = max(1, -(-stations.count() // most))
+    block = F.pmod(F.xxhash64("_x", "_y", "_v"), F.lit(blocks)).alias("_b")
+    held = stations.groupBy(block).agg(F.collect_list(F.struct("_x", "_y", "_v")).alias("_s"))
     dist = lambda s: F.hypot(s["_x"] - F.col("lon"), s["_y"] - F.col("lat"))
     on = F.array_max(F.transform(F.filter("_s", lambda s: dist(s) == 0), lambda s: s["_v"]))
     inverse = lambda s: 1 / F.nullif(dist(s), F.lit(0.0))
     # Stations at the point have no weight of their own there, and leave the sums as they are.
     total = F.aggregate("_s", F.lit(0.0), lambda a, s: a + F.coalesce(inverse(s) * s["_v"], F.lit(0.0)))
     weight = F.aggregate("_s", F.lit(0.0), lambda a, s: a + F.coalesce(inverse(s), F.lit(0.0)))
-    return near.select(*keys, F.coalesce(on, total / F.nullif(weight, F.lit(0.0))).alias("value"))
+    near = grid.join(F.broadcast(held) if blocks == 1 else held, how="cross").select(*keys, on.alias("_on"), total.alias("_t"), weight.alias("_w"))
+    if blocks > 1:
+        near = near.groupBy(*keys).agg(F.max("_on").alias("_on"), F.sum("_t").alias("_t"), F.sum("_w").alias("_w"))
+    return near.select(*keys, F.coalesce("_on", F.col("_t") / F.nullif(F.col("_w"), F.lit(0.0))).alias("value"))
 
 
 def distances(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -119,8 +121,10 @@ def small_polygons(polygons: DataFrame) -> DataFrame:
     """Ids of polygons (poly_id, zone, min_x, min_y, max_x, max_y) that are smaller than another of their zone and lie
     within one of any zone, both by bounding box."""
     o = polygons.select(*(F.col(c).alias(f"o_{c}") for c in polygons.columns))
-    area = lambda p: (F.col(f"{p}max_y") - F.col(f"{p}min_y")) * (F.col(f"{p}max_x") - F.col(f"{p}min_x"))
-    smaller = polygons.join(o, F.col("zone") == F.col("o_zone")).filter((F.col("poly_id") != F.col("o_poly_id")) & (area("o_") > area(""))).select("poly_id").distinct()
+    # Smaller than another of the zone is smaller than the largest: an aggregate by zone, not pairs.
+    area = (F.col("max_y") - F.col("min_y")) * (F.col("max_x") - F.col("min_x"))
+    sized = polygons.select("poly_id", "zone", area.alias("_area"))
+    smaller = sized.join(sized.groupBy("zone").agg(F.max("_area").alias("_most")), "zone").filter("_area < _most").select("poly_id").distinct()
     # Containment through tiles: a container shares the tile of the contained polygon's lower left corner.
     tiled = o.withColumn("_tx", F.explode(F.sequence(F.floor(F.col("o_min_x") / TILE), F.floor(F.col("o_max_x") / TILE)))).withColumn("_ty", F.explode(F.sequence(F.floor(F.col("o_min_y") / TILE), F.floor(F.col("o_max_y") / TILE))))
     at = polygons.withColumn("_tx", F.floor(F.col("min_x") / TILE)).withColumn("_ty", F.floor(F.col("min_y") / TILE))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isohyet.functions import categories as cat
 from isohyet.functions import skill
-from isohyet.operators import align, clean, models, probability, season, spatial, synthesis
+from isohyet.operators import align, clean, fields, models, probability, season, spatial, synthesis
 from isohyet.plans.fixtures import CLIMATOLOGY, LEAD, Tables, query, rounded
 from isohyet.plans.scalars import decisions, season_values
 
@@ -338,6 +337,24 @@ def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.gram_pca(Tables(spark, sf_dir).raw("embeddings").select(F.col("embedding").alias("features")))
 
 
+@query("pca_covariance", "e as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as i from embeddings) select a.i as i, b.i as j, round(covar_pop(a.v, b.v), 6) as cov from e a join e b on a.vec_id = b.vec_id and a.i <= b.i group by 1, 2")
+def pca_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.covariance(Tables(spark, sf_dir).raw("embeddings").select(F.col("embedding").alias("features"))))
+
+
+@query("pca_pair_variance", "m as (select var_pop(embedding[1]::double) as a, var_pop(embedding[2]::double) as c, covar_pop(embedding[1]::double, embedding[2]::double) as b from embeddings), l as (select unnest([1, 2]) as k, (a + c) / 2 as h, sqrt((a - c) * (a - c) / 4 + b * b) as d from m) select k, round((h + case k when 1 then d else -d end) / (2 * h), 6) as variance_ratio, round(case k when 1 then (h + d) / (2 * h) else 1.0::double end, 6) as cumulative from l")
+def pca_pair_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Principal components of two columns, whose variances have a closed form."""
+    pair = Tables(spark, sf_dir).raw("embeddings").select(F.slice("embedding", 1, 2).alias("features"))
+    return rounded(models.gram_pca(pair))
+
+
+@query("single_zone_inertia", "e as (select unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i from embeddings), s as (select var_pop(v) * count(*) as s from e group by i) select round(sum(s), 4) as inertia from s")
+def single_zone_inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first point of the elbow: the cost of one cluster."""
+    return spark.createDataFrame([(round(models.total_inertia(Tables(spark, sf_dir).raw("embeddings").select(F.col("embedding").alias("features"))), 4),)], "inertia double")
+
+
 def _multi(t: Tables) -> DataFrame:
     """(loc_id, time, features, y, fold): predictors of all stations of a region, three months before."""
     n = t.raw("nation").select(F.col("n_name").alias("loc_id"), F.col("n_regionkey").alias("r"))
@@ -358,33 +375,28 @@ for _name in ("pcr", "tree", "forest", "mlp"):
     _model(f"{_name}_hindcast", _name)
 
 
-@query("cca_correlations")
-def cca_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir)
-    both = t.pred().select(F.add_months("time", LEAD).alias("time"), F.concat(F.lit("x:"), "loc_id").alias("s"), "value").unionByName(t.obs().select("time", F.concat(F.lit("y:"), "loc_id").alias("s"), "value"))
+def _shared_fields(t: Tables) -> tuple[DataFrame, DataFrame, int]:
+    """Predictors and observations of all stations over the months that both have."""
+    x, y = t.pred().withColumn("time", F.add_months("time", LEAD)), t.obs()
+    times = fields.shared_times(x, y)
+    return fields.filled_field(x, times), fields.filled_field(y, times), len(times)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        wide = f.pivot(index="time", columns="s", values="value")
-        wide = wide.dropna(axis=1, thresh=len(wide) // 2)
-        wide = wide.fillna(wide.mean())
-        x, y = (wide[[c for c in wide.columns if c.startswith(p)]].to_numpy(float) for p in ("x:", "y:"))
-        r = models.canonical(x, y) if len(wide) > 6 and x.shape[1] and y.shape[1] else np.zeros(0)
-        return pd.DataFrame({"k": np.arange(1, len(r) + 1, dtype=np.int32), "correlation": r})
 
-    return both.groupBy(F.lit(1).alias("model")).applyInPandas(run, "k int, correlation double")
+@query("cca_correlations")
+def cca_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y, n = _shared_fields(Tables(spark, sf_dir))
+    every = np.arange(n)
+    r = fields.canonical_parts(fields.products(x, [every], n)[0], fields.products(y, [every], n)[0], every)[-1]
+    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(r)], "k int, correlation double")
 
 
 @query("factor_analysis_rotated")
 def factor_analysis_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = Tables(spark, sf_dir).grid_obs()
-
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        wide = f.pivot(index="time", columns="loc_id", values="value").dropna(axis=1, thresh=len(f["time"].unique()) // 2).fillna(0.0)
-        load, noise = models.factors(models.scaled(wide.to_numpy(float)), 3, key[0])
-        return pd.DataFrame({"rotation": key[0], "loc_id": wide.columns, "f1": load[:, 0], "f2": load[:, 1], "f3": load[:, 2], "noise": noise})
-
-    each = o.withColumn("rotation", F.explode(F.array(*map(F.lit, ("none", "varimax", "quartimax")))))
-    return each.groupBy("rotation").applyInPandas(run, "rotation string, loc_id string, f1 double, f2 double, f3 double, noise double")
+    _, y, n = _shared_fields(Tables(spark, sf_dir))
+    scaled = fields.scaled_field(y)
+    u, _, s = fields.spectrum(fields.products(y, [np.arange(n)], n)[0], np.arange(n))
+    found = [fields.factor_loadings(scaled, u, s, 3, r).select(F.lit(r).alias("rotation"), "loc_id", *(F.get("loadings", F.lit(i)).alias(f"f{i + 1}") for i in range(3)), "noise") for r in ("none", "varimax", "quartimax")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("kmeans_zones")
@@ -398,28 +410,35 @@ FLAGSHIP_SQL = "zroll as (select loc_id, time, sum(value) over r as v, count(val
 
 @query("verification_flagship", FLAGSHIP_SQL)
 def verification_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observed layers of one season: value, climatology, anomaly, tercile, consensus category and quantile."""
-    s, c = season_values(Tables(spark, sf_dir), zones=True)
-    now = season.quantile_anomaly(s.filter(F.year("time") == 2001), s.filter(season.in_years(*CLIMATOLOGY)))
-    v, mean = F.col("value"), F.col("mean")
-    layers = now.join(c, "loc_id").select(
+    """Observed layers of one season: value, climatology, anomaly, tercile, consensus category and quantile - all from
+    one aggregate by location."""
+    values = season.rolling(Tables(spark, sf_dir).zone_obs(), 3, drop_empty=False).filter((F.month("time") == 3) & F.col("value").isNotNull())
+    of_clim = F.when(season.in_years(*CLIMATOLOGY), F.col("value"))
+    now = F.max(F.when(F.year("time") == 2001, F.col("value"))).alias("v")
+    g = values.groupBy("loc_id").agg(now, F.avg(of_clim).alias("mean"), F.percentile(of_clim, F.array(*map(F.lit, (0.33, 0.5, 0.66)))).alias("q"), F.collect_list(of_clim).alias("c"))
+    v, mean = F.col("v"), F.col("mean")
+    q33, q50, q66 = (F.get("q", F.lit(i)) for i in range(3))
+    layers = g.filter("v is not null and mean is not null").select(
         "loc_id", F.round(v, 1).alias("obs_value"), F.round(mean, 2).alias("obs_clim"), F.round((v - mean) / F.nullif(mean, F.lit(0.0)) * 100, 3).alias("obs_relanom"),
-        cat.tercile(v, F.col("q33"), F.col("q66")).alias("obs_terc"), cat.quartile_category(v, F.col("q33"), F.col("q50"), F.col("q66")).alias("obs_cemcat"), F.round("quantile", 3).alias("obs_quantanom"),
+        cat.tercile(v, q33, q66).alias("obs_terc"), cat.quartile_category(v, q33, q50, q66).alias("obs_cemcat"), F.round(F.size(F.filter("c", lambda x: x <= v)) / F.size("c"), 3).alias("obs_quantanom"),
     )
     return rounded(layers)
 
 
 @query("forecast_none_ols_pipeline", PROB_FORECAST_SQL + ", cor as (select loc_id, corr(h, y) as r from hcst group by 1) select f.loc_id, round(f.f, 2) as forecast, round(p_below, 4)::double as p_below, round(p_normal, 4)::double as p_normal, round(p_above, 4)::double as p_above, case when p_above >= p_normal and p_above >= p_below then 'above' when p_normal >= p_below then 'normal' else 'below' end as tercile, case when p_below >= p_normal and p_below >= p_above then 'below' when p_normal >= p_above then case when p_below >= p_above then 'normal-to-below' else 'normal-to-above' end else 'above' end as cem, round(r, 4) as correlation from fc f join pf using (loc_id) join cor using (loc_id)")
 def forecast_none_ols_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lead alignment, bad-location filter, cross-validated line, forecast, probabilities, categories and skill."""
+    """Lead alignment, bad-location filter, cross-validated line, forecast, probabilities, categories and skill. Hindcast
+    errors, fit and skill of a location come from one aggregate over its pairs."""
     t = Tables(spark, sf_dir)
-    obs = clean.varied_locations(t.obs())
-    folded = align.with_folds(align.lead_align(obs, t.pred(), LEAD))
-    hcst = align.out_of_fold_ols(folded)
-    fcst = _forecast(t)
-    p = probability.forecast_probabilities(fcst, hcst, t.thresholds())
+    pred = t.pred()
+    pairs = align.lead_align(clean.varied_locations(t.obs()), pred, LEAD)
+    fit = align.hindcast_fit(align.with_folds(pairs))
+    last = F.max_by("value", "time").alias("x")
+    newest = pred.groupBy("loc_id").agg(last, F.max("time").alias("time"))
+    newest = newest.join(F.broadcast(newest.agg(F.max("time").alias("time"))), "time").select("loc_id", "x")
+    f = F.col("intercept") + F.col("w_ols") * (F.col("x") - F.col("mean_x")) / F.nullif(F.col("sd_x"), F.lit(0.0))
+    j = probability.shares_of_errors(fit.join(newest, "loc_id").withColumn("f", f).join(t.thresholds(), "loc_id"))
     three = [F.col(c) for c in ("p_below", "p_normal", "p_above")]
-    j = fcst.join(p, "loc_id").join(probability.deterministic(hcst), "loc_id")
     return j.select("loc_id", F.round("f", 2).alias("forecast"), *(F.round(c, 4).alias(n) for c, n in zip(three, ("p_below", "p_normal", "p_above"), strict=True)), cat.likeliest_tercile(*three).alias("tercile"), cat.likeliest_category(*three).alias("cem"), F.round("correlation", 4).alias("correlation"))
 
 
@@ -427,31 +446,3 @@ def forecast_none_ols_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synthesis_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decisions(Tables(spark, sf_dir))
     return synthesis.decided(d).join(synthesis.is_complete(d), "zone", "left_anti").groupBy(F.col("fcstCategory").alias("category"), F.col("confLevel").alias("confidence")).agg(F.count(F.lit(1)).alias("zones"))
-
-
-@query("zoning_pipeline")
-def zoning_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Station-season matrix, factors, interpolation of the components to a grid, clustering into zones."""
-    t = Tables(spark, sf_dir)
-    s = t.obs().filter(F.month("time").between(1, 3)).groupBy("loc_id", F.year("time").alias("year")).agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
-    s = s.filter("n = 3")
-    years = s.agg(F.countDistinct("year").alias("years"))
-    whole = s.groupBy("loc_id").agg(F.count(F.lit(1)).alias("held")).join(F.broadcast(years), F.col("held") == F.col("years")).select("loc_id")
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        wide = f.pivot(index="year", columns="loc_id", values="value")
-        k = min(3, wide.shape[1])
-        load = models.factors(models.scaled(wide.to_numpy(float)), k, "varimax")[0] if wide.shape[1] > 1 else np.zeros((wide.shape[1], 0))
-        return pd.DataFrame([(c, j, load[i, j]) for i, c in enumerate(wide.columns) for j in range(load.shape[1])], columns=["loc_id", "component", "value"])
-
-    scores = s.join(whole, "loc_id", "left_semi").groupBy(F.lit(1).alias("model")).applyInPandas(run, "loc_id string, component int, value double")
-    held = scores.join(t.geo(), "loc_id").groupBy("component").agg(F.collect_list(F.struct("lon", "lat", "value")).alias("_s"))
-    dist = lambda x: F.hypot(x["lon"] - F.col("lon"), x["lat"] - F.col("lat"))
-    inverse = lambda x: 1 / F.greatest(dist(x), F.lit(1e-9))
-    each = _mesh(spark).join(F.broadcast(held), how="cross")
-    value = F.aggregate("_s", F.lit(0.0), lambda a, x: a + inverse(x) * x["value"]) / F.aggregate("_s", F.lit(0.0), lambda a, x: a + inverse(x))
-    grid = each.select("row_idx", "col_idx", "component", value.alias("value")).groupBy("row_idx", "col_idx").agg(F.sort_array(F.collect_list(F.struct("component", "value"))).alias("f"))
-    grid = grid.select("row_idx", "col_idx", F.col("f.value").alias("features"))
-    if grid.isEmpty():
-        return grid.select("row_idx", "col_idx", F.lit(None).cast("int").alias("zone"))
-    return models.kmeans_zones(grid).select("row_idx", "col_idx", "zone")

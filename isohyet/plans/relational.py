@@ -40,10 +40,13 @@ def index_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("union_multi_source", "select btrim(regexp_replace(trim(loc_id), '[^0-9a-zA-Z]+', '_', 'g'), '_') as loc_id, cast(time as varchar) as time, value from obs union all select 'ZONE_' || loc_id, cast(time as varchar), value from zone_obs".replace("btrim", "trim"))
 def union_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Station tables as text with a sentinel, merged and read as series."""
     t = Tables(spark, sf_dir)
-    zones = t.zone_obs().withColumn("loc_id", F.concat(F.lit("zone "), "loc_id"))
-    both = t.obs().unionByName(zones).withColumn("loc_id", F.when(F.col("loc_id").startswith("zone "), F.upper(txt.fix_name(F.col("loc_id")))).otherwise(txt.fix_name(F.col("loc_id"))))
-    return rounded(both.withColumn("value", clean.without_sentinel(F.col("value"), -9999)).na.drop(subset=["value"]))
+    zones = t.zone_obs().withColumn("loc_id", F.concat(F.lit("ZONE "), "loc_id"))
+    text = lambda d: d.groupBy("loc_id", F.year("time").alias("Year")).pivot("mon", cal.MONTHS).agg(F.first("value")).na.fill(-9999.0)
+    wide = [text(d.withColumn("mon", F.date_format("time", "MMM"))) for d in (t.obs(), zones)]
+    raw = wide[0].unionByName(wide[1]).select(F.col("loc_id").alias("ID"), F.lit("0").alias("Lat"), F.lit("0").alias("Lon"), F.col("Year").cast("string").alias("Year"), *(F.col(m).cast("string").alias(m) for m in cal.MONTHS))
+    return rounded(src.station_series(src.merged_stations(raw, -9999)).select("loc_id", "time", "value").filter("value is not null"))
 
 
 @query("union_hindcast_forecast", "select loc_id, cast(time as varchar) as time, value, case when year(time) < 2001 then 'hindcast' else 'forecast' end as stream from obs")

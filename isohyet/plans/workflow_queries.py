@@ -43,3 +43,22 @@ def grid_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = t.raw("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("loc_id")).join(t.geo(), "loc_id")
     grid = t.shipped().join(n, "s_nationkey").select(F.trunc("l_shipdate", "MM").alias("time"), "lat", "lon", (F.month("l_shipdate") % 3).alias("lead"), F.col("l_quantity").alias("value"))
     return rounded(GridRequest(1996, 1999, months=(1, 2, 3), box=(-25, -10, 15, 30), lead=1, seasonal=True).apply(grid))
+
+
+@query("zoning_pipeline")
+def zoning_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seasons of stations, factors, interpolation to a grid and clustering into zones; fewer than two stations without
+    gaps give no zones."""
+    t = Tables(spark, sf_dir)
+    spec = wf.ZoningSpec((15, -30, 35, -10), step=2.5, explained=70.0, season="JFM", years=(1993, 1997))
+    try:
+        return wf.zoning(spec, t.obs(), t.geo())["zones"].select("row_idx", "col_idx", "zone")
+    except wf.TooFewStations:
+        return spark.createDataFrame([], "row_idx int, col_idx int, zone int")
+
+
+@query("zoning_data", "sea as (select loc_id, time, sum(value) over r as v, count(value) over r as n from obs window r as (partition by loc_id order by year(time) * 12 + month(time) range between 2 preceding and current row)), s as (select loc_id, year(time) as year, v from sea where n = 3 and month(time) = 3 and year(time) between 1993 and 1997), y as (select count(distinct year) as years from s), w as (select loc_id from s group by 1 having count(*) = (select years from y)) select s.loc_id, s.year, round(s.v, 2) as value from s join w using (loc_id)")
+def zoning_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The season matrix that the zoning starts from: stations with every year."""
+    t = Tables(spark, sf_dir)
+    return rounded(wf.season_matrix(wf.ZoningSpec(season="JFM", years=(1993, 1997)), t.obs(), t.geo())[2], 2)

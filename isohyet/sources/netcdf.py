@@ -1,19 +1,22 @@
-"""Classic NetCDF files (versions 1 and 2) as a long table, one file a row group of tasks.
+"""Classic NetCDF files (versions 1 and 2) as a long table, a slab of times a task, and grids as such files.
 
-Files come through Spark's binaryFile reader, so any file system that Spark reads will do. Each file gives rows
-(file, time, lat, lon, value) of one variable. Coordinates have synonyms; dimensions of size 1 are dropped, others
-refused; the calendars `360`, `360_day` and `standard` are decoded, and times are snapped to day 1.
+Spark's binaryFile reader lists the files; where Arrow knows their file system, tasks read a file's header and then only
+their own times, and else a file whole. Each file gives rows (file, time, lat, lon, value) of one variable. Coordinates
+have synonyms; dimensions of size 1 are dropped, others refused; the calendars `360`, `360_day` and `standard` are
+decoded, and times are snapped to day 1. Grids are written one file a time, by the task that has it.
 """
 
 from __future__ import annotations
 
 import datetime
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from isohyet.sources.tables import COORDINATES, LayoutError
 
@@ -21,6 +24,8 @@ from isohyet.sources.tables import COORDINATES, LayoutError
 TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
 DIMENSION, VARIABLE, ATTRIBUTE = 10, 11, 12
 MISSING = ("_FillValue", "missing_value")
+SLAB_BYTES = 32 << 20
+HEAD_BYTES = 1 << 20  # of a file that are read for its header; coordinates may lie anywhere
 
 
 class _Reader:
@@ -55,33 +60,62 @@ class _Reader:
         return [one() for _ in range(n)]
 
 
+class Header:
+    """Names, shapes and places of a file's variables."""
+
+    def __init__(self, raw: bytes):
+        r = _Reader(raw)
+        self.records = max(0, r.number())
+        dims = r.listed(DIMENSION, lambda: (r.name(), r.number()))
+        attribute = lambda: (r.name(), r.values())
+        r.listed(ATTRIBUTE, attribute)
+
+        def variable():
+            name, ids = r.name(), [r.number() for _ in range(r.number())]
+            attrs = dict(r.listed(ATTRIBUTE, attribute))
+            kind, size = r.number(), r.number()
+            return name, ids, attrs, np.dtype(TYPES[kind]), size, r.number(">q" if r.wide else ">i")
+
+        found = r.listed(VARIABLE, variable)
+        growing = {i for i, (_, n) in enumerate(dims) if n == 0}
+        self.step = sum(v[4] for v in found if v[1] and v[1][0] in growing)
+        self.variables = {}
+        for name, ids, attrs, dtype, _, begin in found:
+            shape = [self.records if i in growing else dims[i][1] for i in ids]
+            self.variables[name] = ([dims[i][0] for i in ids], shape, attrs, dtype, begin, bool(ids) and ids[0] in growing)
+
+    def values(self, name: str, read, first: int = 0, last: int | None = None) -> np.ndarray:
+        """A variable's values, or those of a range of its first dimension; read(place, size) gives bytes of the file."""
+        _, shape, _, dtype, begin, growing = self.variables[name]
+        rows = shape[0] if shape else 1
+        last = rows if last is None else min(last, rows)
+        n = int(np.prod(shape[1:], dtype=int))
+        if growing:
+            parts = [np.frombuffer(read(begin + k * self.step, n * dtype.itemsize), dtype, n) for k in range(first, last)]
+            data = np.stack(parts) if parts else np.zeros((0, n), dtype)
+        else:
+            data = np.frombuffer(read(begin + first * n * dtype.itemsize, (last - first) * n * dtype.itemsize), dtype, (last - first) * n)
+        return data.reshape([last - first, *shape[1:]] if shape else [])
+
+
+def header(read) -> Header:
+    """The header of a file, from as many bytes as it takes."""
+    size = HEAD_BYTES
+    while True:
+        raw = read(0, size)
+        try:
+            return Header(raw)
+        except (struct.error, ValueError, IndexError) as e:
+            if isinstance(e, LayoutError) or len(raw) < size:
+                raise
+            size *= 4
+
+
 def parse(raw: bytes) -> dict[str, tuple[list[str], np.ndarray, dict]]:
     """name -> (dimensions, values, attributes) of all variables."""
-    r = _Reader(raw)
-    records = max(0, r.number())
-    dims = r.listed(DIMENSION, lambda: (r.name(), r.number()))
-    attribute = lambda: (r.name(), r.values())
-    r.listed(ATTRIBUTE, attribute)
-
-    def variable():
-        name, ids = r.name(), [r.number() for _ in range(r.number())]
-        attrs = dict(r.listed(ATTRIBUTE, attribute))
-        kind, size = r.number(), r.number()
-        return name, ids, attrs, np.dtype(TYPES[kind]), size, r.number(">q" if r.wide else ">i")
-
-    found = r.listed(VARIABLE, variable)
-    growing = {i for i, (_, n) in enumerate(dims) if n == 0}
-    step = sum(v[4] for v in found if v[1] and v[1][0] in growing)
-    out = {}
-    for name, ids, attrs, dtype, _, begin in found:
-        shape = [records if i in growing else dims[i][1] for i in ids]
-        if ids and ids[0] in growing:
-            n = int(np.prod(shape[1:], dtype=int))
-            data = np.stack([np.frombuffer(raw, dtype, n, begin + k * step) for k in range(records)]) if records else np.zeros((0, n), dtype)
-        else:
-            data = np.frombuffer(raw, dtype, int(np.prod(shape, dtype=int)), begin)
-        out[name] = ([dims[i][0] for i in ids], data.reshape(shape), attrs)
-    return out
+    h = Header(raw)
+    read = lambda at, n: raw[at : at + n]
+    return {name: (v[0], h.values(name, read), v[2]) for name, v in h.variables.items()}
 
 
 def decode_time(values: np.ndarray, units: str, calendar: str = "standard") -> list[datetime.date | None]:
@@ -104,62 +138,178 @@ def decode_time(values: np.ndarray, units: str, calendar: str = "standard") -> l
     return out
 
 
-def grid_rows(raw: bytes, variable: str) -> pd.DataFrame:
-    """Rows (time, lat, lon, value) of one variable of a file."""
-    found = parse(raw)
-    if variable not in found:
+def _plan(h: Header, variable: str) -> tuple[list[str], list[str], int, int]:
+    """Dimensions of a variable and what they are to us, its number of times and the bytes of a time."""
+    if variable not in h.variables:
         raise LayoutError(f"the file has no variable {variable}")
     own = {other: name for name, others in COORDINATES.items() for other in others}
-    dims, data, attrs = found[variable]
+    dims, shape, _, dtype, _, _ = h.variables[variable]
     named = [own.get(d, d) for d in dims]
-    extra = [i for i, d in enumerate(named) if d not in COORDINATES]
-    if any(data.shape[i] != 1 for i in extra) or {"time", "lat", "lon"} - set(named):
+    if any(n != 1 for d, n in zip(named, shape, strict=True) if d not in COORDINATES) or {"time", "lat", "lon"} - set(named):
         raise LayoutError("the variable needs time, lat and lon, and other dimensions of size 1 only")
-    data = np.squeeze(data, tuple(extra)).astype(float)
-    kept = [(d, n) for d, n in zip(dims, named, strict=True) if n in COORDINATES]
-    data = np.transpose(data, [[n for _, n in kept].index(x) for x in ("time", "lat", "lon")])
+    times = shape[named.index("time")]
+    return dims, named, times, int(np.prod(shape, dtype=int)) // max(1, times) * dtype.itemsize
+
+
+def slab(h: Header, read, variable: str, first: int = 0, last: int | None = None) -> pd.DataFrame:
+    """Rows (time, lat, lon, value) of a range of times of one variable."""
+    dims, named, n, _ = _plan(h, variable)
+    last = n if last is None else min(n, last)
+    lead = named[0] == "time"  # else the whole variable is read, and cut
+    data = h.values(variable, read, first, last) if lead else h.values(variable, read)
+    attrs = h.variables[variable][2]
+    data = np.squeeze(data, tuple(i for i, d in enumerate(named) if d not in COORDINATES)).astype(float)
+    kept = [(d, x) for d, x in zip(dims, named, strict=True) if x in COORDINATES]
+    data = np.transpose(data, [[x for _, x in kept].index(y) for y in ("time", "lat", "lon")])
+    data = data if lead else data[first:last].copy()
     for name in MISSING:
         if name in attrs:
             data[np.isclose(data, float(np.ravel(attrs[name])[0]))] = np.nan
-    raw_name = {n: d for d, n in kept}
-    times_attrs = found[raw_name["time"]][2]
-    times = decode_time(found[raw_name["time"]][1], times_attrs.get("units", ""), times_attrs.get("calendar", "standard"))
-    lat, lon = (found[raw_name[x]][1].astype(float) for x in ("lat", "lon"))
+    raw_name = {x: d for d, x in kept}
+    of_time = h.variables[raw_name["time"]][2]
+    times = decode_time(h.values(raw_name["time"], read)[first:last], of_time.get("units", ""), of_time.get("calendar", "standard"))
+    lat, lon = (h.values(raw_name[x], read).astype(float) for x in ("lat", "lon"))
     t, y, x = (a.ravel() for a in np.meshgrid(np.arange(len(times)), lat, lon, indexing="ij"))
-    frame = pd.DataFrame({"time": [times[i] for i in t], "lat": y, "lon": x, "value": data.ravel()})
+    frame = pd.DataFrame({"time": np.array(times, object)[t] if len(times) else [], "lat": y, "lon": x, "value": data.ravel()})
     return frame[frame["time"].notna()].assign(value=lambda f: f["value"].where(f["value"].notna(), None))
 
 
-def read(spark: SparkSession, path: str, variable: str) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def grid_rows(raw: bytes, variable: str) -> pd.DataFrame:
+    """Rows (time, lat, lon, value) of one variable of a file."""
+    return slab(Header(raw), lambda at, n: raw[at : at + n], variable)
+
+
+def _opened(path: str):
+    """A reader of ranges of a file on any file system that Arrow knows; None on others."""
+    from pyarrow import fs
+
+    try:
+        system, name = fs.FileSystem.from_uri(path)
+        f = system.open_input_file(name)
+    except (ValueError, NotImplementedError, OSError):
+        return None
+
+    def read(at: int, n: int) -> bytes:
+        f.seek(at)
+        return f.read(n)
+
+    return read
+
+
+def read(spark: SparkSession, path: str, variable: str, slab_bytes: int = SLAB_BYTES) -> DataFrame:
+    """(file, time, lat, lon, value): each file is cut into slabs of times that are read by tasks of their own."""
+    schema = "file string, time date, lat double, lon double, value double"
+    files = spark.read.format("binaryFile").load(path)
+
+    def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name in f["path"]:
+                got = _opened(name)
+                if got is None:
+                    yield pd.DataFrame({"path": [name], "first": [-1], "last": [-1]})
+                    continue
+                _, _, n, size = _plan(header(got), variable)
+                starts = np.arange(0, n, max(1, slab_bytes // max(1, size)))
+                yield pd.DataFrame({"path": name, "first": starts, "last": np.append(starts[1:], n)[: len(starts)]})
+
+    slabs = files.select("path").mapInPandas(plan, "path string, first long, last long")
+    parts = max(1, min(slabs.count(), 100_000))
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, first, last in zip(f["path"], f["first"], f["last"], strict=True):
+                got = _opened(name)
+                yield slab(header(got), got, variable, int(first), int(last)).assign(file=name)[["file", "time", "lat", "lon", "value"]]
+
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for name, raw in zip(f["path"], f["content"], strict=True):
                 yield grid_rows(raw, variable).assign(file=name)[["file", "time", "lat", "lon", "value"]]
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, time date, lat double, lon double, value double")
+    ranges = slabs.filter("first >= 0").repartition(parts, "path", "first").mapInPandas(rows, schema)
+    hidden = slabs.filter("first < 0").select("path").distinct()
+    if hidden.isEmpty():
+        return ranges
+    return ranges.unionByName(files.join(hidden, "path", "left_semi").select("path", "content").mapInPandas(whole, schema))
 
 
-def write_bytes(times: list[float], units: str, lat: np.ndarray, lon: np.ndarray, name: str, data: np.ndarray, calendar: str = "standard") -> bytes:
-    """A classic file of one variable over time, lat and lon, for exchange with other tools."""
+def variables(spark: SparkSession, path: str) -> list[str]:
+    """The names of a file's variables that are no coordinates."""
+    known = {x for others in COORDINATES.values() for x in others}
+
+    def names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for raw in f["content"]:
+                yield pd.DataFrame({"name": [v for v in Header(raw).variables if v not in known]}, dtype=object)
+
+    found = spark.read.format("binaryFile").load(path).limit(1).select("content").mapInPandas(names, "name string")
+    return [r["name"] for r in found.collect()]
+
+
+def encode(times: list[float], units: str, lat: np.ndarray, lon: np.ndarray, layers: dict[str, tuple[np.ndarray, dict]], calendar: str = "standard", names: tuple[str, str, str] = ("time", "lat", "lon")) -> bytes:
+    """A classic file of variables over time, lat and lon: doubles, or bytes where the data are; NaN is the fill value."""
+    codes = {np.dtype(t): k for k, t in TYPES.items()}
 
     def text(s: str) -> bytes:
         b = s.encode()
         return struct.pack(">i", len(b)) + b + b"\0" * (-len(b) % 4)
 
-    def attrs(items: dict[str, str]) -> bytes:
+    def attrs(items: dict) -> bytes:
         if not items:
             return struct.pack(">ii", 0, 0)
-        body = b"".join(text(k) + struct.pack(">i", 2) + text(v) for k, v in items.items())
-        return struct.pack(">ii", ATTRIBUTE, len(items)) + body
+        value = lambda v: struct.pack(">i", 2) + text(v) if isinstance(v, str) else struct.pack(">iid", 6, 1, v)
+        return struct.pack(">ii", ATTRIBUTE, len(items)) + b"".join(text(k) + value(v) for k, v in items.items())
 
-    dims = [("time", len(times)), ("lat", len(lat)), ("lon", len(lon))]
-    parts = [("time", [0], {"units": units, "calendar": calendar}, np.asarray(times, ">f8")), ("lat", [1], {}, np.asarray(lat, ">f8")), ("lon", [2], {}, np.asarray(lon, ">f8")), (name, [0, 1, 2], {}, np.asarray(data, ">f8"))]
-    head = b"CDF\x01" + struct.pack(">i", 0) + struct.pack(">ii", DIMENSION, 3) + b"".join(text(n) + struct.pack(">i", s) for n, s in dims) + attrs({}) + struct.pack(">ii", VARIABLE, len(parts))
-    fixed = [text(n) + struct.pack(">i", len(i)) + struct.pack(f">{len(i)}i", *i) + attrs(a) + struct.pack(">ii", 6, v.nbytes) for n, i, a, v in parts]
+    of_axis = [{"units": units, "calendar": calendar, "axis": "T", "standard_name": "time"}, {"units": "degrees_north", "axis": "Y", "standard_name": "latitude"}, {"units": "degrees_east", "axis": "X", "standard_name": "longitude"}]
+    parts = [(name, [i], a, np.asarray(v, ">f8")) for i, (name, v, a) in enumerate(zip(names, (times, lat, lon), of_axis, strict=True))]
+    for name, (data, own) in layers.items():
+        data = np.asarray(data)
+        small = data.dtype == np.int8
+        parts.append((name, [0, 1, 2], own if small else {"_FillValue": float("nan")} | own, data if small else data.astype(">f8")))
+    head = b"CDF\x01" + struct.pack(">i", 0) + struct.pack(">ii", DIMENSION, 3) + b"".join(text(n) + struct.pack(">i", len(v)) for n, _, _, v in parts[:3]) + attrs({}) + struct.pack(">ii", VARIABLE, len(parts))
+    size = lambda v: -(-v.nbytes // 4) * 4
+    fixed = [text(n) + struct.pack(">i", len(i)) + struct.pack(f">{len(i)}i", *i) + attrs(a) + struct.pack(">ii", codes[v.dtype], size(v)) for n, i, a, v in parts]
     begin = len(head) + sum(len(f) + 4 for f in fixed)
     body = b""
     for f, (_, _, _, v) in zip(fixed, parts, strict=True):
         head += f + struct.pack(">i", begin + len(body))
-        body += v.tobytes()
+        body += v.tobytes() + b"\0" * (size(v) - v.nbytes)
     return head + body
+
+
+def write_bytes(times: list[float], units: str, lat: np.ndarray, lon: np.ndarray, name: str, data: np.ndarray, calendar: str = "standard") -> bytes:
+    """A classic file of one variable over time, lat and lon."""
+    return encode(times, units, lat, lon, {name: (data, {})}, calendar)
+
+
+def write(df: DataFrame, folder: str, overwrite: bool = True) -> DataFrame:
+    """Write a grid (time, lat, lon, and columns of numbers) as one file a time; returns (path, cells).
+
+    A time's grid must fit into a task. Files get a name of their own and are then renamed, so a repeated task does no
+    harm. Where overwrite is off, a time whose file is there is left as it is."""
+    columns = [c for c, t in df.dtypes if c not in ("time", "lat", "lon") and t in ("tinyint", "smallint", "int", "bigint", "float", "double")]
+    kinds = dict(df.dtypes)
+    folder = folder if "://" in folder else f"file://{folder}"
+
+    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(folder)
+        path = f"{at}/{key[0]:%Y%m}.nc"
+        if overwrite or system.get_file_info(path).type == fs.FileType.NotFound:
+            lat, lon = np.unique(f["lat"]), np.unique(f["lon"])
+            layers = {}
+            for c in columns:
+                small = kinds[c] == "tinyint"
+                data = np.zeros((1, len(lat), len(lon)), np.int8) if small else np.full((1, len(lat), len(lon)), np.nan)
+                data[0, np.searchsorted(lat, f["lat"]), np.searchsorted(lon, f["lon"])] = f[c].fillna(0).astype(np.int8) if small else f[c].astype(float)
+                layers[c] = (data, {})
+            system.create_dir(at, recursive=True)
+            own = f"{path}.{uuid.uuid4().hex}.part"
+            with system.open_output_stream(own) as out:
+                out.write(encode([0], f"months since {key[0]:%Y-%m-%d}", lat, lon, layers))
+            system.move(own, path)
+        return pd.DataFrame({"path": [f"{folder}/{key[0]:%Y%m}.nc"], "cells": [len(f)]})
+
+    done = df.select("time", "lat", "lon", *columns).groupBy("time").applyInPandas(one, "path string, cells long")
+    return df.sparkSession.createDataFrame(done.collect(), "path string, cells long")  # a row a time

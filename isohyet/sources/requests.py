@@ -69,6 +69,14 @@ def relabelled(df: DataFrame, months: int = -1) -> DataFrame:
     return df.withColumn("time", F.add_months("time", months))
 
 
+def from_mid_season(df: DataFrame, seasonal: bool = True) -> DataFrame:
+    """Remote seasons are labelled by their middle month: data of a season begin one month before its label and end one
+    month after it. Labels become first months, and `last_time` the season's last month; monthly data keep theirs."""
+    start = F.trunc("time", "MM")
+    first, last = (F.add_months(start, -1), F.add_months(start, 1)) if seasonal else (start, start)
+    return df.withColumn("last_time", last).withColumn("time", first)
+
+
 def fetch(spark: SparkSession, path: str, request: GridRequest, out: str, overwrite: bool = False) -> DataFrame:
     """The answer to a request, kept at `out`; an answer that is there is not made again unless asked."""
     request.apply(spark.read.parquet(path)).write.mode("overwrite" if overwrite else "ignore").parquet(out)

@@ -96,11 +96,47 @@ def read_index_text(spark: SparkSession, path: str) -> DataFrame:
     return parse_index_lines(spark.read.text(path))
 
 
+#: The letters of ISO-8859-9 that differ from ISO-8859-1, which Spark reads, and those of the latter.
+LATIN_5, LATIN_1 = "ĞİŞğış", "ÐÝÞðýþ"
+
+
+def merged_stations(raw: DataFrame, missing: float) -> DataFrame:
+    """Station rows (ID, Lat, Lon, Year, Jan, ..., Dec) of many files, all cells as text, cleaned: a cell that is the
+    sentinel as a number is null, however it is written; rows without any monthly value go; IDs become plain names."""
+    cell = lambda c: F.when(F.coalesce(F.col(c).try_cast("double") == float(missing), F.lit(False)), None).otherwise(F.col(c))
+    months = [c for c in raw.columns if c in MONTHS]
+    cleaned = raw.select(*(cell(f"`{c}`").alias(c) if c in months else F.col(f"`{c}`") for c in raw.columns))
+    return cleaned.filter(F.coalesce(*months).isNotNull()).withColumn("ID", fix_name(F.col("ID"))) if months else cleaned.withColumn("ID", fix_name(F.col("ID")))
+
+
 def read_stations_union(spark: SparkSession, paths: list[str], missing: float) -> DataFrame:
-    """Many station files as one: Latin text, all values as text, a sentinel as null, rows without a value left out."""
-    raw = spark.read.csv(paths, header=True, encoding="ISO-8859-9")
-    clean = raw.select(*(F.nullif(F.col(f"`{c}`"), F.lit(str(float(missing)))).alias(c) for c in raw.columns)).na.drop("all")
-    return clean.withColumn("ID", fix_name(F.col("ID")))
+    """Many station files in ISO-8859-9 with the same header as one table of text, see merged_stations."""
+    raw = spark.read.csv(paths, header=True, encoding="ISO-8859-1")
+    return merged_stations(raw.select(*(F.translate(F.col(f"`{c}`"), LATIN_1, LATIN_5).alias(c) for c in raw.columns)), missing)
+
+
+def station_series(merged: DataFrame, mask_negative: bool = True) -> DataFrame:
+    """(loc_id, lat, lon, time, value) of merged station rows: of several rows of a station and year the first in the
+    order of their values counts; cells that aren't numbers are null."""
+    numbers = merged.select("ID", *(F.col(c).cast("string").try_cast("double").alias(c) for c in ("Lat", "Lon")), F.col("Year").cast("string").try_cast("int").alias("Year"), *(F.col(c).cast("string").try_cast("double").alias(c) for c in MONTHS))
+    one = numbers.groupBy("ID", "Year").agg(F.min(F.struct("Lat", "Lon", *MONTHS)).alias("_r")).select("ID", "Year", "_r.*")
+    return months_to_rows(one, mask_negative=mask_negative)
+
+
+def variables(spark: SparkSession, path: str) -> list[str]:
+    """What a file offers as variables: columns of a station table beside its keys, the stem of an index table, the
+    attributes of a map, or the data variables of a NetCDF file."""
+    stem = path.rstrip("/").rpartition("/")[2]
+    kind = stem.rpartition(".")[2].lower()
+    if kind in ("geojson", "json"):
+        return attributes(read_geojson(spark, path))
+    if kind == "nc":
+        from isohyet.sources import netcdf
+
+        return netcdf.variables(spark, path)
+    if kind == "csv":
+        return [stem.rpartition(".")[0].split("_")[0]]
+    raise LayoutError(f"{stem}: only csv, nc, json and geojson files are known")
 
 
 def explode_features(collection: DataFrame, column: str = "value") -> DataFrame:
@@ -119,10 +155,17 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return explode_features(spark.read.text(path, wholetext=True))
 
 
-def feature_collection(features: DataFrame, properties: str = "properties", geometry: str = "geometry") -> DataFrame:
-    """One GeoJSON text of features: properties MAP and geometry as GeoJSON text. Zones are few by nature."""
-    one = F.format_string('{"type":"Feature","properties":%s,"geometry":%s}', F.to_json(properties), F.col(geometry))
-    return features.agg(F.format_string('{"type":"FeatureCollection","features":[%s]}', F.array_join(F.array_sort(F.collect_list(one)), ",")).alias("value"))
+def feature_lines(features: DataFrame, properties: str = "properties", geometry: str = "geometry") -> DataFrame:
+    """One GeoJSON feature a row, from properties MAP and geometry as GeoJSON text: newline-delimited GeoJSON, of any size."""
+    return features.select(F.format_string('{"type":"Feature","properties":%s,"geometry":%s}', F.to_json(properties), F.col(geometry)).alias("value"))
+
+
+def feature_collection(features: DataFrame, properties: str = "properties", geometry: str = "geometry", most: int = 100_000) -> DataFrame:
+    """One GeoJSON text of up to `most` features - a single row, made in one task; of more, write feature_lines."""
+    lines = feature_lines(features, properties, geometry)
+    if lines.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} features in one document; write them as lines")
+    return lines.agg(F.format_string('{"type":"FeatureCollection","features":[%s]}', F.array_join(F.array_sort(F.collect_list("value")), ",")).alias("value"))
 
 
 def attributes(df: DataFrame, column: str = "properties") -> list[str]:
@@ -130,11 +173,52 @@ def attributes(df: DataFrame, column: str = "properties") -> list[str]:
     return list(first[0]) if first else []
 
 
-def write_forecast(outputs: dict[str, DataFrame], root: str, season: str, predictor: str, target: str, model: str, overwrite: bool = True) -> None:
-    """The result tables of a forecast, rounded to two places (skill as it is), below one folder a model."""
+KINDS = ("parquet", "csv", "netcdf")
+
+
+def write_output(df: DataFrame, path: str, kind: str = "parquet", overwrite: bool = True) -> None:
+    """A result in the form of its kind: parquet; CSV with a header, for stations and zones; or NetCDF, for grids with lat
+    and lon, one file a time. Where overwrite is off, a result that is there stays."""
+    mode = "overwrite" if overwrite else "ignore"
+    if kind == "netcdf":
+        from isohyet.sources import netcdf
+
+        netcdf.write(df, path, overwrite=overwrite)
+    elif kind == "csv":
+        df.write.mode(mode).option("header", True).csv(path)
+    elif kind == "parquet":
+        df.write.mode(mode).parquet(path)
+    else:
+        raise ValueError(f"unknown kind {kind}; one of {', '.join(KINDS)}")
+
+
+def write_forecast(outputs: dict[str, DataFrame], root: str, season: str, predictor: str, target: str, model: str, overwrite: bool = True, kind: str = "parquet", points: DataFrame | None = None) -> None:
+    """The result tables of a forecast, rounded to two places (skill as it is), below one folder a model.
+
+    As NetCDF, tables with a time need the points (loc_id, lat, lon) of the grid; others become CSV."""
     for name, df in outputs.items():
         rounded = df if name == "skill" else df.select(*(F.bround(c, 2).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-        rounded.write.mode("overwrite" if overwrite else "ignore").parquet(f"{root}/{season}/{predictor}/{target}/{model}/output/{name}")
+        grid = kind == "netcdf" and points is not None and "time" in df.columns
+        rounded = rounded.join(points, "loc_id").drop("loc_id") if grid else rounded
+        write_output(rounded, f"{root}/{season}/{predictor}/{target}/{model}/output/{name}", kind if grid or kind != "netcdf" else "csv", overwrite)
+
+
+def write_verification(layers: DataFrame, points: DataFrame, root: str, season: str, years: str, dataset: str, kind: str = "csv", overwrite: bool = True) -> str:
+    """All layers of a verification by location: CSV with a column a layer, or NetCDF with a variable a layer."""
+    path = f"{root}/maps_verification_{season}-{years}_{dataset}"
+    placed = layers.join(points.select("loc_id", "lat", "lon"), "loc_id")
+    write_output(placed.drop("loc_id", "zone_id") if kind == "netcdf" else placed.drop("time"), path, kind, overwrite)
+    return path
+
+
+def write_zoning(outputs: dict[str, DataFrame], points: DataFrame, root: str, rotation: str, overwrite: bool = True) -> None:
+    """The tables of a zoning as CSV - seasons by station, components before and after rotation with their places - and
+    the zones as a NetCDF raster of bytes."""
+    write_output(outputs["data"], f"{root}/data", "csv", overwrite)
+    for name, key in (("components", "components"), (f"components_{rotation}", "components_rotated")):
+        write_output(outputs[key].withColumnRenamed("loc_id", "station").join(points.select(F.col("loc_id").alias("station"), F.col("lat").alias("Lat"), F.col("lon").alias("Lon")), "station"), f"{root}/{name}", "csv", overwrite)
+    zones = outputs["zones"].select(F.current_date().alias("time"), "lat", "lon", F.col("zone").cast("byte").alias("Zones"))
+    write_output(zones, f"{root}/izones", "netcdf", overwrite)
 
 
 def load_config(path: str, defaults: dict) -> dict:

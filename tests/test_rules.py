@@ -140,7 +140,7 @@ def test_probabilities_and_scores(spark):
         event = [r[f"p_{c}"] for r in rows_p if r["obs_class"] == k]
         rest = [r[f"p_{c}"] for r in rows_p if r["obs_class"] != k]
         want = np.mean([(a > b) + 0.5 * (a == b) for a in event for b in rest])
-        assert probability.auc(p, f"p_{c}", k).first()["auc"] == pytest.approx(want)
+        assert probability.roc(p).first()[f"roc_{c}"] == pytest.approx(want)
     third = p.withColumns({f"p_{c}": F.lit(1.0) / 3 for c in probability.CLASSES})
     assert probability.rpss(third).first()["rpss"] == pytest.approx(0)
 
@@ -168,11 +168,9 @@ def test_models():
     for name, predict in models.REGRESSORS.items():
         error = np.mean((predict(x[:30], y[:30], x[30:]) - y[30:]) ** 2)
         assert error < np.var(y[30:]), name
-    assert models.canonical(x, x @ rng.normal(size=(3, 3)))[0] == pytest.approx(1)
-    load = rng.normal(size=(8, 2))
-    for kind in ("varimax", "quartimax"):
-        r = models.rotated(load, kind)
-        assert (r**2).sum(1) == pytest.approx((load**2).sum(1))
+    assert models.ridge_predict(x[:30], y[:30], x[30:], 0.0) == pytest.approx(models.ols_predict(x[:30], y[:30], x[30:]))
+    assert models.lasso_predict(x[:30], y[:30], x[30:], 0.0) == pytest.approx(models.ols_predict(x[:30], y[:30], x[30:]))
+    assert np.ptp(models.lasso_predict(x[:30], y[:30], x[30:], 50.0)) == 0
     assert models.elbow([(1, 100.0), (2, 20.0), (3, 15.0), (4, 10.0)]) == 2
 
 
@@ -217,6 +215,116 @@ def test_netcdf(spark, tmp_path):
     assert netcdf.decode_time(np.array([59.0]), "days since 2001-01-01", "360_day") == [None]
 
 
+def test_netcdf_by_slabs_and_back(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(30, 4, 5))
+    data[3, 1, 2] = np.nan
+    lat, lon = np.arange(4) * 0.25 - 1, np.arange(5) * 0.5 + 30
+    (tmp_path / "big.nc").write_bytes(netcdf.write_bytes(list(range(30)), "months since 1999-01-01", lat, lon, "pr", data))
+    whole = netcdf.read(spark, str(tmp_path / "big.nc"), "pr")
+    cut = netcdf.read(spark, str(tmp_path / "big.nc"), "pr", slab_bytes=500)
+    assert cut.rdd.getNumPartitions() >= 10 > whole.rdd.getNumPartitions()
+    key = lambda d: sorted(map(str, map(tuple, d.select("time", "lat", "lon", "value").collect())))
+    assert key(whole) == key(cut) and cut.count() == data.size and cut.filter("value is null").count() == 1
+    grid = cut.filter("month(time) = 2").select("time", "lat", "lon", "value", F.lit(7).cast("byte").alias("zone"))
+    files = netcdf.write(grid, str(tmp_path / "out")).collect()
+    assert len(files) == 3 and {r["cells"] for r in files} == {20} and netcdf.variables(spark, files[0]["path"]) == ["value", "zone"]
+    assert key(netcdf.read(spark, str(tmp_path / "out"), "value")) == key(grid)
+    assert {r["value"] for r in netcdf.read(spark, str(tmp_path / "out"), "zone").collect()} == {7.0}
+    assert netcdf.read(spark, str(tmp_path / "out"), "value").filter("value is null").count() == grid.filter("value is null").count()
+    with pytest.raises(tables.LayoutError):
+        netcdf.grid_rows((tmp_path / "big.nc").read_bytes(), "none")
+
+
+def test_output_kinds(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1.5, 2), ("b", None, 3)], "loc_id string, value double, n int")
+    tables.write_output(rows, str(tmp_path / "c"), "csv")
+    assert sorted(map(tuple, spark.read.csv(str(tmp_path / "c"), header=True, schema=rows.schema).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    tables.write_output(rows.limit(0), str(tmp_path / "c"), "csv", overwrite=False)
+    assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 2
+    with pytest.raises(ValueError):
+        tables.write_output(rows, str(tmp_path / "d"), "xls")
+    points = spark.createDataFrame([("a", 1.0, 10.0), ("b", 2.0, 20.0)], "loc_id string, lat double, lon double")
+    layers = rows.select("loc_id", F.lit("z").alias("zone_id"), F.lit(datetime.date(2001, 3, 1)).alias("time"), F.col("value").alias("obs_value"), F.col("n").alias("fcst_cemcat"))
+    path = tables.write_verification(layers, points, str(tmp_path), "JFM", "2001", "obs")
+    got = spark.read.csv(path, header=True, inferSchema=True)
+    assert got.columns == ["loc_id", "zone_id", "obs_value", "fcst_cemcat", "lat", "lon"] and got.count() == 2
+    path = tables.write_verification(layers, points, str(tmp_path / "nc"), "JFM", "2001", "obs", kind="netcdf")
+    assert sorted((r["lat"], r["value"]) for r in netcdf.read(spark, path, "fcst_cemcat").filter("value is not null").collect()) == [(1.0, 2.0), (2.0, 3.0)]
+    assert tables.variables(spark, str(tmp_path / "pr_chirps.csv")) == ["pr"]
+
+
+def test_merged_station_files(spark, tmp_path):
+    head = "ID,Lat,Lon,Year," + ",".join(cal.MONTHS)
+    line = lambda name, year, cells: f"{name},40,30,{year}," + ",".join(cells)
+    one = [line("Iğdır Şehir", 2000, ["1"] * 11 + ["-999"]), line("Iğdır Şehir", 2001, ["-999.0"] * 6 + ["-999"] * 6)]
+    two = [line("İzmir-1", 2000, [str(i) for i in range(12)]), line("İzmir-1", 2000, ["x"] + [str(i + 1) for i in range(11)])]
+    for name, lines in (("one", one), ("two", two)):
+        (tmp_path / f"{name}.csv").write_bytes("\n".join([head, *lines]).encode("iso-8859-9"))
+    paths = [str(tmp_path / f"{n}.csv") for n in ("one", "two")]
+    raw = spark.read.csv(paths, header=True, encoding="ISO-8859-1")
+    letters = raw.select(F.translate("ID", tables.LATIN_1, tables.LATIN_5).alias("ID"))
+    assert {r["ID"] for r in letters.collect()} == {"Iğdır Şehir", "İzmir-1"}
+    got = tables.read_stations_union(spark, paths, -999)
+    assert sorted((r["ID"], r["Year"], r["Dec"]) for r in got.collect() if r["Jan"] != "x") == [("I_d_r_ehir", "2000", None), ("zmir_1", "2000", "11")]
+    series = tables.station_series(got)
+    assert series.count() == 24 and series.filter("value is null").count() == 2 and {r["lat"] for r in series.collect()} == {40.0}
+
+
+def test_mid_season_labels(spark):
+    from isohyet.sources.requests import from_mid_season
+
+    df = spark.createDataFrame([(datetime.date(2000, 1, 16), 1.0)], "time date, value double")
+    assert tuple(from_mid_season(df).first()) == (datetime.date(1999, 12, 1), 1.0, datetime.date(2000, 2, 1))
+    assert tuple(from_mid_season(df, seasonal=False).first()) == (datetime.date(2000, 1, 1), 1.0, datetime.date(2000, 1, 1))
+
+
+def test_interpolation_by_blocks_and_sizes(spark):
+    rng = np.random.default_rng(3)
+    stations = spark.createDataFrame([(f"s{i}", float(rng.integers(0, 9)), float(rng.integers(0, 9)), float(rng.normal())) for i in range(60)], "loc_id string, lat double, lon double, value double")
+    grid = spatial.mesh(spark, 0, 9, 0, 9, 0.75)
+    one, many = (sorted((r["row_idx"], r["col_idx"], round(r["value"], 9)) for r in spatial.idw(grid, stations, ["row_idx", "col_idx"], most=n).collect()) for n in (1000, 7))
+    assert one == many and len(one) == 169
+    with pytest.raises(ValueError):
+        models.rbf(grid, stations, ["row_idx"], most=10)
+    at = stations.dropDuplicates(["lat", "lon"]).select("loc_id", "lat", "lon", "value")
+    back = {r["loc_id"]: r["value"] for r in models.rbf(at.select("loc_id", "lat", "lon"), at, ["loc_id"]).collect()}
+    assert all(back[r["loc_id"]] == pytest.approx(r["value"], abs=1e-8) for r in at.collect())
+    boxes_ = [(1, "a", 0, 0, 10, 10), (2, "a", 1, 1, 2, 2), (3, "a", 20, 20, 21, 21), (4, "b", 3, 3, 5, 5), (5, "a", 0, 0, 10, 10)]
+    df = spark.createDataFrame([(str(i), z, *map(float, x)) for i, z, *x in boxes_], "poly_id string, zone string, min_x double, min_y double, max_x double, max_y double")
+    assert [r["poly_id"] for r in spatial.small_polygons(df).collect()] == ["2"]
+
+
+def test_points_within_a_polygon_of_many_tiles(spark):
+    rng = np.random.default_rng(6)
+    ring = [(50 + 45 * np.cos(a) * (1 + 0.3 * np.sin(5 * a)), 50 + 45 * np.sin(a) * (1 + 0.3 * np.sin(5 * a))) for a in np.linspace(0, 2 * np.pi, 90, endpoint=False)]
+    edges = spatial.edges_of_rings(spark.createDataFrame([("z", [[{"x": float(x), "y": float(y)} for x, y in ring]])], "zone_id string, rings array<array<struct<x: double, y: double>>>"))
+    points = [(str(i), float(y), float(x)) for i, (x, y) in enumerate(rng.uniform(-10, 110, (400, 2)))]
+
+    def inside(y, x):
+        odd = False
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+        return odd
+
+    got = {r["loc_id"] for r in spatial.within(spark.createDataFrame(points, "loc_id string, lat double, lon double"), edges).collect()}
+    assert got == {n for n, y, x in points if inside(y, x)} and 100 < len(got) < 300
+
+
+def test_principal_components_of_rows(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 6)) @ rng.normal(size=(6, 6)) + 5
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "features array<double>").repartition(5)
+    got = models.gram_pca(df).orderBy("k").collect()
+    assert [r["variance_ratio"] for r in got] == pytest.approx(models.principal(x)[1].tolist())
+    assert models.total_inertia(df) == pytest.approx(((x - x.mean(0)) ** 2).sum())
+    costs = models.kmeans_costs(df, 3)
+    assert [k for k, _ in costs] == [1, 2, 3] and costs[0][1] > costs[1][1] > costs[2][1]
+    assert models.kmeans_costs(spark.createDataFrame([([1.0],)] * 4, "features array<double>")) == [(1, 0.0)]
+    assert models.gram_pca(df.limit(0)).count() == 0
+
+
 def test_config(tmp_path):
     assert tables.load_config(str(tmp_path / "none.json"), {"a": 1}) == {"a": 1}
     tables.save_config(str(tmp_path / "c.json"), {"b": 2})

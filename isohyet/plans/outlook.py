@@ -12,7 +12,8 @@ from isohyet.operators import align, clean, fields, models, probability, season,
 from isohyet.plans.fixtures import CLIMATOLOGY, LEAD, Tables, query, rounded
 from isohyet.plans.scalars import decisions, season_values
 
-FIT_SQL = "m as (select loc_id, count(*) as n, avg(x) as mx, stddev_pop(x) as sx, avg(y) as my, covar_pop(x, y) as c from pairs group by 1), w as (select loc_id, my, c / nullif(sx, 0) as z, n, mx, sx from m)"
+FIT_SQL = """m as (select loc_id, count(*) as n, avg(x) as mx, stddev_pop(x) as sx, avg(y) as my, covar_pop(x, y) as c from pairs
+  group by 1), w as (select loc_id, my, c / nullif(sx, 0) as z, n, mx, sx from m)"""
 
 
 def _standard(name: str, column: str, formula: str) -> None:
@@ -31,7 +32,10 @@ def kfold_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Tables(spark, sf_dir).hcst(), 3)
 
 
-@query("loo_ols", "p as (select loc_id, time, x, y, row_number() over (partition by loc_id order by time) as k from pairs), f as (select a.loc_id, b.k, regr_slope(a.y, a.x) as s, regr_intercept(a.y, a.x) as i from p a join p b on a.loc_id = b.loc_id and a.k <> b.k group by 1, 2) select p.loc_id, cast(time as varchar) as time, y, round(i + s * x, 3) as h from p join f on p.loc_id = f.loc_id and p.k = f.k")
+@query("loo_ols", """p as (select loc_id, time, x, y, row_number() over (partition by loc_id order by time) as k from pairs),
+  f as (select a.loc_id, b.k, regr_slope(a.y, a.x) as s, regr_intercept(a.y, a.x) as i from p a
+  join p b on a.loc_id = b.loc_id and a.k <> b.k group by 1, 2) select p.loc_id, cast(time as varchar) as time, y,
+  round(i + s * x, 3) as h from p join f on p.loc_id = f.loc_id and p.k = f.k""")
 def loo_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = Tables(spark, sf_dir).pairs().select("loc_id", "time", "x", "y")
     return rounded(align.out_of_fold_ols(align.leave_one_out(pairs)), 3)
@@ -43,7 +47,9 @@ def insample_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(align.fitted(p, align.standard_fit(p)), 3)
 
 
-@query("standardize_pop", "select loc_id, cast(time as varchar) as time, round((value - avg(value) over (partition by loc_id)) / nullif(stddev_pop(value) over (partition by loc_id), 0), 6) as z from obs")
+@query("standardize_pop", """select loc_id, cast(time as varchar) as time,
+  round((value - avg(value) over (partition by loc_id)) / nullif(stddev_pop(value) over (partition by loc_id), 0), 6) as z
+  from obs""")
 def standardize_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(align.standardized(Tables(spark, sf_dir).obs()).select("loc_id", "time", "z"))
 
@@ -56,7 +62,8 @@ def pcr_component_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, models.component_limit(n, CUMULATIVE)) for n in range(4, 61)], "n long, components long")
 
 
-@query("zoning_component_count", "v(c) as (values " + ", ".join(f"({c})" for c in CUMULATIVE) + "), p as (select unnest([50, 70, 90, 95]) as pev) select cast(pev as bigint) as pev, count(*) filter (where round(c * 100, 1) <= pev) + 1 as components from p, v group by 1")
+@query("zoning_component_count", "v(c) as (values " + ", ".join(f"({c})" for c in CUMULATIVE) + """), p as (select unnest([50, 70, 90, 95]) as pev) select cast(pev as bigint) as pev,
+  count(*) filter (where round(c * 100, 1) <= pev) + 1 as components from p, v group by 1""")
 def zoning_component_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.createDataFrame([(c,) for c in CUMULATIVE], "c double")
     held = [F.count_if(F.round(F.col("c") * 100, 1) <= p).alias(str(p)) for p in (50, 70, 90, 95)]
@@ -64,7 +71,8 @@ def zoning_component_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select(F.col("pev").cast("long").alias("pev"), (F.col("n") + 1).alias("components"))
 
 
-FORECAST_SQL = FIT_SQL + ", nx as (select loc_id, value as x from pred where time = (select max(time) from pred)), fc as (select loc_id, my + z * (x - mx) / nullif(sx, 0) as f from nx join w using (loc_id))"
+FORECAST_SQL = FIT_SQL + """, nx as (select loc_id, value as x from pred where time = (select max(time) from pred)),
+  fc as (select loc_id, my + z * (x - mx) / nullif(sx, 0) as f from nx join w using (loc_id))"""
 
 
 def _forecast(t: Tables, weight: str = "w_ols") -> DataFrame:
@@ -75,7 +83,10 @@ def _forecast(t: Tables, weight: str = "w_ols") -> DataFrame:
     return align.fitted(new, align.standard_fit(t.pairs()), weight).select("loc_id", F.col("h").alias("f"))
 
 
-PROB_FORECAST_SQL = FORECAST_SQL + ", pf as (select f.loc_id, avg(case when e + f < q33 then 1.0 else 0.0 end) as p_below, avg(case when e + f >= q33 and e + f <= q66 then 1.0 else 0.0 end) as p_normal, avg(case when e + f > q66 then 1.0 else 0.0 end) as p_above from fc f join errs using (loc_id) join clim using (loc_id) group by 1)"
+PROB_FORECAST_SQL = FORECAST_SQL + """, pf as (select f.loc_id, avg(case when e + f < q33 then 1.0 else 0.0 end) as p_below,
+  avg(case when e + f >= q33 and e + f <= q66 then 1.0 else 0.0 end) as p_normal,
+  avg(case when e + f > q66 then 1.0 else 0.0 end) as p_above from fc f join errs using (loc_id)
+  join clim using (loc_id) group by 1)"""
 
 
 @query("prob_forecast", PROB_FORECAST_SQL + " select loc_id, round(p_below, 6)::double as p_below, round(p_normal, 6)::double as p_normal, round(p_above, 6)::double as p_above from pf")
@@ -88,7 +99,9 @@ def _hprobs(t: Tables) -> DataFrame:
     return probability.probabilities(t.hcst(), t.thresholds())
 
 
-@query("prob_hindcast", "select loc_id, cast(time as varchar) as time, round(p_below, 6)::double as p_below, round(p_normal, 6)::double as p_normal, round(p_above, 6)::double as p_above, cast(obs_class as bigint) as obs_class from hp")
+@query("prob_hindcast", """select loc_id, cast(time as varchar) as time, round(p_below, 6)::double as p_below,
+  round(p_normal, 6)::double as p_normal, round(p_above, 6)::double as p_above, cast(obs_class as bigint) as obs_class
+  from hp""")
 def prob_hindcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_hprobs(Tables(spark, sf_dir)))
 
@@ -114,11 +127,16 @@ for _name in DET_SQL:
 def _roc_sql(source: str) -> str:
     parts = []
     for k, c in enumerate(probability.CLASSES):
-        parts.append(f"r{k} as (select loc_id, case when obs_class = {k} then 1 else 0 end as o, rank() over (partition by loc_id order by p_{c}) + (count(*) over (partition by loc_id, p_{c}) - 1) / 2.0 as r from {source}), a{k} as (select loc_id, (sum(r * o) - sum(o) * (sum(o) + 1) / 2.0) / nullif(sum(o) * (count(*) - sum(o)), 0) as auc from r{k} group by 1)")
+        parts.append(f"""r{k} as (select loc_id, case when obs_class = {k} then 1 else 0 end as o, rank() over (partition by loc_id
+  order by p_{c}) + (count(*) over (partition by loc_id, p_{c}) - 1) / 2.0 as r from {source}),
+  a{k} as (select loc_id, (sum(r * o) - sum(o) * (sum(o) + 1) / 2.0) / nullif(sum(o) * (count(*) - sum(o)), 0) as auc
+  from r{k} group by 1)""")
     return ", ".join(parts)
 
 
-ROUNDED_PROBS = "rp as (select loc_id, time, round(p_below, 9)::double as p_below, round(p_normal, 9)::double as p_normal, round(p_above, 9)::double as p_above, obs_class from hp), ep as (select loc_id, time, round(p_below, 9) as p_below, round(p_normal, 9) as p_normal, round(p_above, 9) as p_above, obs_class from probs)"
+ROUNDED_PROBS = """rp as (select loc_id, time, round(p_below, 9)::double as p_below, round(p_normal, 9)::double as p_normal,
+  round(p_above, 9)::double as p_above, obs_class from hp), ep as (select loc_id, time, round(p_below, 9) as p_below,
+  round(p_normal, 9) as p_normal, round(p_above, 9) as p_above, obs_class from probs)"""
 
 
 def _rounded_probs(t: Tables, hindcast: bool = True) -> DataFrame:
@@ -126,7 +144,8 @@ def _rounded_probs(t: Tables, hindcast: bool = True) -> DataFrame:
     return rounded(_hprobs(t) if hindcast else t.probs().drop("event_id"), 9).withColumn("obs_class", F.col("obs_class").cast("int"))
 
 
-@query("score_roc", ROUNDED_PROBS + ", " + _roc_sql("rp") + " select a0.loc_id, round(a0.auc, 6)::double as roc_below, round(a1.auc, 6)::double as roc_normal, round(a2.auc, 6)::double as roc_above from a0 join a1 using (loc_id) join a2 using (loc_id)")
+@query("score_roc", ROUNDED_PROBS + ", " + _roc_sql("rp") + """ select a0.loc_id, round(a0.auc, 6)::double as roc_below, round(a1.auc, 6)::double as roc_normal,
+  round(a2.auc, 6)::double as roc_above from a0 join a1 using (loc_id) join a2 using (loc_id)""")
 def score_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(probability.roc(_rounded_probs(Tables(spark, sf_dir))))
 
@@ -174,7 +193,9 @@ HSS_SQL = "(sum(case when f = o then 1 else 0 end) - ne) / nullif(n - ne, 0)"
 
 def _hss_sql(source: str) -> str:
     counts = " + ".join(f"count(*) filter (where f = {k}) * count(*) filter (where obs_class = {k})" for k in range(3))
-    return f"k as (select loc_id, {CLASS_SQL} as f, obs_class from {source}), c as (select loc_id, count(*) filter (where f = obs_class) as nc, count(*) as n, ({counts})::double / count(*) as ne from k group by 1), hss as (select loc_id, (nc - ne) / nullif(n - ne, 0) as hss from c)"
+    return f"""k as (select loc_id, {CLASS_SQL} as f, obs_class from {source}), c as (select loc_id,
+  count(*) filter (where f = obs_class) as nc, count(*) as n, ({counts})::double / count(*) as ne from k group by 1),
+  hss as (select loc_id, (nc - ne) / nullif(n - ne, 0) as hss from c)"""
 
 
 @query("score_hss", _hss_sql("probs") + " select loc_id, round(hss, 6) as hss from hss")
@@ -183,7 +204,10 @@ def score_hss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gain_sql(source: str) -> str:
-    return f"g as (select loc_id, {P_OBS} as p, count(*) over (partition by loc_id, obs_class) * 1.0::double / count(*) over (partition by loc_id) as q from {source}), gain as (select loc_id, avg(log2({BOUNDED.format('p')}) - log2({BOUNDED.format('q')})) as info_gain from g group by 1)"
+    return f"""g as (select loc_id, {P_OBS} as p,
+  count(*) over (partition by loc_id, obs_class) * 1.0::double / count(*) over (partition by loc_id) as q
+  from {source}), gain as (select loc_id, avg(log2({BOUNDED.format('p')}) - log2({BOUNDED.format('q')})) as info_gain
+  from g group by 1)"""
 
 
 @query("score_info_gain", _gain_sql("probs") + " select loc_id, round(info_gain, 6) as info_gain from gain")
@@ -205,7 +229,9 @@ def skill_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(probability.skill_table(t.hcst(), _rounded_probs(t)), 4)
 
 
-CELL = "cell as (select event_id, zone, fcst, obs, case obs when 1 then 1 when 4 then 3 else 2 end as o3, [0.40, 0.35, 0.25, 0.25][fcst]::double as p1, [0.35, 0.40, 0.40, 0.35][fcst]::double as p2, [0.25, 0.25, 0.35, 0.40][fcst]::double as p3 from cats), co as (select *, case o3 when 1 then p1 when 2 then p2 else p3 end as po from cell)"
+CELL = """cell as (select event_id, zone, fcst, obs,
+  case obs when 1 then 1 when 4 then 3 else 2 end as o3, [0.40, 0.35, 0.25, 0.25][fcst]::double as p1, [0.35, 0.40, 0.40, 0.35][fcst]::double as p2, [0.25, 0.25, 0.35, 0.40][fcst]::double as p3
+  from cats), co as (select *, case o3 when 1 then p1 when 2 then p2 else p3 end as po from cell)"""
 
 
 def _cells(t: Tables) -> DataFrame:
@@ -214,7 +240,9 @@ def _cells(t: Tables) -> DataFrame:
     return c.withColumn("po", F.when(F.col("o3") == 1, F.col("p1")).when(F.col("o3") == 2, F.col("p2")).otherwise(F.col("p3")))
 
 
-@query("heidke_hit", CELL + " select event_id, case when po = greatest(p1, p2, p3) then 1.0::double / ((p1 = greatest(p1, p2, p3))::int + (p2 = greatest(p1, p2, p3))::int + (p3 = greatest(p1, p2, p3))::int) else 0.0::double end as hit from co")
+@query("heidke_hit", CELL + """ select event_id,
+  case when po = greatest(p1, p2, p3) then 1.0::double / ((p1 = greatest(p1, p2, p3))::int + (p2 = greatest(p1, p2, p3))::int + (p3 = greatest(p1, p2, p3))::int) else 0.0::double end as hit
+  from co""")
 def heidke_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(Tables(spark, sf_dir)).select("event_id", skill.heidke_hit(F.col("p1"), F.col("p2"), F.col("p3"), F.col("o3")).alias("hit"))
 
@@ -224,13 +252,17 @@ def interest_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_cells(Tables(spark, sf_dir)).select("event_id", skill.interest_rate(F.col("po")).alias("rate")), 4)
 
 
-@query("ignorance_cell", "z as (select event_id, case when event_id % 9 = 0 then 0.0 else p_below end as p from probs) select event_id, round(-log2(case when p = 0 then 0.01::double else p end), 6) as ignorance from z")
+@query("ignorance_cell", """z as (select event_id, case when event_id % 9 = 0 then 0.0 else p_below end as p from probs) select event_id,
+  round(-log2(case when p = 0 then 0.01::double else p end), 6) as ignorance from z""")
 def ignorance_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.when(F.col("event_id") % 9 == 0, 0.0).otherwise(F.col("p_below"))
     return rounded(Tables(spark, sf_dir).probs().select("event_id", skill.ignorance_of_cell(p).alias("ignorance")))
 
 
-RPSS_SQL = CELL + ", r as (select *, case when obs = 1 then 1.0 else 0.0 end as o1, case when obs <= 3 then 1.0 else 0.0 end as o2 from cell), cellrpss as (select *, 1 - (pow(p1 - o1, 2) + pow(p1 + p2 - o2, 2)) / (pow(0.33::double - o1, 2) + pow(0.66::double - o2, 2)) as rpss from r)"
+RPSS_SQL = CELL + """, r as (select *, case when obs = 1 then 1.0 else 0.0 end as o1, case when obs <= 3 then 1.0 else 0.0 end as o2
+  from cell),
+  cellrpss as (select *, 1 - (pow(p1 - o1, 2) + pow(p1 + p2 - o2, 2)) / (pow(0.33::double - o1, 2) + pow(0.66::double - o2, 2)) as rpss
+  from r)"""
 
 
 @query("rpss_cell", RPSS_SQL + " select event_id, round(rpss, 6) as rpss from cellrpss")
@@ -243,7 +275,8 @@ def cem_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Tables(spark, sf_dir).cats().select("event_id", skill.category_hit(F.col("fcst"), F.col("obs")).alias("hit")))
 
 
-@query("cemhit_zone_histogram", "h as (select zone, 3 - abs(fcst - obs) as hit from cats) select zone, hit, count(*) as n, round(count(*) * 1.0 / sum(count(*)) over (partition by zone), 6)::double as share from h group by 1, 2")
+@query("cemhit_zone_histogram", """h as (select zone, 3 - abs(fcst - obs) as hit from cats) select zone, hit, count(*) as n,
+  round(count(*) * 1.0 / sum(count(*)) over (partition by zone), 6)::double as share from h group by 1, 2""")
 def cemhit_zone_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = Tables(spark, sf_dir).cats().groupBy("zone", F.floor(skill.category_hit(F.col("fcst"), F.col("obs")) + 0.5).alias("hit")).agg(F.count(F.lit(1)).alias("n"))
     return rounded(h.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("zone"))))
@@ -254,7 +287,9 @@ def _scored(t: Tables) -> DataFrame:
     return c.select("zone", skill.interest_rate(F.col("po")).alias("rate"), skill.ignorance_of_cell(F.col("po")).alias("ignorance"), skill.rpss_of_cell(F.col("fcst"), F.col("obs")).alias("rpss"), skill.category_hit(F.col("fcst"), F.col("obs")).alias("hit"))
 
 
-SUMMARY_SQL = RPSS_SQL + ", sc as (select zone, (case o3 when 1 then p1 when 2 then p2 else p3 end / 0.33::double - 1) * 100 as rate, -log2(case o3 when 1 then p1 when 2 then p2 else p3 end) as ignorance, rpss, 3 - abs(fcst - obs) as hit from cellrpss)"
+SUMMARY_SQL = RPSS_SQL + """,
+  sc as (select zone, (case o3 when 1 then p1 when 2 then p2 else p3 end / 0.33::double - 1) * 100 as rate, -log2(case o3 when 1 then p1 when 2 then p2 else p3 end) as ignorance, rpss, 3 - abs(fcst - obs) as hit
+  from cellrpss)"""
 _MEANS = "round(avg(rate), 4) as rate, round(avg(ignorance), 4) as ignorance, round(avg(rpss), 4) as rpss, round(avg(hit), 4) as hit"
 
 
@@ -272,7 +307,9 @@ def zonal_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_scored(Tables(spark, sf_dir)).groupBy("zone").agg(*_means()), 4)
 
 
-RESIDUAL_SQL = FIT_SQL + ", est as (select p.loc_id, p.time, p.y, my + z * (x - mx) / nullif(sx, 0) as e from pairs p join w using (loc_id)), res as (select h.loc_id, h.time, h.h - h.y as outside, e.e - e.y as inside_ from hcst h join est e on h.loc_id = e.loc_id and h.time = e.time)"
+RESIDUAL_SQL = FIT_SQL + """, est as (select p.loc_id, p.time, p.y, my + z * (x - mx) / nullif(sx, 0) as e from pairs p join w using (loc_id)),
+  res as (select h.loc_id, h.time, h.h - h.y as outside, e.e - e.y as inside_ from hcst h
+  join est e on h.loc_id = e.loc_id and h.time = e.time)"""
 
 
 def _residuals(t: Tables) -> DataFrame:
@@ -286,7 +323,9 @@ def residual_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_residuals(Tables(spark, sf_dir)), 3)
 
 
-@query("residual_histogram", RESIDUAL_SQL + ", r as (select loc_id, round(outside, 3) as v from res), l as (select loc_id, min(v) as lo, max(v) as hi from r group by 1) select r.loc_id, cast(least(floor((v - lo) / nullif((hi - lo) / 10, 0)), 9) as bigint) as bin, count(*) as n from r join l using (loc_id) group by 1, 2")
+@query("residual_histogram", RESIDUAL_SQL + """, r as (select loc_id, round(outside, 3) as v from res), l as (select loc_id, min(v) as lo, max(v) as hi from r
+  group by 1) select r.loc_id, cast(least(floor((v - lo) / nullif((hi - lo) / 10, 0)), 9) as bigint) as bin,
+  count(*) as n from r join l using (loc_id) group by 1, 2""")
 def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rounded(_residuals(Tables(spark, sf_dir)), 3).select("loc_id", F.col("out_of_sample").alias("v"))
     w = Window.partitionBy("loc_id")
@@ -295,14 +334,16 @@ def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("loc_id", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("forecast_error_distribution", FORECAST_SQL + " select f.loc_id, cast(h.time as varchar) as time, round(f.f + h.h - h.y, 3) as value, round(q33, 3) as q33, round(q66, 3) as q66 from fc f join hcst h using (loc_id) join clim using (loc_id)")
+@query("forecast_error_distribution", FORECAST_SQL + """ select f.loc_id, cast(h.time as varchar) as time, round(f.f + h.h - h.y, 3) as value, round(q33, 3) as q33,
+  round(q66, 3) as q66 from fc f join hcst h using (loc_id) join clim using (loc_id)""")
 def forecast_error_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     j = t.hcst().join(_forecast(t), "loc_id").join(t.thresholds(), "loc_id")
     return rounded(j.select("loc_id", "time", (F.col("f") + F.col("h") - F.col("y")).alias("value"), "q33", "q66"), 3)
 
 
-MESH_SQL = "mesh as (select r, c, 15 + c * 2.5::double as lon, -30 + r * 2.5::double as lat from (select unnest(generate_series(0, 8)) as r), (select unnest(generate_series(0, 8)) as c))"
+MESH_SQL = """mesh as (select r, c, 15 + c * 2.5::double as lon, -30 + r * 2.5::double as lat
+  from (select unnest(generate_series(0, 8)) as r), (select unnest(generate_series(0, 8)) as c))"""
 
 
 def _mesh(spark: SparkSession) -> DataFrame:
@@ -322,7 +363,9 @@ def _stations(t: Tables) -> DataFrame:
     return t.geo().join(c, "loc_id")
 
 
-@query("idw_interpolate", MESH_SQL + ", " + STATION_MEANS + ", d as (select r, c, v, sqrt((lon - slon) * (lon - slon) + (lat - slat) * (lat - slat)) as d from mesh, st) select r as row_idx, c as col_idx, round(coalesce(max(case when d = 0 then v end), sum(v / nullif(d, 0)) / sum(1 / nullif(d, 0))), 5) as value from d group by 1, 2")
+@query("idw_interpolate", MESH_SQL + ", " + STATION_MEANS + """, d as (select r, c, v, sqrt((lon - slon) * (lon - slon) + (lat - slat) * (lat - slat)) as d from mesh, st)
+  select r as row_idx, c as col_idx, round(coalesce(max(case when d = 0 then v end),
+  sum(v / nullif(d, 0)) / sum(1 / nullif(d, 0))), 5) as value from d group by 1, 2""")
 def idw_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.idw(_mesh(spark), _stations(Tables(spark, sf_dir)), ["row_idx", "col_idx"]), 5)
 
@@ -337,19 +380,25 @@ def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.gram_pca(Tables(spark, sf_dir).raw("embeddings").select(F.col("embedding").alias("features")))
 
 
-@query("pca_covariance", "e as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as i from embeddings) select a.i as i, b.i as j, round(covar_pop(a.v, b.v), 6) as cov from e a join e b on a.vec_id = b.vec_id and a.i <= b.i group by 1, 2")
+@query("pca_covariance", """e as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as i from embeddings)
+  select a.i as i, b.i as j, round(covar_pop(a.v, b.v), 6) as cov from e a
+  join e b on a.vec_id = b.vec_id and a.i <= b.i group by 1, 2""")
 def pca_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.covariance(Tables(spark, sf_dir).raw("embeddings").select(F.col("embedding").alias("features"))))
 
 
-@query("pca_pair_variance", "m as (select var_pop(embedding[1]::double) as a, var_pop(embedding[2]::double) as c, covar_pop(embedding[1]::double, embedding[2]::double) as b from embeddings), l as (select unnest([1, 2]) as k, (a + c) / 2 as h, sqrt((a - c) * (a - c) / 4 + b * b) as d from m) select k, round((h + case k when 1 then d else -d end) / (2 * h), 6) as variance_ratio, round(case k when 1 then (h + d) / (2 * h) else 1.0::double end, 6) as cumulative from l")
+@query("pca_pair_variance", """m as (select var_pop(embedding[1]::double) as a, var_pop(embedding[2]::double) as c, covar_pop(embedding[1]::double, embedding[2]::double) as b
+  from embeddings), l as (select unnest([1, 2]) as k, (a + c) / 2 as h, sqrt((a - c) * (a - c) / 4 + b * b) as d from m)
+  select k, round((h + case k when 1 then d else -d end) / (2 * h), 6) as variance_ratio,
+  round(case k when 1 then (h + d) / (2 * h) else 1.0::double end, 6) as cumulative from l""")
 def pca_pair_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Principal components of two columns, whose variances have a closed form."""
     pair = Tables(spark, sf_dir).raw("embeddings").select(F.slice("embedding", 1, 2).alias("features"))
     return rounded(models.gram_pca(pair))
 
 
-@query("single_zone_inertia", "e as (select unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i from embeddings), s as (select var_pop(v) * count(*) as s from e group by i) select round(sum(s), 4) as inertia from s")
+@query("single_zone_inertia", """e as (select unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i from embeddings),
+  s as (select var_pop(v) * count(*) as s from e group by i) select round(sum(s), 4) as inertia from s""")
 def single_zone_inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first point of the elbow: the cost of one cluster."""
     return spark.createDataFrame([(round(models.total_inertia(Tables(spark, sf_dir).raw("embeddings").select(F.col("embedding").alias("features"))), 4),)], "inertia double")
@@ -405,7 +454,19 @@ def kmeans_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.kmeans_zones(e, 8).select("vec_id", "zone")
 
 
-FLAGSHIP_SQL = "zroll as (select loc_id, time, sum(value) over r as v, count(value) over r as n from zone_obs window r as (partition by loc_id order by year(time) * 12 + month(time) range between 2 preceding and current row)), sea as (select loc_id, time, v as value from zroll where n = 3 and month(time) = 3), c as (select loc_id, avg(value) as mean, quantile_cont(value, 0.33) as q33, quantile_cont(value, 0.5) as q50, quantile_cont(value, 0.66) as q66 from sea where year(time) between 1995 and 2000 group by 1), qa as (select s.loc_id, avg(case when k.value <= s.value then 1.0 else 0.0 end) as q from sea s join sea k on k.loc_id = s.loc_id and year(k.time) between 1995 and 2000 where year(s.time) = 2001 group by 1) select s.loc_id, round(s.value, 1) as obs_value, round(mean, 2) as obs_clim, round((s.value - mean) / nullif(mean, 0) * 100, 3) as obs_relanom, cast(case when s.value <= q33 then 1 when s.value <= q66 then 2 else 3 end as bigint) as obs_terc, cast(case when s.value <= q33 then 1 when s.value <= q50 then 2 when s.value <= q66 then 3 else 4 end as bigint) as obs_cemcat, round(q, 3)::double as obs_quantanom from sea s join c using (loc_id) join qa using (loc_id) where year(s.time) = 2001"
+FLAGSHIP_SQL = """zroll as (select loc_id, time, sum(value) over r as v, count(value) over r as n
+  from zone_obs window r as (partition by loc_id
+  order by year(time) * 12 + month(time) range between 2 preceding and current row)),
+  sea as (select loc_id, time, v as value from zroll where n = 3 and month(time) = 3), c as (select loc_id,
+  avg(value) as mean, quantile_cont(value, 0.33) as q33, quantile_cont(value, 0.5) as q50, quantile_cont(value, 0.66) as q66
+  from sea where year(time) between 1995 and 2000 group by 1), qa as (select s.loc_id,
+  avg(case when k.value <= s.value then 1.0 else 0.0 end) as q from sea s
+  join sea k on k.loc_id = s.loc_id and year(k.time) between 1995 and 2000 where year(s.time) = 2001 group by 1)
+  select s.loc_id, round(s.value, 1) as obs_value, round(mean, 2) as obs_clim,
+  round((s.value - mean) / nullif(mean, 0) * 100, 3) as obs_relanom,
+  cast(case when s.value <= q33 then 1 when s.value <= q66 then 2 else 3 end as bigint) as obs_terc,
+  cast(case when s.value <= q33 then 1 when s.value <= q50 then 2 when s.value <= q66 then 3 else 4 end as bigint) as obs_cemcat,
+  round(q, 3)::double as obs_quantanom from sea s join c using (loc_id) join qa using (loc_id) where year(s.time) = 2001"""
 
 
 @query("verification_flagship", FLAGSHIP_SQL)
@@ -425,7 +486,11 @@ def verification_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(layers)
 
 
-@query("forecast_none_ols_pipeline", PROB_FORECAST_SQL + ", cor as (select loc_id, corr(h, y) as r from hcst group by 1) select f.loc_id, round(f.f, 2) as forecast, round(p_below, 4)::double as p_below, round(p_normal, 4)::double as p_normal, round(p_above, 4)::double as p_above, case when p_above >= p_normal and p_above >= p_below then 'above' when p_normal >= p_below then 'normal' else 'below' end as tercile, case when p_below >= p_normal and p_below >= p_above then 'below' when p_normal >= p_above then case when p_below >= p_above then 'normal-to-below' else 'normal-to-above' end else 'above' end as cem, round(r, 4) as correlation from fc f join pf using (loc_id) join cor using (loc_id)")
+@query("forecast_none_ols_pipeline", PROB_FORECAST_SQL + """, cor as (select loc_id, corr(h, y) as r from hcst group by 1) select f.loc_id, round(f.f, 2) as forecast,
+  round(p_below, 4)::double as p_below, round(p_normal, 4)::double as p_normal, round(p_above, 4)::double as p_above,
+  case when p_above >= p_normal and p_above >= p_below then 'above' when p_normal >= p_below then 'normal' else 'below' end as tercile,
+  case when p_below >= p_normal and p_below >= p_above then 'below' when p_normal >= p_above then case when p_below >= p_above then 'normal-to-below' else 'normal-to-above' end else 'above' end as cem,
+  round(r, 4) as correlation from fc f join pf using (loc_id) join cor using (loc_id)""")
 def forecast_none_ols_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lead alignment, bad-location filter, cross-validated line, forecast, probabilities, categories and skill. Hindcast
     errors, fit and skill of a location come from one aggregate over its pairs."""
@@ -442,7 +507,10 @@ def forecast_none_ols_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("loc_id", F.round("f", 2).alias("forecast"), *(F.round(c, 4).alias(n) for c, n in zip(three, ("p_below", "p_normal", "p_above"), strict=True)), cat.likeliest_tercile(*three).alias("tercile"), cat.likeliest_category(*three).alias("cem"), F.round("correlation", 4).alias("correlation"))
 
 
-@query("synthesis_pipeline", "z as (select c_custkey as zone, c_custkey % 3 as k, case c_custkey % 4 when 0 then 'below normal' when 1 then 'normal to below' when 2 then 'normal to above' else 'above normal' end as category from customer) select category, case k when 0 then 'moderate' when 1 then 'low' else 'high' end as confidence, count(*) as zones from z group by 1, 2")
+@query("synthesis_pipeline", """z as (select c_custkey as zone, c_custkey % 3 as k,
+  case c_custkey % 4 when 0 then 'below normal' when 1 then 'normal to below' when 2 then 'normal to above' else 'above normal' end as category
+  from customer) select category, case k when 0 then 'moderate' when 1 then 'low' else 'high' end as confidence,
+  count(*) as zones from z group by 1, 2""")
 def synthesis_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decisions(Tables(spark, sf_dir))
     return synthesis.decided(d).join(synthesis.is_complete(d), "zone", "left_anti").groupBy(F.col("fcstCategory").alias("category"), F.col("confLevel").alias("confidence")).agg(F.count(F.lit(1)).alias("zones"))

@@ -14,12 +14,15 @@ from isohyet.sources import tables as src
 MONTH_LIST = ", ".join(f"'{m}'" for m in cal.MONTHS)
 
 
-@query("scan_station_unpivot", "select y.loc_id, lat, lon, cast(make_date(y.y, m.m, 1) as varchar) as time, value from (select distinct loc_id, year(time) as y from obs) y cross join (select unnest(generate_series(1, 12)) as m) m join geo using (loc_id) left join obs o on o.loc_id = y.loc_id and year(o.time) = y.y and month(o.time) = m.m")
+@query("scan_station_unpivot", """select y.loc_id, lat, lon, cast(make_date(y.y, m.m, 1) as varchar) as time, value
+  from (select distinct loc_id, year(time) as y from obs) y cross join (select unnest(generate_series(1, 12)) as m) m
+  join geo using (loc_id) left join obs o on o.loc_id = y.loc_id and year(o.time) = y.y and month(o.time) = m.m""")
 def scan_station_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(src.months_to_rows(Tables(spark, sf_dir).wide()))
 
 
-@query("unpivot_long", "select event_id, 'p_below' as category, round(p_below, 6) as p from probs union all select event_id, 'p_normal', round(p_normal, 6) from probs union all select event_id, 'p_above', round(p_above, 6) from probs")
+@query("unpivot_long", """select event_id, 'p_below' as category, round(p_below, 6) as p from probs union all select event_id, 'p_normal',
+  round(p_normal, 6) from probs union all select event_id, 'p_above', round(p_above, 6) from probs""")
 def unpivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Tables(spark, sf_dir).probs().unpivot("event_id", ["p_below", "p_normal", "p_above"], "category", "p"))
 
@@ -38,7 +41,9 @@ def index_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(src.parse_index_lines(lines))
 
 
-@query("union_multi_source", "select btrim(regexp_replace(trim(loc_id), '[^0-9a-zA-Z]+', '_', 'g'), '_') as loc_id, cast(time as varchar) as time, value from obs union all select 'ZONE_' || loc_id, cast(time as varchar), value from zone_obs".replace("btrim", "trim"))
+@query("union_multi_source", """select btrim(regexp_replace(trim(loc_id), '[^0-9a-zA-Z]+', '_', 'g'), '_') as loc_id,
+  cast(time as varchar) as time, value from obs union all select 'ZONE_' || loc_id, cast(time as varchar), value
+  from zone_obs""".replace("btrim", "trim"))
 def union_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station tables as text with a sentinel, merged and read as series."""
     t = Tables(spark, sf_dir)
@@ -83,13 +88,19 @@ def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).raw("events").select(F.explode(F.map_keys(F.from_json("props", "map<string,string>"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("calendar_360_decode", "d as (select event_id, event_id % 7200 as d from events), p as (select event_id, 1999 + d // 360 as y, d % 360 // 30 + 1 as m, d % 30 + 1 as day from d) select event_id, y as year, m as month, day, cast(case when day <= day(last_day(make_date(y, m, 1))) then make_date(y, m, day) end as varchar) as date from p")
+@query("calendar_360_decode", """d as (select event_id, event_id % 7200 as d from events),
+  p as (select event_id, 1999 + d // 360 as y, d % 360 // 30 + 1 as m, d % 30 + 1 as day from d)
+  select event_id, y as year, m as month, day,
+  cast(case when day <= day(last_day(make_date(y, m, 1))) then make_date(y, m, day) end as varchar) as date from p""")
 def calendar_360_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     y, m, d = cal.days_since_360(1999, F.col("event_id") % 7200)
     return rounded(Tables(spark, sf_dir).raw("events").select("event_id", y.alias("year"), m.alias("month"), d.alias("day"), cal.date_of_360(y, m, d).alias("date")))
 
 
-ENSEMBLE_SQL = "ens as (select s_nationkey as cell, cast(date_trunc('month', l_shipdate) as date) as time, month(l_shipdate) % 3 as lead, l_linenumber as member, l_quantity as value from lineitem join supplier on l_suppkey = s_suppkey), mean_ as (select cell, time, lead, avg(value) as value from ens group by 1, 2, 3)"
+ENSEMBLE_SQL = """ens as (select s_nationkey as cell,
+  cast(date_trunc('month', l_shipdate) as date) as time, month(l_shipdate) % 3 as lead, l_linenumber as member, l_quantity as value
+  from lineitem join supplier on l_suppkey = s_suppkey), mean_ as (select cell, time, lead, avg(value) as value from ens
+  group by 1, 2, 3)"""
 
 
 def _ensemble_mean(t: Tables) -> DataFrame:
@@ -102,14 +113,17 @@ def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_ensemble_mean(Tables(spark, sf_dir)))
 
 
-@query("lead_mean", ENSEMBLE_SQL + " select cast(cell as bigint) as cell, cast(cast(date_trunc('quarter', time) - interval 1 month as date) as varchar) as time, round(avg(value), 6) as value from mean_ where lead between 0 and 1.5 group by 1, 2")
+@query("lead_mean", ENSEMBLE_SQL + """ select cast(cell as bigint) as cell,
+  cast(cast(date_trunc('quarter', time) - interval 1 month as date) as varchar) as time, round(avg(value), 6) as value
+  from mean_ where lead between 0 and 1.5 group by 1, 2""")
 def lead_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _ensemble_mean(Tables(spark, sf_dir)).filter(F.col("lead").between(0, 1.5))
     init = F.add_months(F.trunc("time", "QUARTER"), -1)
     return rounded(m.groupBy("cell", init.alias("time")).agg(F.avg("value").alias("value")))
 
 
-@query("step_12", "select loc_id, cast(time as varchar) as time, value from obs where (year(time) * 12 + month(time) - (select min(year(time) * 12 + month(time)) from obs)) % 12 = 0")
+@query("step_12", """select loc_id, cast(time as varchar) as time, value from obs
+  where (year(time) * 12 + month(time) - (select min(year(time) * 12 + month(time)) from obs)) % 12 = 0""")
 def step_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = align.month_position(Tables(spark, sf_dir).obs())
     first = o.agg(F.min("mi").alias("first"))
@@ -117,7 +131,11 @@ def step_12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _season_sql(table: str, start: int, agg: str, extra: str = "") -> str:
-    return f"s as (select loc_id, cast(floor((year(time) * 12 + month(time) - 1 - {start - 1}) / 3.0) as bigint) * 3 + {start} as s, {agg}(value) as value, count(value) as n from {table} group by 1, 2), seasons as (select loc_id, make_date((s - 1) // 12, (s - 1) % 12 + 1, 1) as time, value from s where (s - 1) % 12 = {start - 1}{extra})"
+    return f"""s as (select loc_id,
+  cast(floor((year(time) * 12 + month(time) - 1 - {start - 1}) / 3.0) as bigint) * 3 + {start} as s, {agg}(value) as value,
+  count(value) as n from {table} group by 1, 2),
+  seasons as (select loc_id, make_date((s - 1) // 12, (s - 1) % 12 + 1, 1) as time, value from s
+  where (s - 1) % 12 = {start - 1}{extra})"""
 
 
 @query("season_resample_sum", _season_sql("obs", 12, "sum") + " select loc_id, cast(time as varchar) as time, round(value, 4) as value from seasons")
@@ -166,7 +184,9 @@ def drop_incomplete_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clean.complete_locations(Tables(spark, sf_dir).grid_obs()))
 
 
-@query("bad_location_filter", "c as (select l_suppkey, l_quantity, count(*) as n from lineitem group by 1, 2), good as (select l_suppkey from c group by 1 having max(n) * 1.0 / sum(n) <= 0.035) select l_suppkey as loc_id, count(*) as n from lineitem where l_suppkey in (select l_suppkey from good) group by 1")
+@query("bad_location_filter", """c as (select l_suppkey, l_quantity, count(*) as n from lineitem group by 1, 2), good as (select l_suppkey from c
+  group by 1 having max(n) * 1.0 / sum(n) <= 0.035) select l_suppkey as loc_id, count(*) as n from lineitem
+  where l_suppkey in (select l_suppkey from good) group by 1""")
 def bad_location_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = Tables(spark, sf_dir).raw("lineitem").select(F.col("l_suppkey").alias("loc_id"), F.col("l_quantity").alias("value"))
     return clean.varied_locations(li, 0.035).groupBy("loc_id").agg(F.count(F.lit(1)).alias("n"))
@@ -194,12 +214,15 @@ def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clean.first_by_key(Tables(spark, sf_dir).raw("customer"), ["c_nationkey"], ["c_custkey"]).select("c_nationkey", "c_custkey", "c_acctbal"))
 
 
-@query("missing_report", "select loc_id, count(*) as n, count(*) - count(value) as missing, round((count(*) - count(value)) * 100.0 / count(*), 6)::double as missing_pct from grid_obs group by 1")
+@query("missing_report", """select loc_id, count(*) as n, count(*) - count(value) as missing,
+  round((count(*) - count(value)) * 100.0 / count(*), 6)::double as missing_pct from grid_obs group by 1""")
 def missing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clean.missing_report(Tables(spark, sf_dir).grid_obs()))
 
 
-@query("coverage_check", f"select cast(min(time) as varchar) as first_time, cast(max(time) as varchar) as last_time, year(min(time)) <= {CLIMATOLOGY[0]} and year(max(time)) >= {CLIMATOLOGY[1]} as covered from obs")
+@query("coverage_check", f"""select cast(min(time) as varchar) as first_time,
+  cast(max(time) as varchar) as last_time, year(min(time)) <= {CLIMATOLOGY[0]} and year(max(time)) >= {CLIMATOLOGY[1]} as covered
+  from obs""")
 def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clean.coverage(Tables(spark, sf_dir).obs(), *CLIMATOLOGY))
 
@@ -220,7 +243,9 @@ def lead_lag_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(align.lead_align(t.obs(), t.pred(), LEAD))
 
 
-@query("lead_lag_align_shared", f"i as (select time, sum(value) as x from pred group by 1) select o.loc_id, cast(o.time as varchar) as time, x, o.value as y from obs o join i on o.time = cast(i.time + interval {LEAD} month as date)")
+@query("lead_lag_align_shared", f"""i as (select time, sum(value) as x from pred group by 1) select o.loc_id,
+  cast(o.time as varchar) as time, x, o.value as y from obs o
+  join i on o.time = cast(i.time + interval {LEAD} month as date)""")
 def lead_lag_align_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     return rounded(align.lead_align(t.obs(), t.pred().groupBy("time").agg(F.sum("value").alias("value")), LEAD, key=None))
@@ -232,7 +257,9 @@ def time_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(align.shared_times(t.obs(), t.pred()))
 
 
-@query("outer_align", "select coalesce(o.loc_id, p.loc_id) as loc_id, cast(coalesce(o.time, p.time) as varchar) as time, o.value as obs, p.value as pred from obs o full join pred p on o.loc_id = p.loc_id and o.time = p.time")
+@query("outer_align", """select coalesce(o.loc_id, p.loc_id) as loc_id,
+  cast(coalesce(o.time, p.time) as varchar) as time, o.value as obs, p.value as pred from obs o full
+  join pred p on o.loc_id = p.loc_id and o.time = p.time""")
 def outer_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     return rounded(align.outer_aligned(t.obs(), t.pred(), ("obs", "pred")))
@@ -270,7 +297,12 @@ def rasterize_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.rasterize(t.geo(), t.edges(), times).select("loc_id", "zone_id", "time")
 
 
-DECISIONS_SQL = "dec as (select c_custkey, c_custkey % 5 as zone, case c_custkey % 3 when 0 then 'all low' when 1 then 'mixed/moderate' else 'all high' end as skill, case c_custkey % 4 when 0 then 'low' when 1 then 'moderate' when 2 then 'high' else '' end as agree from customer), conf as (select *, case skill when 'all low' then case agree when 'low' then 'low' when 'moderate' then 'low' when 'high' then 'moderate' else '' end when 'mixed/moderate' then case agree when 'low' then 'low' when 'moderate' then 'moderate' when 'high' then 'high' else '' end else case agree when 'low' then 'moderate' when 'moderate' then 'high' when 'high' then 'very high' else '' end end as confidence from dec)"
+DECISIONS_SQL = """dec as (select c_custkey, c_custkey % 5 as zone,
+  case c_custkey % 3 when 0 then 'all low' when 1 then 'mixed/moderate' else 'all high' end as skill,
+  case c_custkey % 4 when 0 then 'low' when 1 then 'moderate' when 2 then 'high' else '' end as agree from customer),
+  conf as (select *,
+  case skill when 'all low' then case agree when 'low' then 'low' when 'moderate' then 'low' when 'high' then 'moderate' else '' end when 'mixed/moderate' then case agree when 'low' then 'low' when 'moderate' then 'moderate' when 'high' then 'high' else '' end else case agree when 'low' then 'moderate' when 'moderate' then 'high' when 'high' then 'very high' else '' end end as confidence
+  from dec)"""
 
 
 @query("confidence_lookup", DECISIONS_SQL + " select c_custkey, confidence from conf")
@@ -281,7 +313,8 @@ def confidence_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).raw("customer").select("c_custkey", synthesis.confidence(skill, agree).alias("confidence"))
 
 
-POLYGONS_SQL = "poly as (select s_suppkey as poly_id, s_nationkey % 5 as zone, s_suppkey * 7 % 60 - 30.0 as min_x, s_suppkey * 11 % 50 - 25.0 as min_y, s_suppkey * 7 % 60 - 30.0 + s_suppkey % 9 + 1 as max_x, s_suppkey * 11 % 50 - 25.0 + s_suppkey % 13 + 1 as max_y from supplier)"
+POLYGONS_SQL = """poly as (select s_suppkey as poly_id, s_nationkey % 5 as zone, s_suppkey * 7 % 60 - 30.0 as min_x, s_suppkey * 11 % 50 - 25.0 as min_y, s_suppkey * 7 % 60 - 30.0 + s_suppkey % 9 + 1 as max_x, s_suppkey * 11 % 50 - 25.0 + s_suppkey % 13 + 1 as max_y
+  from supplier)"""
 
 
 def _polygons(t: Tables) -> DataFrame:
@@ -290,7 +323,10 @@ def _polygons(t: Tables) -> DataFrame:
     return t.raw("supplier").select(k.alias("poly_id"), (F.col("s_nationkey") % 5).alias("zone"), x.alias("min_x"), y.alias("min_y"), (x + k % 9 + 1).alias("max_x"), (y + k % 13 + 1).alias("max_y"))
 
 
-@query("small_polygon_clean", POLYGONS_SQL + " select a.poly_id from poly a where exists (select 1 from poly b where b.zone = a.zone and b.poly_id <> a.poly_id and (b.max_x - b.min_x) * (b.max_y - b.min_y) > (a.max_x - a.min_x) * (a.max_y - a.min_y)) and exists (select 1 from poly b where b.poly_id <> a.poly_id and b.min_x <= a.min_x and b.min_y <= a.min_y and b.max_x >= a.max_x and b.max_y >= a.max_y)")
+@query("small_polygon_clean", POLYGONS_SQL + """ select a.poly_id from poly a where exists (select 1 from poly b
+  where b.zone = a.zone and b.poly_id <> a.poly_id and (b.max_x - b.min_x) * (b.max_y - b.min_y) > (a.max_x - a.min_x) * (a.max_y - a.min_y)) and exists (select 1
+  from poly b
+  where b.poly_id <> a.poly_id and b.min_x <= a.min_x and b.min_y <= a.min_y and b.max_x >= a.max_x and b.max_y >= a.max_y)""")
 def small_polygon_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.small_polygons(_polygons(Tables(spark, sf_dir)))
 
@@ -301,7 +337,10 @@ def zone_station_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.zone_means(t.obs(), spatial.within(t.geo(), t.edges())), 4)
 
 
-@query("zonal_stats", "z as (select distinct zone_id from edges union all select '3'), v as (select zone_id, value from inside join (select loc_id, value from obs where time = date '2001-03-01') using (loc_id)) select z.zone_id, min(value) as min, max(value) as max, round(avg(value), 4) as mean, count(value) as count from z left join v on v.zone_id = z.zone_id group by 1")
+@query("zonal_stats", """z as (select distinct zone_id from edges union all select '3'), v as (select zone_id, value from inside
+  join (select loc_id, value from obs where time = date '2001-03-01') using (loc_id))
+  select z.zone_id, min(value) as min, max(value) as max, round(avg(value), 4) as mean, count(value) as count from z
+  left join v on v.zone_id = z.zone_id group by 1""")
 def zonal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     zones = t.edges().select("zone_id").union(spark.createDataFrame([("3",)], "zone_id string"))
@@ -319,7 +358,10 @@ def tercile_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(season.climatology(Tables(spark, sf_dir).obs().filter(season.in_years(*CLIMATOLOGY))).select("loc_id", "q33", "q50", "q66"), 4)
 
 
-@query("zoning_season_matrix", "s as (select loc_id, year(time) as year, sum(value) as total, count(*) as n from obs where month(time) between 1 and 3 group by 1, 2), y as (select count(distinct year(time)) as years from obs) select loc_id, year, round(total, 4) as value from s where n = 3 and loc_id in (select loc_id from s where n = 3 group by loc_id having count(*) = (select years from y))")
+@query("zoning_season_matrix", """s as (select loc_id, year(time) as year, sum(value) as total, count(*) as n from obs where month(time) between 1 and 3
+  group by 1, 2), y as (select count(distinct year(time)) as years from obs) select loc_id, year,
+  round(total, 4) as value from s where n = 3 and loc_id in (select loc_id from s where n = 3 group by loc_id
+  having count(*) = (select years from y))""")
 def zoning_season_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = Tables(spark, sf_dir).obs()
     s = o.filter(F.month("time").between(1, 3)).groupBy("loc_id", F.year("time").alias("year")).agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n")).filter("n = 3")
@@ -336,7 +378,9 @@ def zone_multipolygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(z.select("zone", F.size("parts").alias("parts"), F.array_min(F.transform(flat, lambda p: p["x"])).alias("min_x"), F.array_max(F.transform(flat, lambda p: p["y"])).alias("max_y")))
 
 
-@query("grid_bounds", POLYGONS_SQL + " select cast(trunc(min(min_x) - 1) as double) as min_x, cast(trunc(min(min_y) - 1) as double) as min_y, cast(round_even(max(max_x) + 0.5, 0) as double) as max_x, cast(round_even(max(max_y) + 0.5, 0) as double) as max_y from poly")
+@query("grid_bounds", POLYGONS_SQL + """ select cast(trunc(min(min_x) - 1) as double) as min_x, cast(trunc(min(min_y) - 1) as double) as min_y,
+  cast(round_even(max(max_x) + 0.5, 0) as double) as max_x, cast(round_even(max(max_y) + 0.5, 0) as double) as max_y
+  from poly""")
 def grid_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.outward_bounds(_polygons(Tables(spark, sf_dir)), "min_x", "min_y", "max_x", "max_y")
 
@@ -347,7 +391,11 @@ def station_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rolling_sql(agg: str) -> str:
-    return f"w as (select loc_id, time, case when count(value) over r = 3 then {agg}(value) over r end as value from obs window r as (partition by loc_id order by year(time) * 12 + month(time) range between 2 preceding and current row)), n as (select *, count(value) over (partition by time) as n from w) select loc_id, cast(time as varchar) as time, round(value, 4) as value from n where n > 0"
+    return f"""w as (select loc_id, time, case when count(value) over r = 3 then {agg}(value) over r end as value
+  from obs window r as (partition by loc_id
+  order by year(time) * 12 + month(time) range between 2 preceding and current row)), n as (select *,
+  count(value) over (partition by time) as n from w) select loc_id, cast(time as varchar) as time,
+  round(value, 4) as value from n where n > 0"""
 
 
 @query("rolling_season_sum", _rolling_sql("sum"))
@@ -376,7 +424,10 @@ def cumulative_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(v.withColumn("cumulative", F.sum("ratio").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))))
 
 
-@query("elbow_select", f"v(k, cost) as (values {_VALUES(COSTS)}), e as (select max(case when k = 1 then cost end) as c0, (max(case when k = 16 then cost end) - max(case when k = 1 then cost end)) / 15 as a from v), d as (select k, abs(a * k - cost + c0 - a) / sqrt(a * a + 1) as dist from v, e) select cast(k as bigint) as k, round(dist, 6) as dist from d order by d.dist desc, k desc limit 1")
+@query("elbow_select", f"""v(k, cost) as (values {_VALUES(COSTS)}),
+  e as (select max(case when k = 1 then cost end) as c0, (max(case when k = 16 then cost end) - max(case when k = 1 then cost end)) / 15 as a
+  from v), d as (select k, abs(a * k - cost + c0 - a) / sqrt(a * a + 1) as dist from v, e)
+  select cast(k as bigint) as k, round(dist, 6) as dist from d order by d.dist desc, k desc limit 1""")
 def elbow_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.createDataFrame(list(enumerate(COSTS, 1)), "k long, cost double")
     a = (COSTS[-1] - COSTS[0]) / (len(COSTS) - 1)

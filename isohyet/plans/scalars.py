@@ -23,7 +23,9 @@ def month_name_to_int(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEASON_VALUES = ", ".join(f"('{c}', {n}, {m})" for c, n, m in cal.season_table())
 
 
-@query("season_param_lookup", f"t(code, months, last_month) as (values {SEASON_VALUES}), k as (select event_id, (select list(code order by code) from t)[event_id % 36 + 1] as code from events) select event_id, code, cast(months as bigint) as months, cast(last_month as bigint) as last_month from k join t using (code)")
+@query("season_param_lookup", f"""t(code, months, last_month) as (values {SEASON_VALUES}), k as (select event_id, (select list(code order by code)
+  from t)[event_id % 36 + 1] as code from events) select event_id, code, cast(months as bigint) as months,
+  cast(last_month as bigint) as last_month from k join t using (code)""")
 def season_param_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = sorted(c for c, _, _ in cal.season_table())
     dim = spark.createDataFrame(cal.season_table(), "code string, months int, last_month int")
@@ -45,14 +47,19 @@ def season_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_targets(spark).select("target", cal.season_start(t).alias("start_month"), cal.is_seasonal(t).alias("seasonal")))
 
 
-@query("lead_time", TARGET_SQL + f", s as (select unnest(generate_series(1, 12)) as source), l as (select source, target, (list_position({MONTH_SQL}, left(target, 3)) - source + 12) % 12 as lead from s, t) select cast(source as bigint) as source, target, cast(lead as bigint) as lead, lead <= 6 as forecast_ok, lead between 1 and 6 as download_ok from l")
+@query("lead_time", TARGET_SQL + f""", s as (select unnest(generate_series(1, 12)) as source),
+  l as (select source, target, (list_position({MONTH_SQL}, left(target, 3)) - source + 12) % 12 as lead from s, t)
+  select cast(source as bigint) as source, target,
+  cast(lead as bigint) as lead, lead <= 6 as forecast_ok, lead between 1 and 6 as download_ok from l""")
 def lead_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = spark.range(1, 13).withColumnRenamed("id", "source").join(F.broadcast(_targets(spark)), how="cross")
     lead = cal.lead_months(F.col("source"), cal.season_start(F.col("target")))
     return rounded(pairs.select("source", "target", lead.alias("lead"), cal.lead_is_valid(lead).alias("forecast_ok"), cal.lead_is_valid(lead, 1).alias("download_ok")))
 
 
-@query("season_end_year", f"t(code, months, last_month) as (values {SEASON_VALUES}) select code, cast(y as bigint) as year, cast(case when last_month - months < 0 then y + 1 else y end as bigint) as end_year from t cross join (select distinct year(o_orderdate) as y from orders)")
+@query("season_end_year", f"""t(code, months, last_month) as (values {SEASON_VALUES}) select code, cast(y as bigint) as year,
+  cast(case when last_month - months < 0 then y + 1 else y end as bigint) as end_year from t cross
+  join (select distinct year(o_orderdate) as y from orders)""")
 def season_end_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = spark.createDataFrame(cal.season_table(), "code string, months int, last_month int")
     years = Tables(spark, sf_dir).raw("orders").select(F.year("o_orderdate").alias("year")).distinct()
@@ -86,7 +93,9 @@ def sizeof_fmt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).raw("orders").select("o_orderkey", txt.size_label(F.col("o_totalprice") * F.col("o_orderkey")).alias("size"))
 
 
-@query("duration_format", "s as (select o_orderkey, o_orderkey * 37 % 86400 as s from orders) select o_orderkey, printf('%d hour(s) %d minute(s) %d second(s)', s // 3600, s % 3600 // 60, s % 60) as duration from s")
+@query("duration_format", """s as (select o_orderkey, o_orderkey * 37 % 86400 as s from orders)
+  select o_orderkey, printf('%d hour(s) %d minute(s) %d second(s)', s // 3600, s % 3600 // 60, s % 60) as duration
+  from s""")
 def duration_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).raw("orders").select("o_orderkey", txt.duration_label(F.col("o_orderkey") * 37).alias("duration"))
 
@@ -97,21 +106,28 @@ def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.distances(g, g))
 
 
-@query("nice_limits", "m as (select loc_id, min(value) - 0.05::double * (max(value) - min(value)) as a, max(value) + 0.05::double * (max(value) - min(value)) as b from obs group by 1), s as (select *, pow(10.0::double, floor(log10(nullif(b - a, 0)))) as step from m) select loc_id, round(floor(a / step) * step, 4) as low, round(ceil(b / step) * step, 4) as high from s")
+@query("nice_limits", """m as (select loc_id, min(value) - 0.05::double * (max(value) - min(value)) as a,
+  max(value) + 0.05::double * (max(value) - min(value)) as b from obs group by 1),
+  s as (select *, pow(10.0::double, floor(log10(nullif(b - a, 0)))) as step from m) select loc_id,
+  round(floor(a / step) * step, 4) as low, round(ceil(b / step) * step, 4) as high from s""")
 def nice_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Tables(spark, sf_dir).obs().groupBy("loc_id").agg(F.min("value").alias("a"), F.max("value").alias("b"))
     low, high = cat.nice_limits(F.col("a"), F.col("b"))
     return rounded(m.select("loc_id", low.alias("low"), high.alias("high")), 4)
 
 
-@query("category_codes", "select event_id, case fcst when 1 then 'below normal' when 2 then 'normal to below' when 3 then 'normal to above' else 'above normal' end as label, fcst as code from cats")
+@query("category_codes", """select event_id,
+  case fcst when 1 then 'below normal' when 2 then 'normal to below' when 3 then 'normal to above' else 'above normal' end as label, fcst as code
+  from cats""")
 def category_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.array(*map(F.lit, cat.CATEGORY_CODES))
     c = Tables(spark, sf_dir).cats().withColumn("label", F.get(labels, F.col("fcst") - 1))
     return rounded(c.select("event_id", "label", synthesis.category_code(F.col("label")).alias("code")))
 
 
-@query("path_format", "select loc_id, cast(time as varchar) as time, 'out/' || strftime(time, '%Y%m') || '_Dec-Feb/' || trim(regexp_replace(trim(loc_id), '[^0-9a-zA-Z]+', '_', 'g'), '_') || '/pr/none_ols_kfold/output' as path from obs")
+@query("path_format", """select loc_id,
+  cast(time as varchar) as time, 'out/' || strftime(time, '%Y%m') || '_Dec-Feb/' || trim(regexp_replace(trim(loc_id), '[^0-9a-zA-Z]+', '_', 'g'), '_') || '/pr/none_ols_kfold/output' as path
+  from obs""")
 def path_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.format_string("out/%s_Dec-Feb/%s/pr/none_ols_kfold/output", F.date_format("time", "yyyyMM"), txt.fix_name(F.col("loc_id")))
     return rounded(Tables(spark, sf_dir).obs().select("loc_id", "time", path.alias("path")))
@@ -144,13 +160,19 @@ def rainfall_class_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(li.select("l_orderkey", "l_linenumber", cat.binned(F.col("l_extendedprice") / 100.0, RAIN_BREAKS).alias("class")))
 
 
-@query("anomaly_class_bins", f"select event_id, {_binned_sql('(event_id % 101)', PERCENTILE_BREAKS)} as percentile_class, {_binned_sql('(event_id % 301 - 150)', RELATIVE_BREAKS)} as relative_class from events")
+@query("anomaly_class_bins", f"""select event_id, {_binned_sql('(event_id % 101)', PERCENTILE_BREAKS)} as percentile_class, {_binned_sql('(event_id % 301 - 150)', RELATIVE_BREAKS)} as relative_class
+  from events""")
 def anomaly_class_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     return rounded(Tables(spark, sf_dir).raw("events").select("event_id", cat.binned(k % 101, PERCENTILE_BREAKS).alias("percentile_class"), cat.binned(k % 301 - 150, RELATIVE_BREAKS).alias("relative_class")))
 
 
-SEASON_SQL = "roll as (select loc_id, time, sum(value) over r as v, count(value) over r as n from obs window r as (partition by loc_id order by year(time) * 12 + month(time) range between 2 preceding and current row)), sea as (select loc_id, time, v as value from roll where n = 3 and month(time) = 3), sclim as (select loc_id, avg(value) as mean, quantile_cont(value, 0.33) as q33, quantile_cont(value, 0.5) as q50, quantile_cont(value, 0.66) as q66 from sea where year(time) between 1995 and 2000 group by 1)"
+SEASON_SQL = """roll as (select loc_id, time, sum(value) over r as v, count(value) over r as n
+  from obs window r as (partition by loc_id
+  order by year(time) * 12 + month(time) range between 2 preceding and current row)),
+  sea as (select loc_id, time, v as value from roll where n = 3 and month(time) = 3), sclim as (select loc_id,
+  avg(value) as mean, quantile_cont(value, 0.33) as q33, quantile_cont(value, 0.5) as q50, quantile_cont(value, 0.66) as q66
+  from sea where year(time) between 1995 and 2000 group by 1)"""
 
 
 def season_values(t: Tables, zones: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -159,7 +181,9 @@ def season_values(t: Tables, zones: bool = False) -> tuple[DataFrame, DataFrame]
     return s, season.climatology(s.filter(season.in_years(*CLIMATOLOGY)))
 
 
-@query("anomaly_all", SEASON_SQL + " select loc_id, cast(time as varchar) as time, round(value, 4) as value, round(value - mean, 4) as absolute_anomaly, round((value - mean) / nullif(mean, 0) * 100, 4) as percent_anomaly, round(value / nullif(mean, 0) * 100, 4) as percent_normal from sea join sclim using (loc_id)")
+@query("anomaly_all", SEASON_SQL + """ select loc_id, cast(time as varchar) as time, round(value, 4) as value, round(value - mean, 4) as absolute_anomaly,
+  round((value - mean) / nullif(mean, 0) * 100, 4) as percent_anomaly,
+  round(value / nullif(mean, 0) * 100, 4) as percent_normal from sea join sclim using (loc_id)""")
 def anomaly_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(season.anomalies(*season_values(Tables(spark, sf_dir))), 4)
 
@@ -187,7 +211,9 @@ def cem_to_tercile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Tables(spark, sf_dir).cats().select("event_id", cat.category_tercile(F.col("fcst")).alias("tercile")))
 
 
-@query("cem_to_probability", "select event_id, cast([0.40, 0.35, 0.25, 0.25][fcst] as double) as p_below, cast([0.35, 0.40, 0.40, 0.35][fcst] as double) as p_normal, cast([0.25, 0.25, 0.35, 0.40][fcst] as double) as p_above from cats")
+@query("cem_to_probability", """select event_id, cast([0.40, 0.35, 0.25, 0.25][fcst] as double) as p_below,
+  cast([0.35, 0.40, 0.40, 0.35][fcst] as double) as p_normal, cast([0.25, 0.25, 0.35, 0.40][fcst] as double) as p_above
+  from cats""")
 def cem_to_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = cat.category_probabilities(F.col("fcst"))
     return Tables(spark, sf_dir).cats().select("event_id", *(F.get(p, F.lit(i)).alias(n) for i, n in enumerate(("p_below", "p_normal", "p_above"))))
@@ -196,23 +222,36 @@ def cem_to_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 _P = ("p_below", "p_normal", "p_above")
 
 
-@query("tercile_category", "select event_id, case when p_above >= p_normal and p_above >= p_below then 'above' when p_normal >= p_below then 'normal' else 'below' end as category from probs")
+@query("tercile_category", """select event_id,
+  case when p_above >= p_normal and p_above >= p_below then 'above' when p_normal >= p_below then 'normal' else 'below' end as category
+  from probs""")
 def tercile_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).probs().select("event_id", cat.likeliest_tercile(*map(F.col, _P)).alias("category"))
 
 
-@query("cem_category", "select event_id, case when p_below >= p_normal and p_below >= p_above then 'below' when p_normal >= p_above then case when p_below >= p_above then 'normal-to-below' else 'normal-to-above' end else 'above' end as category from probs")
+@query("cem_category", """select event_id,
+  case when p_below >= p_normal and p_below >= p_above then 'below' when p_normal >= p_above then case when p_below >= p_above then 'normal-to-below' else 'normal-to-above' end else 'above' end as category
+  from probs""")
 def cem_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).probs().select("event_id", cat.likeliest_category(*map(F.col, _P)).alias("category"))
 
 
-@query("quantile_anomaly", SEASON_SQL + " select s.loc_id, cast(s.time as varchar) as time, round(avg(case when c.value <= s.value then 1.0 else 0.0 end), 6)::double as quantile from sea s join sea c on c.loc_id = s.loc_id and year(c.time) between 1995 and 2000 group by 1, 2")
+@query("quantile_anomaly", SEASON_SQL + """ select s.loc_id, cast(s.time as varchar) as time,
+  round(avg(case when c.value <= s.value then 1.0 else 0.0 end), 6)::double as quantile from sea s
+  join sea c on c.loc_id = s.loc_id and year(c.time) between 1995 and 2000 group by 1, 2""")
 def quantile_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, _ = season_values(Tables(spark, sf_dir))
     return rounded(season.quantile_anomaly(s, s.filter(season.in_years(*CLIMATOLOGY))).select("loc_id", "time", "quantile"))
 
 
-@query("synthesis_properties", "z as (select c_custkey as zone, case c_custkey % 3 when 0 then 'all low' when 1 then 'mixed/moderate' else 'all high' end as skill, case c_custkey % 3 when 0 then 'high' when 1 then 'low' else 'moderate' end as agree, case c_custkey % 4 when 0 then 'below normal' when 1 then 'normal to below' when 2 then 'normal to above' else 'above normal' end as category, cast(c_custkey % 4 + 1 as varchar) as code from customer) select cast(zone as varchar) as zone, code as finalcode, category as finalcategory, case c when 0 then 'moderate' when 1 then 'low' else 'high' end as finalconfidence, agree as agreement, skill from (select *, zone % 3 as c from z)")
+@query("synthesis_properties", """z as (select c_custkey as zone,
+  case c_custkey % 3 when 0 then 'all low' when 1 then 'mixed/moderate' else 'all high' end as skill,
+  case c_custkey % 3 when 0 then 'high' when 1 then 'low' else 'moderate' end as agree,
+  case c_custkey % 4 when 0 then 'below normal' when 1 then 'normal to below' when 2 then 'normal to above' else 'above normal' end as category,
+  cast(c_custkey % 4 + 1 as varchar) as code from customer)
+  select cast(zone as varchar) as zone, code as finalcode, category as finalcategory,
+  case c when 0 then 'moderate' when 1 then 'low' else 'high' end as finalconfidence, agree as agreement, skill
+  from (select *, zone % 3 as c from z)""")
 def synthesis_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = synthesis.properties(decisions(Tables(spark, sf_dir)), "Zone", 2001, "JFM")
     get = lambda n: F.try_element_at("properties", F.lit(n))

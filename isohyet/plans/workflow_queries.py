@@ -37,7 +37,11 @@ def verification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(wf.score_means(_layers(spark, sf_dir), "zone_id"), 4)
 
 
-@query("grid_request", "select cast(date_trunc('month', l_shipdate) as date)::varchar as time, lat, lon, round(avg(l_quantity), 6) as value from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join geo on n_name = loc_id where lat between -25 and -10 and lon between 15 and 30 and year(l_shipdate) between 1996 and 1999 and month(l_shipdate) in (1, 2, 3) and month(l_shipdate) % 3 between 0.5 and 2.5 group by 1, 2, 3")
+@query("grid_request", """select cast(date_trunc('month', l_shipdate) as date)::varchar as time, lat, lon, round(avg(l_quantity), 6) as value
+  from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
+  join geo on n_name = loc_id
+  where lat between -25 and -10 and lon between 15 and 30 and year(l_shipdate) between 1996 and 1999 and month(l_shipdate) in (1, 2, 3) and month(l_shipdate) % 3 between 0.5 and 2.5
+  group by 1, 2, 3""")
 def grid_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     n = t.raw("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("loc_id")).join(t.geo(), "loc_id")
@@ -57,7 +61,13 @@ def zoning_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.createDataFrame([], "row_idx int, col_idx int, zone int")
 
 
-@query("zoning_data", "sea as (select loc_id, time, sum(value) over r as v, count(value) over r as n from obs window r as (partition by loc_id order by year(time) * 12 + month(time) range between 2 preceding and current row)), s as (select loc_id, year(time) as year, v from sea where n = 3 and month(time) = 3 and year(time) between 1993 and 1997), y as (select count(distinct year) as years from s), w as (select loc_id from s group by 1 having count(*) = (select years from y)) select s.loc_id, s.year, round(s.v, 2) as value from s join w using (loc_id)")
+@query("zoning_data", """sea as (select loc_id, time, sum(value) over r as v, count(value) over r as n
+  from obs window r as (partition by loc_id
+  order by year(time) * 12 + month(time) range between 2 preceding and current row)),
+  s as (select loc_id, year(time) as year, v from sea
+  where n = 3 and month(time) = 3 and year(time) between 1993 and 1997), y as (select count(distinct year) as years
+  from s), w as (select loc_id from s group by 1 having count(*) = (select years from y)) select s.loc_id, s.year,
+  round(s.v, 2) as value from s join w using (loc_id)""")
 def zoning_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The season matrix that the zoning starts from: stations with every year."""
     t = Tables(spark, sf_dir)

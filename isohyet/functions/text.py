@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Characters that a file name may not have, units of sizes, and the form of a duration.
+FORBIDDEN = r'[<>:"/\\|?*\x00-\x1F]'
+UNITS = ["B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB", "ZiB", "YiB"]
+DURATION = "%d hour(s) %d minute(s) %d second(s)"
+
+
 def fix_name(text: Column) -> Column:
     """Runs of other than ASCII letters and digits become one underscore; none at the ends."""
     return F.btrim(F.regexp_replace(F.trim(text), "[^0-9a-zA-Z]+", "_"), F.lit("_"))
@@ -25,7 +31,7 @@ def sanitize(text: Column, replacement: str = "_", most: int = 255) -> Column:
     """A safe file name from ASCII text (see fold_accents): characters that file systems refuse and control characters
     are replaced, runs of the replacement become one, spaces and dots at the ends go, and the name is cut."""
     ascii_only = F.regexp_replace(text, r"[^\x00-\x7F]", "")
-    safe = F.regexp_replace(ascii_only, r'[<>:"/\\|?*\x00-\x1F]', replacement)
+    safe = F.regexp_replace(ascii_only, FORBIDDEN, replacement)
     return F.left(F.btrim(F.regexp_replace(safe, f"{replacement}+", replacement), F.lit(" .")), F.lit(most))
 
 
@@ -35,14 +41,14 @@ def is_number(text: Column) -> Column:
 
 def size_label(num: Column) -> Column:
     """Bytes with a binary unit and one decimal."""
-    units = ["B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB", "ZiB"]
-    found: Column = F.format_string("%.1fYiB", num / float(1024**8))
-    for i in range(len(units) - 1, -1, -1):
-        found = F.when(F.abs(num) < float(1024 ** (i + 1)), F.format_string(f"%.1f{units[i]}", num / float(1024**i))).otherwise(found)
+    *small, largest = UNITS
+    found: Column = F.format_string(f"%.1f{largest}", num / float(1024 ** len(small)))
+    for i in range(len(small) - 1, -1, -1):
+        found = F.when(F.abs(num) < float(1024 ** (i + 1)), F.format_string(f"%.1f{small[i]}", num / float(1024**i))).otherwise(found)
     return found
 
 
 def duration_label(seconds: Column) -> Column:
     """Hours, minutes and seconds within a day."""
     s = F.pmod(F.floor(seconds).cast("long"), F.lit(86400))
-    return F.format_string("%d hour(s) %d minute(s) %d second(s)", F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60)))
+    return F.format_string(DURATION, F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60)))

@@ -41,5 +41,6 @@ def decided(decisions: DataFrame) -> DataFrame:
 def properties(decisions: DataFrame, id_name: str, year: int, period: str) -> DataFrame:
     """(zone, properties MAP): the id and five computed properties; the confidence carries no season in its name."""
     d = decided(decisions)
+    # The names of the properties.
     named = {id_name: "zone", f"finalcode_{year}-{period}": "fcstCode", f"finalcategory_{year}-{period}": "fcstCategory", "finalconfidence": "confLevel", f"agreement_{year}-{period}": "signalAgree", f"skill_{year}-{period}": "skillLevel"}
     return d.select("zone", F.create_map(*(x for n, c in named.items() for x in (F.lit(n), F.col(c).cast("string")))).alias("properties"))

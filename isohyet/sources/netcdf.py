@@ -233,6 +233,29 @@ def read(spark: SparkSession, path: str, variable: str, slab_bytes: int = SLAB_B
     return ranges.unionByName(files.join(hidden, "path", "left_semi").select("path", "content").mapInPandas(whole, schema))
 
 
+def units(spark: SparkSession, path: str, variable: str, default: str = "mm") -> str:
+    """The units of a variable of the first file; those of rainfall where it names none."""
+
+    def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for raw in f["content"]:
+                own = Header(raw).variables.get(variable)
+                yield pd.DataFrame({"units": [own[2].get("units") if own else None]}, dtype=object)
+
+    files = spark.read.format("binaryFile").load(path).limit(1).select("content")
+    first = files.mapInPandas(found, "units string").first()
+    return first["units"] if first and first["units"] else default
+
+
+def read_observed(spark: SparkSession, path: str, variable: str) -> DataFrame:
+    """(loc_id, time, latitude, longitude, value, units) of observations to verify against: negative values are missing,
+    places are named by their coordinates, which are those of EPSG:4326."""
+    rows = read(spark, path, variable)
+    name = F.format_string("%.6f_%.6f", "lat", "lon").alias("loc_id")
+    value = F.when(F.col("value") >= 0, F.col("value")).alias("value")
+    return rows.select(name, "time", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), value, F.lit(units(spark, path, variable)).alias("units"))
+
+
 def variables(spark: SparkSession, path: str) -> list[str]:
     """The names of a file's variables that are no coordinates."""
     known = {x for others in COORDINATES.values() for x in others}

@@ -16,6 +16,26 @@ from isohyet.operators import season
 from isohyet.operators.clean import in_box, without_sentinel
 
 
+#: Products by code - the first year that they have, the pressure level, and whether they are forecasts
+#: with members and leads. All mark missing values with -999.
+PRODUCTS = {
+    "PRCP_CHIRPSp25": (1981, None, False),
+    "SST_ERSSTv5": (1854, None, False),
+    "GPH500_NCEP-NCAR": (1949, 500.0, False),
+    "MSL_NCEP-NCAR": (1949, None, False),
+    "SST_GEOSS2S": (1981, None, True),
+    "SST_CCSM4": (1981, None, True),
+    "SST_CFSv2": (1981, None, True),
+    "PRCP_GEOSS2S": (1981, None, True),
+    "PRCP_CCSM4": (1981, None, True),
+    "PRCP_CFSv2": (1981, None, True),
+    "z500_GEOSS2S": (1981, None, True),
+    "z200_CCSM4": (1981, None, True),
+    "z200_CFSv2": (1981, None, True),
+}
+PRODUCT_MISSING = -999.0
+
+
 @dataclass(frozen=True)
 class GridRequest:
     """A query for a gridded variable (time, lat, lon, value; perhaps level, lead and member)."""
@@ -30,6 +50,16 @@ class GridRequest:
     missing: float | None = None
     source_first_year: int | None = None
 
+    @classmethod
+    def of_product(cls, code: str, first_year: int, last_year: int, **options) -> GridRequest:
+        """A request with a product's own settings; only forecasts have a lead."""
+        if code not in PRODUCTS:
+            raise ValueError(f"unknown product {code}")
+        start, level, is_forecast = PRODUCTS[code]
+        if (options.get("lead") is None) == is_forecast:
+            raise ValueError(f"{code} {'needs' if is_forecast else 'has no'} lead")
+        return cls(first_year, last_year, level=level, missing=PRODUCT_MISSING, source_first_year=start, **options)
+
     def validate(self) -> None:
         if self.last_year < self.first_year:
             raise ValueError("the last year lies before the first")

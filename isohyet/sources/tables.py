@@ -151,8 +151,11 @@ def explode_features(collection: DataFrame, column: str = "value") -> DataFrame:
     return f.select(F.col("f.properties").alias("properties"), as_points.alias("rings"))
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    return explode_features(spark.read.text(path, wholetext=True))
+def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(properties, rings) of a GeoJSON document, or of a file with a feature a line."""
+    if not lines:
+        return explode_features(spark.read.text(path, wholetext=True))
+    return explode_features(spark.read.text(path).select(F.format_string('{"features":[%s]}', "value").alias("value")))
 
 
 def feature_lines(features: DataFrame, properties: str = "properties", geometry: str = "geometry") -> DataFrame:
@@ -168,6 +171,12 @@ def feature_collection(features: DataFrame, properties: str = "properties", geom
     return lines.agg(F.format_string('{"type":"FeatureCollection","features":[%s]}', F.array_join(F.array_sort(F.collect_list("value")), ",")).alias("value"))
 
 
+def write_geojson(features: DataFrame, path: str, single: bool = False, overwrite: bool = True) -> None:
+    """Features with properties MAP and geometry as GeoJSON text: a feature a line, or one document of few features."""
+    texts = feature_collection(features) if single else feature_lines(features)
+    texts.write.mode("overwrite" if overwrite else "ignore").text(path)
+
+
 def attributes(df: DataFrame, column: str = "properties") -> list[str]:
     first = df.select(F.map_keys(column)).first()
     return list(first[0]) if first else []

@@ -206,6 +206,32 @@ def test_geojson(spark, tmp_path):
     assert row["properties"] == {"Zone": "1"} and len(row["rings"]) == 2 and row["rings"][1][2]["x"] == 6.0
 
 
+def test_geojson_is_written_and_read(spark, tmp_path):
+    rows = [({"Zone": str(i)}, f'{{"type":"Polygon","coordinates":[[[{i},0],[{i + 1},0],[{i + 1},1],[{i},0]]]}}') for i in range(3)]
+    features = spark.createDataFrame(rows, "properties map<string,string>, geometry string")
+    for single in (False, True):
+        tables.write_geojson(features, str(tmp_path / str(single)), single)
+        got = tables.read_geojson(spark, str(tmp_path / str(single)), lines=not single).collect()
+        assert sorted((r["properties"]["Zone"], r["rings"][0][1]["x"]) for r in got) == [("0", 1.0), ("1", 2.0), ("2", 3.0)]
+    with pytest.raises(ValueError):
+        tables.feature_collection(features, most=2)
+
+
+def test_observed_grids_and_products(spark, tmp_path):
+    from isohyet.sources.requests import GridRequest
+
+    data = np.array([[[1.0, -5.0]]])
+    for name, attrs in (("a", {}), ("b", {"units": "cm"})):
+        (tmp_path / f"{name}.nc").write_bytes(netcdf.encode([0], "months since 2000-01-01", [0.5], [30.0, 31.0], {"pr": (data, attrs)}, names=("T", "Y", "X")))
+    got = {r["loc_id"]: (r["value"], r["units"]) for r in netcdf.read_observed(spark, str(tmp_path / "a.nc"), "pr").collect()}
+    assert got == {"0.500000_30.000000": (1.0, "mm"), "0.500000_31.000000": (None, "mm")}
+    assert netcdf.units(spark, str(tmp_path / "b.nc"), "pr") == "cm"
+    assert GridRequest.of_product("GPH500_NCEP-NCAR", 1900, 2000).level == 500.0 and GridRequest.of_product("SST_CCSM4", 1900, 2000, lead=2).source_first_year == 1981
+    for code, options in (("SST_CCSM4", {}), ("SST_ERSSTv5", {"lead": 1}), ("x", {})):
+        with pytest.raises(ValueError):
+            GridRequest.of_product(code, 1990, 2000, **options)
+
+
 def test_netcdf(spark, tmp_path):
     data = np.arange(12.0).reshape(3, 2, 2)
     (tmp_path / "a.nc").write_bytes(netcdf.write_bytes([0, 1, 2], "months since 2000-11-01", np.array([-1.0, 1.0]), np.array([30.0, 31.0]), "pr", data))

@@ -267,12 +267,20 @@ def spans(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, band: int =
     return done[0].unionByName(done[1]).unionByName(done[2])
 
 
+def _covered(n: int, low: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of n places lie in any of the ranges low to end."""
+    cover = np.zeros(n + 1, np.int64)
+    np.add.at(cover, low, 1)
+    np.add.at(cover, end, -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
 def remove_repeats(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, band: int = BAND, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: int = 0) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept BINARY, text, rest STRUCT) for every row of df.
 
-    With `words`, repeated windows of so many words are removed beside those of `width` bytes. `kept` holds the remaining
-    bytes; a cut may fall inside a character. `text` holds them without what cuts have left of characters. `rest` holds
-    the columns named in carry."""
+    The numbers and `kept`, the remaining bytes, are those of windows of `width` bytes; a cut may fall inside a character.
+    `text` is what is left as text, without what cuts have left of characters; with `words`, it lacks repeated windows of
+    so many words too. `rest` holds the columns named in carry."""
     docs = _named(df, id_col, text_col, carry or [])
     with scratch(df.sparkSession) as keep:
         found = spans(docs, width, context, band, bucket_rows).withColumn("by_word", F.lit(False))
@@ -297,20 +305,17 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, ba
             removed, runs, kept, left = [], [], [], []
             for i in range(b.num_rows):
                 text = raw[offsets[i] : offsets[i + 1]]
-                cover = np.zeros(len(text) + 1, np.int64)
                 own = slice(ends[i], ends[i + 1])
-                low, end, w = lo[own].copy(), hi[own] + width, by_word[own]
-                if w.any():
-                    begin = np.append(word_ends(text, np.array([0, len(text)]))[0], len(text))
-                    begin[0] = 0  # white space before the first word goes with it
-                    low[w], end[w] = begin[lo[own][w]], begin[hi[own][w] + words]
-                np.add.at(cover, low, 1)
-                np.add.at(cover, end, -1)
-                gone = np.cumsum(cover[:-1]) > 0
+                low, w = lo[own], by_word[own]
+                gone = _covered(len(text), low[~w], hi[own][~w] + width)
                 removed.append(int(gone.sum()))
                 runs.append(int((gone & ~np.append(False, gone[:-1])).sum()))
                 kept.append(text[~gone].tobytes())
-                left.append(kept[-1].decode("utf-8", "ignore"))
+                if w.any():
+                    begin = np.append(word_ends(text, np.array([0, len(text)]))[0], len(text))
+                    begin[0] = 0  # white space before the first word goes with it
+                    gone |= _covered(len(text), begin[low[w]], begin[hi[own][w] + words])
+                left.append(text[~gone].tobytes().decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(left, pa.string()), b["rest"]], [*schema.names]
             )

@@ -8,8 +8,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from isohyet.llm.common import written
 
-from .test_pipeline_whole import brute_words
 from .test_rows import brute_components, check_packing
+from .test_suffix_dedup import brute_words
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 

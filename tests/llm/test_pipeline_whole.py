@@ -1,16 +1,13 @@
 """The pipeline's stages at the thresholds that they are to reach."""
 
 import random
-import re
-from collections import Counter
-
-import numpy as np
 
 import corpus_pipeline
 from isohyet.llm import near_dedup
 from isohyet.llm.common import written
 
 from .test_rows import brute_components
+from .test_suffix_dedup import brute_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -39,26 +36,6 @@ def test_near_bounds_follow_the_similarity():
     assert near_dedup.bounds(85) == (36, 38) and near_dedup.bounds(80) == (31, 33)
 
 
-def brute_words(texts, words=51, width=400):
-    """What is left of each text without its repeated windows of words and of bytes."""
-    raw = [t.encode() for t in texts]
-    begin = [[0, *[m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", x)][1:], len(x)] for x in raw]
-    split = [x.split() for x in raw]
-    in_words = Counter(tuple(w[i : i + words]) for w in split for i in range(len(w) - words + 1))
-    in_bytes = Counter(x[i : i + width] for x in raw for i in range(len(x) - width + 1))
-    out = []
-    for x, b, w in zip(raw, begin, split, strict=True):
-        gone = np.zeros(len(x), bool)
-        for i in range(len(w) - words + 1):
-            if in_words[tuple(w[i : i + words])] > 1:
-                gone[b[i] : b[i + words]] = True
-        for i in range(len(x) - width + 1):
-            if in_bytes[x[i : i + width]] > 1:
-                gone[i : i + width] = True
-        out.append(np.frombuffer(x, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"))
-    return out
-
-
 def test_repeats_of_51_words(spark, sf_dir):
     rng = random.Random(9)
     some = lambda n, size=5: " ".join("".join(rng.choice("abcdefghé") for _ in range(size)) for _ in range(n))

@@ -40,10 +40,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Texts without their repeated passages, of more than 50 words or of 400 bytes; a document of which nothing is left
     goes. What a cut leaves of a character is dropped, and n_chars is counted anew where a text has changed."""
     found = suffix_dedup.remove_repeats(docs, carry=docs.columns, words=51)
-    changed = F.col("n_removed") > 0
+    changed = F.col("text") != F.coalesce(F.col("rest.text"), F.lit(""))
     text = F.when(changed, F.col("text")).otherwise(F.col("rest.text"))
     columns = {"text": text, "n_chars": F.when(changed, F.char_length(text).cast("long")).otherwise(F.col("rest.n_chars"))}
-    left = found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+    left = found.filter(~changed | (F.col("text") != ""))
     return left.select(*(columns.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
 
 

@@ -10,11 +10,11 @@ from isohyet.functions.calendar import month_index
 FOLDS = 5
 
 
-def lead_align(obs: DataFrame, pred: DataFrame, lead: int, key: str | None = "loc_id") -> DataFrame:
-    """(loc_id, time, x, y): each observation with the predictor `lead` months before. Without a key all locations
+def lead_align(obs: DataFrame, pred: DataFrame, lead: int, key: str | None = "loc_id", keep: list[str] | None = None) -> DataFrame:
+    """(loc_id, time, x, y) and columns of obs to keep: each observation with the predictor `lead` months before. Without a key all locations
     share one predictor series."""
     p = pred.select(*([key] if key else []), F.add_months("time", lead).alias("time"), F.col("value").alias("x"))
-    return obs.select("loc_id", "time", F.col("value").alias("y")).join(p, [*([key] if key else []), "time"]).select("loc_id", "time", "x", "y")
+    return obs.select("loc_id", "time", F.col("value").alias("y"), *(keep or [])).join(p, [*([key] if key else []), "time"]).select("loc_id", "time", "x", "y", *(keep or []))
 
 
 def with_folds(pairs: DataFrame, folds: int = FOLDS, key: str = "loc_id") -> DataFrame:
@@ -55,14 +55,15 @@ def out_of_fold_linear(folded: DataFrame, penalty: str = "ols", alpha: float | N
     return df.select(key, "time", "y", *(keep or []), (F.col("_my") + mean_y + weight * (x - mean_x) / sd).alias("h"))
 
 
-def hindcast_fit(folded: DataFrame, penalty: str = "ols", alpha: float | None = None, key: str = "loc_id") -> DataFrame:
+def hindcast_fit(folded: DataFrame, penalty: str = "ols", alpha: float | None = None, key: str = "loc_id", keep: list[str] | None = None) -> DataFrame:
     """(loc_id, _n, _e, correlation, and the full-sample fit) in one aggregate: errors of the cross-validated hindcast,
-    its correlation with the observations, and what `standard_fit` gives."""
-    hcst = out_of_fold_linear(folded, penalty, alpha, key, keep=["x"])
+    its correlation with the observations, and what `standard_fit` gives; and columns that a location has once."""
+    hcst = out_of_fold_linear(folded, penalty, alpha, key, keep=["x", *(keep or [])])
     cov = F.covar_pop("x", "y") / F.nullif(F.stddev_pop("x"), F.lit(0.0))
     return hcst.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"), F.collect_list(F.col("h") - F.col("y")).alias("_e"), F.corr("h", "y").alias("correlation"),
         F.avg("x").alias("mean_x"), F.stddev_pop("x").alias("sd_x"), F.avg("y").alias("intercept"), cov.alias("w_ols"),
+        *(F.max(c).alias(c) for c in keep or []),
     )
 
 

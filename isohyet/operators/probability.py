@@ -26,15 +26,18 @@ def _shares(centre: Column, n: Column) -> tuple[Column, Column]:
     return below, above
 
 
-def probabilities(hcst: DataFrame, thresholds: DataFrame, key: str = "loc_id") -> DataFrame:
-    """Hindcast probabilities of every year, from all of the location's errors around that year's forecast."""
+def probabilities(hcst: DataFrame, thresholds: DataFrame | None = None, key: str = "loc_id", keep: list[str] | None = None) -> DataFrame:
+    """Hindcast probabilities of every year, from all of the location's errors around that year's forecast. Without a
+    table of thresholds the rows have q33 and q66; locations without thresholds have no probabilities. Columns of hcst
+    to keep follow."""
     below, above = _shares(F.col("h"), F.size("_e"))
     # A window keeps one lineage: every row of a location sees its errors, which are as many as its years.
-    j = hcst.withColumn("_e", F.collect_list(F.col("h") - F.col("y")).over(Window.partitionBy(key))).join(thresholds, key)
-    p = j.select(key, "time", "y", "q33", "q66", below.alias("p_below"), above.alias("p_above"))
+    j = hcst.withColumn("_e", F.collect_list(F.col("h") - F.col("y")).over(Window.partitionBy(key)))
+    j = j.join(thresholds, key) if thresholds is not None else j.filter("q33 is not null")
+    p = j.select(key, "time", *dict.fromkeys(["y", *(keep or [])]), "q33", "q66", below.alias("p_below"), above.alias("p_above"))
     named = tercile_inclusive(F.col("y"), F.col("q33"), F.col("q66"))
     obs = F.when(named == "below", 0).when(named == "normal", 1).when(named == "above", 2)
-    return p.select(key, "time", "p_below", (1 - (F.col("p_above") + F.col("p_below"))).alias("p_normal"), "p_above", obs.cast("int").alias("obs_class"))
+    return p.select(key, "time", "p_below", (1 - (F.col("p_above") + F.col("p_below"))).alias("p_normal"), "p_above", obs.cast("int").alias("obs_class"), *(keep or []))
 
 
 def forecast_probabilities(fcst: DataFrame, hcst: DataFrame, thresholds: DataFrame, key: str = "loc_id") -> DataFrame:
@@ -118,13 +121,17 @@ def heidke(df: DataFrame, key: str = "loc_id") -> DataFrame:
     return df.groupBy(key).agg(((F.count_if(f == o) - expected) / F.nullif(n - expected, F.lit(0.0))).alias("hss"))
 
 
-def deterministic(hcst: DataFrame, key: str = "loc_id") -> DataFrame:
+def _deterministic() -> list[Column]:
     h, y = F.col("h"), F.col("y")
-    return hcst.groupBy(key).agg(F.corr("h", "y").alias("correlation"), skill.mape(h, y).alias("mape"), skill.rmse(h, y).alias("rmse"), skill.explained_variance(h, y).alias("explained_variance"))
+    return [F.corr("h", "y").alias("correlation"), skill.mape(h, y).alias("mape"), skill.rmse(h, y).alias("rmse"), skill.explained_variance(h, y).alias("explained_variance")]
+
+
+def deterministic(hcst: DataFrame, key: str = "loc_id") -> DataFrame:
+    return hcst.groupBy(key).agg(*_deterministic())
 
 
-def skill_table(hcst: DataFrame, probs: DataFrame, as_reference: bool = False, key: str = "loc_id") -> DataFrame:
-    """(loc_id, score, value) of all twelve scores."""
+def skill_table(hcst: DataFrame | None, probs: DataFrame, as_reference: bool = False, key: str = "loc_id") -> DataFrame:
+    """(loc_id, score, value) of all twelve scores. Without hcst, probs has its y and h, and one aggregate gives all."""
     obs, rows = F.col("obs_class"), F.count(F.lit(1))
     third = F.lit(1.0) / 3
     base = tuple(reversed(_p())) if as_reference else (third, third, third)
@@ -137,6 +144,7 @@ def skill_table(hcst: DataFrame, probs: DataFrame, as_reference: bool = False, k
     areas = [_area(k, c) for k, c in enumerate(CLASSES)]
     scores = df.groupBy(key).agg(
         *areas,
+        *([] if hcst is not None else _deterministic()),
         (1 - F.avg(skill.rps(_p(), obs)) / F.nullif(F.avg(skill.rps(base, obs)), F.lit(0.0))).alias("rpss"),
         F.avg(skill.ignorance(p_obs)).alias("ignorance"),
         ((F.count_if(best == obs) - expected) / F.nullif(rows - expected, F.lit(0.0))).alias("hss"),
@@ -145,6 +153,7 @@ def skill_table(hcst: DataFrame, probs: DataFrame, as_reference: bool = False, k
     )
     held = F.filter(F.array("roc_below", "roc_normal", "roc_above"), lambda x: x.isNotNull())
     mean = F.aggregate(held, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(held), F.lit(0))
-    j = deterministic(hcst, key).join(scores.withColumn("two_afc", mean), key)
+    scores = scores.withColumn("two_afc", mean)
+    j = deterministic(hcst, key).join(scores, key) if hcst is not None else scores
     names = {"correlation": "correlation", "MAPE": "mape", "RMSE": "rmse", "ROC_above": "roc_above", "ROC_normal": "roc_normal", "ROC_below": "roc_below", "rpss": "rpss", "ignorance": "ignorance", "hss": "hss", "2afc": "two_afc", "brier": "brier", "effintrate": "info_gain"}
     return j.select(key, *(F.col(c).alias(n) for n, c in names.items())).unpivot(key, list(names), "score", "value")

@@ -50,6 +50,12 @@ def climatology(df: DataFrame, key: str = "loc_id") -> DataFrame:
     return found.select(key, "mean", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q33", "q50", "q66"))))
 
 
+def with_thresholds(df: DataFrame, first: int, last: int, key: str = "loc_id") -> DataFrame:
+    """Adds q33 and q66 of the climatology years to every row of a location, by a window: rows keep one lineage."""
+    q = F.percentile(F.when(in_years(first, last), F.col("value")), F.array(*map(F.lit, TERCILE_LEVELS))).over(Window.partitionBy(key))
+    return df.withColumn("_q", q).select(*df.columns, F.get("_q", F.lit(0)).alias("q33"), F.get("_q", F.lit(1)).alias("q66"))
+
+
 def anomalies(df: DataFrame, clim: DataFrame, keep_all: bool = False, key: str = "loc_id") -> DataFrame:
     """Absolute anomaly, percent anomaly and percent of normal. keep_all brings locations of the climatology that df
     lacks back as rows without values."""

@@ -100,6 +100,19 @@ class Tables:
 
         return out_of_fold_ols(self.pairs())
 
+    def pairs_with_thresholds(self, varied: bool = False) -> DataFrame:
+        """Pairs and folds whose rows carry their location's thresholds."""
+        from isohyet.operators.clean import varied_locations
+        from isohyet.operators.season import with_thresholds
+
+        obs = with_thresholds(self.obs(), *CLIMATOLOGY)
+        return with_folds(lead_align(varied_locations(obs) if varied else obs, self.pred(), LEAD, keep=["q33", "q66"]))
+
+    def hcst_with_thresholds(self) -> DataFrame:
+        from isohyet.operators.align import out_of_fold_linear
+
+        return out_of_fold_linear(self.pairs_with_thresholds(), keep=["q33", "q66"])
+
     def thresholds(self) -> DataFrame:
         from isohyet.operators.season import climatology, in_years
 

@@ -95,8 +95,8 @@ def prob_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(probability.forecast_probabilities(_forecast(t), t.hcst(), t.thresholds()))
 
 
-def _hprobs(t: Tables) -> DataFrame:
-    return probability.probabilities(t.hcst(), t.thresholds())
+def _hprobs(t: Tables, keep: list[str] | None = None) -> DataFrame:
+    return probability.probabilities(t.hcst_with_thresholds(), keep=keep)
 
 
 @query("prob_hindcast", """select loc_id, cast(time as varchar) as time, round(p_below, 6)::double as p_below,
@@ -225,8 +225,8 @@ SKILL_SQL = (
 
 @query("skill_table", SKILL_SQL)
 def skill_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir)
-    return rounded(probability.skill_table(t.hcst(), _rounded_probs(t)), 4)
+    p = rounded(_hprobs(Tables(spark, sf_dir), ["y", "h"]), 9).withColumn("obs_class", F.col("obs_class").cast("int"))
+    return rounded(probability.skill_table(None, p), 4)
 
 
 CELL = """cell as (select event_id, zone, fcst, obs,
@@ -496,13 +496,12 @@ def forecast_none_ols_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors, fit and skill of a location come from one aggregate over its pairs."""
     t = Tables(spark, sf_dir)
     pred = t.pred()
-    pairs = align.lead_align(clean.varied_locations(t.obs()), pred, LEAD)
-    fit = align.hindcast_fit(align.with_folds(pairs))
+    fit = align.hindcast_fit(t.pairs_with_thresholds(varied=True), keep=["q33", "q66"]).filter("q33 is not null")
     last = F.max_by("value", "time").alias("x")
     newest = pred.groupBy("loc_id").agg(last, F.max("time").alias("time"))
     newest = newest.join(F.broadcast(newest.agg(F.max("time").alias("time"))), "time").select("loc_id", "x")
     f = F.col("intercept") + F.col("w_ols") * (F.col("x") - F.col("mean_x")) / F.nullif(F.col("sd_x"), F.lit(0.0))
-    j = probability.shares_of_errors(fit.join(newest, "loc_id").withColumn("f", f).join(t.thresholds(), "loc_id"))
+    j = probability.shares_of_errors(fit.join(newest, "loc_id").withColumn("f", f))
     three = [F.col(c) for c in ("p_below", "p_normal", "p_above")]
     return j.select("loc_id", F.round("f", 2).alias("forecast"), *(F.round(c, 4).alias(n) for c, n in zip(three, ("p_below", "p_normal", "p_above"), strict=True)), cat.likeliest_tercile(*three).alias("tercile"), cat.likeliest_category(*three).alias("cem"), F.round("correlation", 4).alias("correlation"))
 

@@ -179,14 +179,15 @@ def forecast(spec: ForecastSpec, predictand: DataFrame, predictor: DataFrame) ->
     clim = season.climatology(obs.filter(season.in_years(*spec.climatology)))
     fcst = new.select("loc_id", "time", F.col("h").alias("value"))
     limits = clim.select("loc_id", "q33", "q66")
-    p_hcst = probability.probabilities(hcst, limits)
+    judged = probability.probabilities(hcst, limits, keep=["y", "h"])
+    p_hcst = judged.drop("y", "h")
     p_fcst = probability.forecast_probabilities(fcst.select("loc_id", F.col("value").alias("f")), hcst, limits)
     three = [F.col(c) for c in ("p_below", "p_normal", "p_above")]
     named = {"tercile": cat.likeliest_tercile(*three), "category": cat.likeliest_category(*three)}
     return {
         "deterministic-fcst": season.anomalies(fcst, clim, spec.keep_all),
         "probabilistic-fcst": p_fcst.withColumns(named),
-        "skill": probability.skill_table(hcst, p_hcst, spec.as_reference),
+        "skill": probability.skill_table(None, judged, spec.as_reference),
         "deterministic-hcst": season.anomalies(hcst.select("loc_id", "time", F.col("h").alias("value")), clim, spec.keep_all),
         "probabilistic-hcst": p_hcst.withColumns(named),
     }

@@ -58,7 +58,9 @@ def _answered(df: DataFrame, salts: int, digest_of, id_col: str, text_col: str,
     rows = _rows(df, digest_of, salts, id_col, text_col, carry)
     own = ["rest"] if carry else []
     salted = lambda d: d.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    plain = rows.select("doc_id", *own, "digest", "salt").join(salted(by_digest), ["digest", "salt"], "left").filter("texts is null or texts = 1")
+    # Whole rows meet the copies by a shuffle at every size, so that costs grow with the rows and not by a change of plan.
+    copies = salted(by_digest).hint("merge") if carry else salted(by_digest)
+    plain = rows.select("doc_id", *own, "digest", "salt").join(copies, ["digest", "salt"], "left").filter("texts is null or texts = 1")
     single = F.col("texts").isNull()
     answered = plain.select(
         "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(single, F.lit(1).cast("long")).otherwise(F.col("group_size")).alias("group_size"), "digest", *own
@@ -78,8 +80,11 @@ def deduplicate(df: DataFrame, salts: int = SALTS, digest_of=digest, id_col: str
 def kept_rows(df: DataFrame, salts: int = SALTS, digest_of=digest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, with all their columns, that stay: one of each group."""
     stays = _answered(df, salts, digest_of, id_col, text_col, df.columns).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    # Only a group of several rows can hold its winning id twice.
-    norm = normalised(F.coalesce(F.col(f"rest.`{text_col}`").cast("string"), F.lit("")))
-    several = stays.filter("group_size > 1").groupBy("digest", norm.alias("norm")).agg(F.min_by("rest", F.to_json("rest")).alias("rest"))
-    one = stays.filter("group_size = 1").select("rest").unionByName(several.select("rest"))
+    one = stays.select("rest")
+    n = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.col(id_col).cast("long")).alias("ids")).first()
+    if n["ids"] < n["rows"]:
+        # Only where ids repeat, or are null, can a group of several rows hold its winning id twice.
+        norm = normalised(F.coalesce(F.col(f"rest.`{text_col}`").cast("string"), F.lit("")))
+        several = stays.filter("group_size > 1").groupBy("digest", norm.alias("norm")).agg(F.min_by("rest", F.to_json("rest")).alias("rest"))
+        one = stays.filter("group_size = 1").select("rest").unionByName(several.select("rest"))
     return one.select(*(F.col(f"rest.`{c}`").alias(c) for c in df.columns))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 ROWS_PER_BATCH = 1000
+HASHED_BYTES = 1 << 19  # of text that a worker hashes at once; it holds some eighty times as much meanwhile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isohyet.llm.common import batch_size, narrow, slices
+from isohyet.llm.common import HASHED_BYTES, batch_size, narrow, slices
 
 CELLS = 1 << 16
 PER_LANGUAGE = 4000
@@ -151,7 +151,7 @@ def with_language(df: DataFrame, model: Model, text_col: str = "text", lang_out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for b in slices(batches, 1 << 20):
+        for b in slices(batches, HASHED_BYTES):
             texts = [t or "" for t in b.column(place).to_pylist()]
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if own.languages and has_letter(t)]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import SubstringHash, batch_size, narrow, scratch, slices, written
+from isohyet.llm.common import HASHED_BYTES, SubstringHash, batch_size, narrow, scratch, slices, written
 from isohyet.llm.components import connected
 
 WORDS, PERCENT, K = 5, 80, 64
@@ -87,7 +87,7 @@ def features(df: DataFrame, words: int = WORDS, k: int = K, id_col: str = "doc_i
     """(doc_id, n, set_key BINARY, sketch BINARY): set size, a digest of the whole set, the k smallest values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1 << 20):
+        for b in slices(batches, HASHED_BYTES):
             sets = shingle_sets([t or "" for t in b["text"].to_pylist()], words)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -144,7 +144,7 @@ def exact_lists(docs: DataFrame, ids: DataFrame, words: int = WORDS, percent: in
     """Lists of all shingles of some documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1 << 20):
+        for b in slices(batches, HASHED_BYTES):
             sets = shingle_sets([t or "" for t in b["text"].to_pylist()], words)
             sizes = np.array([len(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(b["doc_id"].to_numpy(zero_copy_only=False), sizes)), pa.array(np.repeat(sizes, sizes))], ["value", "doc_id", "n"])
@@ -228,7 +228,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: in
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1 << 20):
+        for b in slices(batches, HASHED_BYTES):
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([s.tobytes() for s in shingle_sets([t or "" for t in b["text"].to_pylist()], words)], pa.binary())], ["doc_id", "shingles"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

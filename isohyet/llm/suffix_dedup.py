@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isohyet.llm.common import SubstringHash, batch_size, byte_view, scratch, slices, written
+from isohyet.llm.common import HASHED_BYTES, SubstringHash, batch_size, byte_view, scratch, slices, written
 
 WIDTH, CONTEXT, BAND = 400, 100, 16
 WORD_CONTEXT, WORD_BAND = 13, 8  # at most, for windows of words
@@ -102,7 +102,7 @@ def entries(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, by_word:
     reach = width - context + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1 << 20):
+        for b in slices(batches, HASHED_BYTES):
             hashed, offsets = _units(b["text"], by_word)
             length = int(offsets[-1])
             if length < width:
@@ -213,7 +213,7 @@ def _cut(df: DataFrame, cut, by_word: bool = False) -> DataFrame:
     """Entries made from the parts of each document: cut(hashes, lo, hi, p, base) gives part number and columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1 << 20):
+        for b in slices(batches, HASHED_BYTES):
             hashed, offsets = _units(b["text"], by_word)
             parts = b["parts"]
             sizes = np.diff(parts.offsets.to_numpy())

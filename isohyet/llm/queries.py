@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import exact_dedup, language_id, line_dedup, media, near_dedup, packing, sentencepiece_codec, sharding, suffix_dedup, token_store
+from isohyet.llm import centroids, exact_dedup, fill_in_middle, language_id, line_dedup, media, near_dedup, packing, sentencepiece_codec, sharding, suffix_dedup, token_store
 from isohyet.llm.common import new_folder, table
 
 
@@ -125,8 +125,60 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), words=51)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text")
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        F.char_length("prefix").cast("long").alias("prefix_chars"),
+        F.char_length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP12_SQL = r"""
+with units as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u, sha256('42:' || doc_id) as h from documents),
+draws as (select doc_id, text, u, len(u) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from units),
+cuts as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from draws),
+parts as (select doc_id, text, n, form, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as s from cuts)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256
+from parts
+"""
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    components = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(components, 256).alias("centroid_sha256"))
+
+
+def _op13_sql(k: int = 16, rounds: int = 3) -> str:
+    far = "list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))"
+    steps = [
+        "v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)",
+        f"c0 as (select row_number() over (order by h, v) - 1 as j, v from (select sha256('1:' || vec_id) as h, v from v order by h, v limit {k}))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} as (select vec_id, x.v as v, min(struct_pack(d := cast({far} as bigint), j := c.j)) as best from v x, c{r} c group by vec_id, x.v)")
+        if r < rounds:
+            mean = "list_transform(range(1, 65), lambda i: (s[i] - ((s[i] % n) + n) % n) // n)"
+            added = ", ".join(f"sum(v[{i}])" for i in range(1, 65))
+            steps.append(f"m{r} as (select best.j as j, count(*) as n, [{added}] as s from a{r} group by best.j)")
+            steps.append(f"c{r + 1} as (select c.j, case when n is null then c.v else list_transform({mean}, lambda x: cast(x as bigint)) end as v from c{r} c left join m{r} using (j))")
+    return f"""with {", ".join(steps)}
+select vec_id, cast(best.j as integer) as cluster, best.d as distance, cast(sum(best.d) over (partition by best.j) as bigint) as cluster_inertia, cast(sum(best.d) over () as bigint) as inertia,
+  sha256(array_to_string(c.v, ',')) as centroid_sha256
+from a{rounds} join c{rounds} c on c.j = best.j"""
+
+
+OP13_SQL = _op13_sql()
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_language, op3_line_dedup, op4_packing, op5_exact_dedup, op6_media, op7_near_dedup, op8_sharding, op9_token_store, op10_suffix_dedup)
+    f.__name__: f for f in (op1_sentencepiece, op2_language, op3_line_dedup, op4_packing, op5_exact_dedup, op6_media, op7_near_dedup, op8_sharding, op9_token_store, op10_suffix_dedup, op12_fill_in_middle, op13_centroids)
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_near_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_near_dedup": OP7_SQL, "op12_fill_in_middle": OP12_SQL, "op13_centroids": OP13_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import centroids, exact_dedup, fill_in_middle, language_id, line_dedup, media, near_dedup, packing, sentencepiece_codec, sharding, suffix_dedup, token_store
+from isohyet.llm import centroids, exact_dedup, fill_in_middle, language_id, line_dedup, media, near_dedup, packing, sentencepiece_codec, sharding, suffix_dedup, token_store, toxicity
 from isohyet.llm.common import new_folder, table
 
 
@@ -125,6 +125,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), words=51)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text")
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    characters = toxicity.fit_characters(docs)
+    model = toxicity.fit(docs.join(labels, "doc_id"), characters)
+    return toxicity.score(docs, model).select("doc_id", out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle.transform(table(spark, sf_dir, "documents"))
     return made.select(
@@ -179,6 +188,6 @@ OP13_SQL = _op13_sql()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_language, op3_line_dedup, op4_packing, op5_exact_dedup, op6_media, op7_near_dedup, op8_sharding, op9_token_store, op10_suffix_dedup, op12_fill_in_middle, op13_centroids)
+    f.__name__: f for f in (op1_sentencepiece, op2_language, op3_line_dedup, op4_packing, op5_exact_dedup, op6_media, op7_near_dedup, op8_sharding, op9_token_store, op10_suffix_dedup, op11_toxicity, op12_fill_in_middle, op13_centroids)
 }
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_near_dedup": OP7_SQL, "op12_fill_in_middle": OP12_SQL, "op13_centroids": OP13_SQL}

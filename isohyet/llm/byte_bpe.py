@@ -2,8 +2,10 @@
 
 A single space between two other characters always starts a new pre-token, so texts are cut there and the ids of
 each stretch are remembered. Texts with white space on both sides of a space are encoded whole. Stretches are
-encoded by tiktoken, whose ranks are read from the tokenizers file; special tokens in a text keep their own ids. A file
-that asks for anything else - a normaliser, another cut into pre-tokens, another order of merges - is refused.
+encoded by tiktoken, whose ranks are read from the tokenizers file; texts with more than LONG_SPACE white-space characters
+in a row, over which its pattern runs out of stack, are encoded by the tokenizers library itself. Special tokens in a
+text keep their own ids. A file that asks for anything else - a normaliser, another cut into pre-tokens, another order of
+merges - is refused.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ MEMO_STRETCHES = 150_000  # stretches that a worker remembers at once; a bound o
 #: The pre-token pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _AMBIGUOUS = re.compile(r"\s \s")
+LONG_SPACE = 10_000
 
 
 def _byte_of() -> dict[str, int]:
@@ -41,6 +44,12 @@ def check_spec(spec: dict) -> None:
         raise ValueError("the merges are not in the order of their ids")
 
 
+def long_space(text: str) -> bool:
+    """Whether a text has so long a run of white space: each covers one of the blocks of half its length."""
+    half = LONG_SPACE // 2
+    return any(text[i].isspace() and text[i : i + half].isspace() for i in range(0, len(text) - half + 1, half))
+
+
 class ByteBpe(dict):
     """A memo of stretch -> little-endian 32-bit ids, with the encoder behind it."""
 
@@ -54,6 +63,7 @@ class ByteBpe(dict):
         byte_of = _byte_of()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in self.special}
+        self.path = path
         self.size = len(ranks) + len(self.special)
         self._encoding = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self._plain = self._encoding.encode_ordinary
@@ -67,8 +77,16 @@ class ByteBpe(dict):
             self[stretch] = ids
         return ids
 
+    @functools.cached_property
+    def _library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
+        if long_space(text):
+            return array("I", self._library.encode(text, add_special_tokens=False).ids).tobytes()
         if self._cut and self._cut.search(text):
             return array("I", self._encoding.encode(text, allowed_special="all")).tobytes()
         if _AMBIGUOUS.search(text):

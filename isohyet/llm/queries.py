@@ -130,7 +130,7 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     characters = toxicity.fit_characters(docs)
-    model = toxicity.fit(docs.join(labels, "doc_id"), characters)
+    model = toxicity.fit(docs, labels, characters)
     return toxicity.score(docs, model).select("doc_id", out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -7,11 +7,11 @@ model and channel. Elsewhere a text has one reading, itself. The restored text i
 word beginnings and short whole words, and how often a document has them.
 
 The language model counts every text and byte. The regression is fitted on a bounded sample: `per_label` distinct texts
-of each label are expected, chosen by a hash of the text; of fewer all are taken. Beginnings of words are kept as they
+of each label are expected, chosen by a hash of the text; of fewer all are taken, of equal texts one. Beginnings of words are kept as they
 are, not hashed, if a likelihood ratio test finds them tied to the label.
 
 Rows: a null or empty text is empty, and has the score of a text without any sign. Rows stand alone, so repeated rows
-get equal scores; in the sample equal texts count once. Rows without a label, or with a null text, are not learned from;
+get equal scores. Rows without a label, or with a null text, are not learned from;
 with fewer than two labels every score is 0. An empty table has no scores. Extra columns are left out. Texts of any
 length are read whole; a stretch of more than BLOCK units is read in blocks, each from the best reading of those before.
 """
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import batch_size, byte_view, narrow, slices
+from isohyet.llm.common import batch_size, byte_view, narrow, slices, written
 
 PER_LABEL = 4000
 SYMBOLS = 32
@@ -430,16 +430,27 @@ def regression(docs: np.ndarray, place: np.ndarray, labels: np.ndarray, width: i
     return w, float(bias)
 
 
-def fit(rows: DataFrame, characters: CharModel, per_label: int = PER_LABEL, significant: float = 20.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from the rows' labels; every label but 0 is 1."""
-    given = rows.select(F.col(text_col).cast("string").alias("text"), (F.col(label_col) != 0).alias("label")).filter("text is not null and label is not null")
-    sizes = {r["label"]: r["n"] for r in given.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) < 2:
-        return Model(characters, np.zeros(0, np.uint64), np.zeros(0), 0.0, False)
-    share = F.when(F.col("label"), F.lit(min(1 << 62, (per_label << 62) // sizes[True]))).otherwise(F.lit(min(1 << 62, (per_label << 62) // sizes[False])))
-    # Copies count once, so that a group of copies neither fills the sample nor ties its own words to its label.
-    sample = given.filter(F.shiftrightunsigned(F.xxhash64("text"), 2) < share).groupBy(F.md5("text").alias("key"), "label").agg(F.first("text").alias("text"))
-    shared = rows.sparkSession.sparkContext.broadcast(characters)
+def sample_of(docs: DataFrame, labels: DataFrame, per_label: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(key, text, label) of about per_label distinct texts of each label, every label but 0 being 1. Only ids and hashes
+    are shuffled for it; of texts, those of the sample alone are, and copies count once, so that a group of copies
+    neither fills the sample nor ties its own words to its label."""
+    rows = narrow(docs, id_col, text_col).filter("text is not null").select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    given = labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) != 0).alias("label")).filter("label is not null")
+    marked = rows.select("doc_id", "mark").join(given, "doc_id").groupBy("mark", "label").agg(F.min("doc_id").alias("doc_id"))
+    marked = written(marked, "marked")
+    sizes = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.lit(0).cast("long")
+    for label, n in sizes.items():
+        share = F.when(F.col("label") == label, F.lit(min(1 << 62, (per_label << 62) // n))).otherwise(share)
+    drawn = marked.filter(F.shiftrightunsigned(F.xxhash64("mark"), 2) < share)
+    found = rows.join(F.broadcast(drawn), ["doc_id", "mark"])  # about per_label rows a label
+    return written(found.groupBy(F.col("mark").alias("key"), "label").agg(F.first("text").alias("text")), "sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame, characters: CharModel, per_label: int = PER_LABEL, significant: float = 20.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Learn from the labels (id_col, label_col) of the documents that have one."""
+    sample = sample_of(docs, labels, per_label, id_col, text_col, label_col)
+    shared = docs.sparkSession.sparkContext.broadcast(characters)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
@@ -460,7 +471,7 @@ def fit(rows: DataFrame, characters: CharModel, per_label: int = PER_LABEL, sign
     tie = _tied(with_one, table["n"].to_numpy() - with_one, ones, nones)
     values = np.sort(table["value"].to_numpy()[tie > significant].view(np.uint64))
     plain = Model(characters, values, np.zeros(len(values)), 0.0, True)
-    held = rows.sparkSession.sparkContext.broadcast(plain)
+    held = docs.sparkSession.sparkContext.broadcast(plain)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
@@ -470,7 +481,7 @@ def fit(rows: DataFrame, characters: CharModel, per_label: int = PER_LABEL, sign
             places = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(place, pa.int32()))
             yield pa.RecordBatch.from_arrays([b["key"], b["label"], places], ["key", "label", "places"])
 
-    seen = sample.mapInArrow(found, "key string, label boolean, places array<int>").orderBy("key").toArrow()  # the sample's rows
+    seen = sample.mapInArrow(found, "key long, label boolean, places array<int>").orderBy("key", "label").toArrow()  # the sample's rows
     places = seen["places"].combine_chunks()
     labels = seen["label"].to_numpy().astype(bool)
     sizes_ = np.diff(places.offsets.to_numpy()) if len(places) else np.zeros(0, int)

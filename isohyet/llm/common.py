@@ -123,25 +123,39 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-# --- Polynomial hashes of any substring, from one pass of prefix sums modulo 2**64. ---
+# --- Polynomial hashes of any substring, from one pass of prefix sums, at two points modulo the prime 2**31 - 1. ---
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = {}
+_PRIME = np.uint64((1 << 31) - 1)
+_SHIFT = np.uint64(31)
+#: Two points drawn at random: two strings of n letters that differ agree at one of them with a probability of n / 2**31 at most.
+_POINTS = [int(x) for x in np.random.default_rng(20240229).integers(1 << 20, (1 << 31) - 1, 2)]
+_powers: dict = {"size": 0}
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A number of the same residue: under 2**34 for any, under 2**32 for those under 2**62."""
+    return (x & _PRIME) + (x >> _SHIFT)
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    x = _folded(_folded(x))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _power_table(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of both points, the powers and those of the inverse, as far as n."""
     size = 1 << max(16, int(n).bit_length())
-    if _powers.get("size", 0) < size:
+    if _powers["size"] < size:
         tables = []
-        for base in (_BASE, _BASE_INVERSE):
-            grown = np.ones(1, np.uint64)
-            factor = base
-            while len(grown) < size:
-                grown = np.concatenate([grown, grown * factor])
-                factor = factor * factor
-            tables.append(grown)
+        for point in _POINTS:
+            pair = []
+            for base in (point, pow(point, -1, int(_PRIME))):
+                grown, factor = np.ones(1, np.uint64), base
+                while len(grown) < size:
+                    grown = np.concatenate([grown, _residue(grown * np.uint64(factor))])
+                    factor = factor * factor % int(_PRIME)
+                pair.append(grown.astype(np.uint32))
+            tables.append(tuple(pair))
         _powers.update(size=size, tables=tables)
     return _powers["tables"]
 
@@ -154,28 +168,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class SubstringHash:
-    """64-bit hashes of substrings of one array of bytes, or of 64-bit values: equal strings, equal hashes, wherever they
+    """62-bit hashes of substrings of one array of bytes, or of 64-bit values: equal strings, equal hashes, wherever they
     start."""
 
     def __init__(self, raw: np.ndarray):
+        self.down, self.sums = [], []
+        # Bytes are letters of both polynomials; of longer values each has another half.
+        letters = [raw.astype(np.uint64) + np.uint64(1)] * 2 if raw.dtype == np.uint8 else [raw & _PRIME, raw >> np.uint64(33)]
+        for own, (up, down) in zip(letters, _power_table(len(raw) + 1), strict=True):
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(_folded(own * up[: len(raw)]), out=sums[1:])  # terms under 2**32
+            self.sums.append(sums)
+            self.down.append(down)
+
+    @staticmethod
+    def _joined(parts: list[np.ndarray], length: np.ndarray | np.uint64) -> np.ndarray:
         with np.errstate(over="ignore"):
-            self.up, self.down = _power_table(len(raw) + 1)
-            self.sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum((_BYTES[raw] if raw.dtype == np.uint8 else raw) * self.up[: len(raw)], out=self.sums[1:])
+            return mixed((parts[0] << _SHIFT | parts[1]) + length * np.uint64(0xD6E8FEB86659FD93))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            plain = (self.sums[end] - self.sums[start]) * self.down[start]
-            return mixed(plain + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return self._joined([_residue(_folded(_folded(s[end] - s[start])) * d[start]) for s, d in zip(self.sums, self.down, strict=True)], (end - start).astype(np.uint64))
 
     def sliding(self, width: int) -> np.ndarray:
         """Hashes of all substrings of one width, by start."""
-        n = len(self.sums) - width
+        n = len(self.sums[0]) - width
         if n <= 0:
             return np.zeros(0, np.uint64)
-        with np.errstate(over="ignore"):
-            plain = (self.sums[width:] - self.sums[:n]) * self.down[:n]
-            return mixed(plain + np.uint64(width * 0xD6E8FEB86659FD93 % (1 << 64)))
+        return self._joined([_residue(_folded(_folded(s[width:] - s[:n])) * d[:n]) for s, d in zip(self.sums, self.down, strict=True)], np.uint64(width))
 
 
 def tokenizer_path(name: str) -> str:

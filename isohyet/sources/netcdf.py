@@ -1,9 +1,11 @@
-"""Classic NetCDF files (versions 1 and 2) as a long table, a slab of times a task, and grids as such files.
-
-Spark's binaryFile reader lists the files; where Arrow knows their file system, tasks read a file's header and then only
-their own times, and else a file whole. Each file gives rows (file, time, lat, lon, value) of one variable. Coordinates
-have synonyms; dimensions of size 1 are dropped, others refused; the calendars `360`, `360_day` and `standard` are
-decoded, and times are snapped to day 1. Grids are written one file a time, by the task that has it.
+"""NetCDF files, classic (versions 1 and 2) and NetCDF-4, as a long table, and grids as classic files.
+
+`NetcdfSource` is a Spark data source, `spark.read.format("netcdf_grid")` once `register` has been called: its partitions
+are slabs of times, made from the headers, and filters on time, lat and lon leave only the slabs, rows and chunks that
+hold what is asked for to be read. Where Arrow doesn't know a file system, `read` takes whole files from Spark's own
+reader. Each file gives rows (file, time, lat, lon, value) of one variable. Coordinates have synonyms; dimensions of size
+1 are dropped, others refused; the calendars `360`, `360_day` and `standard` are decoded, and times are snapped to day 1.
+Grids are written one file a time, by the task that has it.
 """
 
 from __future__ import annotations
@@ -11,13 +13,17 @@ from __future__ import annotations
 import datetime
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, datasource
 from pyspark.sql import functions as F
 
+from isohyet.sources.hdf5 import SIGNATURE, Hdf5, ranged
 from isohyet.sources.tables import COORDINATES, LayoutError
 
 #: Types of the format, and the tags of its lists.
@@ -25,7 +31,10 @@ TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
 DIMENSION, VARIABLE, ATTRIBUTE = 10, 11, 12
 MISSING = ("_FillValue", "missing_value")
 SLAB_BYTES = 32 << 20
-HEAD_BYTES = 1 << 20  # of a file that are read for its header; coordinates may lie anywhere
+HEAD_BYTES = 1 << 16  # of a file that are read for its header at first; coordinates may lie anywhere
+PLANNED_FILES = 10_000  # whose headers the driver reads to plan slabs
+SCHEMA = "file string, time date, lat double, lon double, value double"
+ROWS = [("file", pa.string()), ("time", pa.date32()), ("lat", pa.float64()), ("lon", pa.float64()), ("value", pa.float64())]
 
 
 class _Reader:
@@ -61,10 +70,11 @@ class _Reader:
 
 
 class Header:
-    """Names, shapes and places of a file's variables."""
+    """Names, shapes and places of a classic file's variables: name -> (dimensions, shape, attributes, dtype)."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, read: Callable[[int, int], bytes] | None = None):
         r = _Reader(raw)
+        self.file = read or (lambda at, n: raw[at : at + n])
         self.records = max(0, r.number())
         dims = r.listed(DIMENSION, lambda: (r.name(), r.number()))
         attribute = lambda: (r.name(), r.values())
@@ -79,32 +89,28 @@ class Header:
         found = r.listed(VARIABLE, variable)
         growing = {i for i, (_, n) in enumerate(dims) if n == 0}
         self.step = sum(v[4] for v in found if v[1] and v[1][0] in growing)
-        self.variables = {}
+        self.variables, self._places = {}, {}
         for name, ids, attrs, dtype, _, begin in found:
             shape = [self.records if i in growing else dims[i][1] for i in ids]
-            self.variables[name] = ([dims[i][0] for i in ids], shape, attrs, dtype, begin, bool(ids) and ids[0] in growing)
-
-    def values(self, name: str, read, first: int = 0, last: int | None = None) -> np.ndarray:
-        """A variable's values, or those of a range of its first dimension; read(place, size) gives bytes of the file."""
-        _, shape, _, dtype, begin, growing = self.variables[name]
-        rows = shape[0] if shape else 1
-        last = rows if last is None else min(last, rows)
-        n = int(np.prod(shape[1:], dtype=int))
-        if growing:
-            parts = [np.frombuffer(read(begin + k * self.step, n * dtype.itemsize), dtype, n) for k in range(first, last)]
-            data = np.stack(parts) if parts else np.zeros((0, n), dtype)
-        else:
-            data = np.frombuffer(read(begin + first * n * dtype.itemsize, (last - first) * n * dtype.itemsize), dtype, (last - first) * n)
-        return data.reshape([last - first, *shape[1:]] if shape else [])
+            self.variables[name] = ([dims[i][0] for i in ids], shape, attrs, dtype)
+            self._places[name] = begin, self.step if ids and ids[0] in growing else None
 
+    def values(self, name: str, box: list[tuple[int, int]] | None = None) -> np.ndarray:
+        """A variable's values, or those of a range of each dimension."""
+        _, shape, _, dtype = self.variables[name]
+        begin, step = self._places[name]
+        return ranged(self.file, begin, dtype, shape, [(0, n) for n in shape] if box is None else box, step)
 
-def header(read) -> Header:
-    """The header of a file, from as many bytes as it takes."""
+
+def header(read: Callable[[int, int], bytes]) -> Header | Hdf5:
+    """What a file holds; read(place, size) gives bytes of it. The header takes as many bytes as it has."""
+    if read(0, 8) == SIGNATURE:
+        return Hdf5(read)
     size = HEAD_BYTES
     while True:
         raw = read(0, size)
         try:
-            return Header(raw)
+            return Header(raw, read)
         except (struct.error, ValueError, IndexError) as e:
             if isinstance(e, LayoutError) or len(raw) < size:
                 raise
@@ -113,9 +119,8 @@ def header(read) -> Header:
 
 def parse(raw: bytes) -> dict[str, tuple[list[str], np.ndarray, dict]]:
     """name -> (dimensions, values, attributes) of all variables."""
-    h = Header(raw)
-    read = lambda at, n: raw[at : at + n]
-    return {name: (v[0], h.values(name, read), v[2]) for name, v in h.variables.items()}
+    h = header(lambda at, n: raw[at : at + n])
+    return {name: (v[0], h.values(name), v[2]) for name, v in h.variables.items()}
 
 
 def decode_time(values: np.ndarray, units: str, calendar: str = "standard") -> list[datetime.date | None]:
@@ -138,45 +143,190 @@ def decode_time(values: np.ndarray, units: str, calendar: str = "standard") -> l
     return out
 
 
-def _plan(h: Header, variable: str) -> tuple[list[str], list[str], int, int]:
-    """Dimensions of a variable and what they are to us, its number of times and the bytes of a time."""
-    if variable not in h.variables:
+@dataclass
+class Grid:
+    """How a variable lies over its axes."""
+
+    head: Header | Hdf5
+    variable: str
+    named: list[str]  # of each dimension, the axis that it is to us
+    axes: dict[str, str]  # of each axis, its name in the file
+    bytes_a_time: int
+
+    def times(self) -> list[datetime.date | None]:
+        of_time = self.head.variables[self.axes["time"]][2]
+        return decode_time(self.head.values(self.axes["time"]), _text(of_time.get("units", "")), _text(of_time.get("calendar", "standard")))
+
+    def axis(self, name: str) -> np.ndarray:
+        return self.head.values(self.axes[name]).astype(float)
+
+
+def _text(value) -> str:
+    return value if isinstance(value, str) else str(np.ravel(value)[0]) if np.size(value) else ""
+
+
+def grid_of(head: Header | Hdf5, variable: str) -> Grid:
+    if variable not in head.variables:
         raise LayoutError(f"the file has no variable {variable}")
     own = {other: name for name, others in COORDINATES.items() for other in others}
-    dims, shape, _, dtype, _, _ = h.variables[variable]
+    dims, shape, _, dtype = head.variables[variable]
     named = [own.get(d, d) for d in dims]
     if any(n != 1 for d, n in zip(named, shape, strict=True) if d not in COORDINATES) or {"time", "lat", "lon"} - set(named):
         raise LayoutError("the variable needs time, lat and lon, and other dimensions of size 1 only")
     times = shape[named.index("time")]
-    return dims, named, times, int(np.prod(shape, dtype=int)) // max(1, times) * dtype.itemsize
-
-
-def slab(h: Header, read, variable: str, first: int = 0, last: int | None = None) -> pd.DataFrame:
-    """Rows (time, lat, lon, value) of a range of times of one variable."""
-    dims, named, n, _ = _plan(h, variable)
-    last = n if last is None else min(n, last)
-    lead = named[0] == "time"  # else the whole variable is read, and cut
-    data = h.values(variable, read, first, last) if lead else h.values(variable, read)
-    attrs = h.variables[variable][2]
-    data = np.squeeze(data, tuple(i for i, d in enumerate(named) if d not in COORDINATES)).astype(float)
-    kept = [(d, x) for d, x in zip(dims, named, strict=True) if x in COORDINATES]
-    data = np.transpose(data, [[x for _, x in kept].index(y) for y in ("time", "lat", "lon")])
-    data = data if lead else data[first:last].copy()
+    axes = {x: d for d, x in zip(dims, named, strict=True) if x in COORDINATES}
+    return Grid(head, variable, named, axes, int(np.prod(shape, dtype=int)) // max(1, times) * dtype.itemsize)
+
+
+def slab(grid: Grid, first: int = 0, last: int | None = None, asked: Asked | None = None) -> pd.DataFrame:
+    """Rows (time, lat, lon, value) of a range of times of one variable, as far as they are asked for."""
+    asked = asked or Asked()
+    lat, lon, times = grid.axis("lat"), grid.axis("lon"), grid.times()
+    last = len(times) if last is None else min(len(times), last)
+    span = {"time": (first, last), "lat": _span(asked.of("lat", lat)), "lon": _span(asked.of("lon", lon))}
+    data = grid.head.values(grid.variable, [span.get(d, (0, 1)) for d in grid.named])
+    attrs = grid.head.variables[grid.variable][2]
+    data = np.squeeze(data, tuple(i for i, d in enumerate(grid.named) if d not in COORDINATES)).astype(float)
+    kept = [d for d in grid.named if d in COORDINATES]
+    data = np.transpose(data, [kept.index(y) for y in ("time", "lat", "lon")])
     for name in MISSING:
         if name in attrs:
             data[np.isclose(data, float(np.ravel(attrs[name])[0]))] = np.nan
-    raw_name = {x: d for d, x in kept}
-    of_time = h.variables[raw_name["time"]][2]
-    times = decode_time(h.values(raw_name["time"], read)[first:last], of_time.get("units", ""), of_time.get("calendar", "standard"))
-    lat, lon = (h.values(raw_name[x], read).astype(float) for x in ("lat", "lon"))
+    times, lat, lon = times[first:last], lat[slice(*span["lat"])], lon[slice(*span["lon"])]
     t, y, x = (a.ravel() for a in np.meshgrid(np.arange(len(times)), lat, lon, indexing="ij"))
     frame = pd.DataFrame({"time": np.array(times, object)[t] if len(times) else [], "lat": y, "lon": x, "value": data.ravel()})
-    return frame[frame["time"].notna()].assign(value=lambda f: f["value"].where(f["value"].notna(), None))
+    wanted = asked.of("time", times)[t] & asked.of("lat", y) & asked.of("lon", x) if len(t) else np.zeros(0, bool)
+    frame = frame[frame["time"].notna() & wanted]
+    return frame.assign(value=lambda f: f["value"].where(f["value"].notna(), None))
+
+
+def _span(mask: np.ndarray) -> tuple[int, int]:
+    at = np.flatnonzero(mask)
+    return (int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0)
 
 
 def grid_rows(raw: bytes, variable: str) -> pd.DataFrame:
     """Rows (time, lat, lon, value) of one variable of a file."""
-    return slab(Header(raw), lambda at, n: raw[at : at + n], variable)
+    return slab(grid_of(header(lambda at, n: raw[at : at + n]), variable))
+
+
+#: Filters that are pushed down, as comparisons of an axis' values.
+COMPARED: dict[type, Callable] = {
+    datasource.EqualTo: lambda x, v: x == v,
+    datasource.GreaterThan: lambda x, v: x > v,
+    datasource.GreaterThanOrEqual: lambda x, v: x >= v,
+    datasource.LessThan: lambda x, v: x < v,
+    datasource.LessThanOrEqual: lambda x, v: x <= v,
+    datasource.In: lambda x, v: x in v,
+}
+
+
+class Asked:
+    """Filters on the axes, all of which must hold."""
+
+    def __init__(self) -> None:
+        self.filters: list[tuple[str, type, object]] = []
+
+    def take(self, f: datasource.Filter) -> bool:
+        """Whether a filter is answered here."""
+        if type(f) is datasource.IsNotNull:
+            return f.attribute in (("file",), ("time",), ("lat",), ("lon",))  # which never are
+        name = getattr(f, "attribute", ())
+        if type(f) not in COMPARED or name not in (("time",), ("lat",), ("lon",)):
+            return False
+        self.filters.append((name[0], type(f), f.value))
+        return True
+
+    def of(self, axis: str, values: Sequence) -> np.ndarray:
+        """Which values of an axis are asked for."""
+        own = [(COMPARED[kind], value) for name, kind, value in self.filters if name == axis]
+        return np.array([v is not None and all(holds(v, value) for holds, value in own) for v in values], bool)
+
+
+@dataclass
+class Slab(datasource.InputPartition):
+    path: str
+    first: int
+    last: int  # -1: the task makes the slabs of a whole file itself
+
+
+def _slabs(path: str, variable: str, slab_bytes: int, asked: Asked) -> list[Slab]:
+    """Runs of the times that are asked for, cut into slabs; none if no place of the file is asked for."""
+    got = _opened(path)
+    if got is None:
+        raise LayoutError(f"{path} cannot be opened")
+    grid = grid_of(header(got), variable)
+    if not asked.of("lat", grid.axis("lat")).any() or not asked.of("lon", grid.axis("lon")).any():
+        return []
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], asked.of("time", grid.times()).view(np.int8), [0]])))
+    most = max(1, slab_bytes // max(1, grid.bytes_a_time))
+    return [Slab(path, k, min(k + most, int(b))) for a, b in zip(edges[::2], edges[1::2], strict=True) for k in range(int(a), int(b), most)]
+
+
+def _files(path: str) -> list[str]:
+    """The files that a path names: one, all below a folder, or those that a pattern in its last part fits."""
+    from fnmatch import fnmatch
+
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"{path}")
+    scheme = path[: path.index("://") + 3] if "://" in path else ""
+    folder, _, last = at.rpartition("/")
+    if any(c in last for c in "*?["):
+        found = [f.path for f in system.get_file_info(fs.FileSelector(folder)) if fnmatch(f.base_name, last)]
+    elif system.get_file_info(at).type == fs.FileType.Directory:
+        found = [f.path for f in system.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))]
+    else:
+        found = [at]
+    return [path[: len(scheme)] + f for f in sorted(found)]
+
+
+class GridReader(datasource.DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.variable = options["path"], options["variable"]
+        self.slab_bytes = int(options.get("slabbytes", SLAB_BYTES))
+        self.asked = Asked()
+
+    def pushFilters(self, filters: list[datasource.Filter]) -> Iterator[datasource.Filter]:
+        return (f for f in filters if not self.asked.take(f))
+
+    def partitions(self) -> list[Slab]:
+        """Slabs of all files; of very many files, a partition a file, whose header its task reads."""
+        files = _files(self.path)
+        if len(files) > PLANNED_FILES:
+            return [Slab(f, 0, -1) for f in files]
+        with ThreadPoolExecutor(16) as pool:
+            found = pool.map(lambda f: _slabs(f, self.variable, self.slab_bytes, self.asked), files)
+        return [s for own in found for s in own] or [Slab("", 0, 0)]
+
+    def read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
+        slabs = _slabs(partition.path, self.variable, self.slab_bytes, self.asked) if partition.last < 0 else [partition] if partition.path else []
+        for s in slabs:
+            rows = slab(grid_of(header(_opened(s.path)), self.variable), s.first, s.last, self.asked)
+            yield pa.RecordBatch.from_pandas(rows.assign(file=s.path)[["file", "time", "lat", "lon", "value"]], pa.schema(ROWS), preserve_index=False)
+
+
+class NetcdfSource(datasource.DataSource):
+    """Options: `path` (a file, a folder, or a pattern of names), `variable`, and `slabBytes`, of a task."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "netcdf_grid"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> GridReader:
+        missing = [o for o in ("path", "variable") if o not in self.options]
+        if missing:
+            raise ValueError(f"the option {missing[0]} is needed")
+        return GridReader(dict(self.options))
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format netcdf_grid known to a session, with filters pushed into it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(NetcdfSource)
 
 
 def _opened(path: str):
@@ -196,55 +346,41 @@ def _opened(path: str):
     return read
 
 
-def read(spark: SparkSession, path: str, variable: str, slab_bytes: int = SLAB_BYTES) -> DataFrame:
-    """(file, time, lat, lon, value): each file is cut into slabs of times that are read by tasks of their own."""
-    schema = "file string, time date, lat double, lon double, value double"
-    files = spark.read.format("binaryFile").load(path)
+def _reachable(path: str) -> bool:
+    """Whether Arrow can list what a path names."""
+    try:
+        return bool(_files(path))
+    except (ValueError, NotImplementedError, OSError):
+        return False
 
-    def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name in f["path"]:
-                got = _opened(name)
-                if got is None:
-                    yield pd.DataFrame({"path": [name], "first": [-1], "last": [-1]})
-                    continue
-                _, _, n, size = _plan(header(got), variable)
-                starts = np.arange(0, n, max(1, slab_bytes // max(1, size)))
-                yield pd.DataFrame({"path": name, "first": starts, "last": np.append(starts[1:], n)[: len(starts)]})
-
-    slabs = files.select("path").mapInPandas(plan, "path string, first long, last long")
-    parts = max(1, min(slabs.count(), 100_000))
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, first, last in zip(f["path"], f["first"], f["last"], strict=True):
-                got = _opened(name)
-                yield slab(header(got), got, variable, int(first), int(last)).assign(file=name)[["file", "time", "lat", "lon", "value"]]
+
+def read(spark: SparkSession, path: str, variable: str, slab_bytes: int = SLAB_BYTES) -> DataFrame:
+    """(file, time, lat, lon, value) of files of either kind, by slabs where Arrow reaches them, else by whole files."""
+    if _reachable(path):
+        register(spark)
+        return spark.read.format("netcdf_grid").option("path", path).option("variable", variable).option("slabBytes", slab_bytes).load()
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for name, raw in zip(f["path"], f["content"], strict=True):
                 yield grid_rows(raw, variable).assign(file=name)[["file", "time", "lat", "lon", "value"]]
 
-    ranges = slabs.filter("first >= 0").repartition(parts, "path", "first").mapInPandas(rows, schema)
-    hidden = slabs.filter("first < 0").select("path").distinct()
-    if hidden.isEmpty():
-        return ranges
-    return ranges.unionByName(files.join(hidden, "path", "left_semi").select("path", "content").mapInPandas(whole, schema))
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(whole, SCHEMA)
 
 
-def units(spark: SparkSession, path: str, variable: str, default: str = "mm") -> str:
-    """The units of a variable of the first file; those of rainfall where it names none."""
+def _first_header(spark: SparkSession, path: str) -> dict[str, tuple]:
+    """name -> (dimensions, shape, attributes, dtype) of the first file's variables, from its header alone where Arrow
+    reaches it."""
+    if _reachable(path):
+        return header(_opened(_files(path)[0])).variables
+    first = spark.read.format("binaryFile").load(path).limit(1).select("content").first()
+    return header(lambda at, n: first["content"][at : at + n]).variables if first else {}
 
-    def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for raw in f["content"]:
-                own = Header(raw).variables.get(variable)
-                yield pd.DataFrame({"units": [own[2].get("units") if own else None]}, dtype=object)
 
-    files = spark.read.format("binaryFile").load(path).limit(1).select("content")
-    first = files.mapInPandas(found, "units string").first()
-    return first["units"] if first and first["units"] else default
+def units(spark: SparkSession, path: str, variable: str, default: str = "mm") -> str:
+    """The units of a variable of the first file; those of rainfall where it names none."""
+    own = _first_header(spark, path).get(variable)
+    return (own and _text(own[2].get("units", ""))) or default
 
 
 def read_observed(spark: SparkSession, path: str, variable: str) -> DataFrame:
@@ -259,14 +395,7 @@ def read_observed(spark: SparkSession, path: str, variable: str) -> DataFrame:
 def variables(spark: SparkSession, path: str) -> list[str]:
     """The names of a file's variables that are no coordinates."""
     known = {x for others in COORDINATES.values() for x in others}
-
-    def names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for raw in f["content"]:
-                yield pd.DataFrame({"name": [v for v in Header(raw).variables if v not in known]}, dtype=object)
-
-    found = spark.read.format("binaryFile").load(path).limit(1).select("content").mapInPandas(names, "name string")
-    return [r["name"] for r in found.collect()]
+    return [v for v in _first_header(spark, path) if v not in known]
 
 
 def encode(times: list[float], units: str, lat: np.ndarray, lon: np.ndarray, layers: dict[str, tuple[np.ndarray, dict]], calendar: str = "standard", names: tuple[str, str, str] = ("time", "lat", "lon")) -> bytes:

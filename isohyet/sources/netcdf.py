@@ -1,8 +1,10 @@
 """NetCDF files, classic (versions 1 and 2) and NetCDF-4, as a long table, and grids as classic files.
 
 `NetcdfSource` is a Spark data source, `spark.read.format("netcdf_grid")` once `register` has been called: its partitions
-are slabs of times, made from the headers, and filters on time, lat and lon leave only the slabs, rows and chunks that
-hold what is asked for to be read. Where Arrow doesn't know a file system, `read` takes whole files from Spark's own
+are slabs of times, made from the headers, and bounds of time, lat and lon leave only the slabs, rows and chunks that
+hold what is asked for to be read. Bounds are options of a load. `NetcdfPushedSource`, `netcdf_grid_pushed`, takes the
+filters of a query too; as Spark 4.1 keeps what one query has pushed with the loaded DataFrame, each query must load its
+own. Where Arrow doesn't know a file system, `read` takes whole files from Spark's own
 reader. Each file gives rows (file, time, lat, lon, value) of one variable. Coordinates have synonyms; dimensions of size
 1 are dropped, others refused; the calendars `360`, `360_day` and `standard` are decoded, and times are snapped to day 1.
 Grids are written one file a time, by the task that has it.
@@ -152,6 +154,7 @@ class Grid:
     named: list[str]  # of each dimension, the axis that it is to us
     axes: dict[str, str]  # of each axis, its name in the file
     bytes_a_time: int
+    together: int  # times that lie in one chunk
 
     def times(self) -> list[datetime.date | None]:
         of_time = self.head.variables[self.axes["time"]][2]
@@ -175,7 +178,9 @@ def grid_of(head: Header | Hdf5, variable: str) -> Grid:
         raise LayoutError("the variable needs time, lat and lon, and other dimensions of size 1 only")
     times = shape[named.index("time")]
     axes = {x: d for d, x in zip(dims, named, strict=True) if x in COORDINATES}
-    return Grid(head, variable, named, axes, int(np.prod(shape, dtype=int)) // max(1, times) * dtype.itemsize)
+    chunk = head.sets[variable].chunk if isinstance(head, Hdf5) else []
+    together = max(1, chunk[named.index("time")]) if chunk else 1
+    return Grid(head, variable, named, axes, int(np.prod(shape, dtype=int)) // max(1, times) * dtype.itemsize, together)
 
 
 def slab(grid: Grid, first: int = 0, last: int | None = None, asked: Asked | None = None) -> pd.DataFrame:
@@ -221,11 +226,25 @@ COMPARED: dict[type, Callable] = {
 }
 
 
+#: Options that bound an axis, both ends included.
+BOUNDS = {
+    "from": ("time", datasource.GreaterThanOrEqual),
+    "to": ("time", datasource.LessThanOrEqual),
+    "south": ("lat", datasource.GreaterThanOrEqual),
+    "north": ("lat", datasource.LessThanOrEqual),
+    "west": ("lon", datasource.GreaterThanOrEqual),
+    "east": ("lon", datasource.LessThanOrEqual),
+}
+
+
 class Asked:
     """Filters on the axes, all of which must hold."""
 
-    def __init__(self) -> None:
+    def __init__(self, options: dict | None = None) -> None:
         self.filters: list[tuple[str, type, object]] = []
+        for name, (axis, kind) in BOUNDS.items():
+            if name in (options or {}):
+                self.filters.append((axis, kind, datetime.date.fromisoformat(options[name]) if axis == "time" else float(options[name])))
 
     def take(self, f: datasource.Filter) -> bool:
         """Whether a filter is answered here."""
@@ -259,8 +278,9 @@ def _slabs(path: str, variable: str, slab_bytes: int, asked: Asked) -> list[Slab
     if not asked.of("lat", grid.axis("lat")).any() or not asked.of("lon", grid.axis("lon")).any():
         return []
     edges = np.flatnonzero(np.diff(np.concatenate([[0], asked.of("time", grid.times()).view(np.int8), [0]])))
-    most = max(1, slab_bytes // max(1, grid.bytes_a_time))
-    return [Slab(path, k, min(k + most, int(b))) for a, b in zip(edges[::2], edges[1::2], strict=True) for k in range(int(a), int(b), most)]
+    # Slabs end where chunks do, so that a chunk is unpacked by one task.
+    most = max(1, slab_bytes // max(1, grid.bytes_a_time) // grid.together) * grid.together
+    return [Slab(path, max(int(a), k), min(int(b), k + most)) for a, b in zip(edges[::2], edges[1::2], strict=True) for k in range(int(a) // most * most, int(b), most)]
 
 
 def _files(path: str) -> list[str]:
@@ -285,10 +305,7 @@ class GridReader(datasource.DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.variable = options["path"], options["variable"]
         self.slab_bytes = int(options.get("slabbytes", SLAB_BYTES))
-        self.asked = Asked()
-
-    def pushFilters(self, filters: list[datasource.Filter]) -> Iterator[datasource.Filter]:
-        return (f for f in filters if not self.asked.take(f))
+        self.asked = Asked(options)
 
     def partitions(self) -> list[Slab]:
         """Slabs of all files; of very many files, a partition a file, whose header its task reads."""
@@ -306,8 +323,16 @@ class GridReader(datasource.DataSourceReader):
             yield pa.RecordBatch.from_pandas(rows.assign(file=s.path)[["file", "time", "lat", "lon", "value"]], pa.schema(ROWS), preserve_index=False)
 
 
+class PushedGridReader(GridReader):
+    def pushFilters(self, filters: list[datasource.Filter]) -> Iterator[datasource.Filter]:
+        return (f for f in filters if not self.asked.take(f))
+
+
 class NetcdfSource(datasource.DataSource):
-    """Options: `path` (a file, a folder, or a pattern of names), `variable`, and `slabBytes`, of a task."""
+    """Options: `path` (a file, a folder, or a pattern of names), `variable`, `slabBytes` of a task, and bounds: `from` and
+    `to` as dates, `south`, `north`, `west` and `east`."""
+
+    Reader: type[GridReader] = GridReader
 
     @classmethod
     def name(cls) -> str:
@@ -320,13 +345,25 @@ class NetcdfSource(datasource.DataSource):
         missing = [o for o in ("path", "variable") if o not in self.options]
         if missing:
             raise ValueError(f"the option {missing[0]} is needed")
-        return GridReader(dict(self.options))
+        return self.Reader(dict(self.options))
+
+
+class NetcdfPushedSource(NetcdfSource):
+    """The same, with the filters of the query that reads it. A loaded DataFrame serves one query."""
+
+    Reader = PushedGridReader
+
+    @classmethod
+    def name(cls) -> str:
+        return "netcdf_grid_pushed"
 
 
-def register(spark: SparkSession) -> None:
-    """Make the format netcdf_grid known to a session, with filters pushed into it."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def register(spark: SparkSession, pushed: bool = False) -> None:
+    """Make the format netcdf_grid known to a session, and if asked netcdf_grid_pushed, which needs a setting."""
     spark.dataSource.register(NetcdfSource)
+    if pushed:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        spark.dataSource.register(NetcdfPushedSource)
 
 
 def _opened(path: str):
@@ -354,16 +391,21 @@ def _reachable(path: str) -> bool:
         return False
 
 
-def read(spark: SparkSession, path: str, variable: str, slab_bytes: int = SLAB_BYTES) -> DataFrame:
-    """(file, time, lat, lon, value) of files of either kind, by slabs where Arrow reaches them, else by whole files."""
+def read(spark: SparkSession, path: str, variable: str, slab_bytes: int = SLAB_BYTES, **bounds: str | float) -> DataFrame:
+    """(file, time, lat, lon, value) of files of either kind, by slabs where Arrow reaches them, else by whole files. Bounds
+    are those of the data source: from_, to, south, north, west, east."""
+    options = {name.rstrip("_"): str(v) for name, v in bounds.items()}
+    if odd := set(options) - set(BOUNDS):
+        raise ValueError(f"unknown bounds: {', '.join(sorted(odd))}")
     if _reachable(path):
         register(spark)
-        return spark.read.format("netcdf_grid").option("path", path).option("variable", variable).option("slabBytes", slab_bytes).load()
+        return spark.read.format("netcdf_grid").options(path=path, variable=variable, slabBytes=slab_bytes, **options).load()
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for name, raw in zip(f["path"], f["content"], strict=True):
-                yield grid_rows(raw, variable).assign(file=name)[["file", "time", "lat", "lon", "value"]]
+                grid = grid_of(header(lambda at, n, raw=raw: raw[at : at + n]), variable)
+                yield slab(grid, asked=Asked(options)).assign(file=name)[["file", "time", "lat", "lon", "value"]]
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(whole, SCHEMA)
 

@@ -25,6 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, datasource
 from pyspark.sql import functions as F
 
+from isohyet.sources.files import listed as _files
+from isohyet.sources.files import opened as _opened
+from isohyet.sources.files import reachable as _reachable
 from isohyet.sources.hdf5 import SIGNATURE, Hdf5, ranged
 from isohyet.sources.tables import COORDINATES, LayoutError
 
@@ -283,24 +286,6 @@ def _slabs(path: str, variable: str, slab_bytes: int, asked: Asked) -> list[Slab
     return [Slab(path, max(int(a), k), min(int(b), k + most)) for a, b in zip(edges[::2], edges[1::2], strict=True) for k in range(int(a) // most * most, int(b), most)]
 
 
-def _files(path: str) -> list[str]:
-    """The files that a path names: one, all below a folder, or those that a pattern in its last part fits."""
-    from fnmatch import fnmatch
-
-    from pyarrow import fs
-
-    system, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"{path}")
-    scheme = path[: path.index("://") + 3] if "://" in path else ""
-    folder, _, last = at.rpartition("/")
-    if any(c in last for c in "*?["):
-        found = [f.path for f in system.get_file_info(fs.FileSelector(folder)) if fnmatch(f.base_name, last)]
-    elif system.get_file_info(at).type == fs.FileType.Directory:
-        found = [f.path for f in system.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))]
-    else:
-        found = [at]
-    return [path[: len(scheme)] + f for f in sorted(found)]
-
-
 class GridReader(datasource.DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.variable = options["path"], options["variable"]
@@ -366,31 +351,6 @@ def register(spark: SparkSession, pushed: bool = False) -> None:
         spark.dataSource.register(NetcdfPushedSource)
 
 
-def _opened(path: str):
-    """A reader of ranges of a file on any file system that Arrow knows; None on others."""
-    from pyarrow import fs
-
-    try:
-        system, name = fs.FileSystem.from_uri(path)
-        f = system.open_input_file(name)
-    except (ValueError, NotImplementedError, OSError):
-        return None
-
-    def read(at: int, n: int) -> bytes:
-        f.seek(at)
-        return f.read(n)
-
-    return read
-
-
-def _reachable(path: str) -> bool:
-    """Whether Arrow can list what a path names."""
-    try:
-        return bool(_files(path))
-    except (ValueError, NotImplementedError, OSError):
-        return False
-
-
 def read(spark: SparkSession, path: str, variable: str, slab_bytes: int = SLAB_BYTES, **bounds: str | float) -> DataFrame:
     """(file, time, lat, lon, value) of files of either kind, by slabs where Arrow reaches them, else by whole files. Bounds
     are those of the data source: from_, to, south, north, west, east."""

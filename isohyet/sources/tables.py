@@ -124,8 +124,8 @@ def station_series(merged: DataFrame, mask_negative: bool = True) -> DataFrame:
 
 
 def variables(spark: SparkSession, path: str) -> list[str]:
-    """What a file offers as variables: columns of a station table beside its keys, the stem of an index table, the
-    attributes of a map, or the data variables of a NetCDF file."""
+    """What a file offers as variables: the first word of a table's name, the attributes of a map, or the data variables of
+    a NetCDF file."""
     stem = path.rstrip("/").rpartition("/")[2]
     kind = stem.rpartition(".")[2].lower()
     if kind in ("geojson", "json"):
@@ -134,9 +134,13 @@ def variables(spark: SparkSession, path: str) -> list[str]:
         from isohyet.sources import netcdf
 
         return netcdf.variables(spark, path)
+    if kind == "shp":
+        from isohyet.sources import shapefile
+
+        return shapefile.attributes(path)
     if kind == "csv":
         return [stem.rpartition(".")[0].split("_")[0]]
-    raise LayoutError(f"{stem}: only csv, nc, json and geojson files are known")
+    raise LayoutError(f"{stem}: only csv, nc, shp, json and geojson files are known")
 
 
 def explode_features(collection: DataFrame, column: str = "value") -> DataFrame:
@@ -158,6 +162,15 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return explode_features(spark.read.text(path).select(F.format_string('{"features":[%s]}', "value").alias("value")))
 
 
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    """(properties, rings) of a vector map, by the ending of its name: a shapefile or a GeoJSON document."""
+    if path.lower().endswith(".shp"):
+        from isohyet.sources import shapefile
+
+        return shapefile.read(spark, path).select("properties", "rings")
+    return read_geojson(spark, path)
+
+
 def feature_lines(features: DataFrame, properties: str = "properties", geometry: str = "geometry") -> DataFrame:
     """One GeoJSON feature a row, from properties MAP and geometry as GeoJSON text: newline-delimited GeoJSON, of any size."""
     return features.select(F.format_string('{"type":"Feature","properties":%s,"geometry":%s}', F.to_json(properties), F.col(geometry)).alias("value"))

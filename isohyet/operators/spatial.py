@@ -1,7 +1,8 @@
 """Points, polygons and grids. Polygons are edge tables (zone_id, x1, y1, x2, y2); points are (loc_id, lat, lon).
 
-Spark has no spatial join. Polygons are cut into square tiles by their bounding boxes, points meet the polygons of their
-tile by an equi-join, and the crossing number of a ray to the east decides.
+Spark has no spatial join. Each polygon is cut into square tiles whose side, a power of two, comes from its own box and
+number of edges, so that a tile holds a bounded share of them; points meet the polygons of their tile of every side in use
+by an equi-join, and the crossing number of a ray to the east decides.
 """
 
 from __future__ import annotations
@@ -9,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TILE = 10.0
+EDGES_A_BAND = 32
+MOST_BANDS = 64  # of a polygon; one of more edges has more of them in a band
+LEVELS = (-24, 10)  # the least and largest side of a tile, as powers of two
 MOST_BROADCAST = 100_000  # rows that are sent to all tasks at most
 
 
@@ -33,24 +36,48 @@ def boxes(edges: DataFrame) -> DataFrame:
     return edges.groupBy("zone_id").agg(low("x1", "x2").alias("min_x"), low("y1", "y2").alias("min_y"), high("x1", "x2").alias("max_x"), high("y1", "y2").alias("max_y"))
 
 
-def within(points: DataFrame, edges: DataFrame, tile: float = TILE) -> DataFrame:
-    """(loc_id, zone_id) of points inside polygons; a point in several polygons gives several rows. A band's edges stay
+def level_of(extent: Column, edges: Column) -> Column:
+    """The side of a polygon's tiles, as a power of two, from the longer side of its box and its number of edges."""
+    bands = F.least(F.greatest(edges / EDGES_A_BAND, F.lit(1.0)), F.lit(float(MOST_BANDS)))
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(extent / bands, F.lit(2.0 ** LEVELS[0])))), F.lit(LEVELS[0])), F.lit(LEVELS[1])).cast("int")
+
+
+def _tile(c: Column, level: Column) -> Column:
+    return F.floor(c / F.pow(F.lit(2.0), level))
+
+
+def levelled(df: DataFrame, levels: DataFrame, x: str = "_x", y: str = "_y") -> DataFrame:
+    """Rows with their tile of every side in use: as many rows as there are sides, at most those of LEVELS."""
+    out = df.join(F.broadcast(levels), how="cross")
+    return out.withColumn("_tx", _tile(F.col(x), F.col("_level"))).withColumn("_ty", _tile(F.col(y), F.col("_level")))
+
+
+def _crosses(e: Column, x: Column, y: Column) -> Column:
+    """Whether a ray to the east from (x, y) crosses an edge."""
+    spans = (e["y1"] > y) != (e["y2"] > y)
+    return spans & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
+
+
+def meetings(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """Points with the polygons of their tiles, and the edges that a ray from the point may cross. A band's edges stay
     together as one array, so a point meets a polygon once."""
-    box = boxes(edges)
-    across = F.sequence(F.floor(F.col("min_x") / tile), F.floor(F.col("max_x") / tile))
+    box = boxes(edges).join(edges.groupBy("zone_id").agg(F.count(F.lit(1)).alias("_n")), "zone_id")
+    box = box.withColumn("_level", level_of(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")), F.col("_n")))
+    across = F.sequence(_tile(F.col("min_x"), F.col("_level")), _tile(F.col("max_x"), F.col("_level")))
     # A ray to the east meets only edges that reach into its band of y, so each band has its own edges, once for all of
     # the polygon's tiles in it.
-    low, high = F.floor(F.least("y1", "y2") / tile), F.floor(F.greatest("y1", "y2") / tile)
-    bands = edges.withColumn("_ty", F.explode(F.sequence(low, high))).groupBy("zone_id", "_ty").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
+    own = edges.join(box.select("zone_id", "_level"), "zone_id")
+    low, high = (_tile(f("y1", "y2"), F.col("_level")) for f in (F.least, F.greatest))
+    bands = own.withColumn("_ty", F.explode(F.sequence(low, high))).groupBy("zone_id", "_ty").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
     tiled = bands.join(box, "zone_id").withColumn("_tx", F.explode(across))
-    at = points.select("loc_id", F.col("lon").alias("_x"), F.col("lat").alias("_y"), F.floor(F.col("lon") / tile).alias("_tx"), F.floor(F.col("lat") / tile).alias("_ty"))
-    near = at.join(tiled, ["_tx", "_ty"]).filter(F.col("_x").between(F.col("min_x"), F.col("max_x")) & F.col("_y").between(F.col("min_y"), F.col("max_y")))
+    at = levelled(points.select("loc_id", F.col("lon").alias("_x"), F.col("lat").alias("_y")), box.select("_level").distinct())
+    return at.join(tiled, ["_level", "_tx", "_ty"])
 
-    def crosses(e: Column) -> Column:
-        spans = (e["y1"] > F.col("_y")) != (e["y2"] > F.col("_y"))
-        return spans & (F.col("_x") < (e["x2"] - e["x1"]) * (F.col("_y") - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
 
-    return near.filter(F.size(F.filter("_edges", crosses)) % 2 == 1).select("loc_id", "zone_id")
+def within(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(loc_id, zone_id) of points inside polygons; a point in several polygons gives several rows."""
+    near = meetings(points, edges).filter(F.col("_x").between(F.col("min_x"), F.col("max_x")) & F.col("_y").between(F.col("min_y"), F.col("max_y")))
+    return near.filter(F.size(F.filter("_edges", lambda e: _crosses(e, F.col("_x"), F.col("_y")))) % 2 == 1).select("loc_id", "zone_id")
 
 
 def clip(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -117,20 +144,62 @@ def positions(grid: DataFrame) -> DataFrame:
     return grid.join(before, "lat").withColumn("pos", F.col("_before") + F.row_number().over(Window.partitionBy("lat").orderBy("lon"))).drop("_before")
 
 
-def small_polygons(polygons: DataFrame) -> DataFrame:
-    """Ids of polygons (poly_id, zone, min_x, min_y, max_x, max_y) that are smaller than another of their zone and lie
-    within one of any zone, both by bounding box."""
-    o = polygons.select(*(F.col(c).alias(f"o_{c}") for c in polygons.columns))
+def box_meetings(polygons: DataFrame) -> DataFrame:
+    """Polygons with those of their tiles: a container has tiles as large as its box, at most four of them; the contained
+    polygon's lower left corner looks in its tile of every side in use."""
+    extent = lambda p: F.greatest(F.col(f"{p}max_x") - F.col(f"{p}min_x"), F.col(f"{p}max_y") - F.col(f"{p}min_y"))
+    o = polygons.select(*(F.col(c).alias(f"o_{c}") for c in ("poly_id", "min_x", "min_y", "max_x", "max_y"))).withColumn("_level", level_of(extent("o_"), F.lit(1)))
+    for c, t in (("x", "_tx"), ("y", "_ty")):
+        o = o.withColumn(t, F.explode(F.sequence(_tile(F.col(f"o_min_{c}"), F.col("_level")), _tile(F.col(f"o_max_{c}"), F.col("_level")))))
+    at = levelled(polygons.select("poly_id", "min_x", "min_y", "max_x", "max_y"), o.select("_level").distinct(), "min_x", "min_y")
+    return at.join(o, ["_level", "_tx", "_ty"])
+
+
+def box_pairs(polygons: DataFrame) -> DataFrame:
+    """(poly_id, o_poly_id): polygons whose box lies within another's."""
+    inside = (F.col("o_min_x") <= F.col("min_x")) & (F.col("o_min_y") <= F.col("min_y")) & (F.col("o_max_x") >= F.col("max_x")) & (F.col("o_max_y") >= F.col("max_y"))
+    return box_meetings(polygons).filter((F.col("poly_id") != F.col("o_poly_id")) & inside).select("poly_id", "o_poly_id")
+
+
+def contained(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The pairs (poly_id, o_poly_id) whose first polygon lies wholly within the second, sides and corners in common
+    allowed: no two edges cross, no corner or middle of an edge lies outside, and an inner point lies inside. edges has
+    (zone_id, x1, y1, x2, y2), zone_id being poly_id. A polygon's edges meet those of a partner within its own box only."""
+    box = boxes(edges)
+    shape = edges.groupBy("zone_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_e"))
+    own = shape.join(box, "zone_id").withColumnRenamed("zone_id", "poly_id")
+    other = shape.select(F.col("zone_id").alias("o_poly_id"), F.col("_e").alias("_o"))
+    both = pairs.join(own, "poly_id").join(other, "o_poly_id")
+    side = lambda e, x, y: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+    among = lambda v, a, b: (v >= F.least(a, b)) & (v <= F.greatest(a, b))
+
+    def outside(x: Column, y: Column) -> Column:
+        on = F.exists("_o", lambda o: (side(o, x, y) == 0) & among(x, o["x1"], o["x2"]) & among(y, o["y1"], o["y2"]))
+        return ~on & (F.size(F.filter("_o", lambda o: _crosses(o, x, y))) % 2 == 0)
+
+    # Edges of the container that come near the contained polygon; the others cross nothing of it.
+    reach = F.filter("_o", lambda o: (F.least(o["x1"], o["x2"]) <= F.col("max_x")) & (F.greatest(o["x1"], o["x2"]) >= F.col("min_x")) & (F.least(o["y1"], o["y2"]) <= F.col("max_y")) & (F.greatest(o["y1"], o["y2"]) >= F.col("min_y")))
+    both = both.withColumn("_near", reach)
+    apart = lambda a, b: F.signum(a) * F.signum(b) < 0
+    cross = F.exists("_e", lambda e: F.exists("_near", lambda o: apart(side(o, e["x1"], e["y1"]), side(o, e["x2"], e["y2"])) & apart(side(e, o["x1"], o["y1"]), side(e, o["x2"], o["y2"]))))
+    out = F.exists("_e", lambda e: outside(e["x1"], e["y1"]) | outside((e["x1"] + e["x2"]) / 2, (e["y1"] + e["y2"]) / 2))
+    # Half-way between the two lowest heights of corners, the first stretch between two edges is inside.
+    heights = F.array_sort(F.array_distinct(F.transform("_e", lambda e: e["y1"])))
+    y = (heights[0] + heights[1]) / 2
+    xs = F.array_sort(F.transform(F.filter("_e", lambda e: (e["y1"] > y) != (e["y2"] > y)), lambda e: (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
+    flat = F.size(heights) > 1
+    return both.filter(flat & ~cross & ~out & ~outside((xs[0] + xs[1]) / 2, y)).select("poly_id", "o_poly_id")
+
+
+def small_polygons(polygons: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ids of polygons (poly_id, zone, min_x, min_y, max_x, max_y), with their outlines in edges (zone_id = poly_id), whose
+    box is smaller than another's of their zone and which lie within one of any zone."""
     # Smaller than another of the zone is smaller than the largest: an aggregate by zone, not pairs.
     area = (F.col("max_y") - F.col("min_y")) * (F.col("max_x") - F.col("min_x"))
     sized = polygons.select("poly_id", "zone", area.alias("_area"))
     smaller = sized.join(sized.groupBy("zone").agg(F.max("_area").alias("_most")), "zone").filter("_area < _most").select("poly_id").distinct()
-    # Containment through tiles: a container shares the tile of the contained polygon's lower left corner.
-    tiled = o.withColumn("_tx", F.explode(F.sequence(F.floor(F.col("o_min_x") / TILE), F.floor(F.col("o_max_x") / TILE)))).withColumn("_ty", F.explode(F.sequence(F.floor(F.col("o_min_y") / TILE), F.floor(F.col("o_max_y") / TILE))))
-    at = polygons.withColumn("_tx", F.floor(F.col("min_x") / TILE)).withColumn("_ty", F.floor(F.col("min_y") / TILE))
-    inside = (F.col("o_min_x") <= F.col("min_x")) & (F.col("o_min_y") <= F.col("min_y")) & (F.col("o_max_x") >= F.col("max_x")) & (F.col("o_max_y") >= F.col("max_y"))
-    contained = at.join(tiled, ["_tx", "_ty"]).filter((F.col("poly_id") != F.col("o_poly_id")) & inside).select("poly_id").distinct()
-    return smaller.intersect(contained)
+    pairs = box_pairs(polygons).join(smaller, "poly_id", "left_semi")
+    return contained(pairs, edges).select("poly_id").distinct()
 
 
 def outward_bounds(df: DataFrame, min_x: str, min_y: str, max_x: str, max_y: str) -> DataFrame:

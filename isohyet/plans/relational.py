@@ -328,7 +328,10 @@ def _polygons(t: Tables) -> DataFrame:
   from poly b
   where b.poly_id <> a.poly_id and b.min_x <= a.min_x and b.min_y <= a.min_y and b.max_x >= a.max_x and b.max_y >= a.max_y)""")
 def small_polygon_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.small_polygons(_polygons(Tables(spark, sf_dir)))
+    p = _polygons(Tables(spark, sf_dir))
+    corners = [("min_x", "min_y"), ("max_x", "min_y"), ("max_x", "max_y"), ("min_x", "max_y")]
+    rings = F.array(F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in corners)))
+    return spatial.small_polygons(p, spatial.edges_of_rings(p.withColumn("rings", rings), "poly_id"))
 
 
 @query("zone_station_mean", "select zone_id, cast(time as varchar) as time, round(avg(value), 4) as value from obs join inside using (loc_id) group by 1, 2")

@@ -318,7 +318,9 @@ def test_interpolation_by_blocks_and_sizes(spark):
     assert all(back[r["loc_id"]] == pytest.approx(r["value"], abs=1e-8) for r in at.collect())
     boxes_ = [(1, "a", 0, 0, 10, 10), (2, "a", 1, 1, 2, 2), (3, "a", 20, 20, 21, 21), (4, "b", 3, 3, 5, 5), (5, "a", 0, 0, 10, 10)]
     df = spark.createDataFrame([(str(i), z, *map(float, x)) for i, z, *x in boxes_], "poly_id string, zone string, min_x double, min_y double, max_x double, max_y double")
-    assert [r["poly_id"] for r in spatial.small_polygons(df).collect()] == ["2"]
+    corners = F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("min_x", "min_y"), ("max_x", "min_y"), ("max_x", "max_y"), ("min_x", "max_y"))))
+    outlines = spatial.edges_of_rings(df.withColumn("rings", F.array(corners)), "poly_id")
+    assert [r["poly_id"] for r in spatial.small_polygons(df, outlines).collect()] == ["2"]
 
 
 def test_points_within_a_polygon_of_many_tiles(spark):

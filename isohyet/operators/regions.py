@@ -7,26 +7,14 @@ one row with all its rings, so a region's corners meet in one task; its cells ne
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TILE = 256
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
-
+from isohyet.operators.lineage import cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that the cluster names; a local session without one gets its own."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or LOCAL_CHECKPOINTS)
-    return df.checkpoint()
+TILE = 256
 
 
 def _array(f: pd.DataFrame, column: str, halo: int = 0) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -71,7 +59,7 @@ def regions(cells: DataFrame, tile: int = TILE) -> DataFrame:
         return pd.DataFrame({"row_idx": f["row_idx"], "col_idx": f["col_idx"], "zone": f["zone"], "part": ((y + top).astype(np.int64) << 32) + (x + left)})
 
     keys = [F.floor(F.col(c) / tile).alias(k) for c, k in (("row_idx", "_ty"), ("col_idx", "_tx"))]
-    parts = _cut(once.groupBy(*keys).applyInPandas(labelled, "row_idx long, col_idx long, zone long, part long"))
+    parts = cut(once.groupBy(*keys).applyInPandas(labelled, "row_idx long, col_idx long, zone long, part long"))
     # Neighbours over a tile's border meet on the cell behind it.
     links = None
     for c in ("row_idx", "col_idx"):
@@ -86,12 +74,12 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
     """(node, region) of every node of the links (a, b): the smallest node that it is connected with. Each round takes the
     smallest label of the neighbours, and the label of that label."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges = _cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = _cut(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")))
+    edges = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = cut(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")))
     while True:
         near = edges.join(labels.select(F.col("u").alias("v"), F.col("label").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
         jump = labels.select(F.col("u").alias("near"), F.col("label").alias("next"))
-        new = _cut(labels.join(near, "u").join(jump, "near", "left").select("u", F.col("label").alias("old"), F.least("label", "near", "next").alias("label")))
+        new = cut(labels.join(near, "u").join(jump, "near", "left").select("u", F.col("label").alias("old"), F.least("label", "near", "next").alias("label")))
         if new.filter("old <> label").isEmpty():
             return new.select(F.col("u").alias("node"), F.col("label").alias("region"))
         labels = new.select("u", "label")
@@ -176,7 +164,7 @@ def area(ring: np.ndarray) -> float:
 def polygons(cells: DataFrame, tile: int = TILE, min_x: float = 0.0, min_y: float = 0.0, step: float = 1.0) -> DataFrame:
     """(region, zone, rings, cells) of each connected region of a raster: the outer ring first, then the holes, as corners
     of cells whose centres are at min_x + step * col_idx and min_y + step * row_idx."""
-    found = _cut(regions(cells, tile))
+    found = cut(regions(cells, tile))
     sizes = found.groupBy("region").agg(F.count(F.lit(1)).alias("cells"))
 
     def traced(f: pd.DataFrame) -> pd.DataFrame:

@@ -51,3 +51,26 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         shared_folder(Session())
+
+
+def test_words_of_thue_and_morse_keep_apart():
+    """Words whose letters are swapped everywhere, which polynomials modulo a power of two can't tell apart."""
+    for k in range(8, 17):
+        n = 1 << k
+        sign = np.array([bin(i).count("1") & 1 for i in range(n)])
+        for a, b, kind in ((97, 98, np.uint8), (0x123456789ABCDEF1, 0xFEDCBA9876543217, np.uint64)):
+            raw = np.concatenate([np.array([a, b], kind)[sign], np.array([b, a], kind)[sign]])
+            one, two = SubstringHash(raw).of(np.array([0, n]), np.array([n, 2 * n]))
+            assert one != two
+
+
+def test_hashes_equal_plain_arithmetic():
+    raw = np.random.default_rng(1).integers(0, 3, 2000).astype(np.uint8)
+    h = SubstringHash(raw)
+    for width in (1, 4, 9, 300):
+        seen = {}
+        for i, x in enumerate(h.sliding(width).tolist()):
+            assert seen.setdefault(raw[i : i + width].tobytes(), x) == x
+        assert len(set(seen.values())) == len(seen)
+        start = np.arange(2001 - width)
+        assert np.array_equal(h.of(start, start + width), h.sliding(width))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.operators.models import MAX_FRACTION, PCA_VARIANCE, REGRESSORS, component_limit
+from isohyet.operators.shared import SHARED
 
 FACTOR_ROUNDS, TURN_ROUNDS, FACTOR_CHANGE = 30, 2000, 1e-4
 MOST_TIMES = 2000  # times of a field; their products are solved on the driver
@@ -50,9 +51,9 @@ def _standardised(x: np.ndarray, fit: np.ndarray) -> np.ndarray:
     return (x - mean) / np.where(deviation == 0, 1, deviation)
 
 
-def products(df: DataFrame, fits: list[np.ndarray], n: int) -> np.ndarray:
-    """For each fit - the places of its times - the n x n products of times, summed over the cells, with every cell scaled
-    to mean 0 and deviation 1 over the times of the fit."""
+def products(df: DataFrame, fits: list[np.ndarray], n: int, scale: bool = True) -> np.ndarray:
+    """For each fit - the places of its times - the n x n products of times, summed over the cells, with every cell at mean
+    0 and, unless scale is off, deviation 1 over the times of the fit."""
     upper = np.triu_indices(n)
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,7 +62,7 @@ def products(df: DataFrame, fits: list[np.ndarray], n: int) -> np.ndarray:
             if len(f):
                 x = np.stack(f["features"].to_numpy()).astype(float)
                 for i, fit in enumerate(fits):
-                    z = _standardised(x, fit)
+                    z = _standardised(x, fit) if scale else x - x[:, fit].mean(1, keepdims=True)
                     total[i] += z.T @ z
         for i, t in enumerate(total):
             yield pd.DataFrame({"fit": i, "a": upper[0], "b": upper[1], "v": t[upper]})
@@ -150,10 +151,20 @@ def canonical_weights(kx: np.ndarray, ky: np.ndarray, fit: np.ndarray, n: int, r
     """Weights on a location's n values that predict all times of kx: scores of the predictand are regressed on those of
     the predictors, turned back into its principal components, and these into its values."""
     x, y, rotation, components, _ = canonical_parts(kx, ky, fit)
-    predicted = np.column_stack([REGRESSORS[regressor](x[fit], y[:, j], x, **options) for j in range(y.shape[1])])
+    if regressor in SHARED:
+        centred = y - y.mean(0)
+        predicted = y.mean(0) + SHARED[regressor](x[fit], centred @ centred.T, x, **options) @ centred
+    else:
+        predicted = np.column_stack([REGRESSORS[regressor](x[fit], y[:, j], x, **options) for j in range(y.shape[1])])
     return _mean_and(fit, predicted @ rotation @ components.T, n)
 
 
+def shared_weights(x: np.ndarray, ky: np.ndarray, fit: np.ndarray, n: int, regressor: str, **options) -> np.ndarray:
+    """Weights on a location's n values that predict all rows of x by one tree, forest or network over all locations,
+    fitted on the times `fit`; ky has the products of the locations' values over that fit."""
+    return _mean_and(fit, SHARED[regressor](x[fit], ky[np.ix_(fit, fit)], x, **options), n)
+
+
 def fold_fits(n: int, folds: int | None = 5) -> list[np.ndarray]:
     """The times of the training rows of each fold: contiguous folds, the first ones larger by one; None leaves one out."""
     blocks = np.array_split(np.arange(n), min(n, folds or n))
@@ -302,3 +313,11 @@ def regressed(df: DataFrame, folds: list[tuple[np.ndarray, np.ndarray]], regress
             yield pd.DataFrame({key: f[key], "h": found})
 
     return df.select(key, "features").mapInPandas(run, f"{key} string, h array<double>")
+
+
+def rows_of(df: DataFrame, n: int) -> np.ndarray:
+    """The series of a field of few cells as columns, a row for each of n times."""
+    found = df.orderBy("loc_id").limit(MOST_TIMES + 1).collect()
+    if len(found) > MOST_TIMES:
+        raise ValueError(f"more than {MOST_TIMES} predictors; take their principal components")
+    return np.array([r["features"] for r in found], float).reshape(-1, n).T

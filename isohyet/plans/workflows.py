@@ -14,6 +14,7 @@ from isohyet.functions import calendar as cal
 from isohyet.functions import categories as cat
 from isohyet.functions import skill
 from isohyet.operators import align, clean, fields, models, probability, season, spatial, synthesis
+from isohyet.operators.shared import SHARED
 
 LEAST_CLIMATOLOGY = 20
 LEAST_TIMES = 7  # of a record that principal components are fitted on
@@ -87,18 +88,18 @@ def _new_rows(spec: ForecastSpec, pred: DataFrame, key: str | None) -> DataFrame
     return rows.filter(F.year("time") == spec.forecast_year)
 
 
-def _own_model(spec: ForecastSpec, good: DataFrame, pred: DataFrame, key: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The same of a tree, forest or network on one predictor."""
-    pairs = align.lead_align(good, pred, spec.lead(), key).withColumn("features", F.array("x"))
+def _own_model(spec: ForecastSpec, good: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same of a tree, forest or network of each location on its own predictor."""
+    pairs = align.lead_align(good, pred, spec.lead(), "loc_id").withColumn("features", F.array("x"))
     folded = align.leave_one_out(pairs) if spec.leave_one_out else align.with_folds(pairs)
-    new = _new_rows(spec, pred, key)
-    new = (pairs.select("loc_id").distinct().join(spatial.checked(new), how="cross") if key is None else new).withColumn("features", F.array("x"))
+    new = _new_rows(spec, pred, "loc_id").withColumn("features", F.array("x"))
     again = pairs.select("loc_id", "time", "features")
     return models.out_of_fold(folded, spec.regressor), models.fitted(pairs, new, spec.regressor), models.fitted(pairs, again, spec.regressor)
 
 
 def _field_model(spec: ForecastSpec, good: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The same of all cells of the predictor together, through principal components or canonical scores.
+    """The same of all cells of the predictor together: through principal components or canonical scores, or as they are by
+    one tree, forest or network over all locations.
 
     Locations and predictor cells count if they have a value at each time that the two tables share."""
     preprocessor, regressor = spec.method()
@@ -114,14 +115,20 @@ def _field_model(spec: ForecastSpec, good: DataFrame, pred: DataFrame) -> tuple[
     kx = fields.products(x, [*fits, every], n + 1)
     if not kx[-1].any():
         raise ValueError("no predictor has a value at each time")
-    if preprocessor == "pcr" and regressor not in ("ols", "ridge"):
+    if regressor in SHARED and preprocessor != "cca":
+        # Gains and gradients are of the values as they are, not scaled by location; a network's outputs are scaled.
+        ky = fields.products(y, [*fits, every], n, scale=regressor == "mlp")
+        plain = None if preprocessor == "pcr" else fields.rows_of(x, n + 1)
+        features = lambda i, fit: fields.component_scores(kx[i], fit) if plain is None else plain
+        weights = lambda i, fit: fields.shared_weights(features(i, fit), ky[i], fit, n, regressor)
+    elif preprocessor == "pcr" and regressor == "lasso":
         scores = [fields.component_scores(k, fit) for k, fit in zip(kx, [*fits, every], strict=True)]
         rows = [(s[:n], fit) for s, fit in zip(scores, fits, strict=False)] + [(scores[-1], every), (np.vstack([scores[-1][:n]] * 2), every)]
         found = fields.regressed(y, rows, regressor, **options).join(y, "loc_id")
         part = lambda start, size: F.slice("h", start + 1, size)
         hcst = fields.dated(found, times, {"y": F.col("features"), "h": part(0, n)})
         return hcst, fields.dated(found, [target], {"h": part(n, 1)}), fields.dated(found, times, {"h": part(n + 1, n)})
-    if preprocessor == "pcr":
+    elif preprocessor == "pcr":
         ridge = (1.0 if spec.alpha is None else spec.alpha) if regressor == "ridge" else 0.0
         weights = lambda i, fit: fields.principal_weights(kx[i], fit, n, ridge)
     else:
@@ -163,10 +170,10 @@ def fitted_models(spec: ForecastSpec, predictand: DataFrame, predictor: DataFram
     preprocessor, regressor = spec.method()
     obs, pred = _series(spec, predictand, predictor)
     good = clean.varied_locations(obs, spec.most_frequent)
-    if preprocessor != "none":
+    own = "loc_id" in predictor.columns
+    if preprocessor != "none" or (regressor in OTHER and not own):
         return _field_model(spec, good, pred)
-    key = "loc_id" if "loc_id" in predictor.columns else None
-    return (_line if regressor in LINEAR else _own_model)(spec, good, pred, key)
+    return _line(spec, good, pred, "loc_id" if own else None) if regressor in LINEAR else _own_model(spec, good, pred)
 
 
 def forecast(spec: ForecastSpec, predictand: DataFrame, predictor: DataFrame) -> dict[str, DataFrame]:

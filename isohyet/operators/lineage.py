@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for what is shared; a local session without one gets its own."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = LOCAL_CHECKPOINTS
+    return named.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that the cluster names; a local session without one gets its own."""
+    """The same rows, from a checkpoint in that folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or LOCAL_CHECKPOINTS)
+        context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()

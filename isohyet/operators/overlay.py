@@ -59,9 +59,9 @@ def _tiled(edges: DataFrame, levels: DataFrame, own: bool) -> DataFrame:
     return out
 
 
-def crossings(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_edge, b_edge, x, y): points that edges of a and b - numbered by `edge` - have in common, the ends of shared
-    stretches among them."""
+def crossings(a: DataFrame, b: DataFrame, along_only: bool = False) -> DataFrame:
+    """(a_edge, b_edge, x, y): points that edges of a and b - named by `edge` - have in common, the ends of shared
+    stretches among them, or the latter alone."""
     levels = lambda df: _tiled(df, df, own=True).select("_level").distinct()
     tile = ["_level", "_tx", "_ty"]
 
@@ -87,7 +87,7 @@ def crossings(a: DataFrame, b: DataFrame) -> DataFrame:
     along = lambda x, y, ox, oy, vx, vy: ((x - ox) * vx + (y - oy) * vy).between(F.lit(0.0), vx * vx + vy * vy)
     ends = [F.when(along(x, y, px, py, dx, dy), at(x, y)) for x, y in ((rx, ry), (F.col("b_x2"), F.col("b_y2")))]
     ends += [F.when(along(x, y, rx, ry, ex, ey), at(x, y)) for x, y in ((px, py), (F.col("a_x2"), F.col("a_y2")))]
-    points = F.when(aligned, F.filter(F.array(*ends), lambda p: p.isNotNull())).when(crossing, F.array(at(px + t * dx, py + t * dy)))
+    points = F.when(aligned, F.filter(F.array(*ends), lambda p: p.isNotNull())).when(crossing & F.lit(not along_only), F.array(at(px + t * dx, py + t * dy)))
     return pairs.select("a_edge", "b_edge", F.explode(points).alias("p")).select("a_edge", "b_edge", "p.x", "p.y")
 
 
@@ -131,11 +131,14 @@ def stitched(edges: list[tuple[float, float, float, float]]) -> list[list[dict[s
 def intersection(a: DataFrame, b: DataFrame, zone: str = "zone_id", rings: str = "rings") -> DataFrame:
     """(a_id, b_id, rings) of the common part of every two polygons of maps a and b (zone, rings) that have one: outer rings
     run counter-clockwise, holes clockwise."""
-    cut = {}
     numbered = {n: lineage.cut(ring_edges(df, zone, rings).withColumn("edge", F.struct("zone_id", "ring", "x1", "y1", "x2", "y2"))) for n, df in (("a", a), ("b", b))}
-    met = lineage.cut(crossings(numbered["a"], numbered["b"]))
-    for n in ("a", "b"):
-        cut[n] = lineage.cut(split(numbered[n], met.select(F.col(f"{n}_edge").alias("edge"), "x", "y").distinct()))
+    cut = numbered
+    # What others cut into one of two edges that run together is cut into the other by the second round, so that both are
+    # in the same pieces.
+    for along_only in (False, True):
+        met = lineage.cut(crossings(cut["a"], cut["b"], along_only))
+        pieces = {n: split(cut[n], met.select(F.col(f"{n}_edge").alias("edge"), "x", "y").distinct()) for n in ("a", "b")}
+        cut = {n: lineage.cut(p.withColumn("edge", F.struct("zone_id", "x1", "y1", "x2", "y2"))) for n, p in pieces.items()}
     first, last = (F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2))
     ends = [F.least(first, last).alias("_low"), F.greatest(first, last).alias("_high")]
     common = cut["a"].select(F.col("zone_id").alias("a_id"), "x1", "y1", "x2", "y2", *ends).join(cut["b"].select(F.col("zone_id").alias("b_id"), F.col("x1").alias("_bx"), F.col("y1").alias("_by"), *ends), ["_low", "_high"])
@@ -149,7 +152,7 @@ def intersection(a: DataFrame, b: DataFrame, zone: str = "zone_id", rings: str =
 
     def traced(f: pd.DataFrame) -> pd.DataFrame:
         found = stitched(sorted(f[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)))
-        return pd.DataFrame({"a_id": f["a_id"].iloc[:1], "b_id": f["b_id"].iloc[:1], "rings": [found]}) if found else pd.DataFrame({"a_id": [], "b_id": [], "rings": []})
+        return pd.DataFrame({"a_id": f["a_id"].iloc[:1], "b_id": f["b_id"].iloc[:1], "rings": [found]}) if found else pd.DataFrame({"a_id": [], "b_id": [], "rings": []}, dtype=object)
 
     kinds = dict(a.dtypes)[zone], dict(b.dtypes)[zone]
     return kept.distinct().groupBy("a_id", "b_id").applyInPandas(traced, f"a_id {kinds[0]}, b_id {kinds[1]}, rings array<{POINTS}>")

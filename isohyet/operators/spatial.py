@@ -118,13 +118,13 @@ def idw(grid: DataFrame, stations: DataFrame, keys: list[str], most: int = MOST_
     blocks = max(1, -(-stations.count() // most))
     block = F.pmod(F.xxhash64("_x", "_y", "_v"), F.lit(blocks)).alias("_b")
     held = stations.groupBy(block).agg(F.collect_list(F.struct("_x", "_y", "_v")).alias("_s"))
-    dist = lambda s: F.hypot(s["_x"] - F.col("lon"), s["_y"] - F.col("lat"))
-    on = F.array_max(F.transform(F.filter("_s", lambda s: dist(s) == 0), lambda s: s["_v"]))
-    inverse = lambda s: 1 / F.nullif(dist(s), F.lit(0.0))
-    # Stations at the point have no weight of their own there, and leave the sums as they are.
-    total = F.aggregate("_s", F.lit(0.0), lambda a, s: a + F.coalesce(inverse(s) * s["_v"], F.lit(0.0)))
-    weight = F.aggregate("_s", F.lit(0.0), lambda a, s: a + F.coalesce(inverse(s), F.lit(0.0)))
-    near = grid.join(F.broadcast(held) if blocks == 1 else held, how="cross").select(*keys, on.alias("_on"), total.alias("_t"), weight.alias("_w"))
+    # Each distance is computed once; stations at the point have no weight of their own there, and leave the sums as
+    # they are.
+    far = F.transform("_s", lambda s: F.struct(F.hypot(s["_x"] - F.col("lon"), s["_y"] - F.col("lat")).alias("d"), s["_v"].alias("v")))
+    met = grid.join(F.broadcast(held) if blocks == 1 else held, how="cross").select(*keys, far.alias("_f"))
+    on = F.array_max(F.transform(F.filter("_f", lambda f: f["d"] == 0), lambda f: f["v"]))
+    added = lambda each: F.aggregate(F.filter("_f", lambda f: f["d"] > 0), F.lit(0.0), lambda a, f: a + each(f))
+    near = met.select(*keys, on.alias("_on"), added(lambda f: f["v"] / f["d"]).alias("_t"), added(lambda f: 1 / f["d"]).alias("_w"))
     if blocks > 1:
         near = near.groupBy(*keys).agg(F.max("_on").alias("_on"), F.sum("_t").alias("_t"), F.sum("_w").alias("_w"))
     return near.select(*keys, F.coalesce("_on", F.col("_t") / F.nullif(F.col("_w"), F.lit(0.0))).alias("value"))

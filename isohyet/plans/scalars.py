@@ -177,7 +177,7 @@ SEASON_SQL = """roll as (select loc_id, time, sum(value) over r as v, count(valu
 
 def season_values(t: Tables, zones: bool = False) -> tuple[DataFrame, DataFrame]:
     """January to March sums, and their climatology."""
-    s = season.rolling(t.zone_obs() if zones else t.obs(), 3).filter((F.month("time") == 3) & F.col("value").isNotNull())
+    s = season.rolling(t.zone_obs() if zones else t.obs(), 3, drop_empty=False).filter((F.month("time") == 3) & F.col("value").isNotNull())
     return s, season.climatology(s.filter(season.in_years(*CLIMATOLOGY)))
 
 

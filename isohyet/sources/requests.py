@@ -19,19 +19,19 @@ from isohyet.operators.clean import in_box, without_sentinel
 #: Products by code - the first year that they have, the pressure level, and whether they are forecasts
 #: with members and leads. All mark missing values with -999.
 PRODUCTS = {
-    "PRCP_CHIRPSp25": (1981, None, False),
-    "SST_ERSSTv5": (1854, None, False),
-    "GPH500_NCEP-NCAR": (1949, 500.0, False),
-    "MSL_NCEP-NCAR": (1949, None, False),
-    "SST_GEOSS2S": (1981, None, True),
-    "SST_CCSM4": (1981, None, True),
-    "SST_CFSv2": (1981, None, True),
-    "PRCP_GEOSS2S": (1981, None, True),
-    "PRCP_CCSM4": (1981, None, True),
-    "PRCP_CFSv2": (1981, None, True),
-    "z500_GEOSS2S": (1981, None, True),
-    "z200_CCSM4": (1981, None, True),
-    "z200_CFSv2": (1981, None, True),
+    "PRCP_CHIRPSp25_IRIDL": (1981, None, False),
+    "SST_ERSSTv5_IRIDL": (1854, None, False),
+    "GPH500_NCEP-NCAR_IRIDL": (1949, 500.0, False),
+    "MSL_NCEP-NCAR_IRIDL": (1949, None, False),
+    "SST_GEOSS2S_IRIDL": (1981, None, True),
+    "SST_CCSM4_IRIDL": (1981, None, True),
+    "SST_CFSv2_IRIDL": (1981, None, True),
+    "PRCP_GEOSS2S_IRIDL": (1981, None, True),
+    "PRCP_CCSM4_IRIDL": (1981, None, True),
+    "PRCP_CFSv2_IRIDL": (1981, None, True),
+    "z500_GEOSS2S_IRIDL": (1981, None, True),
+    "z200_CCSM4_IRIDL": (1981, None, True),
+    "z200_CFSv2_IRIDL": (1981, None, True),
 }
 PRODUCT_MISSING = -999.0
 

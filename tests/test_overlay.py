@@ -86,6 +86,21 @@ def test_areas_equal_a_fine_raster(spark):
         assert area == pytest.approx(expected[key], abs=0.15)
 
 
+def test_pieces_of_shared_sides_are_cut_alike(spark):
+    """Neighbours of both maps share lines, and end at different places along them."""
+    a = {f"a{i}": [[(i, 0), (i + 1, 0), (i + 1, 2), (i, 2)]] for i in range(6)} | {"long": [[(0, 2), (6, 2), (6, 3), (0, 3)]]}
+    b = {f"b{i}": [[(i * 0.75, 0), (i * 0.75 + 0.75, 0), (i * 0.75 + 0.75, 2), (i * 0.75, 2)]] for i in range(8)} | {"low": [[(0.5, 1), (5.25, 1), (5.25, 2), (0.5, 2)]], "high": [[(0.25, 2), (5.5, 2), (5.5, 2.5), (0.25, 2.5)]]}
+    box = lambda r: (r[0][0][0], r[0][0][1], r[0][2][0], r[0][2][1])
+    expected = {}
+    for n, p in a.items():
+        for m, q in b.items():
+            (x0, y0, x1, y1), (u0, v0, u1, v1) = box(p), box(q)
+            w, h = min(x1, u1) - max(x0, u0), min(y1, v1) - max(y0, v0)
+            if w > 0 and h > 0:
+                expected[n, m] = w * h
+    assert {k: v[0] for k, v in areas(overlay.intersection(maps(spark, a), maps(spark, b))).items()} == pytest.approx(expected)
+
+
 def test_a_map_cut_by_itself_and_by_nothing(spark):
     a = maps(spark, A)
     assert {k: v[0] for k, v in areas(overlay.intersection(a, a)).items()} == pytest.approx({("plain", "plain"): 16, ("ringed", "ringed"): 48, ("turned", "turned"): 48, ("L", "L"): 36, ("touching", "touching"): 8})

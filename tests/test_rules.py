@@ -226,8 +226,8 @@ def test_observed_grids_and_products(spark, tmp_path):
     got = {r["loc_id"]: (r["value"], r["units"]) for r in netcdf.read_observed(spark, str(tmp_path / "a.nc"), "pr").collect()}
     assert got == {"0.500000_30.000000": (1.0, "mm"), "0.500000_31.000000": (None, "mm")}
     assert netcdf.units(spark, str(tmp_path / "b.nc"), "pr") == "cm"
-    assert GridRequest.of_product("GPH500_NCEP-NCAR", 1900, 2000).level == 500.0 and GridRequest.of_product("SST_CCSM4", 1900, 2000, lead=2).source_first_year == 1981
-    for code, options in (("SST_CCSM4", {}), ("SST_ERSSTv5", {"lead": 1}), ("x", {})):
+    assert GridRequest.of_product("GPH500_NCEP-NCAR_IRIDL", 1900, 2000).level == 500.0 and GridRequest.of_product("SST_CCSM4_IRIDL", 1900, 2000, lead=2).source_first_year == 1981
+    for code, options in (("SST_CCSM4_IRIDL", {}), ("SST_ERSSTv5_IRIDL", {"lead": 1}), ("x", {})):
         with pytest.raises(ValueError):
             GridRequest.of_product(code, 1990, 2000, **options)
 

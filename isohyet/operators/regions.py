@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.operators.lineage import cut
+from isohyet.operators.spatial import edges_of_rings
 
 TILE = 256
 
@@ -193,6 +194,18 @@ def multipolygon(parts: str = "parts"):
     return F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), closed.alias("coordinates")))
 
 
+def filled(shapes: DataFrame, min_x: float = 0.0, min_y: float = 0.0, step: float = 1.0) -> DataFrame:
+    """(row_idx, col_idx, zone) of the cells within polygons (region, zone, rings) made of cells, holes as the rings say. The
+    sides that run up and down tell, row by row, where the stretches of a polygon begin and end."""
+    sides = edges_of_rings(shapes, "region").filter("x1 = x2")
+    row = lambda f: F.round((f("y1", "y2") - min_y) / step + 0.5).cast("long")
+    at = sides.select("zone_id", F.round((F.col("x1") - min_x) / step + 0.5).cast("long").alias("_x"), F.explode(F.sequence(row(F.least), row(F.greatest) - 1)).alias("row_idx"))
+    rows = at.groupBy("zone_id", "row_idx").agg(F.array_sort(F.collect_list("_x")).alias("_x"))
+    pairs = F.explode(F.sequence(F.lit(0), F.size("_x") - 1, F.lit(2))).alias("_i")
+    runs = rows.select("zone_id", "row_idx", "_x", pairs).select("zone_id", "row_idx", F.explode(F.sequence(F.col("_x")[F.col("_i")], F.col("_x")[F.col("_i") + 1] - 1)).alias("col_idx"))
+    return runs.join(shapes.select(F.col("region").alias("zone_id"), "zone"), "zone_id").select("row_idx", "col_idx", "zone").distinct()
+
+
 def near(mask: np.ndarray, radius: float) -> np.ndarray:
     """Cells at most radius away from a cell of the mask: exact squared distances by rows, then by columns."""
     reach = int(radius)

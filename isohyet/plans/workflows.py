@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from isohyet.functions import calendar as cal
 from isohyet.functions import categories as cat
 from isohyet.functions import skill
-from isohyet.operators import align, clean, fields, models, probability, season, spatial, synthesis
+from isohyet.operators import align, clean, fields, lineage, models, overlay, probability, regions, season, spatial, synthesis
 from isohyet.operators.shared import SHARED
 
 LEAST_CLIMATOLOGY = 20
@@ -356,7 +356,8 @@ def zoning(spec: ZoningSpec, monthly: DataFrame, points: DataFrame, extent: Data
     stacked = layers[0]
     for one in layers[1:]:
         stacked = stacked.unionByName(one)
-    features = stacked.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("_f")).select(*cell, F.col("_f.value").alias("features")).cache()
+    features = stacked.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("_f")).select(*cell, F.col("_f.value").alias("features"))
+    features = lineage.cut(features)  # several passes read it
     costs = [] if spec.zones else models.kmeans_costs(features)
     zones = models.kmeans_zones(features, spec.zones or models.elbow(costs))
     return {
@@ -369,6 +370,31 @@ def zoning(spec: ZoningSpec, monthly: DataFrame, points: DataFrame, extent: Data
     }
 
 
+ROWS_APART = 1 << 24  # of the copies of a raster, one a zone, while zones that overlap become polygons
+
+
+def zone_map(cells: DataFrame, min_x: float = 0.0, min_y: float = 0.0, step: float = 1.0, base: DataFrame | None = None, smoothing: float = 0.0) -> DataFrame:
+    """(zone, rings) of the map of a raster of zones (row_idx, col_idx, zone), whose first cell's centre is at min_x, min_y.
+
+    Regions become polygons; those smaller than another of their zone that lie within one of any zone go, and holes are
+    closed. With smoothing, zones grow and shrink by so many cells first, and may overlap. With a base map (zone_id, rings),
+    what lies outside of it is cut off, and there is a row for each zone and base polygon: (zone, zone_id, rings)."""
+    shapes = lineage.cut(regions.polygons(cells, min_x=min_x, min_y=min_y, step=step).select("region", "zone", F.slice("rings", 1, 1).alias("rings")))
+    edges = spatial.edges_of_rings(shapes, "region")
+    small = spatial.small_polygons(shapes.join(spatial.boxes(edges).withColumnRenamed("zone_id", "region"), "region").withColumnRenamed("region", "poly_id"), edges)
+    kept = lineage.cut(shapes.join(small.withColumnRenamed("poly_id", "region"), "region", "left_anti"))
+    if smoothing:
+        held = regions.filled(kept, min_x, min_y, step)
+        apart = regions.smooth(held, smoothing).withColumn("row_idx", F.col("row_idx") + F.col("zone") * ROWS_APART)
+        moved = regions.polygons(apart, min_x=min_x, min_y=min_y, step=step)
+        back = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(p["x"].alias("x"), (p["y"] - F.col("zone") * (ROWS_APART * step)).alias("y"))))
+        kept = moved.select("region", "zone", F.slice(back, 1, 1).alias("rings"))
+    whole = kept.groupBy("zone").agg(F.array_sort(F.collect_list(F.struct("region", F.col("rings")[0].alias("ring")))).alias("_r")).select("zone", F.transform("_r", lambda r: r["ring"]).alias("rings"))
+    if base is None:
+        return whole
+    return overlay.intersection(whole.withColumnRenamed("zone", "zone_id"), base).select(F.col("a_id").alias("zone"), F.col("b_id").alias("zone_id"), "rings")
+
+
 def synthesis_features(decisions: DataFrame, id_name: str, year: int, period: str) -> DataFrame:
     """Properties of every zone; refused while a decision lacks a field."""
     if not synthesis.is_complete(decisions).isEmpty():

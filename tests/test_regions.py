@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isohyet.operators import regions, spatial
+from isohyet.plans import workflows as wf
 
 
 def raster(spark, zones, origin=(0, 0)):
@@ -96,3 +97,26 @@ def test_smoothing_equals_a_disc(spark, radius):
         grown = {(y + a, x + b) for y, x in own for a, b in disc}
         expected |= {(y, x, zone) for y, x in grown if all((y + a, x + b) in grown for a, b in disc)}
     assert got == expected
+
+
+def test_filled_polygons_are_their_cells(spark):
+    cells = raster(spark, RASTERS["holes"], (4, -2))
+    back = regions.filled(regions.polygons(cells, tile=5, min_x=1.0, min_y=2.0, step=0.5), 1.0, 2.0, 0.5)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, cells.collect()))
+
+
+def test_a_map_of_zones(spark):
+    """Islands go and their places are filled; narrow gaps are closed by smoothing; a base map cuts the rest off."""
+    zones = np.ones((12, 24), int)
+    zones[:, 12:] = 2
+    zones[4:6, 4:6] = 2  # an island within the first zone
+    zones[0, 18:20] = 1  # at the border: not within the second zone's outline
+    area = lambda rings: sum(regions.area(np.array([(p["x"], p["y"]) for p in r])) for r in rings) / 2
+    cells = raster(spark, zones)
+    plain = {r["zone"]: r["rings"] for r in wf.zone_map(cells).collect()}
+    assert area(plain[1]) == 12 * 12 + 2 and area(plain[2]) == 12 * 12 - 2 and len(plain[1]) == 2
+    smooth = {r["zone"]: r["rings"] for r in wf.zone_map(cells, smoothing=2.0).collect()}
+    assert area(smooth[1]) == area(plain[1]) and area(smooth[2]) >= area(plain[2])
+    base = spark.createDataFrame([("land", [[{"x": x, "y": y} for x, y in ((6.5, 2.5), (14.5, 2.5), (14.5, 8.5), (6.5, 8.5))]])], "zone_id string, rings array<array<struct<x: double, y: double>>>")
+    cut = {(r["zone"], r["zone_id"]): area(r["rings"]) for r in wf.zone_map(cells, base=base).collect()}
+    assert cut == pytest.approx({(1, "land"): 5 * 6, (2, "land"): 3 * 6})

@@ -31,9 +31,14 @@ def edges_of_rings(zones: DataFrame, zone: str = "zone_id", rings: str = "rings"
 
 
 def boxes(edges: DataFrame) -> DataFrame:
+    return _sized(edges).drop("_n")
+
+
+def _sized(edges: DataFrame) -> DataFrame:
+    """The box of each polygon, and its number of edges."""
     low = lambda a, b: F.min(F.least(a, b))
     high = lambda a, b: F.max(F.greatest(a, b))
-    return edges.groupBy("zone_id").agg(low("x1", "x2").alias("min_x"), low("y1", "y2").alias("min_y"), high("x1", "x2").alias("max_x"), high("y1", "y2").alias("max_y"))
+    return edges.groupBy("zone_id").agg(low("x1", "x2").alias("min_x"), low("y1", "y2").alias("min_y"), high("x1", "x2").alias("max_x"), high("y1", "y2").alias("max_y"), F.count(F.lit(1)).alias("_n"))
 
 
 def level_of(extent: Column, edges: Column) -> Column:
@@ -61,8 +66,7 @@ def _crosses(e: Column, x: Column, y: Column) -> Column:
 def meetings(points: DataFrame, edges: DataFrame) -> DataFrame:
     """Points with the polygons of their tiles, and the edges that a ray from the point may cross. A band's edges stay
     together as one array, so a point meets a polygon once."""
-    box = boxes(edges).join(edges.groupBy("zone_id").agg(F.count(F.lit(1)).alias("_n")), "zone_id")
-    box = box.withColumn("_level", level_of(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")), F.col("_n")))
+    box = _sized(edges).withColumn("_level", level_of(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")), F.col("_n")))
     across = F.sequence(_tile(F.col("min_x"), F.col("_level")), _tile(F.col("max_x"), F.col("_level")))
     # A ray to the east meets only edges that reach into its band of y, so each band has its own edges, once for all of
     # the polygon's tiles in it.

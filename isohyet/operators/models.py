@@ -13,9 +13,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isohyet.operators import lineage, radial
+
 MAX_FRACTION, PCA_VARIANCE = 0.15, 0.95
 SEED = 42
-MOST_STATIONS = 5_000  # of a radial basis: their matrix of distances is 200 MB
+MOST_STATIONS = 5_000  # of a radial basis solved in one task: their matrix of distances is 200 MB
 
 
 def component_limit(n: int, cumulative: list[float]) -> int:
@@ -210,21 +212,24 @@ def fitted(pairs: DataFrame, new: DataFrame, regressor: str, features: str = "fe
 
 
 def rbf_weights(lon: np.ndarray, lat: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Weights of the stations' distances that reproduce their values."""
-    return np.linalg.lstsq(np.hypot(lon[:, None] - lon, lat[:, None] - lat), value, rcond=None)[0]
+    """Weights of the stations' distances that reproduce their values; no two stations at one place."""
+    return np.linalg.solve(np.hypot(lon[:, None] - lon, lat[:, None] - lat), value) if len(value) > 1 else np.zeros(len(value))
 
 
-def rbf(grid: DataFrame, stations: DataFrame, keys: list[str], most: int = MOST_STATIONS) -> DataFrame:
-    """Linear radial basis interpolation. Every weight depends on all stations, so one task solves for them; more than
-    `most` stations, whose matrix would not fit there, are refused."""
-    known = stations.filter("value is not null")
-    if known.limit(most + 1).count() > most:
-        raise ValueError(f"radial bases over more than {most} stations; interpolate by inverse distance, or by parts of the area")
+def rbf(grid: DataFrame, stations: DataFrame, keys: list[str], most: int = MOST_STATIONS, **options) -> DataFrame:
+    """Linear radial basis interpolation, of any number of stations. Up to `most`, whose matrix fits into one task, are
+    solved for there; more by blocks, see `radial`, whose options may be given."""
+    known = lineage.cut(radial.places(stations))
+    count = known.count()
+    if count > most:
+        weights = radial.weights(known, count, **options)
+        groups = (max(1, -(-n // options.get("group", radial.GROUP))) for n in (grid.count(), count))
+        return radial.distance_sums(grid, weights, keys, *groups)
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
         return f.assign(w=rbf_weights(f["lon"].to_numpy(float), f["lat"].to_numpy(float), f["value"].to_numpy(float)))[["lon", "lat", "w"]]
 
-    weights = known.select("lon", "lat", "value").groupBy(F.lit(1).alias("_g")).applyInPandas(solve, "lon double, lat double, w double")
+    weights = known.groupBy(F.lit(1).alias("_g")).applyInPandas(solve, "lon double, lat double, w double")
     held = weights.agg(F.collect_list(F.struct("lon", "lat", "w")).alias("_s"))
     dist = lambda s: F.hypot(s["lon"] - F.col("lon"), s["lat"] - F.col("lat"))
     return grid.crossJoin(F.broadcast(held)).select(*keys, F.aggregate("_s", F.lit(0.0), lambda a, s: a + dist(s) * s["w"]).alias("value"))

@@ -375,6 +375,17 @@ def rbf_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.rbf(_mesh(spark), _stations(Tables(spark, sf_dir)), ["row_idx", "col_idx"])
 
 
+PLACES = ("c_custkey * 7919 % 10007 * 0.002", "c_custkey * 104729 % 10009 * 0.002")  # one for each customer
+
+
+@query("rbf_reproduces", "select c_custkey, round(c_acctbal, 2) as value from customer where c_acctbal is not null")
+def rbf_reproduces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Radial bases over all customers, at their own places, where they must give the values back."""
+    lon, lat = (F.expr(p).cast("double") for p in PLACES)
+    at = Tables(spark, sf_dir).raw("customer").filter("c_acctbal is not null").select("c_custkey", lon.alias("lon"), lat.alias("lat"), F.col("c_acctbal").alias("value"))
+    return rounded(models.rbf(at.select("c_custkey", "lon", "lat"), at, ["c_custkey"]), 2)
+
+
 @query("pca_variance")
 def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.gram_pca(Tables(spark, sf_dir).raw("embeddings").select(F.col("embedding").alias("features")))

@@ -311,8 +311,6 @@ def test_interpolation_by_blocks_and_sizes(spark):
     grid = spatial.mesh(spark, 0, 9, 0, 9, 0.75)
     one, many = (sorted((r["row_idx"], r["col_idx"], round(r["value"], 9)) for r in spatial.idw(grid, stations, ["row_idx", "col_idx"], most=n).collect()) for n in (1000, 7))
     assert one == many and len(one) == 169
-    with pytest.raises(ValueError):
-        models.rbf(grid, stations, ["row_idx"], most=10)
     at = stations.dropDuplicates(["lat", "lon"]).select("loc_id", "lat", "lon", "value")
     back = {r["loc_id"]: r["value"] for r in models.rbf(at.select("loc_id", "lat", "lon"), at, ["loc_id"]).collect()}
     assert all(back[r["loc_id"]] == pytest.approx(r["value"], abs=1e-8) for r in at.collect())

@@ -1,8 +1,8 @@
 """Linear radial bases over any number of stations: weights w with sum_j w_j |p_i - p_j| = value_i at every station.
 
 The matrix of distances is never held. The equations are solved by minimal residuals over the space of the products so
-far; a product is a sum over blocks of stations against blocks of stations, each pair of blocks in a task of its own. The
-station's row carries its place in every vector, so that a vector is a column and its products are aggregates; the driver
+far; in a product a block of stations meets those of blocks nearby, and all others through few nodes of the boxes that they
+lie in, ever larger ones with the distance, so that work grows with the stations and not with their pairs. The station's row carries its place in every vector, so that a vector is a column and its products are aggregates; the driver
 sees these scalars, and what belongs to a bounded number of coarse stations.
 
 Products are few because each vector is first solved for nearby: a domain of neighbouring stations, with as many around
@@ -22,9 +22,13 @@ from isohyet.operators import lineage
 
 DOMAIN, AROUND = 256, 256  # stations of a domain, and around it at most
 COARSE = 512  # stations that are solved for together in every step, whatever the number of stations
-GROUP = 4096  # stations of a block in products, on average
+GROUP = 1024  # stations of a block in products, on average
+ORDER = 16  # nodes along a side of a box; errors of what is far are some 1e-12 of it
+LEAST_SIDE = 2.0**-24  # half of one, for boxes of a single place
 TOLERANCE = 1e-10  # of the residual, against the values
 STEPS, RESTARTS = 40, 8
+_ANGLES = (2 * np.arange(ORDER) + 1) * np.pi / (2 * ORDER)
+NODES, BARYCENTRIC = np.cos(_ANGLES), np.where(np.arange(ORDER) % 2, -1, 1) * np.sin(_ANGLES)
 
 
 def places(stations: DataFrame) -> DataFrame:
@@ -77,26 +81,175 @@ def _solve_domain(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": f["id"], "lon": x, "lat": y, "y": found})[f["own"].to_numpy()]
 
 
+def _blocked(points: DataFrame, groups: int) -> DataFrame:
+    """Points with `_b`, the number of their block: about `groups` of them, evenly filled, in strips as domains are."""
+    size = max(1, -(-points.count() // groups))
+    strips = max(1, math.ceil(math.sqrt(groups)))
+    held = points.repartitionByRange(strips, "lon", "lat").sortWithinPartitions("lat", "lon").withColumn("_p", F.monotonically_increasing_id())
+    place = F.col("_p").bitwiseAND(F.lit((1 << 33) - 1))
+    return lineage.cut(held.withColumn("_b", F.shiftleft(F.shiftright("_p", 33), 32) + F.floor(place / size)).drop("_p"))
+
+
+def _basis(at: np.ndarray, low: float, high: float) -> np.ndarray:
+    """The polynomials that are 1 at one Chebyshev node of the stretch and 0 at the others, a row for each place."""
+    away = ((at - (low + high) / 2) / max((high - low) / 2, LEAST_SIDE))[:, None] - NODES
+    on = away == 0
+    share = np.where(on.any(1, keepdims=True), on, BARYCENTRIC / np.where(on, 1, away))
+    return share / share.sum(1, keepdims=True)
+
+
+def _nodes(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a box's nodes."""
+    x, y = (c + np.maximum(h, LEAST_SIDE) * NODES for c, h in zip((low + high) / 2, (high - low) / 2, strict=True))
+    return np.repeat(x, ORDER), np.tile(y, ORDER)
+
+
+def _proxies(x: np.ndarray, y: np.ndarray, w: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Weights at a box's nodes that far away act as the weights at places within it."""
+    return (_basis(x, low[0], high[0]) * w[:, None]).T @ _basis(y, low[1], high[1])
+
+
+def _summed(ax, ay, bx, by, w) -> np.ndarray:
+    """Sums of w times the distances, in pieces that stay in a processor's cache."""
+    out, bx, by = np.zeros(len(ax)), np.ascontiguousarray(bx), np.ascontiguousarray(by)
+    for j in range(0, len(bx), 2048):
+        px, py, pw = bx[j : j + 2048], by[j : j + 2048], w[j : j + 2048]
+        for i in range(0, len(ax), 16):
+            d, e = ax[i : i + 16, None] - px, ay[i : i + 16, None] - py
+            d *= d
+            e *= e
+            d += e
+            out[i : i + 16] += np.sqrt(d, out=d) @ pw
+    return out
+
+
+class _Tree:
+    """Boxes of blocks, halved by their middles up to one box of all. Nodes are numbered blocks first, halves before what
+    they make up."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        self.leaves, self.low, self.high = len(low), list(low), list(high)
+        self.halves: list[tuple[int, int]] = [(-1, -1)] * len(low)
+        middle = (low + high) / 2
+
+        def build(held: np.ndarray) -> int:
+            if len(held) == 1:
+                return int(held[0])
+            spread = np.ptp(middle[held], axis=0)
+            held = held[np.argsort(middle[held, int(spread[1] > spread[0])], kind="stable")]
+            a, b = build(held[: len(held) // 2]), build(held[len(held) // 2 :])
+            self.low.append(np.minimum(self.low[a], self.low[b]))
+            self.high.append(np.maximum(self.high[a], self.high[b]))
+            self.halves.append((a, b))
+            return len(self.low) - 1
+
+        self.root = build(np.arange(len(low)))
+        self.low, self.high, self.halves = np.array(self.low), np.array(self.high), np.array(self.halves)
+        self.side = (self.high - self.low).max(1)
+
+    def parted(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of given boxes and nodes, which together hold each block once for each box: boxes, nodes and gaps of those
+        that lie apart by a node's side at least, and boxes and blocks of those that don't."""
+        box, node = np.arange(len(low)), np.full(len(low), self.root)
+        far, close = [], []
+        while len(box):
+            gap = np.hypot(*np.maximum(np.maximum(self.low[node] - high[box], low[box] - self.high[node]), 0).T)
+            apart = (gap >= self.side[node]) & (gap > 0)
+            far.append((box[apart], node[apart], gap[apart]))
+            box, node = box[~apart], node[~apart]
+            leaf = node < self.leaves
+            close.append((box[leaf], node[leaf]))
+            box, node = np.repeat(box[~leaf], 2), self.halves[node[~leaf]].ravel()
+        return *(np.concatenate(c) for c in zip(*far, strict=True)), *(np.concatenate(c) for c in zip(*close, strict=True))
+
+    def raised(self, proxies: np.ndarray) -> np.ndarray:
+        """Proxies of all nodes from those of the blocks."""
+        out = np.zeros((len(self.low), ORDER, ORDER))
+        out[: self.leaves] = proxies
+        for i in range(self.leaves, len(out)):
+            for half in self.halves[i]:
+                x, y = (_basis((self.low[half, c] + self.high[half, c]) / 2 + max((self.high[half, c] - self.low[half, c]) / 2, LEAST_SIDE) * NODES, self.low[i, c], self.high[i, c]) for c in (0, 1))
+                out[i] += x.T @ out[half] @ y
+        return out
+
+    def far_sums(self, x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray, proxies: np.ndarray) -> np.ndarray:
+        """Sums over all nodes that lie apart from a box of places: at the box's nodes if it is small enough, from which
+        its places follow, else at the places."""
+        _, node, gap, _, _ = self.parted(low[None], high[None])
+        total, wide = np.zeros(len(x)), gap < (high - low).max()
+        if len(x) <= ORDER * ORDER:
+            wide[:] = True
+        for own, (ax, ay) in ((node[~wide], _nodes(low, high)), (node[wide], (x, y))):
+            if len(own):
+                sx, sy = (np.concatenate(c) for c in zip(*(_nodes(self.low[i], self.high[i]) for i in own), strict=True))
+                found = _summed(ax, ay, sx, sy, proxies[own].ravel())
+                total += found if ax is x else ((_basis(x, low[0], high[0]) @ found.reshape(ORDER, ORDER)) * _basis(y, low[1], high[1])).sum(1)
+        return total
+
+
+class Sums:
+    """Sums of distances from targets to weighted sources, both with their places and `_b`, for any number of weights.
+
+    A block of targets meets the sources of blocks nearby one by one; all others through the nodes of the tree's boxes,
+    polynomials of the order ORDER. The driver has boxes and nodes of the blocks only. Rows grow with the rows."""
+
+    def __init__(self, targets: DataFrame, sources: DataFrame):
+        self.targets, spark = targets, targets.sparkSession
+        self.blocks, low, high = self._boxes(sources)
+        self.aims, self.low, self.high = self._boxes(targets)
+        self.tree = _Tree(low, high) if len(low) else None
+        self.tasks = max(1, min(len(self.aims), 4 * spark.sparkContext.defaultParallelism))
+        at, block = self.tree.parted(self.low, self.high)[3:] if len(self.aims) and len(low) else ([], [])
+        self.close = spark.createDataFrame([(self.aims[t], self.blocks[b]) for t, b in zip(at, block, strict=True)], "_t long, _b long")
+
+    @staticmethod
+    def _boxes(df: DataFrame) -> tuple[list[int], np.ndarray, np.ndarray]:
+        rows = df.groupBy("_b").agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).orderBy("_b").collect()
+        box = np.array([r[1:] for r in rows], float).reshape(-1, 4)
+        return [r[0] for r in rows], box[:, :2], box[:, 2:]
+
+    def of(self, sources: DataFrame, names: list[str]) -> DataFrame:
+        """(names, value) of the targets; sources are (_b, lon, lat, w)."""
+        schema = ", ".join(f"`{n}` {dict(self.targets.dtypes)[n]}" for n in names) + ", value double"
+        tree, spark = self.tree, self.targets.sparkSession
+        if tree is None:
+            return self.targets.select(*names, F.lit(0.0).alias("value"))
+        number = {b: i for i, b in enumerate(self.blocks)}
+        low, high = tree.low[: tree.leaves], tree.high[: tree.leaves]
+        boxes = spark.sparkContext.broadcast((number, low, high))
+
+        def summarised(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+            number, low, high = boxes.value
+            i = number[key[0]]
+            got = _proxies(*(f[c].to_numpy() for c in ("lon", "lat", "w")), low[i], high[i])
+            return pd.DataFrame({"_b": [key[0]], "c": [got.tobytes()]})
+
+        rows = sources.groupBy("_b").applyInPandas(summarised, "_b long, c binary").collect()  # a block's nodes, not its places
+        held = np.zeros((tree.leaves, ORDER, ORDER))
+        for r in rows:
+            held[number[r["_b"]]] = np.frombuffer(r["c"]).reshape(ORDER, ORDER)
+        aim = {t: i for i, t in enumerate(self.aims)}
+        all_of = spark.sparkContext.broadcast((tree, tree.raised(held), aim, self.low, self.high))
+
+        def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a):
+                return a[names].assign(value=0.0)
+            tree, proxies, aim, low, high = all_of.value
+            x, y, i = a["_x"].to_numpy(float), a["_y"].to_numpy(float), aim[key[0]]
+            near = _summed(x, y, *(b[c].to_numpy(float) for c in ("lon", "lat", "w")))
+            return a[names].assign(value=near + tree.far_sums(x, y, low[i], high[i], proxies))
+
+        met = sources.join(F.broadcast(self.close), "_b").select("_t", *(F.col(c).alias(c) for c in ("lon", "lat", "w"))).repartition(self.tasks, "_t")
+        aims = self.targets.select(F.col("_b").alias("_t"), F.col("lon").alias("_x"), F.col("lat").alias("_y"), *names).repartition(self.tasks, "_t")
+        return aims.groupBy("_t").cogroup(met.groupBy("_t")).applyInPandas(meet, schema)
+
+
 def distance_sums(targets: DataFrame, sources: DataFrame, keys: list[str], target_groups: int, source_groups: int) -> DataFrame:
-    """(keys, value): for each target, the sum over all sources (lon, lat, w) of w times its distance. Blocks of targets
-    meet blocks of sources, and sums of each pair are added up."""
+    """(keys, value): for each target, the sum over all sources (lon, lat, w) of w times its distance, by so many blocks."""
     names = [f"_k{i}" for i in range(len(keys))]
-    block = lambda c, n: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     t = targets.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
-    t = t.withColumn("_t", block(names, target_groups)).withColumn("_s", every(source_groups))
-    s = sources.select("lon", "lat", "w").withColumn("_s", block(["lon", "lat"], source_groups)).withColumn("_t", every(target_groups))
-
-    def add(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y, w = (b[c].to_numpy() for c in ("lon", "lat", "w"))
-        ax, ay = a["lon"].to_numpy(), a["lat"].to_numpy()
-        step = max(1, (1 << 20) // max(1, len(b)))
-        out = [_distances(ax[i : i + step], ay[i : i + step], x, y) @ w for i in range(0, len(a), step)]
-        return a[names].assign(value=np.concatenate(out) if out else np.zeros(0))
-
-    kinds = ", ".join(f"{n} {dict(t.dtypes)[n]}" for n in names)
-    parts = t.groupBy("_t", "_s").cogroup(s.groupBy("_t", "_s")).applyInPandas(add, f"{kinds}, value double")
-    return parts.groupBy(*names).agg(F.sum("value").alias("value")).select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), "value")
+    s = _blocked(sources.select("lon", "lat", "w"), source_groups)
+    return Sums(_blocked(t, target_groups), s).of(s, names).select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), "value")
 
 
 def _solve_coarse(f: pd.DataFrame) -> pd.DataFrame:
@@ -119,7 +272,7 @@ class _Coarse:
         def sums(frames):
             total = np.zeros(len(cx))
             for f in frames:
-                total += _distances(cx, cy, f["lon"].to_numpy(), f["lat"].to_numpy()) @ f["y"].to_numpy()
+                total += _summed(cx, cy, *(f[c].to_numpy() for c in ("lon", "lat", "y")))
             yield pd.DataFrame({"i": np.arange(len(cx)), "s": total})
 
         got = local.select("lon", "lat", "y").mapInPandas(sums, "i int, s double").groupBy("i").agg(F.sum("s").alias("s"))
@@ -134,6 +287,23 @@ def _dot(vectors: Column, weights: list[float]) -> Column:
     return F.aggregate(F.zip_with(vectors, given, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
 
 
+def _against_basis(state: DataFrame, size: int) -> np.ndarray:
+    """Products of the new vector _q with each vector of the basis v, then with itself."""
+
+    def sums(frames):
+        total = np.zeros(size + 1)
+        for f in frames:
+            if len(f):
+                q = f["_q"].to_numpy()
+                total += np.append(q @ np.stack(f["v"].to_numpy()), q @ q)
+        yield pd.DataFrame({"i": np.arange(size + 1), "s": total})
+
+    out = np.zeros(size + 1)
+    for r in state.select("v", "_q").mapInPandas(sums, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():
+        out[r["i"]] = r["s"]
+    return out
+
+
 def weights(known: DataFrame, count: int, domain: int = DOMAIN, around: int = AROUND, coarse: int = COARSE, group: int = GROUP, tolerance: float = TOLERANCE, steps: int = STEPS) -> DataFrame:
     """(lon, lat, w) of places (lon, lat, value), no two at one place."""
     points = _numbered(known, count, domain)
@@ -144,9 +314,11 @@ def weights(known: DataFrame, count: int, domain: int = DOMAIN, around: int = AR
     if norm == 0:
         return at.select("lon", "lat", "w")
 
+    blocks = _blocked(points.select("id", "lon", "lat"), groups)
+    sums = Sums(blocks, blocks)
+
     def applied(vector: DataFrame, name: str) -> DataFrame:
-        placed = vector.join(points.select("id", "lon", "lat"), "id").select("lon", "lat", F.col(name).alias("w"))
-        return distance_sums(points, placed, ["id"], groups, groups)
+        return sums.of(blocks.join(vector, "id").select("_b", "lon", "lat", F.col(name).alias("w")), ["id"])
 
     left = norm
     for _ in range(RESTARTS):
@@ -163,19 +335,18 @@ def _cycle(at: DataFrame, left: float, enough: float, members: DataFrame, togeth
     """Places (id, lon, lat, w, r, value) after minimal residuals over up to `steps` products. v and z of a row hold its
     place in the basis of the products, and in what was multiplied."""
     state = at.withColumn("v", F.array(F.col("r") / left)).withColumn("z", F.array().cast("array<double>"))
-    h = np.zeros((steps + 1, steps))
+    h, tasks = np.zeros((steps + 1, steps)), 4 * at.sparkSession.sparkContext.defaultParallelism
     for k in range(steps):
         newest = state.select("id", F.element_at("v", -1).alias("r"))
-        local = lineage.cut(members.join(newest, "id").groupBy("dom").applyInPandas(_solve_domain, "id long, lon double, lat double, y double"))
+        local = lineage.cut(members.join(newest, "id").repartition(tasks, "dom").groupBy("dom").applyInPandas(_solve_domain, "id long, lon double, lat double, y double"))
         z = lineage.cut(together.corrected(local, newest))
         moved = applied(z, "z").withColumnRenamed("value", "_q")
         state = lineage.cut(state.join(z.withColumnRenamed("z", "_z"), "id").join(moved, "id").withColumn("z", F.concat("z", F.array("_z"))).drop("_z"))
         for _ in range(2):  # a second time for what rounding leaves of the basis
-            q = F.col("_q")
-            row = state.agg(*(F.sum(F.get("v", F.lit(j)) * q) for j in range(k + 1)), F.sum(q * q)).first()
-            h[: k + 1, k] += row[: k + 1]
-            state = state.withColumn("_q", q - _dot(F.col("v"), row[: k + 1]))
-        rest = float(np.sqrt(max(row[k + 1] - sum(v * v for v in row[: k + 1]), 0.0)))
+            row = _against_basis(state, k + 1)
+            h[: k + 1, k] += row[:-1]
+            state = state.withColumn("_q", F.col("_q") - _dot(F.col("v"), row[:-1]))
+        rest = float(np.sqrt(max(row[-1] - (row[:-1] ** 2).sum(), 0.0)))
         h[k + 1, k] = rest
         aim = np.zeros(k + 2)
         aim[0] = left

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from isohyet.operators import models, radial, spatial
+from isohyet.operators import lineage, models, radial, spatial
 
 SMALL = {"domain": 32, "around": 32, "coarse": 40, "group": 70, "tolerance": 1e-8}
 
@@ -58,3 +59,29 @@ def test_each_station_has_one_domain(spark):
     members = radial._members(points, 7)
     assert members.groupBy("dom", "id").count().filter("count > 1").isEmpty()
     assert members.filter("own").count() == 300 and max(r["count"] for r in members.filter("not own").groupBy("dom").count().collect()) <= 7
+
+
+def test_blocks_meet_few_others(spark):
+    """Sums are those of all pairs, clusters too, while a block meets few others one by one, however many there are."""
+    rng = np.random.default_rng(14)
+    met = []
+    for n in (6400, 12800):
+        p = rng.uniform(0, 20, (n, 2))
+        p[: n // 4] = 3 + p[: n // 4] / 1000
+        w = rng.normal(size=n)
+        sources = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(p, w, strict=True))], "id long, lon double, lat double, w double")
+        blocks = radial._blocked(sources, n // 50)
+        sums = radial.Sums(blocks, blocks)
+        met.append(sums.close.count() / len(sums.blocks))
+        got = {r["id"]: r["value"] for r in sums.of(blocks, ["id"]).collect()}
+        want = np.concatenate([np.hypot(q[:, :1] - p[:, 0], q[:, 1:] - p[:, 1]) @ w for q in np.split(p, 16)])
+        assert [got[i] for i in range(n)] == pytest.approx(want.tolist(), abs=1e-8)
+    assert met[1] < 1.4 * met[0] < 40  # twice as many if all met
+
+
+def test_rounds_of_joins_keep_a_plain_size(spark):
+    state = spark.range(5).withColumn("v", F.lit(1.0))
+    for _ in range(6):
+        state = lineage.cut(state.join(lineage.cut(state.select("id", F.col("v").alias("a"))), "id").select("id", (F.col("v") + F.col("a")).alias("v")))
+    assert state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 64
+    assert {r["v"] for r in state.collect()} == {64.0}

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isohyet.operators.lineage import cut
+
 EDGES_A_BAND = 32
 MOST_BANDS = 64  # of a polygon; one of more edges has more of them in a band
 LEVELS = (-24, 10)  # the least and largest side of a tile, as powers of two
@@ -148,21 +150,25 @@ def positions(grid: DataFrame) -> DataFrame:
     return grid.join(before, "lat").withColumn("pos", F.col("_before") + F.row_number().over(Window.partitionBy("lat").orderBy("lon"))).drop("_before")
 
 
-def box_meetings(polygons: DataFrame) -> DataFrame:
-    """Polygons with those of their tiles: a container has tiles as large as its box, at most four of them; the contained
+def box_meetings(polygons: DataFrame, containers: DataFrame | None = None) -> DataFrame:
+    """Polygons with those - or other containers - of their tiles: a container has tiles as large as its box, at most four of them; the contained
     polygon's lower left corner looks in its tile of every side in use."""
     extent = lambda p: F.greatest(F.col(f"{p}max_x") - F.col(f"{p}min_x"), F.col(f"{p}max_y") - F.col(f"{p}min_y"))
-    o = polygons.select(*(F.col(c).alias(f"o_{c}") for c in ("poly_id", "min_x", "min_y", "max_x", "max_y"))).withColumn("_level", level_of(extent("o_"), F.lit(1)))
+    o = (containers or polygons).select(*(F.col(c).alias(f"o_{c}") for c in ("poly_id", "min_x", "min_y", "max_x", "max_y"))).withColumn("_level", level_of(extent("o_"), F.lit(1)))
     for c, t in (("x", "_tx"), ("y", "_ty")):
         o = o.withColumn(t, F.explode(F.sequence(_tile(F.col(f"o_min_{c}"), F.col("_level")), _tile(F.col(f"o_max_{c}"), F.col("_level")))))
     at = levelled(polygons.select("poly_id", "min_x", "min_y", "max_x", "max_y"), o.select("_level").distinct(), "min_x", "min_y")
     return at.join(o, ["_level", "_tx", "_ty"])
 
 
-def box_pairs(polygons: DataFrame) -> DataFrame:
-    """(poly_id, o_poly_id): polygons whose box lies within another's."""
+def _boxes_within(met: DataFrame) -> DataFrame:
     inside = (F.col("o_min_x") <= F.col("min_x")) & (F.col("o_min_y") <= F.col("min_y")) & (F.col("o_max_x") >= F.col("max_x")) & (F.col("o_max_y") >= F.col("max_y"))
-    return box_meetings(polygons).filter((F.col("poly_id") != F.col("o_poly_id")) & inside).select("poly_id", "o_poly_id")
+    return met.filter((F.col("poly_id") != F.col("o_poly_id")) & inside)
+
+
+def box_pairs(polygons: DataFrame, containers: DataFrame | None = None) -> DataFrame:
+    """(poly_id, o_poly_id): polygons whose box lies within another's, of the containers if given."""
+    return _boxes_within(box_meetings(polygons, containers)).select("poly_id", "o_poly_id")
 
 
 def contained(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -202,8 +208,30 @@ def small_polygons(polygons: DataFrame, edges: DataFrame) -> DataFrame:
     area = (F.col("max_y") - F.col("min_y")) * (F.col("max_x") - F.col("min_x"))
     sized = polygons.select("poly_id", "zone", area.alias("_area"))
     smaller = sized.join(sized.groupBy("zone").agg(F.max("_area").alias("_most")), "zone").filter("_area < _most").select("poly_id").distinct()
-    pairs = box_pairs(polygons).join(smaller, "poly_id", "left_semi")
-    return contained(pairs, edges).select("poly_id").distinct()
+    # Polygons of one outline are one shape: they lie within each other, and within the same others.
+    box = ["min_x", "min_y", "max_x", "max_y"]
+    outlines = edges.groupBy(F.col("zone_id").alias("poly_id")).agg(F.array_sort(F.collect_list(F.struct("x1", "y1", "x2", "y2"))).alias("_outline"))
+    held = cut(polygons.select("poly_id", *box).distinct().join(outlines, "poly_id"))
+    shapes = cut(held.groupBy("_outline", *box).agg(F.min("poly_id").alias("_shape"), F.countDistinct("poly_id").alias("_n")))
+    members = cut(held.join(smaller, "poly_id", "left_semi").join(shapes, ["_outline", *box]).select("poly_id", "_shape", "_n"))
+    every = shapes.select(F.col("_shape").alias("poly_id"), *box)
+    asked = members.select(F.col("_shape").alias("poly_id"), "_n").distinct()
+    own_edges = cut(edges.join(every.select(F.col("poly_id").alias("zone_id")), "zone_id", "left_semi"))
+    tasks = 4 * polygons.sparkSession.sparkContext.defaultParallelism
+
+    def met(sought: DataFrame) -> DataFrame:
+        # Few shapes are little data, but many meetings: the tasks must not be put together by size.
+        return _boxes_within(box_meetings(sought.repartition(tasks, "poly_id"), checked(every)))
+
+    # The largest box around a shape settles most; only the others look at all that lie around them.
+    size = (F.col("o_max_x") - F.col("o_min_x")) * (F.col("o_max_y") - F.col("o_min_y"))
+    sought = every.join(asked, "poly_id", "left_semi")
+    largest = met(sought).groupBy("poly_id").agg(F.max_by("o_poly_id", size).alias("o_poly_id"))
+    copies = asked.filter("_n > 1").select("poly_id", F.col("poly_id").alias("o_poly_id"))
+    found = cut(contained(cut(largest.unionByName(copies)), own_edges).select("poly_id").distinct())
+    left = cut(sought.join(found, "poly_id", "left_anti"))
+    others = contained(met(left).select("poly_id", "o_poly_id"), own_edges).select("poly_id")
+    return members.join(found.unionByName(others).withColumnRenamed("poly_id", "_shape"), "_shape", "left_semi").select("poly_id").distinct()
 
 
 def outward_bounds(df: DataFrame, min_x: str, min_y: str, max_x: str, max_y: str) -> DataFrame:

@@ -40,6 +40,16 @@ def test_small_polygons_need_true_containment(spark):
     assert spatial.small_polygons(zoned.limit(0), edges).count() == 0
 
 
+def test_copies_of_an_outline_are_one_shape(spark, monkeypatch):
+    """Copies lie within each other; pairs to be tested don't grow with them."""
+    tested, contained = [], spatial.contained
+    monkeypatch.setattr(spatial, "contained", lambda pairs, edges: tested.append(pairs.count()) or contained(pairs, edges))
+    shapes = {f"{n}{i}": ring for n, ring in (("a", SHAPES["in"]), ("b", SHAPES["beside"]), ("c", SHAPES["L"])) for i in range(40)}
+    polygons, edges = tables(spark, shapes | {"one": [(20, 20), (21, 20), (21, 21), (20, 21)]})
+    found = spatial.small_polygons(polygons.withColumn("zone", F.lit(1)), edges)
+    assert {r["poly_id"] for r in found.collect()} == {n for n in shapes if n[0] != "c"} and sum(tested) < 10
+
+
 @pytest.mark.parametrize("large", [0, 20])
 def test_join_rows_are_linear(spark, large):
     """Squares within one degree, and large ones over all of them: rows of the joins grow with the squares."""

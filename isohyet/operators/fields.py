@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isohyet.operators.lineage import cut
 from isohyet.operators.models import MAX_FRACTION, PCA_VARIANCE, REGRESSORS, component_limit
 from isohyet.operators.shared import SHARED
 
@@ -228,6 +229,7 @@ def factor_loadings(df: DataFrame, u: np.ndarray, s: np.ndarray, k: int, rotatio
 
     A round needs of the last one only expected factors by time and their products, so each is one sum over the cells;
     the rotation needs one sum more."""
+    df = cut(df)  # or each of the rounds would make the field anew, from all the rows behind it
     n, k = len(u), min(k, len(s))
     first = u[:, :k] / np.sqrt(n)
     state, last = None, None

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions import categories as cat
 from isohyet.functions import skill
-from isohyet.operators import align, clean, fields, models, probability, season, spatial, synthesis
+from isohyet.operators import align, clean, fields, lineage, models, probability, season, spatial, synthesis
 from isohyet.plans.fixtures import CLIMATOLOGY, LEAD, Tables, query, rounded
 from isohyet.plans.scalars import decisions, season_values
 
@@ -453,6 +453,7 @@ def cca_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("factor_analysis_rotated")
 def factor_analysis_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, y, n = _shared_fields(Tables(spark, sf_dir))
+    y = lineage.cut(y)
     scaled = fields.scaled_field(y)
     u, _, s = fields.spectrum(fields.products(y, [np.arange(n)], n)[0], np.arange(n))
     found = [fields.factor_loadings(scaled, u, s, 3, r).select(F.lit(r).alias("rotation"), "loc_id", *(F.get("loadings", F.lit(i)).alias(f"f{i + 1}") for i in range(3)), "noise") for r in ("none", "varimax", "quartimax")]

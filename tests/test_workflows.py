@@ -283,3 +283,20 @@ def test_grid_requests(spark, tmp_path):
     got = fetch(spark, str(tmp_path / "g"), request, str(tmp_path / "out"))
     assert [tuple(r) for r in relabelled(got).collect()] == [(datetime.date(1999, 12, 1), 0.0, 10.0, 2.5)]
     assert fetch(spark, str(tmp_path / "g"), GridRequest(1990, 1991), str(tmp_path / "out")).count() == 1
+
+
+def test_factors_make_their_field_once(spark):
+    """Rounds read the field, not again what it is made from."""
+    z = np.random.default_rng(5).normal(size=(20, 6))
+    z = (z - z.mean(1, keepdims=True)) / z.std(1, keepdims=True)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    rows = spark.createDataFrame([(str(i), r.tolist()) for i, r in enumerate(z)], "loc_id string, features array<double>")
+    u, _, s = fields.spectrum(z.T @ z, np.arange(6))
+    found = fields.factor_loadings(rows.mapInPandas(counted, "loc_id string, features array<double>"), u, s, 2, "varimax", rounds=3)
+    assert len(found.collect()) == 20 and made.value == 20

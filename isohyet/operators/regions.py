@@ -16,6 +16,7 @@ from isohyet.operators.lineage import cut
 from isohyet.operators.spatial import edges_of_rings
 
 TILE = 256
+LINES = 10_000  # sides that are traced together, on average
 
 
 def _array(f: pd.DataFrame, column: str, halo: int = 0) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -169,12 +170,20 @@ def polygons(cells: DataFrame, tile: int = TILE, min_x: float = 0.0, min_y: floa
     sizes = found.groupBy("region").agg(F.count(F.lit(1)).alias("cells"))
 
     def traced(f: pd.DataFrame) -> pd.DataFrame:
-        rings = sorted(trace(f[["x1", "y1", "x2", "y2"]].to_numpy()), key=area, reverse=True)
-        scaled = [[{"x": min_x + step * (x - 0.5), "y": min_y + step * (y - 0.5)} for x, y in r.tolist()] for r in rings]
-        return pd.DataFrame({"region": f["region"].iloc[:1], "zone": f["zone"].iloc[:1], "rings": [scaled]})
-
-    lines = straight(border_edges(found, tile), tile)
-    shapes = lines.groupBy("region").applyInPandas(traced, "region long, zone long, rings array<array<struct<x: double, y: double>>>")
+        f = f.sort_values("region")
+        first = np.flatnonzero(np.append(True, np.diff(f["region"].to_numpy()) != 0))
+        found = []
+        for edges in np.split(f[["x1", "y1", "x2", "y2"]].to_numpy(), first[1:]):
+            rings = sorted(trace(edges), key=area, reverse=True)
+            found.append([[{"x": min_x + step * (x - 0.5), "y": min_y + step * (y - 0.5)} for x, y in r.tolist()] for r in rings])
+        return pd.DataFrame({"region": f["region"].to_numpy()[first], "zone": f["zone"].to_numpy()[first], "rings": found})
+
+    # Regions are many and small: a group holds those of one part by number, not one of them.
+    lines = cut(straight(border_edges(found, tile), tile))
+    parts = max(1, -(-lines.count() // LINES))
+    tasks = min(parts, 4 * cells.sparkSession.sparkContext.defaultParallelism)
+    grouped = lines.withColumn("_g", F.pmod(F.xxhash64("region"), F.lit(parts))).repartition(tasks, "_g").groupBy("_g")
+    shapes = grouped.applyInPandas(traced, "region long, zone long, rings array<array<struct<x: double, y: double>>>")
     return shapes.join(sizes, "region")
 
 

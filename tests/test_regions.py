@@ -120,3 +120,13 @@ def test_a_map_of_zones(spark):
     base = spark.createDataFrame([("land", [[{"x": x, "y": y} for x, y in ((6.5, 2.5), (14.5, 2.5), (14.5, 8.5), (6.5, 8.5))]])], "zone_id string, rings array<array<struct<x: double, y: double>>>")
     cut = {(r["zone"], r["zone_id"]): area(r["rings"]) for r in wf.zone_map(cells, base=base).collect()}
     assert cut == pytest.approx({(1, "land"): 5 * 6, (2, "land"): 3 * 6})
+
+
+def test_many_regions_share_a_group(spark, monkeypatch):
+    """Regions of one cell each: groups in Python follow the sides, not the regions."""
+    monkeypatch.setattr(regions, "LINES", 400)
+    cells = spark.range(900).selectExpr("id div 30 as row_idx", "id % 30 as col_idx", "(id div 30 + id) % 2 as zone")
+    made = regions.polygons(cells)
+    assert made.filter("cells = 1 and size(rings) = 1 and size(rings[0]) = 4").count() == 900
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandas [_g#" in plan and "FlatMapGroupsInPandas [region#" not in plan

@@ -83,5 +83,5 @@ def test_rounds_of_joins_keep_a_plain_size(spark):
     state = spark.range(5).withColumn("v", F.lit(1.0))
     for _ in range(6):
         state = lineage.cut(state.join(lineage.cut(state.select("id", F.col("v").alias("a"))), "id").select("id", (F.col("v") + F.col("a")).alias("v")))
-    assert state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 64
+    assert len(str(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 20
     assert {r["v"] for r in state.collect()} == {64.0}

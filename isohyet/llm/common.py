@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
-ROWS_PER_BATCH = 1000
-HASHED_BYTES = 1 << 19  # of text that a worker hashes at once; it holds some eighty times as much meanwhile
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 1 << 20
+HASHED_BYTES = 1 << 18  # of text that a worker hashes at once; it holds some eighty times as much meanwhile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +24,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def batch_size(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that long texts do not fill a Python worker."""
+    """Keep Arrow batches small, so that long texts fill neither a Python worker nor the executor's buffers."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    if not 0 < _bytes_per_batch(spark) <= BYTES_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
+
+
+def _bytes_per_batch(spark: SparkSession) -> int:
+    found = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(found))
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function for mapInArrow after which the worker gives free memory back. Workers outlive their tasks, and what one
+    has held for a moment would stay its own, beside whatever the executor needs next."""
+
+    @functools.wraps(run)
+    def tidied(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
 
 
 def narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isohyet.llm.common import HASHED_BYTES, batch_size, narrow, slices
+from isohyet.llm.common import HASHED_BYTES, batch_size, narrow, slices, tidy
 
 CELLS = 1 << 16
 PER_LANGUAGE = 4000
@@ -81,6 +81,7 @@ def fit(df: DataFrame, label_col: str = "lang", per_language: int = PER_LANGUAGE
         share = F.when(F.col("label") == name, F.lit(share_of(per_language, n))).otherwise(share)
     sample = rows.filter(F.shiftrightunsigned(F.xxhash64("key"), 2) < share).select("label", "text")
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
         for b in slices(batches):
@@ -149,6 +150,7 @@ def with_language(df: DataFrame, model: Model, text_col: str = "text", lang_out:
     shared = df.sparkSession.sparkContext.broadcast(model)  # CELLS x languages floats, whatever the input
     place = df.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in slices(batches, HASHED_BYTES):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import HASHED_BYTES, SubstringHash, batch_size, narrow, scratch, slices, written
+from isohyet.llm.common import HASHED_BYTES, SubstringHash, batch_size, narrow, scratch, slices, tidy, written
 from isohyet.llm.components import connected
 
 WORDS, PERCENT, K = 5, 80, 64
@@ -86,6 +86,7 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
 def features(df: DataFrame, words: int = WORDS, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, set_key BINARY, sketch BINARY): set size, a digest of the whole set, the k smallest values."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, HASHED_BYTES):
             sets = shingle_sets([t or "" for t in b["text"].to_pylist()], words)
@@ -101,8 +102,9 @@ def features(df: DataFrame, words: int = WORDS, k: int = K, id_col: str = "doc_i
 def postings(reps: DataFrame) -> DataFrame:
     """(value, doc_id, n) of every retained value."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, HASHED_BYTES):
             sketches = [np.frombuffer(x, np.int64) for x in b["sketch"].to_pylist()]
             if not sketches:
                 continue
@@ -143,6 +145,7 @@ def _overlap(percent: int) -> Column:
 def exact_lists(docs: DataFrame, ids: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Lists of all shingles of some documents."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, HASHED_BYTES):
             sets = shingle_sets([t or "" for t in b["text"].to_pylist()], words)
@@ -214,6 +217,7 @@ def likely(pairs: DataFrame, reps: DataFrame, k: int = K, percent: int = PERCENT
     least = bounds(percent, k)[1] / k
     both = pairs.join(sketches.withColumnsRenamed({"doc_id": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"doc_id": "b", "sketch": "y"}), "b")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [union_estimate(x, y, k) >= least for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True)]
@@ -227,10 +231,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: in
     unique ids."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, HASHED_BYTES):
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([s.tobytes() for s in shingle_sets([t or "" for t in b["text"].to_pylist()], words)], pa.binary())], ["doc_id", "shingles"])
 
+    @tidy
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []

@@ -20,9 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from isohyet.llm.byte_bpe import VOCABULARY, encoder, vocabulary_path
-from isohyet.llm.common import batch_size, narrow, slices
+from isohyet.llm.common import batch_size, narrow, slices, tidy
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
+PIECES_PER_BATCH = 256  # handed on at once: 2 MB at most of full sequences of 2048
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -71,13 +72,14 @@ def pack(df: DataFrame, vocabulary: str = VOCABULARY, capacity: int = 2048, end_
         lengths = np.array([len(raw) // 4 for _, raw in docs], np.int64)
         pieces = assign(lengths, capacity)
         out = []
-        for i in range(0, len(pieces), 4096):
-            part = pieces[i : i + 4096]
+        for i in range(0, len(pieces), PIECES_PER_BATCH):
+            part = pieces[i : i + PIECES_PER_BATCH]
             columns = list(zip(*((docs[d][0], s, n, len(docs[d][1]) // 4, first + q, o, docs[d][1][4 * s : 4 * (s + n)]) for d, s, n, q, o in part), strict=True))
             arrays = [pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.binary())]
             out.append(pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in SCHEMA.split(", ")]))
         return out, first + 1 + max((p[3] for p in pieces), default=-1)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         first = TaskContext.get().partitionId() << 40  # sequence ids are unique over tasks
@@ -92,6 +94,7 @@ def pack(df: DataFrame, vocabulary: str = VOCABULARY, capacity: int = 2048, end_
                     docs, held = [], 0
         if docs:
             yield from placed(docs, first)[0]
+        own.clear()  # the memo; the vocabulary stays
 
     batch_size(df.sparkSession)
     return narrow(df, id_col, text_col).mapInArrow(run, SCHEMA)

@@ -38,11 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isohyet.llm.common import HASHED_BYTES, SubstringHash, batch_size, byte_view, scratch, slices, written
+from isohyet.llm.common import BYTES_PER_BATCH, HASHED_BYTES, SubstringHash, batch_size, byte_view, scratch, slices, tidy, written
 
 WIDTH, CONTEXT, BAND = 400, 100, 16
 WORD_CONTEXT, WORD_BAND = 13, 8  # at most, for windows of words
 BUCKET_ROWS = 200_000
+BUCKET_SLICE = 1 << 14  # rows of a sorted bucket that are handed on at once
 MOST_TASKS = 20_000  # buckets that have a task each; of more of them, several share a task, in which Spark sorts first
 MOST_BROADCAST = 250_000  # row names that are sent to all tasks at most; beyond that, a shuffle does it
 ENTRY = "d long, m long, lo int, hi int, p int, t1 long, t2 long"
@@ -101,6 +102,7 @@ def entries(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, by_word:
     """Suffix entries of all windows: starts lo to hi, chosen position p, tokens t1 and t2. df has (d, m, text)."""
     reach = width - context + 1
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, HASHED_BYTES):
             hashed, offsets = _units(b["text"], by_word)
@@ -158,6 +160,7 @@ def repeated(df: DataFrame, bucket_rows: int = BUCKET_ROWS, most_tasks: int = MO
 
     tasks = min(buckets, most_tasks)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[pa.RecordBatch] = []
         held = 0
@@ -166,10 +169,10 @@ def repeated(df: DataFrame, bucket_rows: int = BUCKET_ROWS, most_tasks: int = MO
                 rows.append(b)
                 held += b.num_rows
             if tasks < buckets and held >= bucket_rows:
-                yield bucket(rows)
+                yield from slices([bucket(rows)], BYTES_PER_BATCH, BUCKET_SLICE)
                 rows, held = [], 0
         if rows:
-            yield bucket(rows)
+            yield from slices([bucket(rows)], BYTES_PER_BATCH, BUCKET_SLICE)
 
     def bucket(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         columns = [np.concatenate([b[n].to_numpy() for b in rows]) for n in NAMES]
@@ -212,6 +215,7 @@ def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def _cut(df: DataFrame, cut, by_word: bool = False) -> DataFrame:
     """Entries made from the parts of each document: cut(hashes, lo, hi, p, base) gives part number and columns."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, HASHED_BYTES):
             hashed, offsets = _units(b["text"], by_word)
@@ -294,6 +298,7 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, context: int = CONTEXT, ba
 
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string").add("rest", docs.schema["rest"].dataType)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             raw, offsets = byte_view(b["text"])

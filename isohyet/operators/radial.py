@@ -1,29 +1,33 @@
 """Linear radial bases over any number of stations: weights w with sum_j w_j |p_i - p_j| = value_i at every station.
 
 The matrix of distances is never held. The equations are solved by minimal residuals over the space of the products so
-far; in a product a block of stations meets those of blocks nearby, and all others through few nodes of the boxes that they
-lie in, ever larger ones with the distance, so that work grows with the stations and not with their pairs. The station's row carries its place in every vector, so that a vector is a column and its products are aggregates; the driver
-sees these scalars, and what belongs to a bounded number of coarse stations.
+far. Stations are held by regions, neighbouring domains of them, in one row a region whose columns are arrays: a round
+exchanges few rows. In a product a region meets the places of regions nearby, by cells; all others act through few nodes of
+the boxes that they lie in, ever larger ones with the distance, so that work grows with the stations and not with their
+pairs. The driver sees scalars, the boxes and nodes of regions, and what belongs to a bounded number of coarse stations.
 
 Products are few because each vector is first solved for nearby: a domain of neighbouring stations, with as many around
-it, is solved by itself and keeps what its own stations get; what is left is then solved for at the coarse stations.
+it, is solved by itself and keeps what its own stations get; what is left is then solved for at the coarse stations, which
+are spread evenly.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.operators import lineage
 
 DOMAIN, AROUND = 256, 256  # stations of a domain, and around it at most
-COARSE = 512  # stations that are solved for together in every step, whatever the number of stations
-GROUP = 1024  # stations of a block in products, on average
+COARSE = 2048  # stations that are solved for together in every step, whatever the number of stations
+GROUP = 8192  # stations of a block in products, on average
 ORDER = 16  # nodes along a side of a box; errors of what is far are some 1e-12 of it
+LEAF, DIRECT = 128, 1 << 20  # targets of a cell, on average, and pairs that are summed one by one
 LEAST_SIDE = 2.0**-24  # half of one, for boxes of a single place
 TOLERANCE = 1e-10  # of the residual, against the values
 STEPS, RESTARTS = 40, 8
@@ -38,7 +42,11 @@ def places(stations: DataFrame) -> DataFrame:
 
 
 def _distances(ax, ay, bx, by) -> np.ndarray:
-    return np.hypot(ax[:, None] - bx, ay[:, None] - by)
+    d, e = ax[:, None] - bx, ay[:, None] - by
+    d *= d
+    e *= e
+    d += e
+    return np.sqrt(d, out=d)
 
 
 def _numbered(points: DataFrame, count: int, size: int) -> DataFrame:
@@ -72,15 +80,6 @@ def _members(points: DataFrame, around: int) -> DataFrame:
     return lineage.cut(points.select("dom", F.lit(True).alias("own"), "id", "lon", "lat").unionByName(extra))
 
 
-def _solve_domain(f: pd.DataFrame) -> pd.DataFrame:
-    f = f.sort_values("id")
-    x, y, n = f["lon"].to_numpy(), f["lat"].to_numpy(), len(f)
-    k = np.zeros((n + 1, n + 1))  # the domain's weights add up to 0, a constant takes the rest
-    k[:n, :n], k[n, :n], k[:n, n] = _distances(x, y, x, y), 1, 1
-    found = np.linalg.solve(k, np.append(f["r"].to_numpy(), 0.0))[:n]
-    return pd.DataFrame({"id": f["id"], "lon": x, "lat": y, "y": found})[f["own"].to_numpy()]
-
-
 def _blocked(points: DataFrame, groups: int) -> DataFrame:
     """Points with `_b`, the number of their block: about `groups` of them, evenly filled, in strips as domains are."""
     size = max(1, -(-points.count() // groups))
@@ -90,14 +89,19 @@ def _blocked(points: DataFrame, groups: int) -> DataFrame:
     return lineage.cut(held.withColumn("_b", F.shiftleft(F.shiftright("_p", 33), 32) + F.floor(place / size)).drop("_p"))
 
 
-def _basis(at: np.ndarray, low: float, high: float) -> np.ndarray:
-    """The polynomials that are 1 at one Chebyshev node of the stretch and 0 at the others, a row for each place."""
-    away = ((at - (low + high) / 2) / max((high - low) / 2, LEAST_SIDE))[:, None] - NODES
+def _polynomials(at: np.ndarray) -> np.ndarray:
+    """The polynomials that are 1 at one of the nodes from -1 to 1 and 0 at the others, a row for each place."""
+    away = at[:, None] - NODES
     on = away == 0
     share = np.where(on.any(1, keepdims=True), on, BARYCENTRIC / np.where(on, 1, away))
     return share / share.sum(1, keepdims=True)
 
 
+def _basis(at: np.ndarray, low: float, high: float) -> np.ndarray:
+    """The same over the stretch from low to high."""
+    return _polynomials((at - (low + high) / 2) / max((high - low) / 2, LEAST_SIDE))
+
+
 def _nodes(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of a box's nodes."""
     x, y = (c + np.maximum(h, LEAST_SIDE) * NODES for c, h in zip((low + high) / 2, (high - low) / 2, strict=True))
@@ -123,6 +127,81 @@ def _summed(ax, ay, bx, by, w) -> np.ndarray:
     return out
 
 
+#: From the nodes of the lower and the upper half of a stretch to its own polynomials.
+HALVES = tuple(_polynomials(NODES / 2 + side) for side in (-0.5, 0.5))
+
+
+@functools.cache
+def _meetings(px: int, py: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Cells that act through their nodes on a cell that is the px-th, py-th of its parent's: the children of the parent
+    and of its neighbours that don't touch it. Offsets, and distances of their nodes from the cell's, for cells of side 2."""
+    offsets = [(dx, dy) for dx in range(-2 - px, 4 - px) for dy in range(-2 - py, 4 - py) if max(abs(dx), abs(dy)) > 1]
+    x, y = np.repeat(NODES, ORDER), np.tile(NODES, ORDER)
+    return offsets, np.concatenate([np.hypot((x + 2 * dx)[:, None] - x, (y + 2 * dy)[:, None] - y) for dx, dy in offsets])
+
+
+def _fast_sums(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The sums of `_summed`, in a time that grows with the places and not with their pairs.
+
+    The square around the targets is cut into cells by fours. Sources within a side of it lie in such cells too, and act on
+    cells that don't touch theirs through nodes; sources farther away act on the nodes of the square. What is left is
+    summed one by one, or in the same way where many places lie in one cell."""
+    side = max(np.ptp(ax), np.ptp(ay)) if len(ax) else 0.0
+    if len(ax) <= ORDER * ORDER or len(ax) * len(bx) <= DIRECT or side <= 2 * LEAST_SIDE:
+        return _summed(ax, ay, bx, by, w)
+    x0, y0 = (ax.min() + ax.max() - side) / 2, (ay.min() + ay.max() - side) / 2
+    levels = max(1, min(6, round(math.log(len(ax) / LEAF, 4))))
+    n = 2**levels
+    # In sides of the square, with the square from 1 to 2.
+    ux, uy, vx, vy = (ax - x0) / side + 1, (ay - y0) / side + 1, (bx - x0) / side + 1, (by - y0) / side + 1
+    inside = (vx >= 0) & (vx < 3) & (vy >= 0) & (vy < 3)
+    root = x0 + side * (NODES + 1) / 2, y0 + side * (NODES + 1) / 2
+    local = _summed(np.repeat(root[0], ORDER), np.tile(root[1], ORDER), bx[~inside], by[~inside], w[~inside]).reshape(1, 1, ORDER, ORDER)
+
+    def dealt(u, v, cells):
+        """Order by cells, where each cell begins, and polynomials at the places in their cells."""
+        i, j = (np.clip((c * n).astype(int), 0, 3 * n - 1) for c in (u, v))
+        if cells < 3 * n:  # targets lie in the middle third, its end included
+            i, j = np.clip(i - n, 0, n - 1), np.clip(j - n, 0, n - 1)
+        at = i * cells + j
+        order = np.argsort(at, kind="stable")
+        first = np.searchsorted(at[order], np.arange(cells * cells + 1))
+        shift = 0 if cells == 3 * n else n
+        px, py = (_polynomials(2 * (c[order] * n - k[order] - shift) - 1) for c, k in ((u, i), (v, j)))
+        return order, first, px, py
+
+    near = np.flatnonzero(inside)
+    order, first, px, py = dealt(vx[near], vy[near], 3 * n)
+    sx, sy, sw = bx[near][order], by[near][order], w[near][order]
+    held = np.zeros((9 * n * n, ORDER, ORDER))
+    weighted = px * sw[:, None]
+    for c in np.flatnonzero(np.diff(first)):
+        held[c] = weighted[first[c] : first[c + 1]].T @ py[first[c] : first[c + 1]]
+    proxies = [held.reshape(3 * n, 3 * n, ORDER, ORDER)]
+    for _ in range(levels - 1):
+        proxies.append(sum(HALVES[i].T @ proxies[-1][i::2, j::2] @ HALVES[j] for i in (0, 1) for j in (0, 1)))
+    for level in range(1, levels + 1):
+        m, held = 2**level, proxies[levels - level].reshape(3 * 2**level, 3 * 2**level, ORDER * ORDER)
+        down = np.empty((m, m, ORDER, ORDER))
+        for i in (0, 1):
+            for j in (0, 1):
+                offsets, distances = _meetings(i, j)
+                met = np.concatenate([held[m + i + dx : 2 * m + dx + i : 2, m + j + dy : 2 * m + dy + j : 2] for dx, dy in offsets], axis=2)
+                through = met.reshape(m * m // 4, -1) @ distances * (side / m / 2)
+                down[i::2, j::2] = HALVES[i] @ local @ HALVES[j].T + through.reshape(m // 2, m // 2, ORDER, ORDER)
+        local = down
+
+    aims, begin, px, py = dealt(ux, uy, n)
+    out = np.empty(len(ax))
+    for c in np.flatnonzero(np.diff(begin)):
+        i, j = divmod(int(c), n)
+        mine = slice(begin[c], begin[c + 1])
+        rows = [slice(first[k * 3 * n + j + n - 1], first[k * 3 * n + j + n + 2]) for k in range(i + n - 1, i + n + 2)]
+        around = (np.concatenate([s[r] for r in rows]) for s in (sx, sy, sw))
+        out[aims[mine]] = ((px[mine] @ local[i, j]) * py[mine]).sum(1) + _fast_sums(ax[aims[mine]], ay[aims[mine]], *around)
+    return out
+
+
 class _Tree:
     """Boxes of blocks, halved by their middles up to one box of all. Nodes are numbered blocks first, halves before what
     they make up."""
@@ -172,35 +251,36 @@ class _Tree:
                 out[i] += x.T @ out[half] @ y
         return out
 
-    def far_sums(self, x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray, proxies: np.ndarray) -> np.ndarray:
-        """Sums over all nodes that lie apart from a box of places: at the box's nodes if it is small enough, from which
-        its places follow, else at the places."""
-        _, node, gap, _, _ = self.parted(low[None], high[None])
-        total, wide = np.zeros(len(x)), gap < (high - low).max()
-        if len(x) <= ORDER * ORDER:
-            wide[:] = True
-        for own, (ax, ay) in ((node[~wide], _nodes(low, high)), (node[wide], (x, y))):
-            if len(own):
-                sx, sy = (np.concatenate(c) for c in zip(*(_nodes(self.low[i], self.high[i]) for i in own), strict=True))
-                found = _summed(ax, ay, sx, sy, proxies[own].ravel())
-                total += found if ax is x else ((_basis(x, low[0], high[0]) @ found.reshape(ORDER, ORDER)) * _basis(y, low[1], high[1])).sum(1)
-        return total
+    def far_nodes(self, low: np.ndarray, high: np.ndarray, proxies: np.ndarray) -> list[np.ndarray]:
+        """Places and weights of the nodes of all boxes that lie apart from the given one."""
+        node = self.parted(low[None], high[None])[1]
+        if not len(node):
+            return [np.zeros(0)] * 3
+        x, y = (np.concatenate(c) for c in zip(*(_nodes(self.low[i], self.high[i]) for i in node), strict=True))
+        return [x, y, proxies[node].ravel()]
+
+
+def _bytes(*arrays) -> list[bytes]:
+    return [np.ascontiguousarray(a).tobytes() for a in arrays]
 
 
 class Sums:
     """Sums of distances from targets to weighted sources, both with their places and `_b`, for any number of weights.
 
-    A block of targets meets the sources of blocks nearby one by one; all others through the nodes of the tree's boxes,
-    polynomials of the order ORDER. The driver has boxes and nodes of the blocks only. Rows grow with the rows."""
+    A block of targets meets the sources of blocks nearby, by cells; all others through the nodes of the tree's boxes,
+    polynomials of the order ORDER. The driver has boxes and nodes of the blocks only. A block's sources are one row, as
+    arrays, so that few rows are exchanged."""
 
     def __init__(self, targets: DataFrame, sources: DataFrame):
-        self.targets, spark = targets, targets.sparkSession
+        self.targets, self.spark = targets, targets.sparkSession
         self.blocks, low, high = self._boxes(sources)
-        self.aims, self.low, self.high = self._boxes(targets)
+        self.aims, self.low, self.high = (self.blocks, low, high) if targets is sources else self._boxes(targets)
         self.tree = _Tree(low, high) if len(low) else None
-        self.tasks = max(1, min(len(self.aims), 4 * spark.sparkContext.defaultParallelism))
+        self.tasks = max(1, min(len(self.aims), 4 * self.spark.sparkContext.defaultParallelism))
         at, block = self.tree.parted(self.low, self.high)[3:] if len(self.aims) and len(low) else ([], [])
-        self.close = spark.createDataFrame([(self.aims[t], self.blocks[b]) for t, b in zip(at, block, strict=True)], "_t long, _b long")
+        self.close = self.spark.createDataFrame([(self.aims[t], self.blocks[b]) for t, b in zip(at, block, strict=True)], "_t long, _b long")
+        if len(low):
+            self.boxes = self.spark.sparkContext.broadcast({b: (i, low[i], high[i]) for i, b in enumerate(self.blocks)})
 
     @staticmethod
     def _boxes(df: DataFrame) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -208,40 +288,45 @@ class Sums:
         box = np.array([r[1:] for r in rows], float).reshape(-1, 4)
         return [r[0] for r in rows], box[:, :2], box[:, 2:]
 
+    def meeting(self, proxies: dict[int, np.ndarray]):
+        """A function of places of targets, their block and the rows of the sources nearby, for the tasks; proxies by block."""
+        tree = self.tree
+        held = np.zeros((tree.leaves, ORDER, ORDER))
+        for i, b in enumerate(self.blocks):
+            held[i] = proxies[b]
+        aim = {t: i for i, t in enumerate(self.aims)}
+        all_of = self.spark.sparkContext.broadcast((tree, tree.raised(held), aim, self.low, self.high))
+
+        def met(x: np.ndarray, y: np.ndarray, block: int, near: pd.DataFrame) -> np.ndarray:
+            tree, proxies, aim, low, high = all_of.value
+            far = tree.far_nodes(low[aim[block]], high[aim[block]], proxies)
+            return _fast_sums(x, y, *(np.concatenate([f, *map(np.frombuffer, near[c])]) for f, c in zip(far, ("lon", "lat", "w"), strict=True)))
+
+        return met
+
+    def nearby(self, packed: DataFrame):
+        """The rows (_b, lon, lat, w) of blocks of sources, once for each block of targets nearby, grouped by it."""
+        return packed.join(F.broadcast(self.close), "_b").select("_t", "_b", "lon", "lat", "w").repartition(self.tasks, "_t").groupBy("_t")
+
     def of(self, sources: DataFrame, names: list[str]) -> DataFrame:
         """(names, value) of the targets; sources are (_b, lon, lat, w)."""
         schema = ", ".join(f"`{n}` {dict(self.targets.dtypes)[n]}" for n in names) + ", value double"
-        tree, spark = self.tree, self.targets.sparkSession
-        if tree is None:
+        if self.tree is None:
             return self.targets.select(*names, F.lit(0.0).alias("value"))
-        number = {b: i for i, b in enumerate(self.blocks)}
-        low, high = tree.low[: tree.leaves], tree.high[: tree.leaves]
-        boxes = spark.sparkContext.broadcast((number, low, high))
+        boxes = self.boxes
 
-        def summarised(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-            number, low, high = boxes.value
-            i = number[key[0]]
-            got = _proxies(*(f[c].to_numpy() for c in ("lon", "lat", "w")), low[i], high[i])
-            return pd.DataFrame({"_b": [key[0]], "c": [got.tobytes()]})
+        def packed(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+            x, y, w = (f[c].to_numpy(float) for c in ("lon", "lat", "w"))
+            return pd.DataFrame([[key[0], *_bytes(x, y, w, _proxies(x, y, w, *boxes.value[key[0]][1:]))]], columns=["_b", "lon", "lat", "w", "p"])
 
-        rows = sources.groupBy("_b").applyInPandas(summarised, "_b long, c binary").collect()  # a block's nodes, not its places
-        held = np.zeros((tree.leaves, ORDER, ORDER))
-        for r in rows:
-            held[number[r["_b"]]] = np.frombuffer(r["c"]).reshape(ORDER, ORDER)
-        aim = {t: i for i, t in enumerate(self.aims)}
-        all_of = spark.sparkContext.broadcast((tree, tree.raised(held), aim, self.low, self.high))
+        rows = lineage.cut(sources.select("_b", "lon", "lat", "w").repartition(self.tasks, "_b").groupBy("_b").applyInPandas(packed, "_b long, lon binary, lat binary, w binary, p binary"))
+        met = self.meeting({r["_b"]: np.frombuffer(r["p"]).reshape(ORDER, ORDER) for r in rows.select("_b", "p").collect()})  # a block's nodes, not its places
 
         def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a):
-                return a[names].assign(value=0.0)
-            tree, proxies, aim, low, high = all_of.value
-            x, y, i = a["_x"].to_numpy(float), a["_y"].to_numpy(float), aim[key[0]]
-            near = _summed(x, y, *(b[c].to_numpy(float) for c in ("lon", "lat", "w")))
-            return a[names].assign(value=near + tree.far_sums(x, y, low[i], high[i], proxies))
+            return a[names].assign(value=met(a["_x"].to_numpy(float), a["_y"].to_numpy(float), key[0], b) if len(a) else 0.0)
 
-        met = sources.join(F.broadcast(self.close), "_b").select("_t", *(F.col(c).alias(c) for c in ("lon", "lat", "w"))).repartition(self.tasks, "_t")
         aims = self.targets.select(F.col("_b").alias("_t"), F.col("lon").alias("_x"), F.col("lat").alias("_y"), *names).repartition(self.tasks, "_t")
-        return aims.groupBy("_t").cogroup(met.groupBy("_t")).applyInPandas(meet, schema)
+        return aims.groupBy("_t").cogroup(self.nearby(rows)).applyInPandas(meet, schema)
 
 
 def distance_sums(targets: DataFrame, sources: DataFrame, keys: list[str], target_groups: int, source_groups: int) -> DataFrame:
@@ -252,107 +337,274 @@ def distance_sums(targets: DataFrame, sources: DataFrame, keys: list[str], targe
     return Sums(_blocked(t, target_groups), s).of(s, names).select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), "value")
 
 
-def _solve_coarse(f: pd.DataFrame) -> pd.DataFrame:
-    x, y = f["lon"].to_numpy(), f["lat"].to_numpy()
-    return pd.DataFrame({"id": f["id"], "_a": np.linalg.solve(_distances(x, y, x, y), f["lack"].to_numpy())})
+def _regions(low: np.ndarray, high: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of regions of `most` boxes at most, halved by their middles."""
+    out, middle, todo, made = np.zeros(len(low), int), (low + high) / 2, [np.arange(len(low))], 0
+    while todo:
+        held = todo.pop()
+        if len(held) <= most:
+            out[held], made = made, made + 1
+            continue
+        spread = np.ptp(middle[held], axis=0)
+        held = held[np.argsort(middle[held, int(spread[1] > spread[0])], kind="stable")]
+        todo += [held[len(held) // 2 :], held[: len(held) // 2]]
+    return out
+
 
+def _spread(x: np.ndarray, y: np.ndarray, count: int) -> np.ndarray:
+    """The numbers of so many places, evenly spread: of as many boxes, the one next to the middle of each."""
+    out, todo = [], [(np.arange(len(x)), min(count, len(x)))]
+    while todo:
+        held, k = todo.pop()
+        px, py = x[held], y[held]
+        if k == 1:
+            out.append(int(held[np.argmin((px - px.mean()) ** 2 + (py - py.mean()) ** 2)]))
+        elif k > 1:
+            held = held[np.argsort(py if np.ptp(py) > np.ptp(px) else px, kind="stable")]
+            cut = len(held) * (k // 2) // k
+            todo += [(held[:cut], k // 2), (held[cut:], k - k // 2)]
+    return np.array(sorted(out), int)
 
-class _Coarse:
-    """The stations that are solved for together; their matrix fits into a task, whatever the number of stations."""
 
-    def __init__(self, points: DataFrame, most: int):
-        rows = points.select("id", "lon", "lat").orderBy(F.xxhash64("id"), "id").limit(most).collect()
-        self.x, self.y = (np.array([r[c] for r in rows]) for c in ("lon", "lat"))
-        self.chosen = points.sparkSession.createDataFrame([(r["id"], i, r["lon"], r["lat"]) for i, r in enumerate(rows)], "id long, i int, lon double, lat double")
+def _solve_domain(x: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
+    n = len(x)
+    k = np.zeros((n + 1, n + 1))  # the domain's weights add up to 0, a constant takes the rest
+    k[:n, :n], k[n, :n], k[:n, n] = _distances(x, y, x, y), 1, 1
+    return np.linalg.solve(k, np.append(r, 0.0))[:n]
+
+
+class _Stations:
+    """The stations by regions of neighbouring domains. `state` has a row a region, whose columns are arrays over its
+    stations: id, lon, lat, value, weights w, what is left r, the newest vector u, all vectors v of the basis of the
+    products and what was multiplied z. The driver sees boxes and nodes of regions, and the coarse stations."""
+
+    LOCAL = "_b long, lon binary, lat binary, w binary, p binary, c binary, s binary"
+    STATE = "_b long, id binary, lon binary, lat binary, value binary, w binary, r binary, u binary, v binary, z binary, g binary"
+
+    def __init__(self, known: DataFrame, count: int, domain: int, around: int, coarse: int, group: int):
+        self.domain, spark = domain, known.sparkSession
+        points = _numbered(known, count, domain)
+        doms, low, high = Sums._boxes(points.withColumnRenamed("dom", "_b"))
+        region = _regions(low, high, max(1, group // domain))
+        of = spark.createDataFrame([(d, int(b)) for d, b in zip(doms, region, strict=True)], "dom long, _b long")
+        points = points.join(F.broadcast(of), "dom")
+        extra = _members(points.drop("_b", "value"), around).filter("not own").join(F.broadcast(of), "dom")
+        # The place of a station's domain is in its number.
+        home = F.shiftleft(F.shiftright("id", 33), 32) + F.floor(F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) / domain)
+        extra = lineage.cut(extra.withColumn("_dom", home).join(F.broadcast(of.toDF("_dom", "_s")), "_dom").select("_b", "_s", "dom", "id", "lon", "lat"))
+        own = [(int(b), int(b)) for b in set(region)]
+        self.lent = lineage.cut(extra.select(F.col("_b").alias("_t"), F.col("_s").alias("_b")).union(spark.createDataFrame(own, "_t long, _b long")).distinct())
+        self.sums = Sums(points, points)
+        self.tasks = self.sums.tasks
+
+        def packed(key: tuple, f: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+            f, e = f.sort_values("id"), e.sort_values(["dom", "id"])
+            columns = [f["id"], f["lon"], f["lat"], f["value"], e["dom"], e["id"], e["lon"], e["lat"]]
+            return pd.DataFrame([[key[0], len(f), *_bytes(*(c.to_numpy() for c in columns))]])
+
+        kinds = "_b long, n long, id binary, lon binary, lat binary, value binary, e_dom binary, e_id binary, e_lon binary, e_lat binary"
+        by = lambda df: df.repartition(self.tasks, "_b").groupBy("_b")
+        self.fixed = lineage.cut(by(points.drop("dom")).cogroup(by(extra.drop("_s"))).applyInPandas(packed, kinds))
+        self._choose(min(coarse, count))
+
+    def _choose(self, coarse: int) -> None:
+        """Coarse stations, evenly spread over each region: their matrix fits into a task, whatever the number of stations."""
+        sizes = sorted(tuple(r) for r in self.fixed.select("_b", "n").collect())
+        ends = np.cumsum([0] + [n for _, n in sizes]) * coarse // sum(n for _, n in sizes)
+        share = dict(zip((b for b, _ in sizes), np.diff(ends).tolist(), strict=True))
+
+        def chosen(frames):
+            for f in frames:
+                for b, x, y in zip(f["_b"], map(np.frombuffer, f["lon"]), map(np.frombuffer, f["lat"]), strict=True):
+                    at = _spread(x, y, share[b])
+                    yield pd.DataFrame({"_b": b, "at": at, "lon": x[at], "lat": y[at]})
+
+        rows = self.fixed.select("_b", "lon", "lat").mapInPandas(chosen, "_b long, at int, lon double, lat double").collect()
+        x, y = (np.array([r[c] for r in rows]) for c in ("lon", "lat"))
+        self.places = {b: [] for b, _ in sizes}  # of coarse stations, by region: in its arrays, and among them all
+        for i, r in enumerate(rows):
+            self.places[r["_b"]].append((r["at"], i))
+        self.places = {b: np.array(p, int).reshape(-1, 2) for b, p in self.places.items()}
+        spark = self.fixed.sparkSession
+        self.coarse, self.x, self.y = spark.sparkContext.broadcast((x, y, self.places)), x, y
+        places = self.coarse
+
+        def inverted(frames):
+            for _ in frames:
+                x, y, _ = places.value
+                rows = np.linalg.inv(_distances(x, y, x, y))
+                yield pd.DataFrame({"i": np.arange(len(rows)), "a": _bytes(*rows)})
+
+        one = spark.range(1, numPartitions=1).mapInPandas(inverted, "i int, a binary")
+        self.inverse = lineage.cut(one.repartition(spark.sparkContext.defaultParallelism, "i"))
+
+    def _lacking(self, lack: np.ndarray) -> np.ndarray:
+        """Weights of the coarse stations for what is lacking there."""
+        given = self.fixed.sparkSession.sparkContext.broadcast(lack)
+
+        def times(frames):
+            for f in frames:
+                yield pd.DataFrame({"i": f["i"], "s": [np.frombuffer(a) @ given.value for a in f["a"]]})
 
-    def corrected(self, local: DataFrame, residual: DataFrame) -> DataFrame:
-        """(id, z): the domains' y, with what the coarse stations still lack; residual has (id, r)."""
-        cx, cy = self.x, self.y
+        out = np.zeros(len(lack))
+        for r in self.inverse.mapInPandas(times, "i int, s double").collect():
+            out[r["i"]] = r["s"]
+        return out
 
-        def sums(frames):
-            total = np.zeros(len(cx))
+    def solved(self, state: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], np.ndarray]:
+        """What the newest vector needs of weights: by domains, in rows LOCAL; then what the coarse stations lack of it.
+        With these, nodes of the regions."""
+        coarse, boxes, size = self.coarse, self.sums.boxes, self.domain
+
+        def solve(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            (cx, cy, places), (_, low, high), own = coarse.value, boxes.value[key[0]], a.iloc[0]
+            ids, x, y, dom, e_id, ex, ey = (np.frombuffer(own[c], t) for c, t in (("id", "i8"), ("lon", "f8"), ("lat", "f8"), ("e_dom", "i8"), ("e_id", "i8"), ("e_lon", "f8"), ("e_lat", "f8")))
+            given_id, given = np.concatenate([np.frombuffer(i, "i8") for i in b["id"]]), np.concatenate([np.frombuffer(i) for i in b["u"]])
+            order = np.argsort(given_id)
+            find = lambda i: given[order[np.searchsorted(given_id, i, sorter=order)]]
+            r, er = find(ids), find(e_id)
+            home = (ids >> 33 << 32) + (ids & (1 << 33) - 1) // size
+            first = np.flatnonzero(np.diff(home, prepend=-1))
+            out = np.empty(len(ids))
+            for i, j in zip(first, [*first[1:], len(ids)], strict=True):
+                e = slice(*np.searchsorted(dom, [home[i], home[i] + 1]))
+                out[i:j] = _solve_domain(*(np.append(c[i:j], d[e]) for c, d in ((x, ex), (y, ey), (r, er))))[: j - i]
+            columns = x, y, out, _proxies(x, y, out, low, high), r[places[key[0]][:, 0]], _summed(cx, cy, x, y, out)
+            return pd.DataFrame([[key[0], *_bytes(*columns)]])
+
+        def summed(frames):
+            total = None
+            for f in frames:
+                for s in f["s"]:
+                    total = np.frombuffer(s) + (0.0 if total is None else total)
+                yield f[["_b", "p", "c"]].assign(s=None)
+            if total is not None:
+                yield pd.DataFrame({"_b": [-1], "p": [b""], "c": [b""], "s": _bytes(total)})
+
+        lent = state.select("_b", "id", "u").join(F.broadcast(self.lent), "_b").select("_t", "id", "u").repartition(self.tasks, "_t").groupBy("_t")
+        fixed = self.fixed.withColumnRenamed("_b", "_t").drop("value", "n").repartition(self.tasks, "_t").groupBy("_t")
+        local = lineage.cut(fixed.cogroup(lent).applyInPandas(solve, self.LOCAL))
+        lack, proxies = np.zeros(len(self.x)), {}
+        for row in local.select("_b", "p", "c", "s").mapInPandas(summed, "_b long, p binary, c binary, s binary").collect():
+            if row["s"] is not None:
+                lack -= np.frombuffer(row["s"])
+            else:
+                proxies[row["_b"]] = np.frombuffer(row["p"]).reshape(ORDER, ORDER)
+                lack[self.places[row["_b"]][:, 1]] += np.frombuffer(row["c"])
+        more, places = self._lacking(lack), self.places
+        for b, (_, low, high) in boxes.value.items():
+            at = places[b][:, 1]
+            proxies[b] = proxies[b] + _proxies(self.x[at], self.y[at], more[at], low, high)
+        more = self.fixed.sparkSession.sparkContext.broadcast(more)
+
+        def corrected(frames):
             for f in frames:
-                total += _summed(cx, cy, *(f[c].to_numpy() for c in ("lon", "lat", "y")))
-            yield pd.DataFrame({"i": np.arange(len(cx)), "s": total})
+                w = [np.frombuffer(w).copy() for w in f["w"]]
+                for b, v in zip(f["_b"], w, strict=True):
+                    at, i = coarse.value[2][b].T
+                    v[at] += more.value[i]
+                yield f.assign(w=_bytes(*w))
 
-        got = local.select("lon", "lat", "y").mapInPandas(sums, "i int, s double").groupBy("i").agg(F.sum("s").alias("s"))
-        wanted = residual.join(F.broadcast(self.chosen), "id").join(got, "i").select("id", "lon", "lat", (F.col("r") - F.col("s")).alias("lack"))
-        extra = wanted.groupBy(F.lit(1).alias("_g")).applyInPandas(_solve_coarse, "id long, _a double")
-        return local.join(F.broadcast(extra), "id", "left").select("id", (F.col("y") + F.coalesce("_a", F.lit(0.0))).alias("z"))
+        return local.select("_b", "lon", "lat", "w").mapInPandas(corrected, "_b long, lon binary, lat binary, w binary"), proxies
 
+    def multiplied(self, weighted: DataFrame, proxies: dict[int, np.ndarray], state: DataFrame) -> DataFrame:
+        """(_b, x, q, d): given weights, their products with the distances, and these's products with the basis and themselves."""
+        met = self.sums.meeting(proxies)
 
-def _dot(vectors: Column, weights: list[float]) -> Column:
-    """The combination of the numbers of an array."""
-    given = F.array(*(F.lit(float(v)) for v in weights))
-    return F.aggregate(F.zip_with(vectors, given, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            own = a.iloc[0]
+            q = met(np.frombuffer(own["_x"]), np.frombuffer(own["_y"]), key[0], b)
+            v = np.frombuffer(own["v"]).reshape(-1, len(q))
+            return pd.DataFrame([[key[0], b["w"][b["_b"] == key[0]].iloc[0], *_bytes(q, np.append(v @ q, q @ q))]])
 
+        aims = state.select(F.col("_b").alias("_t"), F.col("lon").alias("_x"), F.col("lat").alias("_y"), "v").repartition(self.tasks, "_t").groupBy("_t")
+        return lineage.cut(aims.cogroup(self.sums.nearby(weighted)).applyInPandas(meet, "_b long, x binary, q binary, d binary"))
 
-def _against_basis(state: DataFrame, size: int) -> np.ndarray:
-    """Products of the new vector _q with each vector of the basis v, then with itself."""
+    def changed(self, state: DataFrame, change, moved: DataFrame | None = None) -> tuple[DataFrame, np.ndarray]:
+        """The state after `change` of each row, a dict of arrays, and the sum of g."""
+        kinds = {c: "i8" if c == "id" else "f8" for c, t in (state if moved is None else state.join(moved, "_b")).dtypes if t == "binary"}
+        columns = [c.split()[0] for c in self.STATE.split(", ")[1:]]
 
-    def sums(frames):
-        total = np.zeros(size + 1)
-        for f in frames:
-            if len(f):
-                q = f["_q"].to_numpy()
-                total += np.append(q @ np.stack(f["v"].to_numpy()), q @ q)
-        yield pd.DataFrame({"i": np.arange(size + 1), "s": total})
-
-    out = np.zeros(size + 1)
-    for r in state.select("v", "_q").mapInPandas(sums, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():
-        out[r["i"]] = r["s"]
-    return out
+        def run(frames):
+            for f in frames:
+                for row in f.to_dict("records"):
+                    arrays = change({c: np.frombuffer(row[c], t) for c, t in kinds.items()})
+                    yield pd.DataFrame([[row["_b"], *_bytes(*(arrays[c] for c in columns))]], columns=["_b", *columns])
+
+        out = lineage.cut((state if moved is None else state.join(moved, "_b")).mapInPandas(run, self.STATE))
+        return out, sum(np.frombuffer(r["g"]) for r in out.select("g").collect())
 
 
 def weights(known: DataFrame, count: int, domain: int = DOMAIN, around: int = AROUND, coarse: int = COARSE, group: int = GROUP, tolerance: float = TOLERANCE, steps: int = STEPS) -> DataFrame:
     """(lon, lat, w) of places (lon, lat, value), no two at one place."""
-    points = _numbered(known, count, domain)
-    members, together = _members(points, around), _Coarse(points, coarse)
-    groups = max(1, -(-count // group))
-    norm = float(np.sqrt(points.agg(F.sum(F.col("value") ** 2)).first()[0]))
-    at = points.select("id", "lon", "lat", F.lit(0.0).alias("w"), F.col("value").alias("r"), "value")
+    norm = float(np.sqrt(known.agg(F.sum(F.col("value") ** 2)).first()[0]))
     if norm == 0:
-        return at.select("lon", "lat", "w")
-
-    blocks = _blocked(points.select("id", "lon", "lat"), groups)
-    sums = Sums(blocks, blocks)
+        return known.select("lon", "lat", F.lit(0.0).alias("w"))
+    stations = _Stations(known, count, domain, around, coarse, group)
 
-    def applied(vector: DataFrame, name: str) -> DataFrame:
-        return sums.of(blocks.join(vector, "id").select("_b", "lon", "lat", F.col(name).alias("w")), ["id"])
+    def begun(a: dict) -> dict:
+        none = np.zeros(0)
+        return a | {"w": np.zeros(len(a["value"])), "r": a["value"], "u": a["value"] / norm, "v": a["value"] / norm, "z": none, "g": np.array([a["value"] @ a["value"]]) / norm**2}
 
+    state, gram = stations.changed(stations.fixed.select("_b", "id", "lon", "lat", "value"), begun)
     left = norm
     for _ in range(RESTARTS):
-        at, left = _cycle(at, left, norm * tolerance, members, together, applied, steps)
-        product = lineage.cut(applied(at.select("id", "w"), "w").withColumnRenamed("value", "_q"))
-        at = lineage.cut(at.join(product, "id").withColumn("r", F.col("value") - F.col("_q")).drop("_q"))
-        left = float(np.sqrt(at.agg(F.sum(F.col("r") ** 2)).first()[0]))
+        state, left = _cycle(stations, state, gram.reshape(1, 1), left, norm * tolerance, steps)
         if left <= norm * tolerance * 100:
-            return at.select("lon", "lat", "w")
+
+            def rows(frames):
+                for f in frames:
+                    for row in f.to_dict("records"):
+                        yield pd.DataFrame({c: np.frombuffer(row[c]) for c in ("lon", "lat", "w")})
+
+            return state.select("lon", "lat", "w").mapInPandas(rows, "lon double, lat double, w double")
+        state, gram = stations.changed(state, lambda a, left=left: a | {"u": a["r"] / left, "v": a["r"] / left, "g": np.array([a["r"] @ a["r"]]) / left**2})
     raise ValueError(f"radial bases of {count} stations: a residual of {left / norm:.1e} is left; some places may be too close to tell apart")
 
 
-def _cycle(at: DataFrame, left: float, enough: float, members: DataFrame, together: _Coarse, applied, steps: int) -> tuple[DataFrame, float]:
-    """Places (id, lon, lat, w, r, value) after minimal residuals over up to `steps` products. v and z of a row hold its
-    place in the basis of the products, and in what was multiplied."""
-    state = at.withColumn("v", F.array(F.col("r") / left)).withColumn("z", F.array().cast("array<double>"))
-    h, tasks = np.zeros((steps + 1, steps)), 4 * at.sparkSession.sparkContext.defaultParallelism
+def _cycle(stations: _Stations, state: DataFrame, gram: np.ndarray, left: float, enough: float, steps: int) -> tuple[DataFrame, float]:
+    """The state after minimal residuals over up to `steps` products, and the size of what is left then. The new vector is
+    set square to the basis once; what rounding leaves is in the products of the basis with itself, which all is solved by."""
+    h = np.zeros((steps + 1, steps))
     for k in range(steps):
-        newest = state.select("id", F.element_at("v", -1).alias("r"))
-        local = lineage.cut(members.join(newest, "id").repartition(tasks, "dom").groupBy("dom").applyInPandas(_solve_domain, "id long, lon double, lat double, y double"))
-        z = lineage.cut(together.corrected(local, newest))
-        moved = applied(z, "z").withColumnRenamed("value", "_q")
-        state = lineage.cut(state.join(z.withColumnRenamed("z", "_z"), "id").join(moved, "id").withColumn("z", F.concat("z", F.array("_z"))).drop("_z"))
-        for _ in range(2):  # a second time for what rounding leaves of the basis
-            row = _against_basis(state, k + 1)
-            h[: k + 1, k] += row[:-1]
-            state = state.withColumn("_q", F.col("_q") - _dot(F.col("v"), row[:-1]))
-        rest = float(np.sqrt(max(row[-1] - (row[:-1] ** 2).sum(), 0.0)))
-        h[k + 1, k] = rest
-        aim = np.zeros(k + 2)
-        aim[0] = left
-        y = np.linalg.lstsq(h[: k + 2, : k + 1], aim, rcond=None)[0]
-        over = float(np.linalg.norm(h[: k + 2, : k + 1] @ y - aim))
-        if over <= enough or rest <= 1e-14 * np.abs(h[: k + 1, k]).max():
+        weighted, proxies = stations.solved(state)
+        moved = stations.multiplied(weighted, proxies, state)
+        row = sum(np.frombuffer(r["d"]) for r in moved.select("d").collect())
+        h[: k + 1, k] = part = np.linalg.solve(gram, row[:-1])
+        h[k + 1, k] = rest = float(np.sqrt(max(row[-1] - part @ row[:-1], row[-1] * 1e-30)))
+
+        def grown(a: dict, part=part, rest=rest) -> dict:
+            v = a["v"].reshape(len(part), -1)
+            u = (a["q"] - part @ v) / rest
+            v = np.vstack([v, u])
+            return a | {"u": u, "v": v, "z": np.append(a["z"], a["x"]), "g": v @ u}
+
+        state, new = stations.changed(state, grown, moved)
+        gram = np.block([[gram, new[:-1, None]], [new[None, :-1], new[None, -1:]]])
+        root = np.linalg.cholesky(gram).T  # of a combination's size
+        y = np.linalg.lstsq(root @ h[: k + 2, : k + 1], left * root[:, 0], rcond=None)[0]
+        over = float(np.linalg.norm(root @ (h[: k + 2, : k + 1] @ y) - left * root[:, 0]))
+        if over <= enough or rest <= 1e-14 * np.abs(part).max():
             break
-        state = state.withColumn("v", F.concat("v", F.array(F.col("_q") / rest))).drop("_q")
-    return state.select("id", "lon", "lat", (F.col("w") + _dot(F.col("z"), y)).alias("w"), "r", "value"), over
+
+    def taken(a: dict) -> dict:
+        w = a["w"] + y @ a["z"].reshape(len(y), -1)
+        return a | {"w": w, "v": a["v"][:0], "z": a["z"][:0], "g": np.zeros(1)}
+
+    state, _ = stations.changed(state, taken)
+    boxes = stations.sums.boxes
+
+    def shown(frames):
+        for f in frames:
+            yield f[["_b"]].assign(p=[_proxies(*(np.frombuffer(row[c]) for c in ("lon", "lat", "w")), *boxes.value[row["_b"]][1:]).tobytes() for row in f.to_dict("records")])
+
+    weighted = state.select("_b", "lon", "lat", "w")
+    proxies = {r["_b"]: np.frombuffer(r["p"]).reshape(ORDER, ORDER) for r in weighted.mapInPandas(shown, "_b long, p binary").collect()}
+    moved = stations.multiplied(weighted, proxies, state)
+
+    def missed(a: dict) -> dict:
+        r = a["value"] - a["q"]
+        return a | {"r": r, "g": np.array([r @ r])}
+
+    state, over = stations.changed(state, missed, moved)
+    return state, float(np.sqrt(over[0]))

@@ -85,3 +85,48 @@ def test_rounds_of_joins_keep_a_plain_size(spark):
         state = lineage.cut(state.join(lineage.cut(state.select("id", F.col("v").alias("a"))), "id").select("id", (F.col("v") + F.col("a")).alias("v")))
     assert len(str(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 20
     assert {r["v"] for r in state.collect()} == {64.0}
+
+
+def test_sums_nearby_grow_with_the_places(monkeypatch):
+    """The same sums as one by one, clusters and lines too, from far fewer distances than there are pairs."""
+    rng, plain_sums, pairs = np.random.default_rng(15), radial._summed, []
+    monkeypatch.setattr(radial, "_summed", lambda ax, ay, bx, by, w: (pairs.append(len(ax) * len(bx)), plain_sums(ax, ay, bx, by, w))[1])
+    for shape in ("even", "cluster", "line"):
+        took = []
+        for n in (2048, 8192):
+            a, b = rng.uniform(2, 3, (n, 2)), rng.uniform(1, 4, (9 * n, 2))
+            if shape == "cluster":
+                a[: n // 2] = 2.5 + a[: n // 2] / 10_000
+                b[: n // 2] = a[: n // 2]
+            if shape == "line":
+                a[:, 1] = b[:, 1] = 0.0
+            w = rng.normal(size=len(b))
+            pairs.clear()
+            got = radial._fast_sums(*a.T, *b.T, w)
+            took.append(sum(pairs))
+            some = rng.integers(0, n, 50)
+            assert got[some] == pytest.approx(plain_sums(*a[some].T, *b.T, w), abs=1e-8)
+        assert took[1] < 8 * took[0] and took[1] < 8192 * 9 * 8192 / 10  # pairs are 16 times as many
+
+
+@pytest.mark.parametrize("shape", ["even", "line", "cluster"])
+def test_restarts_reproduce_the_values(spark, shape):
+    rng = np.random.default_rng(16)
+    p = rng.uniform(0, 20, (300, 2))
+    if shape == "line":
+        p[:, 1] = 3.0
+    if shape == "cluster":
+        p[:100] = 5 + p[:100] / 1000
+    v = rng.normal(size=300)
+    known = radial.places(stations_of(spark, np.column_stack([p, v]).tolist()))
+    rows = radial.weights(known, 300, domain=16, around=16, coarse=20, group=40, tolerance=1e-9, steps=6).collect()
+    x, y, w = np.array([tuple(r) for r in rows]).T
+    assert len(rows) == 300 and np.hypot(p[:, :1] - x, p[:, 1:] - y) @ w == pytest.approx(v, abs=1e-5)
+
+
+def test_coarse_places_are_spread_evenly():
+    x, y = np.random.default_rng(17).uniform(0, 1, (2, 3000))
+    at = radial._spread(x, y, 100)
+    assert len(set(at.tolist())) == 100
+    assert {(int(a * 4), int(b * 4)) for a, b in zip(x[at], y[at], strict=True)} == {(i, j) for i in range(4) for j in range(4)}
+    assert len(radial._spread(x[:5], y[:5], 9)) == 5 and len(radial._spread(x, y, 0)) == 0

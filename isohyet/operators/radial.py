@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from isohyet.operators import lineage
 
 DOMAIN, AROUND = 256, 256  # stations of a domain, and around it at most
-COARSE = 2048  # stations that are solved for together in every step, whatever the number of stations
+COARSE, SHARE = 4096, 32  # stations that are solved for together in every step, whatever the number of stations; one of so many
 GROUP = 8192  # stations of a block in products, on average
 ORDER = 16  # nodes along a side of a box; errors of what is far are some 1e-12 of it
-LEAF, DIRECT = 128, 1 << 20  # targets of a cell, on average, and pairs that are summed one by one
+LEAF, DIRECT = 64, 1 << 20  # targets of a cell, on average, and pairs that are summed one by one
 LEAST_SIDE = 2.0**-24  # half of one, for boxes of a single place
 TOLERANCE = 1e-10  # of the residual, against the values
 STEPS, RESTARTS = 40, 8
@@ -276,7 +276,7 @@ class Sums:
         self.blocks, low, high = self._boxes(sources)
         self.aims, self.low, self.high = (self.blocks, low, high) if targets is sources else self._boxes(targets)
         self.tree = _Tree(low, high) if len(low) else None
-        self.tasks = max(1, min(len(self.aims), 4 * self.spark.sparkContext.defaultParallelism))
+        self.tasks = max(1, min(2 * len(self.aims), 16 * self.spark.sparkContext.defaultParallelism))
         at, block = self.tree.parted(self.low, self.high)[3:] if len(self.aims) and len(low) else ([], [])
         self.close = self.spark.createDataFrame([(self.aims[t], self.blocks[b]) for t, b in zip(at, block, strict=True)], "_t long, _b long")
         if len(low):
@@ -368,8 +368,13 @@ def _spread(x: np.ndarray, y: np.ndarray, count: int) -> np.ndarray:
 
 def _solve_domain(x: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
     n = len(x)
-    k = np.zeros((n + 1, n + 1))  # the domain's weights add up to 0, a constant takes the rest
-    k[:n, :n], k[n, :n], k[:n, n] = _distances(x, y, x, y), 1, 1
+    k = np.ones((n + 1, n + 1))  # the domain's weights add up to 0, a constant takes the rest
+    k[n, n], d, e = 0, k[:n, :n], y[:, None] - y
+    np.subtract(x[:, None], x, out=d)
+    d *= d
+    e *= e
+    d += e
+    np.sqrt(d, out=d)
     return np.linalg.solve(k, np.append(r, 0.0))[:n]
 
 
@@ -433,7 +438,8 @@ class _Stations:
             for _ in frames:
                 x, y, _ = places.value
                 rows = np.linalg.inv(_distances(x, y, x, y))
-                yield pd.DataFrame({"i": np.arange(len(rows)), "a": _bytes(*rows)})
+                for i in range(0, len(rows), 256):
+                    yield pd.DataFrame({"i": np.arange(i, min(i + 256, len(rows))), "a": _bytes(*rows[i : i + 256])})
 
         one = spark.range(1, numPartitions=1).mapInPandas(inverted, "i int, a binary")
         self.inverse = lineage.cut(one.repartition(spark.sparkContext.defaultParallelism, "i"))
@@ -469,7 +475,12 @@ class _Stations:
             for i, j in zip(first, [*first[1:], len(ids)], strict=True):
                 e = slice(*np.searchsorted(dom, [home[i], home[i] + 1]))
                 out[i:j] = _solve_domain(*(np.append(c[i:j], d[e]) for c, d in ((x, ex), (y, ey), (r, er))))[: j - i]
-            columns = x, y, out, _proxies(x, y, out, low, high), r[places[key[0]][:, 0]], _summed(cx, cy, x, y, out)
+            proxies, s = _proxies(x, y, out, low, high), np.empty(len(cx))
+            gap = np.hypot(*(np.maximum(np.maximum(a - c, c - b), 0) for a, b, c in zip(low, high, (cx, cy), strict=True)))
+            far = gap >= max(*(high - low), LEAST_SIDE)
+            s[far] = _summed(cx[far], cy[far], *_nodes(low, high), proxies.ravel())
+            s[~far] = _fast_sums(cx[~far], cy[~far], x, y, out)
+            columns = x, y, out, proxies, r[places[key[0]][:, 0]], s
             return pd.DataFrame([[key[0], *_bytes(*columns)]])
 
         def summed(frames):
@@ -535,12 +546,12 @@ class _Stations:
         return out, sum(np.frombuffer(r["g"]) for r in out.select("g").collect())
 
 
-def weights(known: DataFrame, count: int, domain: int = DOMAIN, around: int = AROUND, coarse: int = COARSE, group: int = GROUP, tolerance: float = TOLERANCE, steps: int = STEPS) -> DataFrame:
+def weights(known: DataFrame, count: int, domain: int = DOMAIN, around: int = AROUND, coarse: int | None = None, group: int = GROUP, tolerance: float = TOLERANCE, steps: int = STEPS) -> DataFrame:
     """(lon, lat, w) of places (lon, lat, value), no two at one place."""
     norm = float(np.sqrt(known.agg(F.sum(F.col("value") ** 2)).first()[0]))
     if norm == 0:
         return known.select("lon", "lat", F.lit(0.0).alias("w"))
-    stations = _Stations(known, count, domain, around, coarse, group)
+    stations = _Stations(known, count, domain, around, min(COARSE, -(-count // SHARE)) if coarse is None else coarse, group)
 
     def begun(a: dict) -> dict:
         none = np.zeros(0)
